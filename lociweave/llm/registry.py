@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociweave.llm import chat_queries, langid_queries, minhash_queries, mixing_queries, topk_queries
+from lociweave.llm import chat_queries, debruijn_queries, langid_queries, minhash_queries, mixing_queries, topk_queries
 
-_MODULES = (topk_queries, langid_queries, minhash_queries, chat_queries, mixing_queries)
+_MODULES = (topk_queries, langid_queries, minhash_queries, debruijn_queries, chat_queries, mixing_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
