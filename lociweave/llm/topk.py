@@ -20,8 +20,8 @@ from pyspark.sql import Window
 #: Rows of a shard and queries of a block: what one task holds at once.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
-#: Entries that each list gives in the first round; every further round doubles the depth.
-FIRST_DEPTH = 16
+#: Entries that each list gives in the first round; every further round goes four times as deep.
+FIRST_DEPTH = 32
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -70,29 +70,31 @@ def threshold_search(
 
     matrix: rows by dimension, ids ascending; lists: for each dimension the rows by ascending value.
     """
-    n, _ = matrix.shape
-    used = np.flatnonzero(query)
+    n = len(matrix)
+    rising, falling = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     met = np.zeros(n, bool)
     scores = np.zeros(n, matrix.dtype)
-    if len(used) == 0:  # every score is 0 and every bound too: no list can stop the search
+    if not query.any():  # every score is 0 and every bound too: no list can stop the search
         met[:] = True
     depth, taken = FIRST_DEPTH, 0
-    up = query[used] > 0
-    weight = query[used]
-    sorted_rows = np.where(up[:, None], lists[used][:, ::-1], lists[used])
-    while taken < n and len(used):
+    while taken < n and not met.all():
         upto = min(n, depth)
         fresh = np.zeros(n, bool)
-        fresh[sorted_rows[:, taken:upto].ravel()] = True
+        fresh[lists[:, n - upto : n - taken][rising]] = True
+        fresh[lists[:, taken:upto][falling]] = True
         fresh &= ~met
         new = np.flatnonzero(fresh)
-        scores[new] = matrix[new] @ query
+        if len(new) > n // 8:  # reading every row in order costs less than fetching so many
+            np.copyto(scores, matrix @ query, where=fresh)
+        else:
+            scores[new] = matrix[new] @ query
         met |= fresh
-        taken, depth = upto, depth * 2
+        taken, depth = upto, depth * 4
         best = scores[met & (ids != own)]
         if len(best) >= k:
             kth = np.partition(best, len(best) - k)[len(best) - k]
-            bound = (weight * matrix[sorted_rows[:, taken - 1], used]).sum()
+            bound = (query[rising] * matrix[lists[rising, n - taken], rising]).sum()
+            bound += (query[falling] * matrix[lists[falling, taken - 1], falling]).sum()
             if bound < kth:  # at equality an unmet row could still win by its smaller id
                 break
     rows = np.flatnonzero(met & (ids != own))
@@ -104,9 +106,9 @@ def threshold_search(
 
 
 def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
-    """float64 where every inner product is an exact integer in it, so that BLAS may be used; else 64-bit integers."""
+    """A float type in which every inner product is an exact integer, so that BLAS may be used; else 64-bit integers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return np.float64 if most < 2**52 else np.int64
+    return np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
 
 
 def _matrix(row: dict, side: str) -> np.ndarray:
