@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from lociweave.llm import chat_queries, debruijn_queries, langid_queries, minhash_queries, mixing_queries, pivots_queries, topk_queries
+from lociweave.llm import (
+    bpe_queries,
+    chat_queries,
+    debruijn_queries,
+    langid_queries,
+    minhash_queries,
+    mixing_queries,
+    pivots_queries,
+    topk_queries,
+)
 
-_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, mixing_queries)
+_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, bpe_queries, mixing_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

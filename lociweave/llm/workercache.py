@@ -1,0 +1,12 @@
+"""State that a Python worker keeps between tasks: lookups that cost more to make than to hold."""
+
+from __future__ import annotations
+
+import sys
+import types
+
+
+def kept(name: str) -> dict:
+    """A dictionary of this process under `name`. It is a cache only: results never depend on what it holds."""
+    home = sys.modules.setdefault("_lociweave_worker", types.ModuleType("_lociweave_worker"))
+    return home.__dict__.setdefault(name, {})
