@@ -10,10 +10,11 @@ from lociweave.llm import (
     minhash_queries,
     mixing_queries,
     pivots_queries,
+    tokencount_queries,
     topk_queries,
 )
 
-_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, bpe_queries, mixing_queries)
+_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, bpe_queries, mixing_queries, tokencount_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
