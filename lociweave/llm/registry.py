@@ -12,9 +12,10 @@ from lociweave.llm import (
     pivots_queries,
     tokencount_queries,
     topk_queries,
+    toxicity_queries,
 )
 
-_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, bpe_queries, mixing_queries, tokencount_queries)
+_MODULES = (topk_queries, langid_queries, pivots_queries, minhash_queries, debruijn_queries, chat_queries, bpe_queries, mixing_queries, tokencount_queries, toxicity_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
