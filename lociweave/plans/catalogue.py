@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociweave.plans import evidence_queries, posterior_queries, site_queries
+from lociweave.plans import evidence_queries, posterior_queries, relation_queries, site_queries
 
-_MODULES = (evidence_queries, site_queries, posterior_queries)
+_MODULES = (evidence_queries, site_queries, posterior_queries, relation_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
