@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Numeric kernels that run inside tasks."""
