@@ -67,7 +67,7 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _meet(rows: pa.Table) -> pa.Table:
+def _meet(rows: pa.Table, shared_least: int) -> pa.Table:
     """Links between two blocks of one list (or inside one): counts by vector and a spanning forest.
 
     A pair that shares several posted pivots is taken in the list of the smallest one only.
@@ -102,7 +102,7 @@ def _meet(rows: pa.Table) -> pa.Table:
             x, y = x[x < y], y[x < y]
         shared = np.bitwise_count(described[x] & described[y]).sum(1)
         first = ((posted[x] & posted[y] & below) == 0).all(1)
-        x, y = x[(shared >= SHARED) & first], y[(shared >= SHARED) & first]
+        x, y = x[(shared >= shared_least) & first], y[(shared >= shared_least) & first]
         exact = (unit[x] * unit[y]).sum(1) >= LEAST
         x, y = x[exact], y[exact]
         np.add.at(links, x, n[y])
@@ -181,10 +181,13 @@ def _linked(classes: DataFrame) -> DataFrame:
     """Link counts (id, links) and forest edges (a, b) of distinct vectors (id, vector, n) of one length."""
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").collect()
     pivots = _unit(np.array([r["vector"] for r in sample], dtype=float))  # at most PIVOTS vectors
+    least = min(SHARED, len(pivots))  # with fewer vectors than that, all of them share all pivots
     posts = written(classes.mapInArrow(lambda batches: _posts(batches, pivots), _POSTS))
     lists = posts.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # one row for each pivot: bounded
     dealt = posts.join(F.broadcast(lists), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("with", "blocks")
-    return written(dealt.groupBy("pivot", "i", "j").applyInArrow(_meet, "id long, links long, a long, b long"))
+    return written(dealt.groupBy("pivot", "i", "j").applyInArrow(
+        lambda rows: _meet(rows, least), "id long, links long, a long, b long"
+    ))
