@@ -25,7 +25,7 @@ from lociweave.llm.workercache import kept
 #: Pre-tokens of up to this many bytes share one recursive query, whose rows it holds; longer ones are contracted
 #: step by step in a table of their own, which holds the last step only.
 LONG_WORD = 256
-#: Words that a worker remembers at most; then it starts anew.
+#: Words that a worker remembers at most; then it forgets those that only one step has met.
 REMEMBERED = 400_000
 #: Bytes of text encoded and decoded together.
 STEP_BYTES = 4_000_000
@@ -149,7 +149,8 @@ class Coder:
         )
         self.con.register("ids_in", rows)
         found = self.con.execute(
-            "select doc, string_agg(bytes, '' order by place) as text from ids_in join vocab using (tok) group by doc"
+            # one thread reads the sorted rows, so each text is put together in order without a sort of its own
+            "select doc, string_agg(bytes, '') as text from (select doc, bytes from ids_in join vocab using (tok) order by place) group by doc"
         ).fetchall()
         self.con.unregister("ids_in")
         out = [b""] * len(sizes)
@@ -168,16 +169,28 @@ class Remembered:
         self.number: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.steps_met = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keeps the words that more than one step has met, unless these are too many as well."""
+        stay = np.flatnonzero(self.steps_met > 1)
+        words = list(self.number)
+        ids = [self.ids[self.ends[i] : self.ends[i + 1]] for i in stay]
+        self.clear()
+        if len(stay) < REMEMBERED // 2:
+            self.add([words[i] for i in stay], ids)
 
     def add(self, words: list[str], ids: list[np.ndarray]) -> None:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, *ids])
+        self.steps_met = np.concatenate([self.steps_met, np.zeros(len(words), np.int64)])
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, how many each word has)."""
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.steps_met[np.unique(which)] += 1
         begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
         last = np.cumsum(size)
         return self.ids[np.arange(size.sum()) + np.repeat(begin - last + size, size)], size
@@ -199,8 +212,8 @@ def encode_texts(texts: list[str], pattern: regex.Pattern, coder: Coder, known:
     distinct = set(words)
     new = [w for w in distinct if w not in known.number]
     if len(known.number) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(distinct)
+        known.forget_rare()
+        new = [w for w in distinct if w not in known.number]
     if new:
         known.add(new, coder.words([w.encode("utf-8", "surrogatepass") for w in new]))
     ids, size = known.of(words)
@@ -209,8 +222,10 @@ def encode_texts(texts: list[str], pattern: regex.Pattern, coder: Coder, known:
     return ids, np.diff(ends)
 
 
-def encoded(docs: DataFrame, vocabulary_file: str, pattern: str) -> DataFrame:
-    """`docs` (with text) plus ids array<int>, n_tokens long and decoded binary: the bytes that the ids decode to.
+def encoded(docs: DataFrame, vocabulary_file: str, pattern: str, packed: bool = False) -> DataFrame:
+    """`docs` (with text) plus ids, n_tokens long and decoded binary: the bytes that the ids decode to.
+
+    ids are an array<int>, or with `packed` a binary of little-endian unsigned 32-bit integers, as training shards have them.
 
     Every whole text is encoded, null as an empty one: no ids and no bytes. Special tokens are ordinary text. Other
     columns, whatever their names, pass through untouched, repeated rows too; an empty table gives no rows.
@@ -233,14 +248,19 @@ def encoded(docs: DataFrame, vocabulary_file: str, pattern: str) -> DataFrame:
                 ids, sizes = encode_texts(texts, cut, coder, known)
                 back = coder.texts(ids, sizes)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                if packed:
+                    raw = ids.astype("<u4").tobytes()
+                    column = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(name) for name in names],
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))),
+                        column,
                         pa.array(sizes.astype(np.int64)),
                         pa.array(back, pa.binary()),
                     ],
                     names=[*names, *added],
                 )
 
-    return docs.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, decoded binary")
+    return docs.mapInArrow(run, f"{schema}, ids {'binary' if packed else 'array<int>'}, n_tokens long, decoded binary")

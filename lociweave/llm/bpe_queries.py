@@ -10,24 +10,14 @@ from lociweave.llm.bpe import encoded
 from lociweave.sources.tables import table
 
 
-def little_endian(ids: str):
-    """Ids as unsigned 32-bit little-endian bytes, in Spark's own functions."""
-    # hex of the number with its four bytes in reverse order
-    def one(x):
-        digits = F.lpad(F.hex(x), 8, "0")
-        return F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
-
-    return F.unhex(F.array_join(F.transform(ids, one), ""))
-
-
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes and decodes every whole text by the 50k byte-level vocabulary."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packed=True)
     return out.select(
         "doc_id",
         "n_tokens",
-        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
