@@ -75,11 +75,10 @@ def targets(cells: DataFrame, margin: str, power: float, keep_share: float, shar
         own = own.withColumn("weight", F.coalesce(named[F.col(margin)], F.lit(0.0)))
     else:
         own = own.withColumn("weight", F.when(F.col("own") > 0, F.pow(F.col("own").cast("double"), F.lit(power))).otherwise(0.0))
-    total = own.agg(F.sum("own").alias("all_tokens"), F.sum("weight").alias("all_weight"))
-    # the total is one row: broadcasting it is bounded
-    return own.join(F.broadcast(total)).select(
-        margin, (F.lit(keep_share) * F.col("all_tokens") * F.col("weight") / F.col("all_weight")).alias("target")
-    )
+    all_tokens, all_weight = own.agg(F.sum("own"), F.sum("weight")).first()  # two numbers
+    if not all_weight:
+        return own.select(margin, F.lit(0.0).alias("target"))
+    return own.select(margin, (F.lit(float(keep_share)) * F.lit(all_tokens) * F.col("weight") / F.lit(all_weight)).alias("target"))
 
 
 def raked(
