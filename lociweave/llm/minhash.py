@@ -24,13 +24,13 @@ WIDTH = 5
 #: Linked if LEAST[1] * intersection >= LEAST[0] * union.
 LEAST = (75, 100)
 #: BANDS of ROWS signature values, half of them minima and half maxima of BANDS * ROWS / 2 permutations. A pair at
-#: similarity 0.75 shares no band with a chance of (1 - 0.75 ** 4) ** 40 = 2.5e-7; at 0.8 it is 6e-10.
-BANDS, ROWS = 40, 4
+#: similarity 0.75 shares no band with a chance of (1 - 0.75 ** 5) ** 56 = 3e-7; at 0.8 it is 2e-10.
+BANDS, ROWS = 56, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Members of a block when a band's classes are compared pair by pair.
-BLOCK = 256
+BLOCK = 512
 #: There, pairs whose signatures agree in fewer than this share of their values are not looked at: a linked pair does so
-#: with a chance below 1e-10 (160 values, mean agreement at least 0.75).
+#: with a chance below 1e-10 (280 values, mean agreement at least 0.75).
 LEAST_AGREEMENT = 0.5
 
 
