@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +16,7 @@ _local: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -27,27 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting that holds inside the block only."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-#: Spark's public setting (since 4.1) that removes a query's shuffle files as soon as the query has ended.
-_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def written(df: DataFrame) -> DataFrame:
-    """`df` as Parquet in the shared folder, read again with the same schema; its shuffle files go at once."""
+    """`df` as Parquet in the shared folder, read again with the same schema.
+
+    Spark removes a finished query's shuffle files when the driver collects its garbage, which by default may take half an
+    hour; asking for it here keeps the shuffles of a chain of such steps from piling up on the executors' disks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    with setting(spark, _CLEAN_SHUFFLES, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
