@@ -135,8 +135,10 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], rewrite: bool) ->
             text = np.repeat(np.arange(len(many)), many)
             flat = spans.flatten()
             marks = np.zeros(len(words) + 1, np.int64)
-            np.add.at(marks, flat.field("begin").to_numpy(zero_copy_only=False) + words.bounds[text], 1)
-            np.add.at(marks, flat.field("end").to_numpy(zero_copy_only=False) + words.bounds[text], -1)
+            for name, change in (("begin", 1), ("end", -1)):
+                # a row whose id has another text too may be shorter than the ranges
+                place = np.minimum(flat.field(name).to_numpy(zero_copy_only=False), n[text])
+                np.add.at(marks, place + words.bounds[text], change)
             gone = np.cumsum(marks)[:-1] > 0
             removed = np.add.reduceat(np.r_[gone, False], np.minimum(words.bounds[:-1], len(words))) * (n > 0)
             raw = data.tobytes()
@@ -224,8 +226,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every document.
 
     docs: doc_id long, text; other columns are ignored. Null, empty and word-free texts have no words. Rows that repeat an
-    id are judged by its smallest text only if their texts are equal, as copies of one document; a null id takes part in
-    nothing and keeps all its words. An empty table gives no rows.
+    id are one document with its smallest text, whose ranges are cut from each of them as far as it reaches; a null id
+    takes part in nothing and keeps all its words. An empty table gives no rows.
     """
     rows = _with_spans(docs.select("doc_id", "text"))
     return rows.mapInArrow(

@@ -51,6 +51,8 @@ def test_substring_dedup(spark, docs):
     assert out[1].n_words == out[2].n_words == out[3].n_words == 0
     assert out[5].n_words == 30000 and out[5].n_removed == 30000 - 20 + 20 - 1  # all but the first window's first word is covered again
     assert debruijn.deduplicated(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a " * 50, "en", "s", 1), (1, "b c", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_words for r in debruijn.deduplicated(twice).collect()) == [2, 50]
     back = debruijn.rewritten(docs)
     assert set(docs.columns) - {"spans"} <= set(back.columns) and back.count() == len(ODD)
     assert {r.doc_id: r.text for r in back.collect()}[6] == ODD[5][1]
