@@ -67,6 +67,13 @@ def q_info(spark, folder):
     return out.select("pos", "n", *[F.round(c, 7).alias(c) for c in ("alt_af", "maf", "info", "hwe_deviation", "hwe_chisq")])
 
 
+def q_hwe_pvalue(spark, folder):
+    """Hardy-Weinberg p-values and their negative logs."""
+    out = gp.site_statistics(cells(spark, folder)).select("pos", F.round("hwe_chisq", 7).alias("x"))
+    p = gp.chi_square_p(F.col("x"))
+    return out.select("pos", F.round(p, 7).alias("p"), F.round(-F.log10(gp.clipped(p, 1e-30, 1.0)), 5).alias("neg_log10_p"))
+
+
 def q_nll_brier(spark, folder):
     out = gp.losses(cells(spark, folder))
     return out.select("n", *[F.round(c, 7).alias(c) for c in ("nll", "brier", "dosage_mse")])
@@ -138,7 +145,7 @@ def q_masked_cv_grid(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_gp_from_dosage, q_gp_blend, q_hwe_tilt, q_confidence, q_call_modes, q_info, q_nll_brier, q_shift_metrics, q_mask_ploidy, q_strata,
+    q_gp_from_dosage, q_gp_blend, q_hwe_tilt, q_confidence, q_call_modes, q_info, q_hwe_pvalue, q_nll_brier, q_shift_metrics, q_mask_ploidy, q_strata,
     q_no_call_cap, q_threshold_scan, q_f1_bacc, q_hardcall_stats, q_context_features, q_masked_cv_grid,
 )}
 
@@ -238,6 +245,11 @@ select sample_id, pos, case when {_MAX} >= 0.6 and {_MARGIN} >= 0.2 then {_ARG}
     "q_info": _sql("""
 select pos, n, round(alt_af, 7) as alt_af, round(maf, 7) as maf, round(info, 7) as info, round(hwe_deviation, 7) as hwe_deviation,
        round(hwe_chisq, 7) as hwe_chisq from sites""", True),
+    "q_hwe_pvalue": _sql("""
+, x as (select pos, round(hwe_chisq, 7) as x from sites),
+t as (select pos, sqrt(greatest(x, 0.0::double) / 2) as z, 1 / (1 + 0.3275911::double * sqrt(greatest(x, 0.0::double) / 2)) as t from x),
+p as (select pos, ((((1.061405429::double * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z) as p from t)
+select pos, round(p, 7) as p, round(-log10(least(1.0::double, greatest(1e-30::double, p))), 5) as neg_log10_p from p""", True),
     "q_nll_brier": _sql("""
 select count(*) as n, round(avg(-ln(greatest(1e-6, case truth when 0 then g0 when 1 then g1 else g2 end))), 7) as nll,
        round(avg((pow(g0 - (truth = 0)::int, 2) + pow(g1 - (truth = 1)::int, 2) + pow(g2 - (truth = 2)::int, 2)) / 3), 7) as brier,
