@@ -109,6 +109,25 @@ def association(long: DataFrame, traits: DataFrame) -> DataFrame:
     return s.select("variant", "trait", "n", beta.alias("beta"), se.alias("beta_se"), F.when(se > 0, beta / se).alias("stat"), (n - 2).alias("dof"))
 
 
+def with_p_values(results: DataFrame) -> DataFrame:
+    """Association results plus neglog_p: two-sided, by the normal limit of t (for hundreds of samples and more)."""
+    from lociweave.operators.posterior import clipped, normal_p
+
+    return results.withColumn("neglog_p", -F.log10(clipped(normal_p(F.col("stat")), 1e-300, 1.0)))
+
+
+def permuted(traits: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+    """Traits with their values dealt anew among samples, `replicates` times: each replicate is one sort by a hash.
+
+    traits: id, trait, value. Values are ranked by a hash of (id, replicate) within a trait and given to the samples in id order.
+    """
+    many = traits.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    group = Window.partitionBy("trait", "replicate")
+    ids = many.select("trait", "replicate", "id", F.row_number().over(group.orderBy("id")).alias("k"))
+    values = many.select("trait", "replicate", "value", F.row_number().over(group.orderBy(F.xxhash64("id", "replicate", F.lit(seed)), "id")).alias("k"))
+    return ids.join(values, ["trait", "replicate", "k"]).drop("k")
+
+
 def long_edges(edges: DataFrame, multiplier: float = 5.0) -> DataFrame:
     """Edges with threshold and is_long: length beyond median + multiplier * 1.4826 * MAD, or the 95th percentile if the MAD is 0."""
     middle = edges.agg(F.median("length").alias("m"), F.percentile("length", F.lit(0.95)).alias("q"))

@@ -117,6 +117,14 @@ def q_gwas_beta_se(spark, folder):
     return _r(rel.association(long.select("id", "variant", "dosage"), traits), 6, "beta", "beta_se", "stat")
 
 
+def q_gwas_p(spark, folder):
+    """Negative log p-values of one trait: a sample's family number."""
+    long = domain.matrix(spark, folder)
+    traits = long.where("variant = 0").select("id", F.lit("fam").alias("trait"), F.col("fam").cast("double").alias("value"))
+    out = rel.association(long.select("id", "variant", "dosage"), traits).withColumn("stat", F.round("stat", 6))
+    return rel.with_p_values(out).select("variant", "trait", "stat", F.round("neglog_p", 4).alias("neglog_p"))
+
+
 def q_long_edges(spark, folder):
     """Edges between a vector and the next, by distance in the first two dimensions."""
     m = domain.matrix(spark, folder).where("variant < 2").groupBy("id").agg(F.max(F.when(F.col("variant") == 0, F.col("dosage"))).alias("x"), F.max(F.when(F.col("variant") == 1, F.col("dosage"))).alias("y"))
@@ -127,7 +135,7 @@ def q_long_edges(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     q_pedigree_edges, q_ancestry, q_kinship, q_smooth, q_kinship_fallback, q_transmission_prior, q_expected_relationship, q_similarity,
-    q_edge_status, q_sample_status, q_grm, q_loco_grm, q_king, q_cityblock, q_ld_r2, q_gwas_beta_se, q_long_edges,
+    q_edge_status, q_sample_status, q_grm, q_loco_grm, q_king, q_cityblock, q_ld_r2, q_gwas_beta_se, q_gwas_p, q_long_edges,
 )}
 
 EDGES = """edges as (
@@ -226,6 +234,14 @@ b as (select *, n * (mxx - mx * mx) as sxx, n * (mxy - mx * my) as sxy, n * (myy
 c as (select *, case when sxx > 1e-9 then sxy / sxx end as beta from b),
 e as (select *, case when sxx > 1e-9 and n > 2 then sqrt(greatest(0, (syy - beta * sxy) / (n - 2)) / sxx) end as se from c)
 select variant, trait, n, round(beta, 6) as beta, round(se, 6) as beta_se, round(case when se > 0 then beta / se end, 6) as stat, n - 2 as dof from e"""),
+    "q_gwas_p": with_tables("matrix", """s as (
+  select variant::int as variant, count(*) as n, avg(dosage) as mx, avg(fam::double) as my, avg(dosage * dosage) as mxx, avg(dosage * fam) as mxy, avg(fam * fam::double) as myy
+  from matrix group by all),
+b as (select *, n * (mxx - mx * mx) as sxx, n * (mxy - mx * my) as sxy, n * (myy - my * my) as syy from s),
+c as (select variant, round(case when sxx > 1e-9 then sxy / sxx / sqrt(greatest(0, (syy - sxy * sxy / sxx) / (n - 2)) / sxx) end, 6) as stat from b),
+t as (select *, abs(stat) / sqrt(2.0::double) as z, 1 / (1 + 0.3275911::double * abs(stat) / sqrt(2.0::double)) as t from c)
+select variant, 'fam' as trait, stat, round(-log10(least(1.0::double, greatest(1e-300::double,
+  ((((1.061405429::double * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z)))), 4) as neglog_p from t"""),
     "q_long_edges": with_tables("matrix", """m as (select id, max(dosage) filter (where variant = 0) as x, max(dosage) filter (where variant = 1) as y from matrix where variant < 2 group by 1),
 e as (select a.id, round(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), 7) as length from m a join m b on b.id = a.id + 1),
 q as (select median(length) as m, quantile_cont(length, 0.95) as q from e),

@@ -107,3 +107,17 @@ def test_em_moves_only_mutable_founders(spark):
     out, deltas = hmm.learn_founders(seen, pos, samples, panel, rounds=2)
     got = {(r.pos, r.founder): r.alt_prob for r in out.collect()}
     assert all(got[p, 0] == 0.05 for p in range(1, 6)) and all(got[p, 1] > 0.6 for p in range(1, 6)) and len(deltas) == 2
+
+
+def test_permutations_keep_the_values(spark):
+    traits = spark.createDataFrame([(i, "t", float(i * i)) for i in range(20)], "id long, trait string, value double")
+    out = relatedness.permuted(traits, 3).collect()
+    assert len(out) == 60
+    for r in (1, 2, 3):
+        assert sorted(x.value for x in out if x.replicate == r) == [float(i * i) for i in range(20)]
+    assert [x.value for x in sorted(out, key=lambda x: (x.replicate, x.id))][:20] != [float(i * i) for i in range(20)]
+
+
+@pytest.mark.parametrize("z", [0.0, 0.5, 1.96, 4.0])
+def test_normal_p_value(spark, z):
+    assert value(spark, posterior.normal_p(F.lit(z))) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-7)
