@@ -22,6 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a recognised language, their lang replaced by the predicted one.
 
     Rejected are texts that are null or have no letter (`und`) and texts that no language learned from docs explains.
+    Texts with letters but too short for an n-gram cannot be judged: they stay and keep their lang.
     Without any labelled document nothing can be judged, and only null and letter-free texts go.
     """
     docs = _ordered(docs)
@@ -29,8 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     out = langid.identified(docs, model)
     if not model.langs:
         return _ordered(out.where(langid.has_letter(F.col("text"))))
-    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_share") >= LEAST_LANG_SHARE))
-    return _ordered(out.withColumn("lang", F.col("lang_pred")))
+    unjudged = F.col("lang_share").isNull()
+    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (unjudged | (F.col("lang_share") >= LEAST_LANG_SHARE)))
+    return _ordered(out.withColumn("lang", F.when(unjudged, F.col("lang")).otherwise(F.col("lang_pred"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,12 +102,16 @@ class LanguageFilter:
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts by languages: the share of n-grams that the language explains, chance hits taken off, 0 to 1."""
+        return self.judged(data, offsets)[0]
+
+    def judged(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shares, n-grams of each text): a text without n-grams has shares of 0 that say nothing about it."""
         codes, owner = grams(data, offsets)
         n = len(offsets) - 1
         total = np.bincount(owner, minlength=n)
         out = np.zeros((n, len(self.langs)))
         if not len(codes):
-            return out
+            return out, total
         slots = probes(codes)
         mask = self.masks[slots[0]]
         for row in slots[1:]:
@@ -115,7 +119,7 @@ class LanguageFilter:
         for i, chance in enumerate(self.by_chance):
             hits = np.bincount(owner[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=n)
             out[:, i] = np.clip((hits - total * chance) / (np.maximum(total, 1) * (1 - chance)), 0, 1) if chance < 1 else 0
-        return out
+        return out, total
 
 
 def learned(docs: DataFrame) -> LanguageFilter:
@@ -155,7 +159,8 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     score is the winner's part of all languages' shares; lang_share is the winner's own share, low for text that no
     language explains. Null texts and texts without a letter get `und` and 0; texts with letters but without a known
-    n-gram get the first language and score 0 (no language at all: `und`). Whole texts are read; other columns,
+    n-gram get the first language and score 0 (no language at all: `und`). lang_share is null where a text with letters
+    has no n-gram at all, as those below GRAM bytes: no language was held against it. Whole texts are read; other columns,
     whatever their names, pass through untouched.
     """
     spark = docs.sparkSession
@@ -174,19 +179,19 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             for part in steps(batch):
                 readable = np.asarray(part.column("_readable"))
                 if langs:
-                    shares = known.shares(*text_parts(part.column("text")))
+                    shares, total = known.judged(*text_parts(part.column("text")))
                     best = shares.argmax(1)
                     top = shares[np.arange(len(best)), best]
                     score = top / np.maximum(shares.sum(1), 1e-12)
                 else:
                     best, top, score = np.zeros(len(readable), int), np.zeros(len(readable)), np.zeros(len(readable))
-                    readable = np.zeros(len(readable), bool)
+                    readable, total = np.zeros(len(readable), bool), np.zeros(len(readable), int)
                 best = np.where(readable, best, len(langs))
                 columns = [part.column(name) for name in names]
                 columns += [
                     labels.take(pa.array(best)),
                     pa.array(np.where(readable, np.clip(score, 0, 1), 0.0)),
-                    pa.array(np.where(readable, top, 0.0)),
+                    pa.array(np.where(readable, top, 0.0), mask=readable & (total == 0)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 

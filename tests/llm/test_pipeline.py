@@ -35,6 +35,16 @@ def test_stages_take_empty_and_odd_documents(spark, folder):
         assert docs.count() <= len(rows)
 
 
+def test_short_texts_are_not_rejected_unjudged(spark, folder):
+    """Texts of 1 to 3 letters have no n-gram; they stay with their own lang, while letter-free and foreign texts go."""
+    plain = [(i, "the words of a plain text in a row", "en", "a", 34) for i in range(9)]
+    short = [(10, "A.", "fr", "a", 2), (11, "Re.", "en", "a", 3), (12, "De", "de", "a", 2), (13, "x", None, "a", 1), (14, "A. b", "en", "a", 4), (15, "日", "en", "a", 1)]
+    gone = [(20, "12.", "en", "a", 3), (21, None, "en", "a", 0), (22, "!", "en", "a", 1), (23, "zqxj kvwq", None, "a", 9)]
+    docs = spark.createDataFrame(plain + short + gone, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, folder).collect()}
+    assert out == {i: "en" for i in range(9)} | {r[0]: r[2] for r in short}
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     rows = out.collect()
