@@ -21,3 +21,26 @@ def test_loco_grm_takes_every_vector(spark, tmp_path):
     assert got.keys() == want.keys()
     for k, (mean, n) in want.items():
         assert got[k][1] == n and abs(got[k][0] - mean) < 2e-6
+
+
+def array_genotypes(duck):
+    """(vector, position): genotype of every value of every vector."""
+    rows = duck.execute("select vec_id, embedding from embeddings").fetchall()
+    x = np.clip(1 + np.array([r[1] for r in rows], float), 0, 2)
+    g = np.rint(np.clip(1 + 8 * (x - 1), 0, 2)).astype(int)
+    return {(r[0], 2 * v + 1): int(g[i, v]) for i, r in enumerate(rows) for v in range(g.shape[1])}
+
+
+def test_microarray_takes_every_vector(spark, folder, duck):
+    array = array_genotypes(duck)
+    seen = {(r.sample_id, r.pos): (r.ref_count, r.alt_count) for r in catalogue.QUERIES["q_evidence_counts"](spark, folder).collect()}
+    want = {}
+    for k in array.keys() | seen.keys():
+        more = {0: (20, 0), 1: (10, 10), 2: (0, 20)}.get(array.get(k), (0, 0))
+        want[k] = tuple(min(65535, n + m) for n, m in zip(seen.get(k, (0, 0)), more))
+    got = {(r.sample_id, r.pos): (r.ref_count, r.alt_count) for r in catalogue.QUERIES["q_microarray_inject"](spark, folder).collect()}
+    assert got == want
+    samples = {r[0] for r in duck.execute("select n_nationkey from nation").fetchall()}
+    ids = {k[0] for k in array}
+    aligned = catalogue.QUERIES["q_microarray_align"](spark, folder).collect()
+    assert len(aligned) == len(samples | ids) and {r.sample_id: r.has_array for r in aligned} == {i: i in ids for i in samples | ids}
