@@ -113,7 +113,7 @@ def q_snp_discovery(spark, folder):
 
 def q_indel_discovery(spark, folder):
     """Alternative reads on every third site are insertions, others deletions."""
-    b = _bases(spark, folder).where("code = 1 and pos % 3 <> 2")
+    b = _bases(spark, folder).where("code = 1")
     alt = F.when(F.col("pos") % 3 == 0, F.concat("ref", "base")).otherwise(F.col("ref"))
     ref = F.when(F.col("pos") % 3 == 0, F.col("ref")).otherwise(F.concat("ref", "base"))
     return discovery.indel_candidates(b.select("sample_id", "chrom", "pos", ref.alias("ref"), alt.alias("alt"), "strand"))

@@ -1,8 +1,10 @@
 """Queries against brute force over all rows that they are given, none left out."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 
-from lociweave.plans import catalogue
+from lociweave.plans import catalogue, site_queries
 
 
 def test_loco_grm_takes_every_vector(spark, tmp_path):
@@ -44,3 +46,17 @@ def test_microarray_takes_every_vector(spark, folder, duck):
     ids = {k[0] for k in array}
     aligned = catalogue.QUERIES["q_microarray_align"](spark, folder).collect()
     assert len(aligned) == len(samples | ids) and {r.sample_id: r.has_array for r in aligned} == {i: i in ids for i in samples | ids}
+
+
+def test_indel_discovery_takes_every_site(spark, folder):
+    events, strands, samples = Counter(), Counter(), defaultdict(set)
+    for r in site_queries._bases(spark, folder).where("code = 1").collect():
+        both = r.ref + r.base
+        k = (r.chrom, r.pos, r.ref, both) if r.pos % 3 == 0 else (r.chrom, r.pos, both, r.ref)
+        events[k] += 1
+        strands[k] += r.strand == "+"
+        samples[k].add(r.sample_id)
+    want = {(*k, n, len(samples[k]), strands[k], n - strands[k], "insertion" if k[1] % 3 == 0 else "deletion") for k, n in events.items() if n >= 2}
+    out = catalogue.QUERIES["q_indel_discovery"](spark, folder)
+    assert out.columns == ["chrom", "pos", "ref", "alt", "alt_count", "sample_support", "alt_forward_count", "alt_reverse_count", "variant_type"]
+    assert {tuple(r) for r in out.collect()} == want and {k[1] % 3 for k in want} == {0, 1, 2}
