@@ -1,4 +1,4 @@
-"""Language identification with one bit-sliced Bloom filter whose slots are bitmasks of languages.
+"""Language identification with one bit-sliced Bloom filter whose slots are bitmasks of languages, a word for each 64.
 
 Training counts byte n-grams by language over all training documents, keeps in each language the n-grams that are
 frequent there, and sets that language's bit in the n-gram's slots. Looking an n-gram up is one AND over its slots,
@@ -21,13 +21,15 @@ from lociweave.sources.scratch import written
 
 #: Bytes of an n-gram.
 GRAM = 4
-#: Slots of the filter (a power of two) and probes of an n-gram: the filter has 8 * SLOTS bytes whatever the corpus.
+#: Slots of the filter (a power of two) and probes of an n-gram: the filter has 8 * SLOTS bytes for each WORD languages.
 SLOTS = 1 << 18
 PROBES = 3
 #: An n-gram belongs to a language if it makes at least this share of its n-grams.
 LEAST_SHARE = 2e-5
-#: Languages that the mask can hold; with more, the most frequent are learned (all documents still take part).
-MOST_LANGS = 64
+#: Languages that one word of a mask holds; a slot has as many words as all languages need.
+WORD = 64
+#: n-grams that are looked up at once, which bounds a step's memory whatever the number of words.
+LOOKED_UP = 1 << 18
 #: Predicted where there is nothing to read: null text or no letter.
 UNKNOWN = "und"
 
@@ -89,7 +91,7 @@ def probes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """The learned languages in bit order and the mask of each slot."""
+    """The learned languages in bit order and the mask words of each slot (SLOTS rows): language i is bit i % WORD of word i // WORD."""
 
     langs: tuple[str, ...]
     masks: np.ndarray
@@ -97,7 +99,7 @@ class LanguageFilter:
     @property
     def by_chance(self) -> np.ndarray:
         """For each language the chance that an n-gram of none hits all its slots: fill to the power of the probes."""
-        fill = np.array([((self.masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.langs))])
+        fill = np.array([_bit(self.masks, i).mean() for i in range(len(self.langs))])
         return fill**PROBES
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,39 +112,49 @@ class LanguageFilter:
         n = len(offsets) - 1
         total = np.bincount(owner, minlength=n)
         out = np.zeros((n, len(self.langs)))
-        if not len(codes):
-            return out, total
-        slots = probes(codes)
-        mask = self.masks[slots[0]]
-        for row in slots[1:]:
-            mask &= self.masks[row]
+        for start in range(0, len(codes), LOOKED_UP):
+            slots = probes(codes[start : start + LOOKED_UP])
+            of = owner[start : start + LOOKED_UP]
+            mask = self.masks[slots[0]]
+            for row in slots[1:]:
+                mask &= self.masks[row]
+            first, last = of[0], of[-1] + 1
+            for i in range(len(self.langs)):
+                out[first:last, i] += np.bincount(of[_bit(mask, i)] - first, minlength=last - first)
         for i, chance in enumerate(self.by_chance):
-            hits = np.bincount(owner[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=n)
+            hits = out[:, i]
             out[:, i] = np.clip((hits - total * chance) / (np.maximum(total, 1) * (1 - chance)), 0, 1) if chance < 1 else 0
         return out, total
 
 
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    """Whether each row of mask words has language i."""
+    return (masks[:, i // WORD] >> np.uint64(i % WORD)) & np.uint64(1) == 1
+
+
 def learned(docs: DataFrame) -> LanguageFilter:
     """The filter of all documents in `docs` (text, lang); rows with a null text or lang teach nothing.
 
-    Counting is done in every task for its own texts, then summed by key; only the finished masks, at most SLOTS
-    numbers, reach the driver. No document is left out or sampled. Without any text no language is learned.
+    Counting is done in every task for its own texts, then summed by key; only the names of the languages and the
+    finished masks, SLOTS numbers for each WORD languages, reach the driver. No document is left out or sampled, and no
+    language with an n-gram that is frequent in it. Without any text no language is learned.
     """
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(totals, "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * LEAST_SHARE))
-    frequent = written(frequent.select("lang", "code", "total"))
-    # the table of languages is cut at MOST_LANGS rows and so bounded
-    table = frequent.select("lang", "total").distinct().orderBy(F.desc("total"), "lang").limit(MOST_LANGS).collect()
-    langs = tuple(sorted(r["lang"] for r in table))
-    masks = np.zeros(SLOTS, np.uint64)
+    frequent = written(frequent.select("lang", "code"))
+    # one short row for each language: languages are a label set, not a measure of the corpus
+    langs = tuple(sorted(r["lang"] for r in frequent.select("lang").distinct().collect()))
+    masks = np.zeros((SLOTS, max(1, -(-len(langs) // WORD))), np.uint64)
     if langs:
-        bit = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, 1 << i if i < 63 else -(1 << 63))])
-        lit = frequent.select("code", bit[F.col("lang")].cast("long").alias("bit")).where("bit is not null")
-        slots = lit.mapInArrow(_lit_slots, "slot int, bit long").groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+        # the bits as signed longs: the last bit of a word is the smallest one
+        places = [(lang, i // WORD, 1 << i % WORD if i % WORD < WORD - 1 else -(1 << WORD - 1)) for i, lang in enumerate(langs)]
+        places = docs.sparkSession.createDataFrame(places, "lang string, word int, bit long")
+        lit = frequent.join(F.broadcast(places), "lang").select("code", "word", "bit")
+        slots = lit.mapInArrow(_lit_slots, "slot int, word int, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("mask"))
         rows = slots.toArrow()
-        masks[rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
+        masks[rows["slot"].to_numpy(), rows["word"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return LanguageFilter(langs, masks)
 
 
@@ -150,7 +162,7 @@ def _lit_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slots = probes(batch.column("code").to_numpy())
         yield pa.RecordBatch.from_pydict(
-            {"slot": slots.ravel().astype(np.int32), "bit": np.tile(batch.column("bit").to_numpy(), PROBES)}
+            {"slot": slots.ravel().astype(np.int32)} | {name: np.tile(batch.column(name).to_numpy(), PROBES) for name in ("word", "bit")}
         )
 
 
@@ -164,7 +176,7 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     whatever their names, pass through untouched.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.masks.tobytes()))  # 8 * SLOTS bytes at most
+    sent = spark.sparkContext.broadcast((model.langs, model.masks.tobytes()))  # 8 * SLOTS bytes for each WORD languages
     added = ("lang_pred", "score", "lang_share")
     docs = docs.drop(*added)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -173,7 +185,7 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, raw = sent.value
-        known = LanguageFilter(langs, np.frombuffer(raw, np.uint64))
+        known = LanguageFilter(langs, np.frombuffer(raw, np.uint64).reshape(SLOTS, -1))
         labels = pa.array([*langs, UNKNOWN], pa.string())
         for batch in batches:
             for part in steps(batch):

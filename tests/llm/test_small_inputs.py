@@ -38,6 +38,18 @@ def test_language_id(spark, docs):
     assert langid.identified(docs.limit(0), model).count() == 0
 
 
+def test_more_languages_than_a_mask_word_holds(spark):
+    """70 labels with words of their own: each is learned and found again, those beyond the 64th too."""
+    names = [f"l{i:02}" for i in range(70)]
+    words = {name: " ".join(chr(97 + i % 26) * 2 + chr(97 + i // 26) * 2 + c * 3 for c in "abcxyz") for i, name in enumerate(names)}
+    rows = [(i, words[name], name) for i, name in enumerate(names) for _ in range(2 if i < 35 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    assert model.langs == tuple(names) and model.masks.shape == (langid.SLOTS, 2)
+    out = langid.identified(docs, model).collect()
+    assert len(out) == len(rows) and all(r.lang_pred == r.lang and r.lang_share > 0.9 for r in out)
+
+
 def test_minhash(docs):
     rows = minhash.near_duplicates(docs).collect()
     out = {r.doc_id: r for r in rows if r.doc_id is not None}
