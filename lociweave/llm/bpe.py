@@ -1,16 +1,18 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside each Spark partition.
 
 A partition's texts are split into pre-tokens by the tokenizer's pattern. Those not seen before, and that are no token
-as a whole, become rows (word, position, token), one for each byte; a recursive query joins neighbours with the merge table and contracts each
-word's minimum-rank pair, leftmost first, until no pair is left. Decoding joins ids with their bytes and aggregates them
-in order. The vocabulary reaches the tasks as a broadcast of its file, whose size does not depend on the corpus.
+as a whole, become rows (word, place, token), one for each byte; a recursive query joins neighbours with the merge table
+and contracts minimum-rank pairs, leftmost first, until no pair is left. In a word longer than two of the longest tokens
+a round contracts the minimum of every neighbourhood instead of that of the whole word, which gives the same ids: what a
+pair could lose its tokens to would have to grow from a lower pair nearby. Decoding joins ids with their bytes and
+aggregates them in order. The vocabulary reaches the tasks as a broadcast, whose size does not depend on the corpus.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import duckdb
@@ -20,122 +22,135 @@ import regex
 from pyspark.sql import DataFrame
 
 from lociweave.llm.textkernel import steps
-from lociweave.llm.workercache import kept
 
-#: Pre-tokens of up to this many bytes share one recursive query, whose rows it holds; longer ones are contracted
-#: step by step in a table of their own, which holds the last step only.
-LONG_WORD = 256
-#: Words that a worker remembers at most; then it forgets those that only one step has met.
-REMEMBERED = 400_000
+#: Words that a task remembers at most; then it forgets those that only one step has met.
+REMEMBERED = 300_000
 #: Bytes of text encoded and decoded together.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
+#: Memory of a task's DuckDB, and what each byte of a longer word than usual adds to it.
+MEMORY_MB, BYTES_PER_BYTE = 200, 300
 
-#: One round for ordinary words. Rows are in the order of `place`, which counts over all words, so neighbours come from
-#: windows that need no sort of their own; a word's best pair is the smallest (rank, place), that is the leftmost of the
-#: minimum-rank pairs, and is contracted: its left row takes the merged token, its right row goes. A word without any
-#: pair is marked done.
-_CONTRACT = """
-with near as (
-  select word, place, tok, lead(word) over () as word_after, lead(tok) over () as tok_after, lag(place) over () as before
-  from (select word, place, tok from grown where not done order by place)),
-ranked as (
-  select n.word, n.place, n.tok, n.before, m.merged::bigint * 4294967296 + n.place as score
-  from near n left join merges m on n.word_after = n.word and m.l = n.tok and m.r = n.tok_after),
-best as (select word, min(score) as score from ranked group by word)
-select r.word, r.place, case when r.place = b.score % 4294967296 then (b.score // 4294967296)::integer else r.tok end as tok,
-       b.score is null as done
-from ranked r join best b using (word)
-where b.score is null or r.before is null or r.before <> b.score % 4294967296
-"""
+#: Tokens of up to this many bytes bound the neighbourhoods of any word; a word that contains longer ones has wider ones.
+USUAL_TOKEN = 16
 
-#: One round for long words: neighbours meet the merge table and each word's best pair is contracted. Where no merge that starts from the merged
-#: token ranks before it (`safe`), all of its pairs that do not overlap are contracted at once, which gives what one
-#: after the other would; else the leftmost only. A word without any pair is marked done.
-_ROUND = """
+#: One round. Rows are in the order of `place`, which counts over all words, so neighbours come from windows that need
+#: no sort of their own. A score orders pairs by (rank, place). A block is a number of places of a word, at least twice its
+#: longest token, and a short word is one block. Pairs of the lowest rank of their own and both neighbouring blocks are
+#: contracted: all of a rank at once, in runs of overlapping ones every second from the run's left end, or only the
+#: leftmost where the merged token is `unsafe`, that is starts merges that rank before it. The left row of a contracted
+#: pair takes the merged token, its right row goes. A word without any pair is marked done.
+_CONTRACT = """
 with near as (
-  select word, pos, tok, lead(tok) over w as nxt, lag(pos) over w as before, row_number() over w as k
-  from {state} where not done window w as (partition by word order by pos)),
+  select word, part, place, tok, lead(word) over () = word as goes_on, lead(tok) over () as tok_after, lead(place) over () as right_place,
+         lag(word) over () = word and lag(tok) over () = tok as same_before
+  from (select word, part, place, tok from grown where not done order by place)),
 ranked as (
-  select n.*, m.merged, min(m.merged) over (partition by n.word) as best
-  from near n left join merges m on m.l = n.tok and m.r = n.nxt),
+  select n.*, m.merged, m.merged::bigint * 4294967296 + n.place as score
+  from near n left join merges m on n.goes_on and m.pair = n.tok::bigint * 4294967296 + n.tok_after),
+lowest as (select part, min(score) as score from ranked group by part),
+best as (
+  select part, score, score is null as done from lowest where part not in (select part from long)
+  union all
+  select part, least(score, lag(score) over w, lead(score) over w), min(score) over (partition by word) is null
+  from lowest join long using (part) window w as (partition by word order by part)),
+goals as (
+  select b.part, b.done, (b.score // 4294967296)::integer as merged, case when u.merged is null then 0 else b.score end as alone
+  from best b left join unsafe u on u.merged = (b.score // 4294967296)::integer),
 hits as (
-  select *, coalesce(merged = best, false) as hit,
-         k - row_number() over (partition by word, coalesce(merged = best, false) order by pos) as island
-  from ranked),
-chosen as (
-  select *, hit and case when best in (select merged from unsafe)
-                         then pos = min(case when hit then pos end) over (partition by word)
-                         else row_number() over (partition by word, hit, island order by pos) % 2 = 1 end as take
-  from hits),
-shifted as (select *, lag(take, 1, false) over (partition by word order by pos) as eaten from chosen)
-select word, pos, case when take then merged else tok end as tok, best is null as done from shifted where not eaten
+  select r.place, r.right_place, r.merged, coalesce(r.same_before and r.tok = r.tok_after, false) as follows
+  from ranked r join goals g on g.part = r.part and g.merged = r.merged where g.alone in (0, r.score)),
+runs as (
+  select *, row_number() over (order by place) as n, follows and coalesce(lag(right_place) over (order by place) = place, false) as goes_on from hits),
+starts as (select *, max(case when not goes_on then 2 * n + (not follows)::integer end) over (order by place) as start from runs),
+taken as (select place, right_place, merged from starts where start % 2 = 1 and (n - start // 2) % 2 = 0)
+select r.word, r.part, r.place, coalesce(t.merged, r.tok) as tok, g.done
+from ranked r join goals g using (part) left join taken t on t.place = r.place
+where not exists (from taken x where x.right_place = r.place)
 """
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """A rank file's tokens, and every way to make a token of two: arrays of left, right and merged token."""
+
+    ranks: dict[bytes, int]
+    merges: np.ndarray
+
+    @classmethod
+    def read(cls, file: str) -> Vocabulary:
+        """Reads base64 tokens and ranks, a line each."""
+        with open(file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        rows = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        return cls(ranks, np.array(rows, np.int32).reshape(-1, 3))
+
+
 class Coder:
-    """DuckDB with one vocabulary: words to ids and ids to bytes."""
-
-    def __init__(self, vocabulary: bytes, memory: str = "300MB"):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-        self._ranks = ranks
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
-        rows = [
-            (ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        ]
-        merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*rows, strict=True)), strict=True)))
-        self._make("merges", merges)
-        self.con.execute("create table unsafe as select distinct x as merged from "
-                         "(select l as x from merges where merged < l union select r from merges where merged < r)")
+    """DuckDB with one vocabulary: words to ids and ids to bytes. It never spills: what it holds is bounded."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self._ranks = ranks = vocabulary.ranks
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        left, right, merged = vocabulary.merges.T.astype(np.int64)
+        self._make("merges", pa.table({"pair": left << 32 | right, "merged": merged.astype(np.int32)}))
         # bytes as characters of the same number, so that text aggregation can join them
         vocab = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self._make("vocab", vocab)
         self._first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self._make("unsafe", pa.table({"merged": np.unique(np.concatenate([x[merged < x] for x in (left, right)])).astype(np.int32)}))
+        self._long_tokens = sorted((t for t in ranks if len(t) > USUAL_TOKEN), key=len, reverse=True)
+
+    def __enter__(self) -> Coder:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.con.close()
 
     def _make(self, name: str, rows: pa.Table) -> None:
         self.con.register("rows_in", rows)
         self.con.execute(f"create or replace table {name} as select * from rows_in")
         self.con.unregister("rows_in")
 
+    def _longest_token(self, word: bytes) -> int:
+        """No token in the word has more bytes than this."""
+        if len(word) <= 2 * USUAL_TOKEN:
+            return USUAL_TOKEN
+        return next((len(t) for t in self._long_tokens if t in word), USUAL_TOKEN)
+
     def words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        whole = [self._ranks.get(w) for w in words]  # a word that is a token is that token, whatever its merges
-        for i, n in enumerate(whole):
+        some = []
+        for i, w in enumerate(words):  # a word that is a token is that token, whatever its merges
+            n = self._ranks.get(w)
             if n is not None:
                 out[i] = np.array([n], np.uint32)
-        for long in (False, True):
-            some = [i for i, w in enumerate(words) if whole[i] is None and w and (len(w) > LONG_WORD) == long]
-            if not some:
-                continue
-            sizes = np.array([len(words[i]) for i in some])
-            begins = np.cumsum(sizes) - sizes
-            place = np.arange(sizes.sum())
-            rows = {
-                "word": pa.array(np.repeat(np.arange(len(some), dtype=np.int32), sizes)),
-                "pos": pa.array((place - np.repeat(begins, sizes)).astype(np.int32)),
-                "place": pa.array(place),
-                "tok": pa.array(self._first[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]),
-                "done": pa.array(np.zeros(len(place), bool)),
-            }
-            del rows["place" if long else "pos"]
-            self._make("state", pa.table(rows))
-            if long:
-                self.con.execute("create or replace table ended as select * from state limit 0")
-                while self.con.execute("select count(*) from state").fetchall()[0][0]:
-                    self.con.execute("create or replace table after as " + _ROUND.format(state="state"))
-                    self.con.execute("insert into ended select * from after where done")
-                    self.con.execute("create or replace table state as select * from after where not done")
-                query = "select word, tok from ended order by word, pos"
-            else:
-                query = (
-                    "with recursive grown as (select * from state union all (" + _CONTRACT + ")) "
-                    "select word, tok from grown where done order by place"
-                )
-            got = self.con.execute(query).fetchnumpy()
-            bounds = np.searchsorted(np.asarray(got["word"]), np.arange(len(some) + 1))
-            ids = np.asarray(got["tok"]).astype(np.uint32)
-            for k, i in enumerate(some):
-                out[i] = ids[bounds[k] : bounds[k + 1]]
+            elif w:
+                some.append(i)
+        if not some:
+            return out
+        sizes = np.array([len(words[i]) for i in some])
+        total = int(sizes.sum())
+        flat = np.frombuffer(b"".join(words[i] for i in some), np.uint8)
+        owner, place = np.repeat(np.arange(len(some), dtype=np.int32), sizes), np.arange(total)
+        blocks = np.array([2 * self._longest_token(words[i]) for i in some])
+        many = -(-sizes // blocks)
+        first = np.cumsum(many) - many
+        part = np.repeat(first, sizes) + (place - np.repeat(np.cumsum(sizes) - sizes, sizes)) // np.repeat(blocks, sizes)
+        rows = {"word": owner, "place": place, "part": part.astype(np.int32), "tok": self._first[flat], "done": np.zeros(total, bool)}
+        self._make("state", pa.table(rows))
+        of = np.repeat(np.arange(len(some), dtype=np.int32), many)
+        long = np.flatnonzero(many[of] > 1).astype(np.int32)
+        self._make("long", pa.table({"part": long, "word": of[long]}))
+        self.con.execute(f"set memory_limit = '{MEMORY_MB + BYTES_PER_BYTE * total // 1_000_000}MB'")
+        got = self.con.execute(
+            f"with recursive grown as (select word, part, place, tok, done from state union all ({_CONTRACT})) select word, tok from grown where done order by place"
+        ).fetchnumpy()
+        bounds = np.searchsorted(np.asarray(got["word"]), np.arange(len(some) + 1))
+        ids = np.asarray(got["tok"]).astype(np.uint32)
+        for k, i in enumerate(some):
+            out[i] = ids[bounds[k] : bounds[k + 1]]
+        self.con.execute("drop table state")
         return out
 
     def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -147,10 +162,10 @@ class Coder:
                 "tok": pa.array(ids.astype(np.int32)),
             }
         )
+        self.con.execute(f"set memory_limit = '{MEMORY_MB + BYTES_PER_BYTE * len(ids) // 1_000_000}MB'")
         self.con.register("ids_in", rows)
         found = self.con.execute(
-            # one thread reads the sorted rows, so each text is put together in order without a sort of its own
-            "select doc, string_agg(bytes, '') as text from (select doc, bytes from ids_in join vocab using (tok) order by place) group by doc"
+            "select doc, string_agg(bytes, '' order by place) as text from ids_in join vocab using (tok) group by doc"
         ).fetchall()
         self.con.unregister("ids_in")
         out = [b""] * len(sizes)
@@ -196,15 +211,6 @@ class Remembered:
         return self.ids[np.arange(size.sum()) + np.repeat(begin - last + size, size)], size
 
 
-def _coder(vocabulary: bytes) -> tuple[Coder, Remembered]:
-    """This worker's coder of the vocabulary and the words it remembers."""
-    held = kept("bpe")
-    name = hashlib.sha256(vocabulary).digest()
-    if name not in held:
-        held[name] = (Coder(vocabulary), Remembered())
-    return held[name]
-
-
 def encode_texts(texts: list[str], pattern: regex.Pattern, coder: Coder, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, how many each text has); `known` gains the words that are new."""
     pieces = [pattern.findall(t) for t in texts]
@@ -230,37 +236,31 @@ def encoded(docs: DataFrame, vocabulary_file: str, pattern: str, packed: bool =
     Every whole text is encoded, null as an empty one: no ids and no bytes. Special tokens are ordinary text. Other
     columns, whatever their names, pass through untouched, repeated rows too; an empty table gives no rows.
     `vocabulary_file` holds base64 tokens and ranks; it is read on the driver and broadcast, as it is of fixed size.
+    A step's memory grows with its longest text only.
     """
     spark = docs.sparkSession
-    with open(vocabulary_file, "rb") as file:
-        sent = spark.sparkContext.broadcast(file.read())
+    sent = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_file))
     added = ("ids", "n_tokens", "decoded")
     docs = docs.drop(*added)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, known = _coder(sent.value)
-        cut = regex.compile(pattern)
-        for batch in batches:
-            for part in steps(batch, most=STEP_BYTES):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, sizes = encode_texts(texts, cut, coder, known)
-                back = coder.texts(ids, sizes)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                if packed:
-                    raw = ids.astype("<u4").tobytes()
-                    column = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-                else:
-                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(name) for name in names],
-                        column,
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(back, pa.binary()),
-                    ],
-                    names=[*names, *added],
-                )
+        known, cut = Remembered(), regex.compile(pattern)
+        with Coder(sent.value) as coder:  # nothing outlives the task
+            for batch in batches:
+                for part in steps(batch, most=STEP_BYTES):
+                    texts = [t or "" for t in part.column("text").to_pylist()]
+                    ids, sizes = encode_texts(texts, cut, coder, known)
+                    back = coder.texts(ids, sizes)
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    if packed:
+                        raw = ids.astype("<u4").tobytes()
+                        column = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                    else:
+                        column = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+                    columns = [part.column(name) for name in names]
+                    columns += [column, pa.array(sizes.astype(np.int64)), pa.array(back, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     return docs.mapInArrow(run, f"{schema}, ids {'binary' if packed else 'array<int>'}, n_tokens long, decoded binary")
