@@ -7,7 +7,6 @@ a pair are finished. Symbols that survive are counted, and a text's tokens are t
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -17,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from lociweave.llm.textkernel import steps
-from lociweave.llm.workercache import kept
 
-#: Words that a worker remembers at most; then it starts anew.
-REMEMBERED = 600_000
-STEP_BYTES = 4_000_000
+#: Words that a task remembers at most; then it starts anew.
+REMEMBERED = 300_000
+STEP_BYTES = 2_000_000
+#: Characters that every version of Unicode normalises, lower-cases and classes alike. Texts with others are normalised and
+#: cut by the library's own tables, as those of Python may be of another version.
+STABLE = regex.compile(r"[\x00-\u0130\u0132-\u02af\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u2044\u20ac\u2122\u3041-\u3093\u30a1-\u30f6\u4e00-\u9fa5]*")
 _NEVER = np.int64(1 << 62)
 
 
@@ -56,6 +58,7 @@ class WordCounter:
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + self.end] for c in letters], np.int64)
         self.split = regex.compile(split["pattern"]["Regex"])
+        self.library = Tokenizer.from_str(file.decode())
         special = [t["content"] for t in made["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, int] = {}
@@ -103,11 +106,12 @@ class WordCounter:
         return list(chain.from_iterable(map(self._cut, parts))), len(parts) - 1
 
     def _cut(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            # letter by letter, without the rule for a sigma at the end of a word
-            text = text.replace("Σ", "σ")
-        return self.split.findall(text.lower())
+        if text.isascii():
+            return self.split.findall(text.lower())
+        if STABLE.fullmatch(text):
+            return self.split.findall(unicodedata.normalize("NFC", text).lower())
+        text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The tokens of each text."""
@@ -122,20 +126,11 @@ class WordCounter:
         return np.array([sum(map(find, w)) + special for w, special in cut], np.int64)
 
 
-def _counter(file: bytes) -> WordCounter:
-    held = kept("tokencount")
-    name = hashlib.sha256(file).digest()
-    if name not in held:
-        held[name] = WordCounter(file)
-    return held[name]
-
-
 def counted(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """`docs` (with text) plus n_bytes (UTF-8) and n_tokens of each whole text; null counts as empty: 0 and 0.
 
     Special strings in a text are special tokens, as the tokenizer's library does by default; nothing is added, cut or
     padded. Other columns, whatever their names, pass through untouched, repeated rows too; an empty table gives no rows.
-    Letters that are newer than this Python's Unicode tables may be lower-cased or cut otherwise than by the library.
     The file is read on the driver and broadcast, as it is of fixed size.
     """
     with open(tokenizer_file, "rb") as file:
@@ -146,7 +141,7 @@ def counted(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(sent.value)
+        counter = WordCounter(sent.value)  # a task's own: nothing outlives it
         for batch in batches:
             for part in steps(batch, most=STEP_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
