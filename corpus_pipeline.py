@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import bpe, debruijn, langid, minhash, mixing
-from lociweave.sources.scratch import written
+from lociweave.sources.scratch import forget, written
 from lociweave.sources.tables import table
 
 #: A text whose best language explains less than this share of its n-grams is in none of the learned languages.
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a recognised language, their lang replaced by the predicted one.
 
     Rejected are texts that are null or have no letter (`und`) and texts that no language learned from docs explains.
-    Texts with letters but too short for an n-gram cannot be judged: they stay and keep their lang.
+    Texts with letters but too short to be judged stay and keep their lang.
     Without any labelled document nothing can be judged, and only null and letter-free texts go.
     """
     docs = _ordered(docs)
@@ -81,7 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            forget(before)  # the result of a stage is of no use once the next one is written
     return docs

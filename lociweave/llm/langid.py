@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.textkernel import mix, steps, text_parts
-from lociweave.sources.scratch import written
+from lociweave.sources.scratch import forget, written
 
 #: Bytes of an n-gram.
 GRAM = 4
@@ -30,6 +30,12 @@ LEAST_SHARE = 2e-5
 WORD = 64
 #: n-grams that are looked up at once, which bounds a step's memory whatever the number of words.
 LOOKED_UP = 1 << 18
+#: A share of fewer n-grams than this says nothing about a text.
+LEAST_GRAMS = 8
+#: Blanks put before and after each text, so that the shortest words have n-grams.
+PAD = 2
+#: Bytes of text that one step of counting or looking up takes.
+STEP_BYTES = 500_000
 #: Predicted where there is nothing to read: null text or no letter.
 UNKNOWN = "und"
 
@@ -47,20 +53,23 @@ def has_letter(text: Column) -> Column:
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram numbers, text of each) of a text column; letters lower-cased, digits and punctuation as blanks.
 
-    n-grams of blanks only at both inner places, and those across two texts, are left out.
+    Each text has PAD blanks around it. n-grams of blanks at both inner places, and those across two texts, are left out.
     """
-    folded = _FOLD[data]
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2 * PAD)
+    folded = np.full(len(data) + 2 * PAD * len(sizes), 0x20, np.uint8)
+    folded[np.arange(len(data)) + np.repeat(np.arange(len(sizes)) * 2 * PAD + PAD, sizes)] = _FOLD[data]
     # upper-case letters of the two-byte Latin range differ from lower-case ones by the same bit as ASCII ones
     second = np.zeros(len(folded), bool)
     second[1:] = (folded[:-1] == 0xC3) & (folded[1:] >= 0x80) & (folded[1:] <= 0x9E) & (folded[1:] != 0x97)
-    folded = np.where(second, folded | 0x20, folded).astype(np.uint32)
+    folded[second] |= 0x20
     n = len(folded) - GRAM + 1
     if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     codes = np.zeros(n, np.uint32)
     for i in range(GRAM):
-        codes = (codes << np.uint32(8)) | folded[i : i + n]
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        codes <<= np.uint32(8)
+        codes |= folded[i : i + n]
     fit = (owner[:n] == owner[GRAM - 1 :]) & ~((folded[1 : n + 1] == 0x20) & (folded[2 : n + 2] == 0x20))
     return codes[fit], owner[:n][fit]
 
@@ -68,7 +77,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, code, n) of the n-grams of a task's texts, added up step by step."""
     for batch in batches:
-        for part in steps(batch):
+        for part in steps(batch, most=STEP_BYTES):
             codes, owner = grams(*text_parts(part.column("text")))
             lang = part.column("lang").dictionary_encode()
             which = np.asarray(lang.indices).astype(np.uint64)
@@ -91,10 +100,14 @@ def probes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """The learned languages in bit order and the mask words of each slot (SLOTS rows): language i is bit i % WORD of word i // WORD."""
+    """The learned languages in bit order and the mask words of each slot (SLOTS rows): language i is bit i % WORD of word i // WORD.
+
+    usual: the number of the language with most n-grams, which is predicted where no n-gram is known.
+    """
 
     langs: tuple[str, ...]
     masks: np.ndarray
+    usual: int = 0
 
     @property
     def by_chance(self) -> np.ndarray:
@@ -107,7 +120,7 @@ class LanguageFilter:
         return self.judged(data, offsets)[0]
 
     def judged(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shares, n-grams of each text): a text without n-grams has shares of 0 that say nothing about it."""
+        """(shares, n-grams of each text): shares of few n-grams say little about a text."""
         codes, owner = grams(data, offsets)
         n = len(offsets) - 1
         total = np.bincount(owner, minlength=n)
@@ -143,9 +156,10 @@ def learned(docs: DataFrame) -> LanguageFilter:
     counts = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(totals, "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * LEAST_SHARE))
-    frequent = written(frequent.select("lang", "code"))
+    frequent = written(frequent.select("lang", "code", "n"))
     # one short row for each language: languages are a label set, not a measure of the corpus
-    langs = tuple(sorted(r["lang"] for r in frequent.select("lang").distinct().collect()))
+    sizes = {r["lang"]: r["n"] for r in frequent.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = tuple(sorted(sizes))
     masks = np.zeros((SLOTS, max(1, -(-len(langs) // WORD))), np.uint64)
     if langs:
         # the bits as signed longs: the last bit of a word is the smallest one
@@ -155,7 +169,9 @@ def learned(docs: DataFrame) -> LanguageFilter:
         slots = lit.mapInArrow(_lit_slots, "slot int, word int, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("mask"))
         rows = slots.toArrow()
         masks[rows["slot"].to_numpy(), rows["word"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    return LanguageFilter(langs, masks)
+    usual = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i), default=0)
+    forget(frequent)
+    return LanguageFilter(langs, masks, usual)
 
 
 def _lit_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,28 +187,29 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     score is the winner's part of all languages' shares; lang_share is the winner's own share, low for text that no
     language explains. Null texts and texts without a letter get `und` and 0; texts with letters but without a known
-    n-gram get the first language and score 0 (no language at all: `und`). lang_share is null where a text with letters
-    has no n-gram at all, as those below GRAM bytes: no language was held against it. Whole texts are read; other columns,
-    whatever their names, pass through untouched.
+    n-gram get the most frequent language and score 0 (no language learned at all: `und`). lang_share is null where a text
+    with letters has fewer than LEAST_GRAMS n-grams: too little to hold it against a language. Whole texts are read; other
+    columns, whatever their names, pass through untouched, but for those of the three names added.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.masks.tobytes()))  # 8 * SLOTS bytes for each WORD languages
+    sent = spark.sparkContext.broadcast((model.langs, model.masks.tobytes(), model.usual))  # 8 * SLOTS bytes for each WORD languages
     added = ("lang_pred", "score", "lang_share")
     docs = docs.drop(*added)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.withColumn("_readable", has_letter(F.col("text")))
     names = docs.columns
+    mark = "readable" + "_" * max(map(len, names))  # a name that no column has
+    rows = docs.withColumn(mark, has_letter(F.col("text")))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, raw = sent.value
-        known = LanguageFilter(langs, np.frombuffer(raw, np.uint64).reshape(SLOTS, -1))
+        langs, raw, usual = sent.value
+        known = LanguageFilter(langs, np.frombuffer(raw, np.uint64).reshape(SLOTS, -1), usual)
         labels = pa.array([*langs, UNKNOWN], pa.string())
         for batch in batches:
-            for part in steps(batch):
-                readable = np.asarray(part.column("_readable"))
+            for part in steps(batch, most=STEP_BYTES):
+                readable = np.asarray(part.column(mark))
                 if langs:
                     shares, total = known.judged(*text_parts(part.column("text")))
-                    best = shares.argmax(1)
+                    best = np.where(shares.any(1), shares.argmax(1), usual)
                     top = shares[np.arange(len(best)), best]
                     score = top / np.maximum(shares.sum(1), 1e-12)
                 else:
@@ -203,7 +220,7 @@ def identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                 columns += [
                     labels.take(pa.array(best)),
                     pa.array(np.where(readable, np.clip(score, 0, 1), 0.0)),
-                    pa.array(np.where(readable, top, 0.0), mask=readable & (total == 0)),
+                    pa.array(np.where(readable, top, 0.0), mask=readable & (total < LEAST_GRAMS)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
