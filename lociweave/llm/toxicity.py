@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A text is cut into clauses, a clause into words, and words into the grammar's classes by a weighted lexicon: insults,
-threats, targets, negations, reporting words and quotation marks. Four transducers read the classes side by side, each
-with a small state, and their composition gives each insult or threat a weight: negation weakens what follows within its
-reach, reported speech weakens what it introduces or quotes, a target near an insult strengthens it, and a threat counts
-in full only with a target. Clauses with a match are scored by the sum of their weights; a logistic model on a text's
-clause scores gives its score. Besides a fixed list, insults are learned from labelled texts as words and word
-beginnings; the other classes are fixed lists.
+threats, targets, negations, reporting words and quotation marks. Transducers are tables: for each state and class the
+next state and a factor. `matches` passes insults and threats, `negation` weakens what follows within its reach,
+`reported` weakens what a reporting word introduces or quotation marks enclose, `targets` knows how near a target is.
+Their product (`composed`) is made once and reads a clause from left to right; `targets` reads it from right to left as
+well, since a target may follow what it belongs to. Both states together give the factor of each insult or threat: with a
+target near an insult counts more, without one a threat counts little. Clauses with a match are scored by the sum of
+their weights; a logistic model on a text's clause scores gives its score. Besides a fixed list, insults are learned from
+labelled texts as words and word beginnings; the other classes are fixed lists.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.textkernel import steps
+from lociweave.sources.scratch import forget, written
 
 #: Labelled rows that the lexicon and the model are fitted on at most: those with the smallest id hashes.
 FIT_ROWS = 20_000
 #: Lengths of word beginnings in the lexicon.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6)
 #: A learned insult has this much evidence (likelihood ratio statistic) and occurs in this share of toxic texts.
 LEAST_EVIDENCE, LEAST_SHARE = 16.0, 0.02
 #: Lexicon entries at most, by evidence.
@@ -55,7 +58,69 @@ _CLAUSE = regex.compile(r"[^.!?;:\n]+")
 _UNIT = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*|[" + QUOTES + "]")
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+CLASSES = INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """after[state, class] is the next state, factor[state, class] what a word of the class is multiplied by; it starts in 0."""
+
+    after: np.ndarray
+    factor: np.ndarray
+
+
+def _transducer(states: int, step, factor) -> Transducer:
+    """The tables of step(state, class) and factor(state, class)."""
+    return Transducer(
+        np.array([[step(s, c) for c in CLASSES] for s in range(states)]),
+        np.array([[factor(s, c) for c in CLASSES] for s in range(states)], float),
+    )
+
+
+def composed(one: Transducer, two: Transducer) -> Transducer:
+    """Both side by side: a state for each pair of states, factors multiplied."""
+    m = len(two.after)
+    return Transducer(
+        (one.after[:, None, :] * m + two.after[None, :, :]).reshape(-1, len(CLASSES)),
+        (one.factor[:, None, :] * two.factor[None, :, :]).reshape(-1, len(CLASSES)),
+    )
+
+
+def _reach(opener: int, reach: int, within: float) -> Transducer:
+    """State: how many words more the last word of class `opener` reaches."""
+    return _transducer(
+        reach + 1, lambda s, c: reach if c == opener else max(0, s - 1), lambda s, c: within if s and c in (INSULT, THREAT) else 1.0
+    )
+
+
+MATCHES = _transducer(1, lambda s, c: 0, lambda s, c: float(c in (INSULT, THREAT)))
+NEGATING = _reach(NEGATION, NEGATION_REACH, NEGATED)
+#: States: plain, after a reporting word, within quotation marks, both.
+REPORTING = _transducer(
+    4, lambda s, c: s | 1 if c == REPORT else s ^ 2 if c == QUOTE else s, lambda s, c: REPORTED if s and c in (INSULT, THREAT) else 1.0
+)
+TARGETING = _reach(TARGET, TARGET_REACH, 1.0)
+#: The left-to-right product; its state modulo the states of TARGETING is that of TARGETING.
+GRAMMAR = composed(composed(composed(MATCHES, NEGATING), REPORTING), TARGETING)
+#: By class and whether a target is near.
+NEAR = np.array([[UNTARGETED_THREAT if c == THREAT else 1.0, TARGETED if c == INSULT else 1.0] for c in CLASSES])
+# rows as lists, which single words are looked up in faster
+_AFTER, _FACTOR, _NEAR = GRAMMAR.after.tolist(), GRAMMAR.factor.tolist(), NEAR.tolist()
+_TARGET_AFTER = TARGETING.after.tolist()
+
+
+def clause_score(read: list[tuple[int, float]]) -> float:
+    """The grammar's output over one clause of (class, weight): two passes, whatever its length."""
+    near, state = [False] * len(read), 0
+    for i in range(len(read) - 1, -1, -1):
+        near[i] = state > 0
+        state = _TARGET_AFTER[state][read[i][0]]
+    total, state, reach = 0.0, 0, TARGET_REACH + 1
+    for (kind, weight), right in zip(read, near, strict=True):
+        if weight:
+            total += weight * _FACTOR[state][kind] * _NEAR[kind][right or state % reach > 0]
+        state = _AFTER[state][kind]
+    return total
 
 
 @dataclass
@@ -86,25 +151,8 @@ class Grammar:
         return (QUOTE if word in QUOTES else OTHER), 0.0
 
     def clause(self, units: list[str]) -> float:
-        """The composed transducers' output over one clause."""
-        read = [self.classify(u) for u in units]
-        targets = [i for i, (kind, _) in enumerate(read) if kind == TARGET]
-        total, negated, reported, quoted = 0.0, 0, False, False
-        for i, (kind, weight) in enumerate(read):
-            if kind == NEGATION:  # negation transducer: outside -> in reach
-                negated = NEGATION_REACH + 1
-            elif kind == REPORT:  # reported speech transducer: from here to the clause's end
-                reported = True
-            elif kind == QUOTE:  # and between quotation marks
-                quoted = not quoted
-            elif kind in (INSULT, THREAT):
-                near = any(abs(t - i) <= TARGET_REACH for t in targets)  # target transducer
-                weight *= TARGETED if near and kind == INSULT else UNTARGETED_THREAT if kind == THREAT and not near else 1.0
-                weight *= NEGATED if negated else 1.0
-                weight *= REPORTED if reported or quoted else 1.0
-                total += weight
-            negated = max(0, negated - 1)
-        return total
+        """The score of one clause."""
+        return clause_score([self.classify(u) for u in units])
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """log(1 + sum) and maximum of clause scores, log(1 + matched clauses), and log(1 + matches per 100 words)."""
@@ -163,6 +211,7 @@ def learned(labelled: DataFrame) -> Grammar:
     and every score is the share of toxic labels (0 without labels), smoothed.
     """
     texts = labelled.where("text is not null and toxic in (0, 1)").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = written(texts)  # of bounded size, and read three times
     total, bad = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     terms = texts.mapInArrow(_tallied, "term string, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     insults: dict[str, float] = {}
@@ -180,6 +229,7 @@ def learned(labelled: DataFrame) -> Grammar:
         insults = {r["term"]: r["odds"] for r in kept.orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).collect()}
     grammar = Grammar(insults)
     rows = featured(texts.select("text", "toxic"), grammar).select("toxic", "features").limit(FIT_ROWS).toArrow()
+    forget(texts)
     y = rows["toxic"].to_numpy().astype(float)
     x = np.array(rows["features"].to_pylist(), float).reshape(len(y), 4)
     # two smoothing rows keep the fit finite and the score of a text without matches low
@@ -187,9 +237,9 @@ def learned(labelled: DataFrame) -> Grammar:
     return Grammar(insults, fit_logistic(x, y))
 
 
-def featured(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """`docs` (with text) plus features array<double>; null texts are empty. Other columns pass through."""
-    docs = docs.drop("features")
+def featured(docs: DataFrame, grammar: Grammar, added: str = "features") -> DataFrame:
+    """`docs` (with text) plus `added` array<double>, the features; null texts are empty. Other columns pass through."""
+    docs = docs.drop(added)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     sent = docs.sparkSession.sparkContext.broadcast(grammar.insults)  # MOST_TERMS entries at most
@@ -200,9 +250,9 @@ def featured(docs: DataFrame, grammar: Grammar) -> DataFrame:
             for part in steps(batch):
                 rows = [list(here.features(t or "")) for t in part.column("text").to_pylist()]
                 columns = [*[part.column(name) for name in names], pa.array(rows, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "features"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, added])
 
-    return docs.mapInArrow(run, f"{schema}, features array<double>")
+    return docs.mapInArrow(run, f"{schema}, `{added}` array<double>")
 
 
 def fit_sample(labels: DataFrame, docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -221,8 +271,9 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
     Whole texts are read, null as empty; a text without matches gets the model's lowest score. Other columns, whatever
     their names, pass through, repeated rows too; an empty table gives no rows.
     """
+    added = "features" + "_" * max(map(len, docs.columns))  # a name that no column has
     z = F.lit(grammar.weights[0])
     for i, w in enumerate(grammar.weights[1:]):
-        z = z + F.lit(w) * F.get("features", F.lit(i))
+        z = z + F.lit(w) * F.get(added, F.lit(i))
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-    return featured(docs.drop("score"), grammar).withColumn("score", 1 / (1 + F.exp(-z))).drop("features")
+    return featured(docs.drop("score"), grammar, added).withColumn("score", 1 / (1 + F.exp(-z))).drop(added)
