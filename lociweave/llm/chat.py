@@ -32,6 +32,20 @@ def _bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array<long>, by pieces of the square root of its length, so that no step copies more than one."""
+
+    def sums(some: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(some, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")) + x)))
+
+    root = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), root - 1), lambda i: sums(F.slice(sizes, i * root + 1, root)))
+    before = sums(F.transform(parts, lambda part: F.coalesce(F.get(part, F.size(part) - 1), F.lit(0).cast("long"))))
+    before = F.concat(F.array(F.lit(0).cast("long")), before)
+    return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), before.alias("before")), lambda x: F.transform(F.coalesce(x["part"], F.array().cast("array<bigint>")), lambda y: y + x["before"])))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conv_id: conv_id, formatted string, loss_spans array<struct<start, bytes>>.
 
@@ -88,21 +102,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
         )
     )
     chats = chats.select("conv_id", pieces.alias("pieces"))
-    none = F.array().cast("array<struct<start:bigint,bytes:bigint>>")
-    spans = F.aggregate(
+    spans = F.zip_with(
         "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + _bytes(p["text"])).alias("at"),
-            F.when(
-                p["learned"],
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), _bytes(p["text"]).alias("bytes")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+        _running(F.transform("pieces", lambda p: _bytes(p["text"]))),
+        lambda p, end: F.struct((end - _bytes(p["text"])).alias("start"), _bytes(p["text"]).alias("bytes"), p["learned"].alias("learned")),
     )
+    spans = F.transform(F.filter(spans, lambda x: x["learned"]), lambda x: F.struct(x["start"].alias("start"), x["bytes"].alias("bytes")))
     return chats.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
@@ -114,21 +119,20 @@ def read_chats(chats: DataFrame) -> DataFrame:
     """conv_id, turns array<struct<role, text>> and loss_texts array<string>, both read from the formatted text."""
     blocks = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda b: b != "")
     head = r"(?s)^((?:[^\\\n]|\\.)*+)\n.*$"
+    # the head of a block is found once, whatever its turns
+    heads = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, head, 1).alias("head"), b.alias("block")))
+    bodies = F.transform(
+        heads,
+        lambda x: F.struct(
+            unescaped(x["head"]).alias("role"),
+            F.split(
+                F.substr(x["block"], F.length(x["head"]) + 2, F.length(x["block"]) - F.length(x["head"]) - 1 - len(END) - 1),
+                r"<\|im_sep\|>",
+            ).alias("texts"),
+        ),
+    )
     turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(
-                    F.substr(
-                        b,
-                        F.length(F.regexp_extract(b, head, 1)) + 2,
-                        F.length(b) - F.length(F.regexp_extract(b, head, 1)) - 1 - len(END) - 1,
-                    ),
-                    r"<\|im_sep\|>",
-                ),
-                lambda t: F.struct(unescaped(F.regexp_extract(b, head, 1)).alias("role"), unescaped(t).alias("text")),
-            ),
-        )
+        F.transform(bodies, lambda x: F.transform(x["texts"], lambda t: F.struct(x["role"].alias("role"), unescaped(t).alias("text"))))
     )
     # a cast of a whole string to binary copies nothing, so each span costs its own length only
     learned = F.transform(
