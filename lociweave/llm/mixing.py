@@ -2,8 +2,8 @@
 
 Documents are counted into cells (source, language, topic) of tokens. Each cell gets a keep probability, first the
 same everywhere; then, margin by margin and round by round, the probabilities of a margin's cells are multiplied by
-(target tokens / expected tokens), and held at 1 because no document can be kept more than once. After `ROUNDS`
-rounds a document stays if a number in [0, 1), made from its id by md5, is below its cell's probability.
+(target tokens / expected tokens), and held at 1 because no document can be kept more than once. Once a round changes no
+probability by more than `TOLERANCE` of it, a document stays if a number in [0, 1), made from its id by md5, is below its cell's probability.
 """
 
 from __future__ import annotations
@@ -21,11 +21,17 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 #: Share of all tokens that the sample aims at.
 KEEP_SHARE = 0.6
-ROUNDS = 6
+#: Raking ends with the first round that changes no probability by more than this part of it.
+TOLERANCE = 1e-4
+#: Rounds without an end after which raking fails instead of giving probabilities that are not calibrated.
+MOST_ROUNDS = 500
 #: Topic rules, first match wins: a document with any of these strings has the topic.
 TOPICS = (
     ("legal", ("icense", "opyright", "ICENSE")),
     ("contact", ("@", "://")),
+    ("code", ("def ", "return ", "import ", "{", "};", "==")),
+    ("table", (" | ", "\t")),
+    ("dialogue", ('"', "“", "«")),
 )
 OTHER_TOPIC = "general"
 #: Stands for a null source or language.
@@ -85,35 +91,55 @@ def raked(
     cells: DataFrame,
     powers: Mapping[str, float] = POWERS,
     keep_share: float = KEEP_SHARE,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     shares: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
     """cells (source, lang, topic, tokens) with their keep probability p.
 
     Cells without tokens keep the start value, as nothing can be calibrated by them. Each step aggregates a margin
-    (partial sums come first) and joins it back; the cells are written once a round, so lineage stays short.
+    (partial sums come first) and joins it back; the cells are written once a round, so lineage stays short. Where a
+    target cannot be reached, as more than all of a value's tokens would be needed, its cells end at 1; `residuals` tells.
     """
     aims = {m: written(targets(cells, m, powers[m], keep_share, (shares or {}).get(m))) for m in MARGINS}
     now = cells.withColumn("p", F.lit(float(keep_share)))
     before = None
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
+        now = now.select(*MARGINS, "tokens", "p", F.col("p").alias("was"))
         for m in MARGINS:
             expected = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("expected"))
             factor = expected.join(aims[m], m).select(
                 m, F.when(F.col("expected") > 0, F.col("target") / F.col("expected")).otherwise(1.0).alias("factor")
             )
-            now = now.join(factor, m).select(*MARGINS, "tokens", F.least(F.lit(1.0), F.col("p") * F.col("factor")).alias("p"))
+            now = now.join(factor, m).select(*MARGINS, "tokens", F.least(F.lit(1.0), F.col("p") * F.col("factor")).alias("p"), "was")
         now = written(now)
         forget(before)
+        change = F.max(F.when(F.col("was") > 0, F.abs(F.col("p") / F.col("was") - 1)).otherwise(0.0))
+        if (now.agg(change).first()[0] or 0.0) <= tolerance:  # one number
+            for aim in aims.values():
+                forget(aim)
+            return now.drop("was")
         before = now
-    return now
+    raise ArithmeticError(f"raking has not settled after {MOST_ROUNDS} rounds")
+
+
+def residuals(
+    calibrated: DataFrame, powers: Mapping[str, float] = POWERS, keep_share: float = KEEP_SHARE, shares: Mapping[str, Mapping[str, float]] | None = None
+) -> DataFrame:
+    """margin, value, target and expected tokens of every value of every margin of what `raked` returned."""
+    out = None
+    for m in MARGINS:
+        aim = targets(calibrated.select(m, "tokens"), m, powers[m], keep_share, (shares or {}).get(m))
+        got = calibrated.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("expected"))
+        part = aim.join(got, m).select(F.lit(m).alias("margin"), F.col(m).alias("value"), "target", "expected")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mixed(
     docs: DataFrame,
     powers: Mapping[str, float] = POWERS,
     keep_share: float = KEEP_SHARE,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     shares: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability (9 digits), kept of every document.
@@ -125,7 +151,7 @@ def mixed(
     """
     rows = written(described(docs))  # small beside the texts, which are read once
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    p = raked(cells, powers, keep_share, rounds, shares).select(*MARGINS, F.round("p", 9).alias("probability"))
+    p = raked(cells, powers, keep_share, tolerance, shares).select(*MARGINS, F.round("p", 9).alias("probability"))
     return rows.join(p, list(MARGINS)).select(
         "doc_id", *MARGINS, "n_tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("kept")
     )

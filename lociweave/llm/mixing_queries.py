@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm.mixing import KEEP_SHARE, MARGINS, NONE, OTHER_TOPIC, POWERS, ROUNDS, TOPICS, WORD, mixed
+from lociweave.llm.mixing import KEEP_SHARE, MARGINS, NONE, OTHER_TOPIC, POWERS, TOLERANCE, TOPICS, WORD, mixed
 from lociweave.sources.tables import table
 
 
@@ -14,43 +14,39 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rounds in DuckDB, one step after the other."""
+    """The same rounds in DuckDB, one step after the other, until one changes nothing beyond the tolerance."""
     whens = " ".join(
         "when " + " or ".join(f"coalesce(contains(text, '{mark}'), false)" for mark in marks) + f" then '{name}'" for name, marks in TOPICS
     )
-    parts = [
-        f"""with rows_in as (
+    aims = ",\n".join(
+        f"""aim_{m} as materialized (
+  select {m}, {KEEP_SHARE}::double * sum(own) over () * weight / sum(weight) over () as target_{m}
+  from (select {m}, own, case when own > 0 then pow(own::double, {POWERS[m]}) else 0.0 end as weight
+        from (select {m}, sum(tokens)::bigint as own from cells group by 1)))"""
+        for m in MARGINS
+    )
+    step = "rounds where change > " + repr(TOLERANCE)
+    names = "source, lang, topic, tokens, " + ", ".join(f"target_{m}" for m in MARGINS)
+    step = f"(select {names}, p as was, p, n from {step})"
+    for m in MARGINS:
+        step = f"""(select {names}, was, n, least(1.0::double, p * case when expected > 0 then target_{m} / expected else 1.0 end) as p
+  from (select *, sum(tokens * p) over (partition by {m}) as expected from {step}))"""
+    return f"""with recursive rows_in as materialized (
   select doc_id, coalesce(source, '{NONE}') as source, coalesce(lang, '{NONE}') as lang,
          case {whens} else '{OTHER_TOPIC}' end as topic,
          coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as n_tokens
   from documents),
-c0 as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens, {KEEP_SHARE}::double as p from rows_in group by all)"""
-    ]
-    for m in MARGINS:
-        parts.append(
-            f"""aim_{m} as materialized (
-  select {m}, {KEEP_SHARE}::double * sum(own) over () * weight / sum(weight) over () as target
-  from (select {m}, own, case when own > 0 then pow(own::double, {POWERS[m]}) else 0.0 end as weight
-        from (select {m}, sum(tokens)::bigint as own from c0 group by 1)))"""
-        )
-    last = "c0"
-    for r in range(ROUNDS):
-        for m in MARGINS:
-            step = f"c{r}_{m}"
-            parts.append(
-                f"""{step} as materialized (
-  select c.source, c.lang, c.topic, c.tokens,
-         least(1.0::double, c.p * case when f.expected > 0 then a.target / f.expected else 1.0 end) as p
-  from {last} c join (select {m}, sum(tokens * p) as expected from {last} group by 1) f using ({m}) join aim_{m} a using ({m}))"""
-            )
-            last = step
-    return (
-        ",\n".join(parts)
-        + f"""
+cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from rows_in group by all),
+{aims},
+rounds as (
+  select {names}, {KEEP_SHARE}::double as p, 1.0::double as change, 0 as n
+  from cells join aim_source using (source) join aim_lang using (lang) join aim_topic using (topic)
+  union all
+  select {names}, p, max(case when was > 0 then abs(p / was - 1) else 0.0 end) over () as change, n + 1 from {step}),
+last as (select * from rounds where n = (select max(n) from rounds))
 select doc_id, source, lang, topic, n_tokens, round(p, 9) as probability,
        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < round(p, 9) as kept
-from rows_in join {last} using (source, lang, topic)"""
-    )
+from rows_in join last using (source, lang, topic)"""
 
 
 QUERIES = {"op9_mixing": op9_mixing}

@@ -171,7 +171,20 @@ def test_mixing_reaches_its_targets(spark, folder):
         "source string, lang string, topic string, tokens long",
     )
     shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.5, "q": 0.5}}
-    out = raked(cells, keep_share=0.3, rounds=12, shares=shares)
+    out = raked(cells, keep_share=0.3, shares=shares)
     for m in ("source", "lang", "topic"):
         sums = [r.s for r in out.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("s")).collect()]
         assert sums == pytest.approx([0.15 * 36000] * 2, rel=1e-3)
+
+
+def test_mixing_reaches_its_targets_at_the_production_parameters(spark, folder):
+    """Every value's expected tokens meet its target, unless all of its tokens are kept already."""
+    from lociweave.llm.mixing import MARGINS, described, raked, residuals
+
+    cells = described(table(spark, folder, "documents")).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    done = raked(cells)
+    rows = residuals(done).collect()
+    least = {(m, r[m]): r.p for m in MARGINS for r in done.groupBy(m).agg(F.min("p").alias("p")).collect()}
+    assert {r.margin for r in rows} == set(MARGINS)
+    for r in rows:
+        assert abs(r.expected - r.target) <= 1e-3 * r.target or (least[r.margin, r.value] == 1 and r.expected < r.target)
