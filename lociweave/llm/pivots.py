@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest pivots in order. Its POSTED nearest ones are the inverted lists that hold it;
-its DESCRIBED nearest ones, as bits, give shared-pivot counts. Two vectors are compared where they meet in a list and
-share at least SHARED described pivots; those that pass are verified by their cosine in double precision. Lists are cut
-into blocks and block meets block in a task of its own, so a list that holds a third of all vectors spreads over many
-tasks. Only verified links leave a task, added up: a count for each vector, and a spanning forest.
+its DESCRIBED nearest ones, as bits, give shared-pivot counts. Pivots grow with the square root of the number of vectors,
+so lists do too. Where two vectors meet in a list their shared pivots are counted first, and those that share at least
+SHARED are verified by their cosine in double precision. Lists are cut into blocks and block meets block in a task of
+its own, so a list that holds a third of all vectors spreads over many tasks. Only verified links leave a task, added up:
+a count for each vector, and a spanning forest.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from lociweave.operators.components import components
 from lociweave.sources.scratch import written
 
 LEAST = 0.9
-#: The pivots are PIVOTS vectors of the documented sample: those with the smallest id hashes.
-PIVOTS = 128
-DESCRIBED, POSTED, SHARED = 16, 8, 4
+#: The pivots come from a sample of SAMPLED times as many vectors, those with the smallest id hashes: in that order each
+#: whose cosine with all pivots so far is below APART, so that copies do not crowd out other directions.
+LEAST_PIVOTS, SAMPLED, APART = 128, 4, 0.8
+DESCRIBED, POSTED, SHARED = 16, 8, 3
 #: Vectors of a block.
 BLOCK = 2048
 
@@ -32,19 +34,22 @@ def _unit(flat: np.ndarray) -> np.ndarray:
 
 
 def _posts(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each posted pivot of each vector: id, pivot, nearest pivots in order, unit vector as doubles."""
+    """One row for each posted pivot of each vector: id, pivot, nearest pivots as bits, the vector's bytes."""
     words = -(-len(pivots) // 64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        unit = _unit(np.asarray(batch.column("vector").flatten(), dtype=float).reshape(batch.num_rows, -1))
+        given = np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1)
+        if given.dtype != np.float32:  # single precision is kept as it is, which halves what is sent
+            given = given.astype(float)
+        unit = _unit(given.astype(float))
         order = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :DESCRIBED]
         posted = order[:, :POSTED]
         bits = np.zeros((2, batch.num_rows, words), np.uint64)
         for which, near in enumerate((order, posted)):
             for column in near.T:
                 bits[which, np.arange(len(column)), column // 64] |= np.uint64(1) << (column % 64).astype(np.uint64)
-        raw = [row.tobytes() for row in unit]
+        raw = [row.tobytes() for row in given]
         many = posted.shape[1]
         take = pa.array(np.repeat(np.arange(batch.num_rows), many))
         yield pa.RecordBatch.from_arrays(
@@ -55,12 +60,13 @@ def _posts(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa
                 pa.array([row.tobytes() for row in bits[0]]).take(take),
                 pa.array([row.tobytes() for row in bits[1]]).take(take),
                 pa.array(raw, pa.binary()).take(take),
+                pa.array(np.repeat(given.itemsize == 4, len(take))),
             ],
-            names=["id", "n", "pivot", "described", "posted", "unit"],
+            names=["id", "n", "pivot", "described", "posted", "raw", "single"],
         )
 
 
-_POSTS = "id long, n long, pivot int, described binary, posted binary, unit binary"
+_POSTS = "id long, n long, pivot int, described binary, posted binary, raw binary, single boolean"
 
 
 def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -77,7 +83,7 @@ def _meet(rows: pa.Table, shared_least: int) -> pa.Table:
     order = np.argsort(block, kind="stable")
     rows, block = rows.take(pa.array(order)), block[order]
     ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
-    unit = _matrix(rows["unit"], np.float64)
+    unit = _unit(_matrix(rows["raw"], np.float32 if rows["single"][0].as_py() else np.float64).astype(float))
     described, posted = _matrix(rows["described"], np.uint64), _matrix(rows["posted"], np.uint64)
     below = np.zeros(posted.shape[1], np.uint64)
     below[: pivot // 64] = np.uint64(2**64 - 1)
@@ -93,16 +99,25 @@ def _meet(rows: pa.Table, shared_least: int) -> pa.Table:
             x = label[x]
         return x
 
-    for start in range(0, np.count_nonzero(block == i), 256):
-        left = np.flatnonzero(block == i)[start : start + 256]
-        close = unit[left] @ unit[right].T >= LEAST - 1e-6
-        x, y = np.nonzero(close)
-        x, y = left[x], right[y]
+    lefts = np.flatnonzero(block == i)
+    for start in range(0, len(lefts), 256):
+        left = lefts[start : start + 256]
+        shared = np.zeros((len(left), len(right)), np.uint8)
+        for word in range(described.shape[1]):
+            shared += np.bitwise_count(described[left, word][:, None] & described[right, word])
+        x, y = np.nonzero(shared >= shared_least)
+        if len(x) * 8 > shared.size:  # for so many one product of matrices costs less
+            cosine = (unit[left] @ unit[right].T)[x, y]
+            x, y = left[x], right[y]
+        else:
+            x, y = left[x], right[y]
+            cosine = np.einsum("ij,ij->i", unit[x], unit[y])
+        close = cosine >= LEAST - 1e-6
         if i == j:
-            x, y = x[x < y], y[x < y]
-        shared = np.bitwise_count(described[x] & described[y]).sum(1)
+            close &= x < y
+        x, y = x[close], y[close]
         first = ((posted[x] & posted[y] & below) == 0).all(1)
-        x, y = x[(shared >= shared_least) & first], y[(shared >= shared_least) & first]
+        x, y = x[first], y[first]
         exact = (unit[x] * unit[y]).sum(1) >= LEAST
         x, y = x[exact], y[exact]
         np.add.at(links, x, n[y])
@@ -177,10 +192,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def spread(units: np.ndarray, many: int) -> np.ndarray:
+    """Up to `many` of the unit vectors, in their order, without those too close to an earlier one."""
+    free, chosen = np.ones(len(units), bool), []
+    for i in range(len(units)):
+        if free[i] and len(chosen) < many:
+            chosen.append(i)
+            free &= units @ units[i] < APART
+    return units[chosen]
+
+
 def _linked(classes: DataFrame) -> DataFrame:
     """Link counts (id, links) and forest edges (a, b) of distinct vectors (id, vector, n) of one length."""
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").collect()
-    pivots = _unit(np.array([r["vector"] for r in sample], dtype=float))  # at most PIVOTS vectors
+    many = max(LEAST_PIVOTS, 1 << int(np.ceil(np.log2(2 * np.sqrt(max(1, classes.count()))))))
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * many).select("vector").toArrow()  # of the square root's size
+    pivots = spread(_unit(np.array(sample["vector"].to_pylist(), dtype=float)), many)
     least = min(SHARED, len(pivots))  # with fewer vectors than that, all of them share all pivots
     posts = written(classes.mapInArrow(lambda batches: _posts(batches, pivots), _POSTS))
     lists = posts.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
