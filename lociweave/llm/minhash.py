@@ -27,11 +27,8 @@ LEAST = (75, 100)
 #: similarity 0.75 shares no band with a chance of (1 - 0.75 ** 5) ** 56 = 3e-7; at 0.8 it is 2e-10.
 BANDS, ROWS = 56, 5
 PERMUTATIONS = BANDS * ROWS // 2
-#: Members of a block when a band's classes are compared pair by pair.
-BLOCK = 512
-#: There, pairs whose signatures agree in fewer than this share of their values are not looked at: a linked pair does so
-#: with a chance below 1e-10 (280 values, mean agreement at least 0.75).
-LEAST_AGREEMENT = 0.5
+#: Members and shingles of a block, about, when a band's classes are compared pair by pair, and shingles counted at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 250_000, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +194,8 @@ def _rest(met: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     Bands whose members are all in one component are done. In the others every two members of different components and
     of fitting sizes are compared, block against block: members are grouped by the order of magnitude of their size (to
     the base 4/3: sets of a similarity of 0.75 are in one magnitude or in neighbours), a magnitude meets itself and
-    the one below, and block i meets block j in a task of its own, so a large band is spread over many.
+    the one below, and block i meets block j in a task of its own, so a large band is spread over many. A block is cut by
+    its members and by their shingles, so long texts make small blocks; there all intersections are counted exactly.
     """
     label = components(links).withColumnRenamed("node", "doc_id")
     open_ = met.join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -218,13 +216,13 @@ def _rest(met: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.join(first, ["band", "value"]).withColumn(
         "level", F.explode(F.array(F.struct(own.alias("magnitude"), F.lit(True).alias("own")), F.struct((own + 1).alias("magnitude"), F.lit(False).alias("own"))))
     )
-    rows = written(rows.select("band", "value", "level.magnitude", "level.own", "doc_id", "component_id"))
+    rows = written(rows.select("band", "value", "level.magnitude", "level.own", "doc_id", "component_id", "n_shingles"))
     # a group is of use only if it has members of its own magnitude and different components
     sizes = rows.groupBy(*key).agg(
         F.max("own").alias("has_own"),
         F.min("component_id").alias("low"),
         F.max("component_id").alias("high"),
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     )
     sizes = written(sizes.where("has_own and low < high").select(*key, "blocks"))
     rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -235,6 +233,25 @@ def _rest(met: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(docs, "doc_id").groupBy(*key, "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
 
 
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of all left with all right sets: products of 0/1 matrices, some columns at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.r_[False, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, int)
+    shared = np.bincount(column) > 1 if len(flat) else np.zeros(0, bool)  # what one set alone has meets nothing
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, column[-1] + 1 + COLUMNS, COLUMNS)) if len(column) else [0]
+    for k, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[start:end], column[start:end] - k * COLUMNS] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
 def _block_links(rows: pa.Table) -> pa.Table:
     """Linked pairs of different components in one pair of blocks."""
     ids, label = rows["doc_id"].to_numpy(), rows["component_id"].to_numpy()
@@ -244,16 +261,13 @@ def _block_links(rows: pa.Table) -> pa.Table:
         for part in steps(batch):
             h, at = shingle_sets(*text_parts(part.column("text")))
             sets += [h[at[k] : at[k + 1]] for k in range(len(at) - 1)]
-    size, own = np.array([len(s) for s in sets]), rows["own"].to_numpy()
-    signs = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])).T.astype(np.uint16)
-    found = []
-    for x in range(len(ids)):
-        small, large = np.minimum(size[x], size), np.maximum(size[x], size)
-        near = (label != label[x]) & (ids < ids[x]) & (own | own[x]) & (LEAST[1] * small >= LEAST[0] * large)
-        if i != j:
-            near &= block != block[x]
-        others = np.flatnonzero(near)
-        agree = (signs[others] == signs[x]).mean(1)
-        found += [(ids[x], ids[y]) for y in others[agree >= LEAST_AGREEMENT] if similar(sets[x], sets[y])]
+    size, own = np.array([len(s) for s in sets]), rows["own"].to_numpy(zero_copy_only=False)
+    left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
+    both = intersections(sets, left, right)
+    total = size[left][:, None] + size[right]
+    linked = (LEAST[1] * both >= LEAST[0] * (total - both)) & (label[left][:, None] != label[right]) & (own[left][:, None] | own[right])
+    x, y = np.nonzero(linked)
+    x, y = ids[left[x]], ids[right[y]]
+    found = sorted({(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)})
     a, b = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
