@@ -11,7 +11,8 @@ earlier in the same document). The work is done on sampled k-mers instead of on
    a path into spans (document, shift against the source) with begin and end.
 3. At branching nodes, the ends of passages, the windows themselves become edges (128-bit hashes of all words); the
    first coordinate of each edge decides for it.
-4. Spans meet their documents again, whose words are cut by them.
+4. Spans of one document and shift that touch are joined. The words at each span's source coordinates are read and
+   digested; a span goes to its document with that digest, and words are cut only where the document's own agree with it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lociweave.llm.textkernel import Words, mix, odd_numbers, steps, text_parts, windows
 from lociweave.sources.scratch import written
@@ -123,25 +125,27 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], rewrite: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], mark: str, rewrite: bool) -> Iterator[pa.RecordBatch]:
     """Each document's counts and digest, or with `rewrite` its row with the shortened text."""
     for batch in batches:
         for part in steps(batch):
             data, offsets = text_parts(part.column("text"))
             words = Words(data, offsets)
             n = np.diff(words.bounds)
-            spans = part.column("spans")
+            raw = data.tobytes()
+            spans = part.column(mark)
             many = np.asarray(spans.value_lengths().fill_null(0))
             text = np.repeat(np.arange(len(many)), many)
             flat = spans.flatten()
+            # a row whose id has another text too may be shorter than the ranges
+            begin, end = (np.minimum(flat.field(name).to_numpy(zero_copy_only=False), n[text]) + words.bounds[text] for name in ("begin", "end"))
+            # only where the words are those at the source coordinates
+            same = np.fromiter(map(bytes.__eq__, range_digests(words, raw, begin, end), flat.field("digest").to_pylist()), bool, len(begin))
             marks = np.zeros(len(words) + 1, np.int64)
-            for name, change in (("begin", 1), ("end", -1)):
-                # a row whose id has another text too may be shorter than the ranges
-                place = np.minimum(flat.field(name).to_numpy(zero_copy_only=False), n[text])
-                np.add.at(marks, place + words.bounds[text], change)
+            np.add.at(marks, begin[same], 1)
+            np.add.at(marks, end[same], -1)
             gone = np.cumsum(marks)[:-1] > 0
             removed = np.add.reduceat(np.r_[gone, False], np.minimum(words.bounds[:-1], len(words))) * (n > 0)
-            raw = data.tobytes()
             if rewrite:
                 texts = part.column("text").to_pylist()
                 for i in np.flatnonzero(removed):
@@ -150,7 +154,7 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], rewrite: bool) ->
                         if not gone[w]:  # with the white space before it, unless words went there
                             kept.append(raw[at : words.ends[w]] if w == words.bounds[i] or not gone[w - 1] else b" " + raw[words.starts[w] : words.ends[w]])
                         at = int(words.ends[w])
-                    texts[i] = b"".join(kept).decode().strip()
+                    texts[i] = b"".join(kept).strip(b" \t\n\v\f\r").decode()
                 columns = [pa.array(texts, pa.string()) if name == "text" else part.column(name) for name in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed.astype(np.int64))], names=[*names, "n_words", "n_removed"])
                 continue
@@ -167,7 +171,10 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], rewrite: bool) ->
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, begin, end): word ranges to remove; ranges of a document may overlap. texts: doc_id (not null, once), text."""
+    """(doc_id, begin, end, of, shift): word ranges to remove, and the document that has them earlier at begin - shift.
+
+    Ranges of a document may overlap. texts: doc_id (not null, once), text.
+    """
     found = texts.mapInArrow(_occurrences, _OCCURRENCES)
     repeated = written(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
     found = written(found.join(repeated, "node"))
@@ -183,9 +190,6 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     end = begin + F.col("reach").bitwiseAND(255) + SPAN
     spans = straight.select("doc_id", begin.alias("begin"), end.alias("end"), F.col("source.doc_id").alias("of"),
                             (begin - F.shiftright("source.reach", 8)).alias("shift"))
-    # neighbouring nodes of one path keep their shift against the source: their spans join up
-    spans = spans.groupBy("doc_id", "of", "shift").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("runs"))
-    spans = spans.select("doc_id", F.explode(joined("runs")).alias("span")).select("doc_id", "span.begin", "span.end")
     forks = placed.where("not straight").groupBy("doc_id").agg(F.collect_list("reach").alias("reaches"))
     edges = written(
         forks.join(texts, "doc_id").select("doc_id", "text", "reaches").mapInArrow(_edges, "e1 long, e2 long, doc_id long, start long")
@@ -193,53 +197,99 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     source = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count(F.lit(1)).alias("n"))
     source = written(source.where("n > 1").drop("n"))
     later = edges.join(source, ["e1", "e2"]).where(F.struct("doc_id", "start") != F.col("source"))
-    return spans.union(later.select("doc_id", F.col("start").alias("begin"), (F.col("start") + SPAN).alias("end")))
-
-
-def joined(runs: str):
-    """Sorted ranges with those that touch made one."""
-    start = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    later = later.select(
+        "doc_id", F.col("start").alias("begin"), (F.col("start") + SPAN).alias("end"), F.col("source.doc_id").alias("of"),
+        (F.col("start") - F.col("source.start")).alias("shift"),
+    )
+    return joined(spans.union(later))
+
+
+def joined(spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, begin, end, of, shift) with those that touch made one: neighbours of one path keep their shift."""
+    key = ["doc_id", "of", "shift"]
+    order = Window.partitionBy(*key).orderBy("begin")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("begin") <= before, 0).otherwise(1)
+    runs = spans.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*key, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
+
+
+def range_digests(words: Words, raw: bytes, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of the words of each range (word numbers over all texts), joined by one space."""
+    if not len(begins):
+        return []
+    sizes = words.ends - words.starts
+    at = np.r_[0, np.cumsum(sizes + 1)]
+    plain = np.full(int(at[-1]), 0x20, np.uint8)
+    letters = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    plain[np.repeat(at[:-1], sizes) + letters] = np.frombuffer(raw, np.uint8)[np.repeat(words.starts, sizes) + letters]
+    plain = plain.tobytes()
+    return [hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(at[begins], at[ends] - 1, strict=True)]
+
+
+def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """of, source_begin, source_end, digest of the ranges of each text."""
+    for batch in batches:
+        for part in steps(batch):
+            data, offsets = text_parts(part.column("text"))
+            words = Words(data, offsets)
+            ranges = part.column("ranges")
+            many = np.asarray(ranges.value_lengths())
+            text = np.repeat(np.arange(len(many)), many)
+            flat = ranges.flatten()
+            begin, end = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("source_begin", "source_end"))
+            digests = range_digests(words, data.tobytes(), begin + words.bounds[text], end + words.bounds[text])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(text)), pa.array(begin), pa.array(end), pa.array(digests, pa.binary())],
+                names=["of", "source_begin", "source_end", "digest"],
+            )
 
-    def step(acc, run):
-        top = F.element_at(acc, -1)
-        touches = (F.size(acc) > 0) & (run["begin"] <= F.get(acc, F.size(acc) - 1)["end"])
-        return F.when(
-            touches,
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(top["begin"].alias("begin"), F.greatest(top["end"], run["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(run)))
 
-    return F.aggregate(runs, start, step)
+def sourced(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, begin, end, digest): spans with the digest of the words at their source coordinates."""
+    spans = written(spans.select("doc_id", "begin", "end", "of", (F.col("begin") - F.col("shift")).alias("source_begin"), (F.col("end") - F.col("shift")).alias("source_end")))
+    key = ["of", "source_begin", "source_end"]
+    ranges = spans.select(*key).distinct().groupBy(F.col("of").alias("doc_id")).agg(F.collect_list(F.struct("source_begin", "source_end")).alias("ranges"))
+    digests = ranges.join(texts, "doc_id").select("doc_id", "text", "ranges").mapInArrow(
+        _source_digests, "of long, source_begin long, source_end long, digest binary"
+    )
+    # written, so that the join has plain exchanges, whose hot keys adaptive execution splits
+    return spans.join(written(digests), key).select("doc_id", "begin", "end", "digest")
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, mark: str) -> DataFrame:
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     if not texts.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    spans = repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return docs.join(spans, "doc_id", "left")
+    found = sourced(repeated_spans(texts), texts)
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "digest")).alias(mark))
+    return docs.join(found, "doc_id", "left")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every document.
 
     docs: doc_id long, text; other columns are ignored. Null, empty and word-free texts have no words. Rows that repeat an
-    id are one document with its smallest text, whose ranges are cut from each of them as far as it reaches; a null id
+    id are one document with its smallest text, whose ranges are cut from each of them that has the same words there; a null id
     takes part in nothing and keeps all its words. An empty table gives no rows.
     """
-    rows = _with_spans(docs.select("doc_id", "text"))
+    rows = _with_spans(docs.select("doc_id", "text"), "spans")
     return rows.mapInArrow(
-        lambda batches: _cut(batches, [], False), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        lambda batches: _cut(batches, [], "spans", False), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated words cut from text, plus n_words and n_removed; texts that lose nothing stay as they are."""
-    docs = docs.drop("spans", "n_words", "n_removed")
+    """`docs` with repeated words cut from text, plus n_words and n_removed; texts that lose nothing stay as they are.
+
+    Null texts stay null, empty and word-free ones as they are, with 0 words. Rows that repeat an id, and a null id, are taken
+    as by `deduplicated`. Where words go, the white space before the next kept word becomes one space, and ASCII white space
+    at the ends of the text goes. Other columns, whatever their names, pass through, but for those of the two names added.
+    """
+    docs = docs.drop("n_words", "n_removed")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
-    return _with_spans(docs).select(*names, "spans").mapInArrow(
-        lambda batches: _cut(batches, names, True), f"{schema}, n_words long, n_removed long"
+    mark = "spans" + "_" * max(map(len, names))  # a name that no column has
+    return _with_spans(docs, mark).select(*names, mark).mapInArrow(
+        lambda batches: _cut(batches, names, mark, True), f"{schema}, n_words long, n_removed long"
     )
