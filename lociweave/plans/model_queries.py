@@ -107,7 +107,7 @@ QUERIES = {f.__name__: f for f in (
     q_isotonic, q_embedding_pca, q_relationship_bands, q_stream_windows,
 )}
 
-ARRAY = "arr as (select id as sample_id, (variant * 2 + 1)::bigint as pos, genotype from matrix where id < 30)"
+ARRAY = "arr as (select id as sample_id, (variant * 2 + 1)::bigint as pos, genotype from matrix)"
 FOLDS = "folds as (select chrom, pos, ((row_number() over (partition by chrom order by pos * 7919 % 1009, pos) - 1) % 5)::int as fold from positions)"
 
 

@@ -200,7 +200,7 @@ from s join b using (chrom, pos, ref)
 where depth >= 3 and k >= 2 and sample_support >= 1 and k / depth::double >= 0.05 and (depth - ref_count - k) / depth::double <= 0.4"""),
     "q_indel_discovery": with_tables("reads positions", f"""{USABLE},\n{BASES_SQL},
 e as (select sample_id, chrom, pos, strand, case when pos % 3 = 0 then ref else ref || base end as ref,
-             case when pos % 3 = 0 then ref || base else ref end as alt from bases where code = 1 and pos % 3 <> 2)
+             case when pos % 3 = 0 then ref || base else ref end as alt from bases where code = 1)
 select chrom, pos, ref, alt, count(*) as alt_count, count(distinct sample_id) as sample_support,
        count(*) filter (where strand = '+') as alt_forward_count, count(*) filter (where strand = '-') as alt_reverse_count,
        case when length(alt) > length(ref) then 'insertion' else 'deletion' end as variant_type
