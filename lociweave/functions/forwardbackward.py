@@ -14,18 +14,25 @@ from itertools import combinations_with_replacement, product
 import numpy as np
 
 
-def haploid_step(x: np.ndarray, switch: float) -> np.ndarray:
-    """One founder stays with 1 - switch or moves to another one, all alike."""
-    off = switch / max(len(x) - 1, 1)
-    return (1 - switch - off) * x + off * x.sum()
+def haploid_step(x: np.ndarray, switch) -> np.ndarray:
+    """One founder (last axis) stays with 1 - switch or moves to another one, all alike; switch fits the other axes."""
+    off = switch / max(x.shape[-1] - 1, 1)
+    return (1 - switch - off) * x + off * x.sum(-1, keepdims=True)
 
 
-def diploid_step(x: np.ndarray, switch: float) -> np.ndarray:
-    """Two founders move independently (x is founders by founders)."""
-    k = len(x)
-    off = switch / max(k - 1, 1)
+def diploid_step(x: np.ndarray, switch) -> np.ndarray:
+    """Two founders (last two axes) move independently."""
+    off = switch / max(x.shape[-1] - 1, 1)
     b = 1 - switch - off
-    return b * b * x + b * off * (x.sum(1, keepdims=True) + x.sum(0, keepdims=True)) + off * off * x.sum()
+    rows, columns = x.sum(-1, keepdims=True), x.sum(-2, keepdims=True)
+    return b * b * x + b * off * (rows + columns) + off * off * rows.sum(-2, keepdims=True)
+
+
+def factorised_step(x: np.ndarray, switch, shape: np.ndarray) -> np.ndarray:
+    """Two founders stay with 1 - switch or move as the row-stochastic `shape` (founders by founders) says."""
+    stay = 1 - switch
+    one = stay * x + switch * np.swapaxes(np.swapaxes(x, -1, -2) @ shape, -1, -2)
+    return stay * one + switch * (one @ shape)
 
 
 def multisets(k: int, ploidy: int) -> list[tuple[int, ...]]:
@@ -60,20 +67,29 @@ def polyploid_matrix(k: int, ploidy: int, switch: float) -> np.ndarray:
     return np.tensordot((1 - switch) ** m * off ** (ploidy - m), stay_counts(k, ploidy), 1)
 
 
-def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None) -> np.ndarray:
-    """Posterior of each site's states. emission: sites by state shape; switch[t] leads from t - 1 to t.
+def polyploid_step(x: np.ndarray, switch, k: int, ploidy: int, back: bool = False) -> np.ndarray:
+    """`x` (multisets on the last axis) times the matrix that `polyploid_matrix` makes, or that times `x`, for any number of switches."""
+    off = switch / max(k - 1, 1)
+    parts = stay_counts(k, ploidy)
+    out = np.zeros_like(x)
+    for m in range(ploidy + 1):
+        out += (1 - switch) ** m * off ** (ploidy - m) * (x @ (parts[m].T if back else parts[m]))
+    return out
 
-    step(x, switch) moves a distribution forward; back(x, switch) applies the transition to a function of the next state (the same
-    as step where the transition is symmetric).
-    """
+
+def _scans(emission: np.ndarray, switch: np.ndarray, step, back, batch: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised forward and backward messages. emission: sites, samples if `batch`, then states; switch likewise."""
     back = back or step
     n = len(emission)
-    size = emission[0].size
-    uniform = np.full(emission.shape[1:], 1.0 / size)
+    axes = tuple(range(1 if batch else 0, emission.ndim - 1))
+    shape = emission.shape[1:]
+    uniform = np.full(shape, 1.0 / np.prod([shape[i] for i in axes]))
+    if batch:
+        switch = switch.reshape(switch.shape + (1,) * len(axes))
 
     def unit(x: np.ndarray) -> np.ndarray:
-        z = x.sum()
-        return x / z if z > 0 else uniform.copy()
+        z = x.sum(axes, keepdims=True)
+        return np.where(z > 0, x / np.where(z > 0, z, 1), uniform)
 
     alpha, beta = np.empty_like(emission), np.empty_like(emission)
     alpha[0] = unit(emission[0])
@@ -82,55 +98,93 @@ def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None)
     beta[-1] = uniform
     for t in range(n - 2, -1, -1):
         beta[t] = unit(back(beta[t + 1] * emission[t + 1], switch[t + 1]))
+    return alpha, beta
+
+
+def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None, batch: bool = False) -> np.ndarray:
+    """Posterior of each site's states. emission: sites by state shape; switch[t] leads from t - 1 to t.
+
+    step(x, switch) moves a distribution forward; back(x, switch) applies the transition to a function of the next state (the same
+    as step where the transition is symmetric). With `batch` the second axis of emission and switch is samples, all scanned at once.
+    """
+    alpha, beta = _scans(emission, switch, step, back, batch)
     gamma = alpha * beta
-    total = gamma.reshape(n, -1).sum(1).reshape((n,) + (1,) * (emission.ndim - 1))
-    return gamma / np.maximum(total, 1e-12)
+    axes = tuple(range(2 if batch else 1, emission.ndim))
+    return gamma / np.maximum(gamma.sum(axes, keepdims=True), 1e-12)
+
+
+def haploid_xi(emission: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """Posterior of neighbouring founder pairs, sites - 1 by samples by founders by founders. emission: sites, samples, founders."""
+    alpha, beta = _scans(emission, switch, haploid_step, None, True)
+    k = emission.shape[-1]
+    ahead = emission[1:] * beta[1:]
+    sw = switch[1:, :, None, None]
+    move = np.where(np.eye(k, dtype=bool), 1 - sw, sw / max(k - 1, 1))
+    xi = alpha[:-1, :, :, None] * move * ahead[:, :, None, :]
+    return xi / np.maximum(xi.sum((2, 3), keepdims=True), 1e-300)
 
 
 def site_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, error: float, floor: float = 1e-5) -> np.ndarray:
-    """Scaled emissions of states with alternative frequency q (sites by states) given weighted counts of the sites."""
+    """Scaled emissions, sites by samples by states, of states with alternative frequency q (sites by states) given weighted counts (sites by samples)."""
     third = error / 3
-    p_alt = np.clip(q * (1 - error) + (1 - q) * third, floor, 1)
-    p_ref = np.clip((1 - q) * (1 - error) + q * third, floor, 1)
-    shape = (-1,) + (1,) * (q.ndim - 1)
-    log = alt.reshape(shape) * np.log(p_alt) + ref.reshape(shape) * np.log(p_ref) + other.reshape(shape) * np.log(max(third, floor))
-    return np.exp(log - log.reshape(len(q), -1).max(1).reshape(shape))
+    p_alt = np.log(np.clip(q * (1 - error) + (1 - q) * third, floor, 1))[:, None]
+    p_ref = np.log(np.clip((1 - q) * (1 - error) + q * third, floor, 1))[:, None]
+    shape = alt.shape + (1,) * (q.ndim - 1)
+    log = alt.reshape(shape) * p_alt + ref.reshape(shape) * p_ref + other.reshape(shape) * np.log(max(third, floor))
+    return np.exp(log - log.max(tuple(range(2, log.ndim)), keepdims=True))
 
 
 def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndarray:
-    """Sites by ploidy + 1 genotype probabilities from state posteriors (haploid, diploid square, or multisets)."""
+    """Sites by samples by ploidy + 1 genotype probabilities from state posteriors (haploid, diploid square, or multisets)."""
     k = q.shape[1]
     if ploidy == 1:
-        alt = (gamma * q).sum(1)
-        return np.stack([1 - alt, alt], 1)
-    if gamma.ndim == 3:
-        a, b = q[:, :, None], q[:, None, :]
-        return np.stack([(gamma * g).sum((1, 2)) for g in ((1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b)], 1)
-    out = np.zeros((len(q), ploidy + 1))
+        alt = (gamma * q[:, None]).sum(2)
+        return np.stack([1 - alt, alt], 2)
+    if gamma.ndim == 4:
+        a, b = q[:, None, :, None], q[:, None, None, :]
+        return np.stack([(gamma * g).sum((2, 3)) for g in ((1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b)], 2)
+    out = np.zeros(gamma.shape[:2] + (ploidy + 1,))
     for s, state in enumerate(multisets(k, ploidy)):
         dist = np.ones((len(q), 1))
         for f in state:  # one copy after the other
             dist = np.pad(dist, ((0, 0), (0, 1))) * (1 - q[:, f : f + 1]) + np.pad(dist, ((0, 0), (1, 0))) * q[:, f : f + 1]
-        out += gamma[:, s : s + 1] * dist
+        out += gamma[:, :, s : s + 1] * dist[:, None]
     return out
 
 
-def posterior(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float) -> tuple[np.ndarray, np.ndarray]:
-    """(founder shares sites by K, genotype probabilities) of one sample on one chromosome."""
+def posteriors(
+    alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float, shape: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(founder shares sites by samples by K, genotype probabilities) of many samples on one stretch of sites.
+
+    alt, ref, other and switch are sites by samples, q sites by K. `shape` makes a diploid's moves follow a transition shape.
+    """
     k = q.shape[1]
     if ploidy == 1:
-        gamma = forward_backward(site_emissions(alt, ref, other, q, error), switch, haploid_step)
+        gamma = forward_backward(site_emissions(alt, ref, other, q, error), switch, haploid_step, batch=True)
         hap = gamma
     elif ploidy == 2:
-        gamma = forward_backward(site_emissions(alt, ref, other, (q[:, :, None] + q[:, None, :]) / 2, error), switch, diploid_step)
-        hap = 0.5 * (gamma.sum(1) + gamma.sum(2))
+        emission = site_emissions(alt, ref, other, (q[:, :, None] + q[:, None, :]) / 2, error)
+        if shape is None:
+            gamma = forward_backward(emission, switch, diploid_step, batch=True)
+        else:
+            gamma = forward_backward(
+                emission, switch, lambda x, sw: factorised_step(x, sw, shape), lambda x, sw: factorised_step(x, sw, shape.T), batch=True
+            )
+        hap = 0.5 * (gamma.sum(2) + gamma.sum(3))
     else:
         states = multisets(k, ploidy)
         mean = np.stack([q[:, list(s)].mean(1) for s in states], 1)
-        prior = np.array([orderings(s) for s in states], float) / k**ploidy
         emission = site_emissions(alt, ref, other, mean, error)
-        emission[0] *= prior
-        gamma = forward_backward(emission, switch, lambda x, sw: x @ polyploid_matrix(k, ploidy, sw), lambda x, sw: polyploid_matrix(k, ploidy, sw) @ x)
-        share = np.array([[s.count(f) / ploidy for f in range(k)] for s in states])
-        hap = gamma @ share
+        emission[0] *= np.array([orderings(s) for s in states], float) / k**ploidy
+        gamma = forward_backward(
+            emission, switch, lambda x, sw: polyploid_step(x, sw, k, ploidy), lambda x, sw: polyploid_step(x, sw, k, ploidy, True), batch=True
+        )
+        hap = gamma @ np.array([[s.count(f) / ploidy for f in range(k)] for s in states])
     return hap, genotype_posterior(gamma, q, ploidy)
+
+
+def posterior(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one sample: its counts and switches by site."""
+    hap, gp = posteriors(alt[:, None], ref[:, None], other[:, None], q, switch[:, None], ploidy, error)
+    return hap[:, 0], gp[:, 0]

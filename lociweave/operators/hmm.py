@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.functions.forwardbackward import posterior
+from lociweave.functions import forwardbackward as kernels
 from lociweave.operators.posterior import clipped
-from lociweave.operators.sites import recombination, switch_probability
+from lociweave.operators.sites import recombination
 from lociweave.sources.scratch import forget, written
 
 ERROR, FLOOR = 0.001, 1e-5
@@ -70,47 +70,124 @@ def _panel_arrays(panel: DataFrame) -> DataFrame:
     return panel.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q"))
 
 
-def posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 2, error: float = ERROR) -> DataFrame:
-    """(sample_id, chrom, pos, hap array, gp array, dosage) at every site of every sample.
+#: Sites of a block and those it shares with each neighbour, and samples that are scanned together.
+CORE, OVERLAP, TOGETHER = 4096, 256, 64
+
 
-    A sample's chromosome is one ordered scan, so it is one group: sites times founders in size, whatever the number
-    of samples, and independent of all other groups. Sites without reads take part with even emissions. The sites of a
-    chromosome, the panel with them, are joined as arrays once; a group holds its own evidence and that one row.
+def _blocks(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, core: int, overlap: int):
+    """(left, right) grouped by (chrom, block, part): the samples and reads of a part of the samples, and the sites of a block.
+
+    A chromosome is cut into blocks of `core` sites with `overlap` more at both ends, samples into parts of about TOGETHER: a
+    group's size does not depend on the corpus. A block's sites go to each part once.
     """
+    parts = max(1, -(-samples.count() // TOGETHER))
+    chrom = Window.partitionBy("chrom")
     site = recombination(positions).join(_panel_arrays(panel), "pos")
-    track = site.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("pos", "rate", "q"))).alias("track"))
-    own = evidence.join(positions.select("chrom", "pos"), "pos").groupBy("sample_id", "chrom").agg(
-        F.collect_list(F.struct("pos", "ref_weight", "alt_weight", "other_weight")).alias("seen")
+    site = site.select(
+        "chrom", "pos", "rate", "q", (F.row_number().over(chrom.orderBy("pos")) - 1).alias("at"), F.count(F.lit(1)).over(chrom).alias("n")
     )
-    grid = samples.select("sample_id", "generation").join(F.broadcast(positions.select("chrom").distinct()))
-    rows = grid.join(own, ["sample_id", "chrom"], "left").join(track, "chrom")
-
-    def scan(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                pos = np.array([t["pos"] for t in row["track"]])
-                q = np.array([t["q"] for t in row["track"]])
-                rate = np.array([t["rate"] for t in row["track"]])
-                switch = np.clip(1 - np.exp(-row["generation"] * rate), 1e-10, 1 - 1e-10)
-                w = np.zeros((3, len(pos)))
-                for s in row["seen"] or []:
-                    w[:, np.searchsorted(pos, s["pos"])] = s["ref_weight"], s["alt_weight"], s["other_weight"]
-                hap, gp = posterior(w[1], w[0], w[2], q, switch, ploidy, error)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "sample_id": np.full(len(pos), row["sample_id"]),
-                        "chrom": pa.array([row["chrom"]] * len(pos)),
-                        "pos": pos,
-                        "hap": pa.array(hap.tolist(), pa.list_(pa.float64())),
-                        "gp": pa.array(gp.tolist(), pa.list_(pa.float64())),
-                        "dosage": gp @ np.arange(ploidy + 1),
-                    }
-                )
-
-    return rows.select("sample_id", "chrom", "generation", "seen", "track").mapInArrow(
-        scan, "sample_id long, chrom string, pos long, hap array<double>, gp array<double>, dosage double"
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / core))
+    last = F.least(F.floor((F.col("n") - 1) / core), F.floor((F.col("at") + overlap) / core))
+    site = site.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    own = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
+    blocks = site.select("chrom", "block").distinct()
+    # every sample gets rows at every site, so one row for each of its blocks is little beside the result
+    grid = samples.select("sample_id", F.col("generation").cast("double").alias("generation"), own.alias("part")).join(blocks)
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("pos", "long"), ("ref_weight", "double"), ("alt_weight", "double"), ("other_weight", "double"))]
+    grid = grid.select("chrom", "block", "part", "sample_id", "generation", *none)
+    seen = evidence.join(samples.select("sample_id"), "sample_id").join(site.select("chrom", "block", "pos"), "pos")
+    seen = seen.select(
+        "chrom", "block", own.alias("part"), "sample_id", F.lit(None).cast("double").alias("generation"), "pos",
+        *[F.col(w).cast("double").alias(w) for w in ("ref_weight", "alt_weight", "other_weight")],
     )
+    left = grid.unionByName(seen).groupBy("chrom", "block", "part")
+    right = site.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # columns of their own: both sides come from the same sites
+    return left, right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("chrom", "block", "part")
+
+
+def _read_group(left: pa.Table, right: pa.Table, core: int):
+    """(sample ids, sites in order, weights 3 by sites by samples, q, switch, which sites are the block's own)."""
+    right = right.take(pa.array(np.argsort(right["pos"].to_numpy(), kind="stable")))
+    pos, at = right["pos"].to_numpy(), right["at"].to_numpy()
+    q = np.asarray(right["q"].combine_chunks().flatten(), float).reshape(len(pos), -1)
+    generation = left["generation"].to_numpy(zero_copy_only=False)
+    marks = ~np.isnan(generation)
+    all_ids = left["sample_id"].to_numpy()
+    ids, pick = np.unique(all_ids[marks], return_index=True)
+    switch = np.clip(1 - np.exp(-generation[marks][pick][None] * right["rate"].to_numpy()[:, None]), 1e-10, 1 - 1e-10)
+    w = np.zeros((3, len(pos), len(ids)))
+    where = np.searchsorted(pos, left["pos"].to_numpy(zero_copy_only=False)[~marks]), np.searchsorted(ids, all_ids[~marks])
+    for i, name in enumerate(("ref_weight", "alt_weight", "other_weight")):
+        w[i][where] = left[name].to_numpy(zero_copy_only=False)[~marks]
+    return ids, pos, w, q, switch, at // core == right["block"][0].as_py()
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(x).reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, x.shape[-1], dtype=np.int32)), flat)
+
+
+def posteriors(
+    evidence: DataFrame,
+    positions: DataFrame,
+    samples: DataFrame,
+    panel: DataFrame,
+    ploidy: int = 2,
+    error: float = ERROR,
+    core: int = CORE,
+    overlap: int = OVERLAP,
+    shape: np.ndarray | None = None,
+) -> DataFrame:
+    """(sample_id, chrom, pos, hap array, gp array, dosage) at every site of every sample.
+
+    Blocks of sites and parts of samples are scanned in tasks of their own, all samples of a part at once; a block gives its own
+    sites only. Up to `core` sites the result is that of the whole chromosome, beyond it the overlap carries what is near.
+    Sites without reads take part with even emissions. `shape` is a founder transition shape, of founders squared numbers.
+    """
+    left, right = _blocks(evidence, positions, samples, panel, core, overlap)
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["sample_id", "chrom", "pos", "hap", "gp", "dosage"]
+        if not len(left) or not len(right):
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            return pa.table([pa.nulls(0, k) for k in kinds], names=names)
+        ids, pos, w, q, switch, own = _read_group(left, right, core)
+        hap, gp = kernels.posteriors(w[1], w[0], w[2], q, switch, ploidy, error, shape)
+        hap, gp, pos = hap[own], gp[own], pos[own]
+        columns = [
+            pa.array(np.tile(ids, len(pos))), pa.array([right["chrom"][0].as_py()] * (len(pos) * len(ids)), pa.string()),
+            pa.array(np.repeat(pos, len(ids))), _lists(hap), _lists(gp), pa.array((gp @ np.arange(ploidy + 1)).reshape(-1)),
+        ]
+        return pa.table(columns, names=names)
+
+    return left.cogroup(right).applyInArrow(scan, "sample_id long, chrom string, pos long, hap array<double>, gp array<double>, dosage double")
+
+
+def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, error: float = ERROR, core: int = CORE, overlap: int = OVERLAP) -> DataFrame:
+    """(chrom, pos, i, j, n): summed posteriors that a haploid sample has founder i at the site before pos and j at pos.
+
+    Sums over a part's samples leave a task, so what is shuffled does not grow with the samples of a part.
+    """
+    left, right = _blocks(evidence, positions, samples, panel, core, overlap)
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["chrom", "pos", "i", "j", "n"]
+        if not len(left) or len(right) < 2:
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+            return pa.table([pa.nulls(0, k) for k in kinds], names=names)
+        _, pos, w, q, switch, own = _read_group(left, right, core)
+        xi = kernels.haploid_xi(kernels.site_emissions(w[1], w[0], w[2], q, error), switch).sum(1)[own[1:]]
+        pos, k = pos[1:][own[1:]], q.shape[1]
+        pairs = np.arange(k, dtype=np.int32)
+        columns = [
+            pa.array([right["chrom"][0].as_py()] * (len(pos) * k * k), pa.string()), pa.array(np.repeat(pos, k * k)),
+            pa.array(np.tile(np.repeat(pairs, k), len(pos))), pa.array(np.tile(pairs, k * len(pos))), pa.array(xi.reshape(-1)),
+        ]
+        return pa.table(columns, names=names)
+
+    out = left.cogroup(right).applyInArrow(scan, "chrom string, pos long, i int, j int, n double")
+    return out.groupBy("chrom", "pos", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def by_ploidy(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame) -> DataFrame:
@@ -171,15 +248,15 @@ def learn_founders(
     Each round's panel is written and the one before is deleted, so lineage does not grow and lost executors cost one round.
     """
     fractions = alt_fractions(evidence)
-    now, deltas = panel, []
+    now, deltas, own = panel, [], None
     for _ in range(rounds):
         haps = posteriors(evidence, positions, samples, now, ploidy).select("sample_id", "pos", "hap")
         new = updated_founders(now, m_step(haps, fractions))
         new = written(hardened(new, now) if harden else new)
         both = new.join(now.select("pos", "founder", F.col("alt_prob").alias("before")), ["pos", "founder"])
         deltas.append(both.agg(F.max(F.abs(F.col("alt_prob") - F.col("before")))).first()[0] or 0.0)
-        forget(now)
-        now = new
+        forget(own)  # what an earlier round wrote, never the caller's panel
+        now = own = new
         if deltas[-1] < tolerance:
             break
     return now, deltas
@@ -209,9 +286,3 @@ def factorised_transitions(counts: DataFrame, k: int, rank: int = 2, regularise:
     low = (u[:, :rank] * s[:rank]) @ v[:rank]
     e = np.exp(low - low.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
-
-
-def switches(positions: DataFrame, samples: DataFrame) -> DataFrame:
-    """(sample_id, chrom, pos, switch) of every sample at every site."""
-    grid = recombination(positions).join(F.broadcast(samples.select("sample_id", "generation")))
-    return grid.select("sample_id", "chrom", "pos", switch_probability(F.col("rate"), F.col("generation")).alias("switch"))

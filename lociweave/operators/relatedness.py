@@ -1,15 +1,87 @@
 """Pairs of samples or variants: similarity, relationship matrices, kinship, linkage and distances.
 
-Every pair statistic is a sum over shared rows, so it is a self-join on the shared key with one ordered pair of each two,
-followed by partial sums. Cost grows with the square of the members of a key by nature; the pairs asked for can be
-restricted by `pairs`, which is joined before anything is added up.
+Statistics of all pairs of samples are made block by block: samples are dealt into blocks, variants into slices, and two
+blocks meet in one slice in a task of its own as dense arrays, whose products give all their pairs at once. All pairs are
+the result by definition; `among` restricts the samples before anything meets. Statistics of variants, and of pairs that
+share a small key, are self-joins with one ordered pair of each two.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Samples of a block and variants of a slice.
+BLOCK, SLICE = 512, 4096
+
+
+def block_pairs(long: DataFrame, values: list[str], kernel: Callable[..., dict[str, np.ndarray]], sums: dict[str, str], same: bool = False, sided: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(a, b, sums) of every two samples a < b (a <= b with `same`). long: id, variant and `values`, doubles; null is missing.
+
+    kernel takes the arrays (samples by variants, nan where missing) of one block and of another, value by value, and returns
+    each of `sums` as an array of the first by the second; slices are added up. `sided` names pairs of sums of which the first
+    is that of the first block, and then of a; the others must not depend on which block comes first.
+    """
+    blocks = max(1, -(-long.select("id").distinct().count() // BLOCK))
+    slices = max(1, -(-long.select("variant").distinct().count() // SLICE))
+    rows = long.select(
+        "id", "variant", *[F.col(v).cast("double").alias(v) for v in values],
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("variant"), F.lit(slices)).cast("int").alias("slice"),
+    )
+    # one row for each sample and slice, so that copies of a block cost its numbers only
+    cells = F.collect_list(F.struct("variant", *values)).alias("cells")
+    rows = rows.groupBy("id", "block", "slice").agg(cells)
+    left = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
+    right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own: both sides come from the same rows
+    key = ["i", "j", "slice"]
+
+    def dense(side: pa.Table, variants: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        side = side.take(pa.array(np.argsort(side["id"].to_numpy(), kind="stable")))
+        lists = side["cells"].combine_chunks()
+        row = np.repeat(np.arange(len(side)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        column = np.searchsorted(variants, flat.field("variant").to_numpy(zero_copy_only=False))
+        out = []
+        for v in values:
+            x = np.full((len(side), len(variants)), np.nan)
+            x[row, column] = flat.field(v).to_numpy(zero_copy_only=False)
+            out.append(x)
+        return side["id"].to_numpy(), out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["a", "b", *sums]
+        if not len(left) or not len(right):
+            return pa.table([pa.nulls(0, pa.int64())] * 2 + [pa.nulls(0, pa.int64() if k == "long" else pa.float64()) for k in sums.values()], names=names)
+        seen = [np.unique(side["cells"].combine_chunks().flatten().field("variant").to_numpy(zero_copy_only=False)) for side in (left, right)]
+        variants = np.unique(np.concatenate(seen))
+        (a, x), (b, y) = dense(left, variants), dense(right, variants)
+        got = kernel(*[z for pair in zip(x, y, strict=True) for z in pair])
+        inside = left["i"][0].as_py() == left["j"][0].as_py()
+        p, q = np.nonzero((a[:, None] <= b if same else a[:, None] < b) if inside else np.ones((len(a), len(b)), bool))
+        out = [np.minimum(a[p], b[q]), np.maximum(a[p], b[q])]
+        got = {n: x[p, q] for n, x in got.items()}
+        for one, two in sided:
+            got[one], got[two] = np.where(a[p] <= b[q], [got[one], got[two]], [got[two], got[one]])
+        return pa.table([*out, *[got[n].astype(np.int64 if k == "long" else float) for n, k in sums.items()]], names=names)
+
+    schema = "a long, b long, " + ", ".join(f"{n} {k}" for n, k in sums.items())
+    out = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
+    return out if slices == 1 else out.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def among(long: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of those samples only that `ids` (column id) names."""
+    return long.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (~np.isnan(x)).astype(float) @ (~np.isnan(y)).astype(float).T
+
 
 def paired(long: DataFrame, member: str, key: str, values: list[str], same: bool = False) -> DataFrame:
     """Rows (a, b, key, x_value, y_value) of every two members a < b that share a key (a <= b with `same`)."""
@@ -25,7 +97,7 @@ def correlations(long: DataFrame) -> DataFrame:
     x = long.select("id", "variant", F.coalesce("dosage", F.avg("dosage").over(v)).alias("d"))
     x = x.withColumn("c", F.col("d") - F.avg("d").over(s))
     x = x.withColumn("u", F.col("c") / F.sqrt(F.greatest(F.sum(F.col("c") * F.col("c")).over(s), F.lit(1e-24))))
-    return paired(x, "id", "variant", ["u"]).groupBy("a", "b").agg(F.sum(F.col("x_u") * F.col("y_u")).alias("r"))
+    return block_pairs(x.select("id", "variant", "u"), ["u"], lambda a, b: {"r": np.nan_to_num(a) @ np.nan_to_num(b).T}, {"r": "double"})
 
 
 def relationship(r: Column, unrelated: float = 0.59, first_degree: float = 0.64, same: float = 0.88) -> Column:
@@ -44,7 +116,8 @@ def grm(long: DataFrame, population: bool = True) -> DataFrame:
     v = Window.partitionBy("variant")
     sd = F.stddev_pop("dosage").over(v) if population else F.stddev_samp("dosage").over(v)
     z = long.withColumn("sd", sd).withColumn("z", F.when(F.col("sd") > 0, (F.col("dosage") - F.avg("dosage").over(v)) / F.col("sd")).otherwise(0.0))
-    out = paired(z, "id", "variant", ["z"], same=True).groupBy("a", "b").agg(F.sum(F.col("x_z") * F.col("y_z")).alias("s"), F.count(F.lit(1)).alias("n"))
+    kernel = lambda x, y: {"s": np.nan_to_num(x) @ np.nan_to_num(y).T, "n": _both(x, y)}
+    out = block_pairs(z.select("id", "variant", "z"), ["z"], kernel, {"s": "double", "n": "long"}, same=True)
     return out.select("a", "b", "n", (F.col("s") / (F.col("n") - 1)).alias("relationship"), "s")
 
 
@@ -61,9 +134,14 @@ def grm_by_group(long: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
 
 def king(long: DataFrame) -> DataFrame:
     """(a, b, kinship) by .5 * (1 - IBS0 / (2 * min(het_a, het_b))), null without heterozygotes. long: id, variant, genotype."""
-    p = paired(long.where("genotype is not null"), "id", "variant", ["genotype"])
-    x, y = F.col("x_genotype"), F.col("y_genotype")
-    out = p.groupBy("a", "b").agg(F.count_if(F.abs(x - y) == 2).alias("ibs0"), F.count_if(x == 1).alias("het_a"), F.count_if(y == 1).alias("het_b"), F.count(F.lit(1)).alias("n"))
+    def kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        (x0, x1, x2), (y0, y1, y2) = [[(m == g).astype(float) for g in (0, 1, 2)] for m in (x, y)]
+        known_x, known_y = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+        return {"ibs0": x0 @ y2.T + x2 @ y0.T, "het_a": x1 @ known_y.T, "het_b": known_x @ y1.T, "n": known_x @ known_y.T}
+
+    rows = long.where("genotype is not null").select("id", "variant", "genotype")
+    sums = {"ibs0": "long", "het_a": "long", "het_b": "long", "n": "long"}
+    out = block_pairs(rows, ["genotype"], kernel, sums, sided=(("het_a", "het_b"),)).where("n > 0")
     least = F.least("het_a", "het_b")
     return out.select("a", "b", "n", F.when(least > 0, 0.5 * (1 - F.col("ibs0") / (2.0 * least))).alias("kinship"))
 
@@ -85,9 +163,12 @@ def linkage(long: DataFrame) -> DataFrame:
 
 def cityblock(long: DataFrame) -> DataFrame:
     """(a, b) with mean and sum of absolute differences over the variants that both have. long: id, variant, dosage."""
-    p = paired(long.where("dosage is not null"), "id", "variant", ["dosage"])
-    gap = F.abs(F.col("x_dosage") - F.col("y_dosage"))
-    return p.groupBy("a", "b").agg(F.avg(gap).alias("mean_abs"), F.sum(gap).alias("sum_abs"), F.count(F.lit(1)).alias("n"))
+    def kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        gaps = np.array([np.nansum(np.abs(row - y), axis=1) for row in x]).reshape(len(x), len(y))
+        return {"sum_abs": gaps, "n": _both(x, y)}
+
+    out = block_pairs(long.where("dosage is not null").select("id", "variant", "dosage"), ["dosage"], kernel, {"sum_abs": "double", "n": "long"})
+    return out.where("n > 0").select("a", "b", (F.col("sum_abs") / F.col("n")).alias("mean_abs"), "sum_abs", "n")
 
 
 def association(long: DataFrame, traits: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lociweave.plans import evidence_queries, hmm_queries, model_queries, posterior_queries, relation_queries, site_queries
+from lociweave.plans import evidence_queries, filter_queries, hmm_queries, model_queries, posterior_queries, relation_queries, site_queries
 
-_MODULES = (evidence_queries, site_queries, posterior_queries, hmm_queries, relation_queries, model_queries)
+_MODULES = (evidence_queries, filter_queries, site_queries, posterior_queries, hmm_queries, relation_queries, model_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -94,10 +94,9 @@ def q_harden_founders(spark, folder):
 
 
 def q_em_founders(spark, folder):
-    """Two rounds of EM over two given and two mutable founders."""
-    given = domain.founders(spark, folder).where("founder < 2")
-    panel = sites.padded(given, 4)
-    start = panel.withColumn("alt_prob", F.when(F.col("immutable") == 0, 0.3 + 0.4 * (F.col("founder") - 2)).otherwise(F.col("alt_prob")))
+    """Two rounds of EM over the five given and two mutable founders."""
+    panel = sites.padded(domain.founders(spark, folder), 7)
+    start = panel.withColumn("alt_prob", F.when(F.col("immutable") == 0, 0.3 + 0.4 * (F.col("founder") - 5)).otherwise(F.col("alt_prob")))
     out, _ = hmm.learn_founders(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), start, rounds=2)
     return _r(out, 6, "alt_prob")
 
@@ -107,9 +106,23 @@ def q_pair_counts(spark, folder):
     return _r(hmm.pair_counts(haps), 4, "n")
 
 
+def q_xi(spark, folder):
+    """Summed posteriors of founder pairs at neighbouring sites."""
+    out = hmm.haploid_pair_posteriors(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder))
+    return _r(out, 6, "n")
+
+
+def q_fb_factorised(spark, folder):
+    """Diploid posteriors whose moves follow a rank-two shape fitted to pair counts."""
+    given = _evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder)
+    shape = hmm.factorised_transitions(hmm.pair_counts(hmm.posteriors(*given, 1)), 5)
+    out = hmm.posteriors(*given, 2, shape=shape)
+    return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"))
+
+
 QUERIES = {f.__name__: f for f in (
     q_emission_haploid, q_emission_diploid, q_fragment_likelihood, q_coupling_replace, q_coupling_augment, q_gamma_haploid, q_fb_diploid,
-    q_fb_polyploid, q_ploidy_groups, q_mstep_founders, q_harden_founders, q_em_founders, q_pair_counts,
+    q_fb_polyploid, q_ploidy_groups, q_mstep_founders, q_harden_founders, q_em_founders, q_pair_counts, q_xi, q_fb_factorised,
 )}
 
 
@@ -163,7 +176,47 @@ gam as (select em.sample_id, em.chrom, em.pos, em.t, list_transform(list_zip(a,
   from em join fwd using (sample_id, chrom, t) join bwd using (sample_id, chrom, t)),
 hap as materialized (select sample_id, chrom, pos, t, list_transform(g, lambda x: x / list_sum(g)) as h from gam)"""
 
+#: The diploid recursion over lists of 25 ordered founder pairs; number 5 * i + j + 1 is the pair (i, j).
+_MOVED = """list_transform(range(25), lambda k: (1 - sw - sw / 4) * (1 - sw - sw / 4) * {x}[k + 1]
+    + (1 - sw - sw / 4) * sw / 4 * (list_sum({x}[k // 5 * 5 + 1:k // 5 * 5 + 5]) + list_sum(list_transform(range(5), lambda m: {x}[m * 5 + k % 5 + 1])))
+    + sw / 4 * sw / 4 * list_sum({x}))"""
+_GRID2 = f"""{USABLE},\n{COUNTS},\n{RATE},
+cell as (select s.sample_id, r.chrom, r.pos, row_number() over (partition by s.sample_id, r.chrom order by r.pos) as t,
+   count(*) over (partition by s.sample_id, r.chrom) as n, least(1 - 1e-10::double, greatest(1e-10::double, 1 - exp(-s.generation * r.rate))) as sw,
+   coalesce(ref_weight, 0) as ref_weight, coalesce(alt_weight, 0) as alt_weight, coalesce(other_weight, 0) as other_weight
+   from samples s cross join rated r left join evidence e on e.sample_id = s.sample_id and e.pos = r.pos),
+duo as (select f.pos, f.founder * 5 + g.founder as k, (f.alt_prob + g.alt_prob) / 2 as q, f.alt_prob as qa, g.alt_prob as qb from founders f join founders g using (pos)),
+ll as (select c.sample_id, c.chrom, c.pos, c.t, c.n, c.sw, list({_log_e('d.q')} order by k) as l, list((1 - qa) * (1 - qb) order by k) as w0,
+   list(qa * (1 - qb) + (1 - qa) * qb order by k) as w1, list(qa * qb order by k) as w2 from cell c join duo d using (pos) group by all),
+em as materialized (select * exclude (l), list_transform(l, lambda x: exp(x - list_max(l))) as e from ll)"""
+_FB2 = f"""fwd(sample_id, chrom, t, a) as (
+  select sample_id, chrom, t, list_transform(e, lambda x: x / list_sum(e)) from em where t = 1
+  union all
+  select sample_id, chrom, t, list_transform(v, lambda x: x / list_sum(v)) from (
+    select sample_id, chrom, t, list_transform(list_zip(y, e), lambda z: z[1] * z[2]) as v from (
+      select em.sample_id, em.chrom, em.t, em.e, {_MOVED.format(x='f.a')} as y
+      from fwd f join em on em.sample_id = f.sample_id and em.chrom = f.chrom and em.t = f.t + 1))),
+bwd(sample_id, chrom, t, b) as (
+  select sample_id, chrom, t, list_transform(e, lambda x: 0.04::double) from em where t = n
+  union all
+  select sample_id, chrom, t, list_transform(v, lambda x: x / list_sum(v)) from (
+    select sample_id, chrom, t, {_MOVED.format(x='y')} as v from (
+      select em.sample_id, em.chrom, em.t - 1 as t, em.sw, list_transform(list_zip(g.b, em.e), lambda z: z[1] * z[2]) as y
+      from bwd g join em on em.sample_id = g.sample_id and em.chrom = g.chrom and em.t = g.t where g.t > 1))),
+gam as materialized (select em.sample_id, em.chrom, em.pos, w0, w1, w2, list_transform(list_zip(a, b), lambda z: z[1] * z[2]) as g
+  from em join fwd using (sample_id, chrom, t) join bwd using (sample_id, chrom, t)),
+gp as materialized (select sample_id, chrom, pos, list_dot_product(g, w0) / list_sum(g) as g0, list_dot_product(g, w1) / list_sum(g) as g1,
+  list_dot_product(g, w2) / list_sum(g) as g2 from gam)"""
+
 ORACLE_SQL = {
+    "q_fb_diploid": with_tables("reads founders positions samples", f"""{_GRID2},\n{_FB2}
+select sample_id, chrom, pos, round(g1 + 2 * g2, 6) as dosage, round(g0, 6) as g0, round(g1, 6) as g1, round(g2, 6) as g2 from gp""").replace("with ", "with recursive ", 1),
+    "q_xi": with_tables("reads founders positions samples", f"""{_GRID},\n{_FB},
+near as materialized (select m.sample_id, m.chrom, m.pos, i, j, f.a[i + 1] * case when i = j then 1 - m.sw else m.sw / 4 end * m.e[j + 1] * b.b[j + 1] as w
+  from fwd f join em m on m.sample_id = f.sample_id and m.chrom = f.chrom and m.t = f.t + 1
+  join bwd b on b.sample_id = m.sample_id and b.chrom = m.chrom and b.t = m.t, unnest(range(5)) x(i), unnest(range(5)) y(j))
+select chrom, pos, i::int as i, j::int as j, round(sum(w / z), 6) as n
+from (select *, sum(w) over (partition by sample_id, chrom, pos) as z from near) group by all""").replace("with ", "with recursive ", 1),
     "q_emission_haploid": with_tables("reads founders", f"{USABLE},\n{COUNTS},\n{EMIT}\nselect sample_id, pos, founder, round(l, 7) as log_emission from emit"),
     "q_emission_diploid": with_tables("reads founders", f"""{USABLE},\n{COUNTS},
 p as (select a.pos, a.founder as f1, b.founder as f2, (a.alt_prob + b.alt_prob) / 2 as q from founders a join founders b on a.pos = b.pos and a.founder <= b.founder)
