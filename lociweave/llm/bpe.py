@@ -11,6 +11,7 @@ aggregates them in order. The vocabulary reaches the tasks as a broadcast, whose
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from lociweave.llm.textkernel import steps
 
-#: Words that a task remembers at most; then it forgets those that only one step has met.
+#: Words that a Python worker remembers at most, some 50 MB; then it forgets those that only one step has met.
 REMEMBERED = 300_000
 #: Bytes of text encoded and decoded together.
 STEP_BYTES = 2_000_000
@@ -62,10 +63,10 @@ hits as (
 runs as (
   select *, row_number() over (order by place) as n, follows and coalesce(lag(right_place) over (order by place) = place, false) as goes_on from hits),
 starts as (select *, max(case when not goes_on then 2 * n + (not follows)::integer end) over (order by place) as start from runs),
-taken as (select place, right_place, merged from starts where start % 2 = 1 and (n - start // 2) % 2 = 0)
-select r.word, r.part, r.place, coalesce(t.merged, r.tok) as tok, g.done
-from ranked r join goals g using (part) left join taken t on t.place = r.place
-where not exists (from taken x where x.right_place = r.place)
+taken as (select place, right_place, merged from starts where start % 2 = 1 and (n - start // 2) % 2 = 0),
+changed as (select place, merged from taken union all select right_place, null from taken)
+select r.word, r.part, r.place, coalesce(c.merged, r.tok) as tok, g.done
+from ranked r join goals g using (part) left join changed c on c.place = r.place where c.place is null or c.merged is not null
 """
 
 
@@ -75,14 +76,16 @@ class Vocabulary:
 
     ranks: dict[bytes, int]
     merges: np.ndarray
+    digest: str = ""
 
     @classmethod
     def read(cls, file: str) -> Vocabulary:
         """Reads base64 tokens and ranks, a line each."""
         with open(file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            raw = lines.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         rows = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        return cls(ranks, np.array(rows, np.int32).reshape(-1, 3))
+        return cls(ranks, np.array(rows, np.int32).reshape(-1, 3), hashlib.sha256(raw).hexdigest())
 
 
 class Coder:
@@ -211,6 +214,17 @@ class Remembered:
         return self.ids[np.arange(size.sum()) + np.repeat(begin - last + size, size)], size
 
 
+_met: dict[str, Remembered] = {}
+
+
+def remembered(digest: str) -> Remembered:
+    """The words that this worker has met with one vocabulary; those of another go. A cache only: no result depends on it."""
+    if digest not in _met:
+        _met.clear()
+        _met[digest] = Remembered()
+    return _met[digest]
+
+
 def encode_texts(texts: list[str], pattern: regex.Pattern, coder: Coder, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, how many each text has); `known` gains the words that are new."""
     pieces = [pattern.findall(t) for t in texts]
@@ -246,8 +260,8 @@ def encoded(docs: DataFrame, vocabulary_file: str, pattern: str, packed: bool =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = Remembered(), regex.compile(pattern)
-        with Coder(sent.value) as coder:  # nothing outlives the task
+        known, cut = remembered(f"{sent.value.digest} {pattern}"), regex.compile(pattern)
+        with Coder(sent.value) as coder:
             for batch in batches:
                 for part in steps(batch, most=STEP_BYTES):
                     texts = [t or "" for t in part.column("text").to_pylist()]
