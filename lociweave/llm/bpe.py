@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 
 from lociweave.llm.textkernel import steps
 
-#: Words that a Python worker remembers at most, some 50 MB; then it forgets those that only one step has met.
-REMEMBERED = 300_000
+#: Words that a Python worker remembers at most, some 70 MB; then it forgets those that only one step has met.
+REMEMBERED = 400_000
 #: Bytes of text encoded and decoded together.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 4_000_000
 #: Memory of a task's DuckDB, and what each byte of a longer word than usual adds to it.
 MEMORY_MB, BYTES_PER_BYTE = 200, 300
 
@@ -35,38 +35,42 @@ MEMORY_MB, BYTES_PER_BYTE = 200, 300
 USUAL_TOKEN = 16
 
 #: One round. Rows are in the order of `place`, which counts over all words, so neighbours come from windows that need
-#: no sort of their own. A score orders pairs by (rank, place). A block is a number of places of a word, at least twice its
-#: longest token, and a short word is one block. Pairs of the lowest rank of their own and both neighbouring blocks are
-#: contracted: all of a rank at once, in runs of overlapping ones every second from the run's left end, or only the
-#: leftmost where the merged token is `unsafe`, that is starts merges that rank before it. The left row of a contracted
-#: pair takes the merged token, its right row goes. A word without any pair is marked done.
+#: no sort of their own; (rank, place) orders a word's pairs. A part is a number of places of a word, at least twice its
+#: longest token; a word of one part contracts its leftmost minimum-rank pair: the left row takes the merged token, the
+#: right row goes. In words of more parts those pairs are contracted that have the lowest rank of their own and both
+#: neighbouring parts: in runs of overlapping ones every second from the run's left end, or only the leftmost where the
+#: merged token is `unsafe`, that is starts merges that rank before it. A word without any pair is marked done.
 _CONTRACT = """
 with near as (
   select word, part, place, tok, lead(word) over () = word as goes_on, lead(tok) over () as tok_after, lead(place) over () as right_place,
-         lag(word) over () = word and lag(tok) over () = tok as same_before
+         lag(place) over () as before, lag(word) over () = word and lag(tok) over () = tok as same_before
   from (select word, part, place, tok from grown where not done order by place)),
 ranked as (
-  select n.*, m.merged, m.merged::bigint * 4294967296 + n.place as score
+  select n.word, n.part, n.place, n.tok, n.before, n.right_place, n.same_before and n.tok = n.tok_after as follows, m.merged
   from near n left join merges m on n.goes_on and m.pair = n.tok::bigint * 4294967296 + n.tok_after),
-lowest as (select part, min(score) as score from ranked group by part),
+lowest as (select part, min(merged::bigint * 4294967296 + place) as score from ranked group by part),
+short_goals as (
+  select part, score is null as done, (score // 4294967296)::integer as merged, (score % 4294967296)::integer as at
+  from lowest where part not in (select part from long)),
 best as (
-  select part, score, score is null as done from lowest where part not in (select part from long)
-  union all
-  select part, least(score, lag(score) over w, lead(score) over w), min(score) over (partition by word) is null
+  select part, least(score, lag(score) over w, lead(score) over w) as score, min(score) over (partition by word) is null as done
   from lowest join long using (part) window w as (partition by word order by part)),
 goals as (
-  select b.part, b.done, (b.score // 4294967296)::integer as merged, case when u.merged is null then 0 else b.score end as alone
+  select b.part, b.done, (b.score // 4294967296)::integer as merged, case when u.merged is not null then (b.score % 4294967296)::integer end as alone
   from best b left join unsafe u on u.merged = (b.score // 4294967296)::integer),
-hits as (
-  select r.place, r.right_place, r.merged, coalesce(r.same_before and r.tok = r.tok_after, false) as follows
-  from ranked r join goals g on g.part = r.part and g.merged = r.merged where g.alone in (0, r.score)),
+long_rows as (select r.*, g.done, coalesce(r.merged = g.merged and coalesce(g.alone, r.place) = r.place, false) as hit from ranked r join goals g using (part)),
 runs as (
-  select *, row_number() over (order by place) as n, follows and coalesce(lag(right_place) over (order by place) = place, false) as goes_on from hits),
+  select place, right_place, merged, coalesce(follows, false) as follows, row_number() over w as n,
+         coalesce(follows, false) and coalesce(lag(right_place) over w = place, false) as goes_on
+  from long_rows where hit window w as (order by place)),
 starts as (select *, max(case when not goes_on then 2 * n + (not follows)::integer end) over (order by place) as start from runs),
 taken as (select place, right_place, merged from starts where start % 2 = 1 and (n - start // 2) % 2 = 0),
 changed as (select place, merged from taken union all select right_place, null from taken)
-select r.word, r.part, r.place, coalesce(c.merged, r.tok) as tok, g.done
-from ranked r join goals g using (part) left join changed c on c.place = r.place where c.place is null or c.merged is not null
+select r.word, r.part, r.place, case when r.place = g.at then g.merged else r.tok end as tok, g.done
+from ranked r join short_goals g using (part) where g.at is null or r.before is null or r.before <> g.at
+union all
+select r.word, r.part, r.place, coalesce(c.merged, r.tok), r.done
+from long_rows r left join changed c on c.place = r.place where c.place is null or c.merged is not null
 """
 
 
@@ -93,7 +97,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         self._ranks = ranks = vocabulary.ranks
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": True})
         left, right, merged = vocabulary.merges.T.astype(np.int64)
         self._make("merges", pa.table({"pair": left << 32 | right, "merged": merged.astype(np.int32)}))
         # bytes as characters of the same number, so that text aggregation can join them
@@ -140,7 +144,7 @@ class Coder:
         many = -(-sizes // blocks)
         first = np.cumsum(many) - many
         part = np.repeat(first, sizes) + (place - np.repeat(np.cumsum(sizes) - sizes, sizes)) // np.repeat(blocks, sizes)
-        rows = {"word": owner, "place": place, "part": part.astype(np.int32), "tok": self._first[flat], "done": np.zeros(total, bool)}
+        rows = {"word": owner, "place": place.astype(np.int32), "part": part.astype(np.int32), "tok": self._first[flat], "done": np.zeros(total, bool)}
         self._make("state", pa.table(rows))
         of = np.repeat(np.arange(len(some), dtype=np.int32), many)
         long = np.flatnonzero(many[of] > 1).astype(np.int32)
@@ -168,7 +172,8 @@ class Coder:
         self.con.execute(f"set memory_limit = '{MEMORY_MB + BYTES_PER_BYTE * len(ids) // 1_000_000}MB'")
         self.con.register("ids_in", rows)
         found = self.con.execute(
-            "select doc, string_agg(bytes, '' order by place) as text from ids_in join vocab using (tok) group by doc"
+            # the sorted rows reach the aggregate in order, as one thread reads them and insertion order is preserved
+            "select doc, string_agg(bytes, '') as text from (select doc, bytes from ids_in join vocab using (tok) order by place) group by doc"
         ).fetchall()
         self.con.unregister("ids_in")
         out = [b""] * len(sizes)
@@ -208,7 +213,9 @@ class Remembered:
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, how many each word has)."""
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        self.steps_met[np.unique(which)] += 1
+        met = np.zeros(len(self.steps_met), bool)
+        met[which] = True
+        self.steps_met += met
         begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
         last = np.cumsum(size)
         return self.ids[np.arange(size.sum()) + np.repeat(begin - last + size, size)], size
