@@ -50,5 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = written(small.where("u <> v").distinct())
         forget(links)
         links = after
+    else:
+        raise ArithmeticError(f"components have not settled after {MAX_ROUNDS} rounds")
     own = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component_id"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(own)
