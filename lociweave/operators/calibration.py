@@ -137,3 +137,26 @@ def masked_grid(cells: DataFrame, temperatures: list[float], blends: list[float]
     )
     first = Window.partitionBy("maf_bin").orderBy("objective", "temperature", "blend", "prior_weight")
     return out.withColumn("best", F.row_number().over(first) == 1)
+
+
+def guarded(
+    cells: DataFrame,
+    max_mean_abs_dosage_shift: float = 0.35,
+    max_mean_abs_maf_shift: float = 0.20,
+    max_het_rate_shift: float = 0.25,
+    max_mean_abs_entropy_shift: float = 0.50,
+) -> DataFrame:
+    """`cells` (pos, raw, gp) with status; gp goes back to raw in all of them where any mean shift is beyond its limit.
+
+    The shifts are one row, which every cell reads. Without cells there is nothing to return.
+    """
+    s = gp_.shifts(cells)
+    beyond = (
+        (F.col("mean_abs_dosage_shift") > max_mean_abs_dosage_shift)
+        | (F.col("mean_abs_maf_shift") > max_mean_abs_maf_shift)
+        | (F.abs("het_rate_shift") > max_het_rate_shift)
+        | (F.col("mean_abs_entropy_shift") > max_mean_abs_entropy_shift)
+    )
+    verdict = s.select(F.when(beyond, "fallback_to_raw").otherwise("ok").alias("status"))
+    out = cells.join(F.broadcast(verdict))
+    return out.withColumn("gp", F.when(F.col("status") == "ok", F.col("gp")).otherwise(F.col("raw")))
