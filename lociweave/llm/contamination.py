@@ -133,7 +133,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, within: int |
 
         def run_of(w: Column) -> Column:
             terms = F.array_distinct(F.slice("near", F.col("at") + w["start"], w["length"]))
-            first = F.filter(starts, lambda s: F.size(F.array_except(terms, F.slice("here", s, F.lit(within)))) == 0)[0]
+            first = F.get(F.filter(starts, lambda s: F.size(F.array_except(terms, F.slice("here", s, F.lit(within)))) == 0), F.lit(0))
             length = F.least(F.lit(within), F.size("here") - first + 1)
             return F.when(first.isNotNull(), F.struct((F.col("pos") + first - at_here).cast("long").alias("start"), length.cast("long").alias("length")))
 
