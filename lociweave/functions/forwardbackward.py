@@ -77,61 +77,134 @@ def polyploid_step(x: np.ndarray, switch, k: int, ploidy: int, back: bool = Fals
     return out
 
 
-def _scans(emission: np.ndarray, switch: np.ndarray, step, back, batch: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised forward and backward messages. emission: sites, samples if `batch`, then states; switch likewise."""
+def _scans(emission: np.ndarray, switch: np.ndarray, step, back, batch: bool, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised forward and backward messages. emission: sites, samples if `batch`, then states; switch likewise.
+
+    ahead and behind are messages from the stretches before and after this one, as `boundary` gives them; without them a
+    chromosome begins or ends here.
+    """
     back = back or step
     n = len(emission)
+    unit, switch = _normaliser(emission, batch), _fitted(switch, emission, batch)
+    alpha, beta = np.empty_like(emission), np.empty_like(emission)
+    alpha[0] = unit(emission[0] if ahead is None else step(ahead, switch[0]) * emission[0])
+    for t in range(1, n):
+        alpha[t] = unit(step(alpha[t - 1], switch[t]) * emission[t])
+    beta[-1] = unit(np.ones_like(emission[0])) if behind is None else behind
+    for t in range(n - 2, -1, -1):
+        beta[t] = unit(back(beta[t + 1] * emission[t + 1], switch[t + 1]))
+    return alpha, beta
+
+
+def _normaliser(emission: np.ndarray, batch: bool):
+    """A function that makes distributions sum to 1, and those without any mass uniform."""
     axes = tuple(range(1 if batch else 0, emission.ndim - 1))
     shape = emission.shape[1:]
     uniform = np.full(shape, 1.0 / np.prod([shape[i] for i in axes]))
-    if batch:
-        switch = switch.reshape(switch.shape + (1,) * len(axes))
 
     def unit(x: np.ndarray) -> np.ndarray:
         z = x.sum(axes, keepdims=True)
         return np.where(z > 0, x / np.where(z > 0, z, 1), uniform)
 
-    alpha, beta = np.empty_like(emission), np.empty_like(emission)
-    alpha[0] = unit(emission[0])
-    for t in range(1, n):
-        alpha[t] = unit(step(alpha[t - 1], switch[t]) * emission[t])
-    beta[-1] = uniform
-    for t in range(n - 2, -1, -1):
-        beta[t] = unit(back(beta[t + 1] * emission[t + 1], switch[t + 1]))
-    return alpha, beta
+    return unit
+
+
+def _fitted(switch: np.ndarray, emission: np.ndarray, batch: bool) -> np.ndarray:
+    return switch.reshape(switch.shape + (1,) * (emission.ndim - 2)) if batch else switch
+
 
+def boundary(emission: np.ndarray, switch: np.ndarray, step, back=None, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
+    """(message for the stretch after this one, message for the one before), given what these sent; samples on the second axis.
 
-def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None, batch: bool = False) -> np.ndarray:
+    The first is the forward distribution of the last site, the second what the backward recursion hands to the site before
+    the first. Only the running message is held.
+    """
+    unit, switch = _normaliser(emission, True), _fitted(switch, emission, True)
+    back = back or step
+    onward = unit(emission[0] if ahead is None else step(ahead, switch[0]) * emission[0])
+    for t in range(1, len(emission)):
+        onward = unit(step(onward, switch[t]) * emission[t])
+    backward = unit(np.ones_like(emission[0])) if behind is None else behind
+    for t in range(len(emission) - 1, -1, -1):
+        backward = unit(back(backward * emission[t], switch[t]))
+    return onward, backward
+
+
+def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None, batch: bool = False, ahead=None, behind=None) -> np.ndarray:
     """Posterior of each site's states. emission: sites by state shape; switch[t] leads from t - 1 to t.
 
     step(x, switch) moves a distribution forward; back(x, switch) applies the transition to a function of the next state (the same
     as step where the transition is symmetric). With `batch` the second axis of emission and switch is samples, all scanned at once.
+    ahead and behind: see `boundary`.
     """
-    alpha, beta = _scans(emission, switch, step, back, batch)
-    gamma = alpha * beta
+    alpha, beta = _scans(emission, switch, step, back, batch, ahead, behind)
+    gamma = alpha
+    gamma *= beta
     axes = tuple(range(2 if batch else 1, emission.ndim))
-    return gamma / np.maximum(gamma.sum(axes, keepdims=True), 1e-12)
+    gamma /= np.maximum(gamma.sum(axes, keepdims=True), 1e-300)
+    return gamma
+
 
+def haploid_xi(emission: np.ndarray, switch: np.ndarray, ahead=None, behind=None) -> np.ndarray:
+    """Posterior of neighbouring founder pairs, by samples by founders by founders. emission: sites, samples, founders.
 
-def haploid_xi(emission: np.ndarray, switch: np.ndarray) -> np.ndarray:
-    """Posterior of neighbouring founder pairs, sites - 1 by samples by founders by founders. emission: sites, samples, founders."""
-    alpha, beta = _scans(emission, switch, haploid_step, None, True)
+    One entry for each site but the first, whose pair with the site before it comes too where `ahead` is given.
+    """
+    alpha, beta = _scans(emission, switch, haploid_step, None, True, ahead, behind)
+    if ahead is not None:
+        alpha = np.concatenate([ahead[None], alpha])
+        following, sw = emission * beta, switch
+    else:
+        following, sw = emission[1:] * beta[1:], switch[1:]
     k = emission.shape[-1]
-    ahead = emission[1:] * beta[1:]
-    sw = switch[1:, :, None, None]
+    sw = sw[:, :, None, None]
     move = np.where(np.eye(k, dtype=bool), 1 - sw, sw / max(k - 1, 1))
-    xi = alpha[:-1, :, :, None] * move * ahead[:, :, None, :]
+    xi = alpha[:-1, :, :, None] * move * following[:, :, None, :]
     return xi / np.maximum(xi.sum((2, 3), keepdims=True), 1e-300)
 
 
-def site_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, error: float, floor: float = 1e-5) -> np.ndarray:
-    """Scaled emissions, sites by samples by states, of states with alternative frequency q (sites by states) given weighted counts (sites by samples)."""
+def site_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, error: float, floor: float = 1e-5, whole=None) -> np.ndarray:
+    """Scaled emissions, sites by samples by states, of states with alternative frequency q (sites by states) given weighted counts (sites by samples).
+
+    whole(log) may put what whole fragments say into the logarithms before they are scaled.
+    """
     third = error / 3
     p_alt = np.log(np.clip(q * (1 - error) + (1 - q) * third, floor, 1))[:, None]
     p_ref = np.log(np.clip((1 - q) * (1 - error) + q * third, floor, 1))[:, None]
     shape = alt.shape + (1,) * (q.ndim - 1)
-    log = alt.reshape(shape) * p_alt + ref.reshape(shape) * p_ref + other.reshape(shape) * np.log(max(third, floor))
-    return np.exp(log - log.max(tuple(range(2, log.ndim)), keepdims=True))
+    log = alt.reshape(shape) * p_alt
+    log += ref.reshape(shape) * p_ref
+    log += other.reshape(shape) * np.log(max(third, floor))
+    if whole is not None:
+        whole(log)
+    log -= log.max(tuple(range(2, log.ndim)), keepdims=True)
+    return np.exp(log, out=log)
+
+
+def with_fragments(log: np.ndarray, site: np.ndarray, sample: np.ndarray, p: np.ndarray, ploidy: int, mode: str, floor: float = 1e-5, most: float = 1e10) -> None:
+    """Puts whole fragments into log emissions (sites by samples by states) at their centres.
+
+    p: fragments by founders. A state's probability of a fragment is the mean of its founders' (of both, for a diploid); the
+    logarithms of a cell's fragments are added up, and take the place of the cell's own (`replace`) or are added to it (`augment`). Cells
+    touched are scaled to a largest value of 0 and held at -log(most).
+    """
+    if not len(site):
+        return
+    k = p.shape[1]
+    if ploidy == 1:
+        state = p
+    elif ploidy == 2:
+        state = (p[:, :, None] + p[:, None, :]) / 2
+    else:
+        state = p @ np.array([[s.count(f) / ploidy for s in multisets(k, ploidy)] for f in range(k)])
+    cells, which = np.unique(site * log.shape[1] + sample, return_inverse=True)
+    total = np.zeros((len(cells), *state.shape[1:]))
+    np.add.at(total, which, np.log(np.clip(state, floor, 1)))
+    at = np.divmod(cells, log.shape[1])
+    if mode == "augment":
+        total += log[at]
+    total -= total.max(tuple(range(1, total.ndim)), keepdims=True)
+    log[at] = np.maximum(total, -np.log(most))
 
 
 def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndarray:
@@ -152,36 +225,57 @@ def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndar
     return out
 
 
+def state_shape(k: int, ploidy: int) -> tuple[int, ...]:
+    """The shape of a distribution over the states of a ploidy."""
+    return (k,) if ploidy == 1 else (k, k) if ploidy == 2 else (len(multisets(k, ploidy)),)
+
+
+def moves(k: int, ploidy: int, shape: np.ndarray | None = None):
+    """(step, back) of a ploidy; `shape` makes a diploid's moves follow a transition shape."""
+    if ploidy == 1:
+        return haploid_step, None
+    if ploidy == 2:
+        if shape is None:
+            return diploid_step, None
+        return (lambda x, sw: factorised_step(x, sw, shape)), (lambda x, sw: factorised_step(x, sw, shape.T))
+    return (lambda x, sw: polyploid_step(x, sw, k, ploidy)), (lambda x, sw: polyploid_step(x, sw, k, ploidy, True))
+
+
+def state_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, ploidy: int, error: float, begins: bool = True, whole=None) -> np.ndarray:
+    """Scaled emissions of the states of a ploidy. q: sites by K. Where a chromosome `begins`, a multiset counts as often as it has orderings."""
+    if ploidy == 1:
+        return site_emissions(alt, ref, other, q, error, whole=whole)
+    if ploidy == 2:
+        return site_emissions(alt, ref, other, (q[:, :, None] + q[:, None, :]) / 2, error, whole=whole)
+    states = multisets(q.shape[1], ploidy)
+    emission = site_emissions(alt, ref, other, np.stack([q[:, list(s)].mean(1) for s in states], 1), error, whole=whole)
+    if begins:
+        emission[0] *= np.array([orderings(s) for s in states], float) / q.shape[1] ** ploidy
+    return emission
+
+
+def founder_shares(gamma: np.ndarray, k: int, ploidy: int) -> np.ndarray:
+    """Sites by samples by K founder shares from state posteriors."""
+    if ploidy == 1:
+        return gamma
+    if ploidy == 2:
+        return 0.5 * (gamma.sum(2) + gamma.sum(3))
+    return gamma @ np.array([[s.count(f) / ploidy for f in range(k)] for s in multisets(k, ploidy)])
+
+
 def posteriors(
-    alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float, shape: np.ndarray | None = None
+    alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float,
+    shape: np.ndarray | None = None, begins: bool = True, ahead=None, behind=None, whole=None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(founder shares sites by samples by K, genotype probabilities) of many samples on one stretch of sites.
 
-    alt, ref, other and switch are sites by samples, q sites by K. `shape` makes a diploid's moves follow a transition shape.
+    alt, ref, other and switch are sites by samples, q sites by K; begins: see `state_emissions`; ahead and behind: see `boundary`; whole: see `site_emissions`.
     """
     k = q.shape[1]
-    if ploidy == 1:
-        gamma = forward_backward(site_emissions(alt, ref, other, q, error), switch, haploid_step, batch=True)
-        hap = gamma
-    elif ploidy == 2:
-        emission = site_emissions(alt, ref, other, (q[:, :, None] + q[:, None, :]) / 2, error)
-        if shape is None:
-            gamma = forward_backward(emission, switch, diploid_step, batch=True)
-        else:
-            gamma = forward_backward(
-                emission, switch, lambda x, sw: factorised_step(x, sw, shape), lambda x, sw: factorised_step(x, sw, shape.T), batch=True
-            )
-        hap = 0.5 * (gamma.sum(2) + gamma.sum(3))
-    else:
-        states = multisets(k, ploidy)
-        mean = np.stack([q[:, list(s)].mean(1) for s in states], 1)
-        emission = site_emissions(alt, ref, other, mean, error)
-        emission[0] *= np.array([orderings(s) for s in states], float) / k**ploidy
-        gamma = forward_backward(
-            emission, switch, lambda x, sw: polyploid_step(x, sw, k, ploidy), lambda x, sw: polyploid_step(x, sw, k, ploidy, True), batch=True
-        )
-        hap = gamma @ np.array([[s.count(f) / ploidy for f in range(k)] for s in states])
-    return hap, genotype_posterior(gamma, q, ploidy)
+    step, back = moves(k, ploidy, shape)
+    emission = state_emissions(alt, ref, other, q, ploidy, error, begins, whole)
+    gamma = forward_backward(emission, switch, step, back, True, ahead, behind)
+    return founder_shares(gamma, k, ploidy), genotype_posterior(gamma, q, ploidy)
 
 
 def posterior(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, switch: np.ndarray, ploidy: int, error: float) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import forwardbackward as kernels
+from lociweave.operators.evidence import centres
 from lociweave.operators.posterior import clipped
 from lociweave.operators.sites import recombination
 from lociweave.sources.scratch import forget, written
@@ -37,15 +38,23 @@ def diploid_emissions(evidence: DataFrame, panel: DataFrame, error: float = ERRO
     return evidence.join(pairs, "pos").select("sample_id", "pos", "f1", "f2", e.alias("log_emission"))
 
 
+def _run(df: DataFrame) -> list[str]:
+    return ["run"] if "run" in df.columns else []
+
+
 def fragment_likelihoods(observations: DataFrame, panel: DataFrame, max_difference: float = 1000.0) -> DataFrame:
-    """(sample_id, fragment, founder, log_likelihood, scaled): base-quality errors multiplied along a fragment, the best founder 1, floored."""
+    """(sample_id, fragment, founder, log_likelihood, scaled): base-quality errors multiplied along a fragment, the best founder 1, floored.
+
+    A panel with a column run gives that first.
+    """
     err = F.pow(F.lit(10.0), -F.col("qual") / 10.0)
     q = F.col("alt_prob")
     p_alt = clipped(q * (1 - err) + (1 - q) * err / 3, FLOOR, 1.0)
     p_ref = clipped((1 - q) * (1 - err) + q * err / 3, FLOOR, 1.0)
     p = F.when(F.col("code") == 1, p_alt).when(F.col("code") == 0, p_ref).otherwise(clipped(err / 3, FLOOR, 1.0))
-    out = observations.join(panel, "pos").groupBy("sample_id", "fragment", "founder").agg(F.sum(F.log(p)).alias("log_likelihood"))
-    top = F.max("log_likelihood").over(Window.partitionBy("sample_id", "fragment"))
+    name = [*_run(panel), "sample_id", "fragment"]
+    out = observations.join(panel, "pos").groupBy(*name, "founder").agg(F.sum(F.log(p)).alias("log_likelihood"))
+    top = F.max("log_likelihood").over(Window.partitionBy(*name))
     scaled = F.exp(F.greatest(F.col("log_likelihood") - top, F.lit(-float(np.log(max_difference)))))
     return out.withColumn("scaled", scaled)
 
@@ -66,61 +75,110 @@ def coupled(emissions: DataFrame, likelihoods: DataFrame, centres: DataFrame, mo
     return rows.select("sample_id", "pos", "founder", F.greatest(F.col("value") - top, F.lit(-float(np.log(max_emission_difference)))).alias("log_emission"))
 
 
-def _panel_arrays(panel: DataFrame) -> DataFrame:
-    return panel.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q"))
+#: Sites of a block, and bytes of one array of state distributions in a task: so many samples are scanned together.
+CORE, ARRAY_BYTES, MOST_TOGETHER = 4096, 48 << 20, 64
+#: Messages between blocks are final once a round changes none of them by more than this.
+SETTLED = 1e-9
+#: What a row on the samples' side of a group is.
+_SAMPLE, _READS, _FRAGMENT, _AHEAD, _BEHIND = range(5)
+_KEYS = ["run", "chrom", "block", "part"]
 
 
-#: Sites of a block and those it shares with each neighbour, and samples that are scanned together.
-CORE, OVERLAP, TOGETHER = 4096, 256, 64
+def fragment_arrays(fragments: DataFrame, panel: DataFrame) -> DataFrame:
+    """(sample_id, pos, p array by founder, and run if the panel has one) of every fragment at its centre. fragments: one observation for each position, see `compressed`."""
+    p = F.transform(F.array_sort(F.collect_list(F.struct("founder", "scaled"))), lambda x: x["scaled"])
+    arrays = fragment_likelihoods(fragments, panel).groupBy(*_run(panel), "sample_id", "fragment").agg(p.alias("p"))
+    at = centres(fragments).select("sample_id", "fragment", F.col("center").alias("pos"))
+    return arrays.join(at, ["sample_id", "fragment"]).select(*_run(panel), "sample_id", "pos", "p")
 
 
-def _blocks(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, core: int, overlap: int):
-    """(left, right) grouped by (chrom, block, part): the samples and reads of a part of the samples, and the sites of a block.
+def _sides(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int, core: int, fragments: DataFrame | None):
+    """(left, right, number of blocks): rows of samples, reads and fragments, and rows of sites, both with the keys run, chrom, block, part.
 
-    A chromosome is cut into blocks of `core` sites with `overlap` more at both ends, samples into parts of about TOGETHER: a
-    group's size does not depend on the corpus. A block's sites go to each part once.
+    A chromosome is cut into blocks of `core` sites and samples into parts, so a group's size does not depend on the corpus; a
+    block's sites go to each part once. evidence and panel may each have a column run: then all runs are scanned in one job.
     """
-    parts = max(1, -(-samples.count() // TOGETHER))
-    chrom = Window.partitionBy("chrom")
-    site = recombination(positions).join(_panel_arrays(panel), "pos")
-    site = site.select(
-        "chrom", "pos", "rate", "q", (F.row_number().over(chrom.orderBy("pos")) - 1).alias("at"), F.count(F.lit(1)).over(chrom).alias("n")
+    runs = sorted({r[0] for df in (evidence, panel) if "run" in df.columns for r in df.select("run").distinct().collect()}) or [0]  # a handful
+    every_run = F.explode(F.array(*[F.lit(r) for r in runs]))
+    founders = panel.select("founder").distinct().count()
+    states = int(np.prod(kernels.state_shape(founders, ploidy))) if founders else 1
+    together = max(1, min(MOST_TOGETHER, ARRAY_BYTES // (8 * core * states)))
+    n_samples, longest = samples.count(), positions.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
+    parts, blocks = max(1, -(-n_samples // together)), max(1, -(-longest // core))
+    chrom = Window.partitionBy("run", "chrom").orderBy("pos")
+    by_site = panel.groupBy(*([c for c in ("run",) if c in panel.columns]), "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q")
     )
-    first = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / core))
-    last = F.least(F.floor((F.col("n") - 1) / core), F.floor((F.col("at") + overlap) / core))
-    site = site.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    own = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
-    blocks = site.select("chrom", "block").distinct()
-    # every sample gets rows at every site, so one row for each of its blocks is little beside the result
-    grid = samples.select("sample_id", F.col("generation").cast("double").alias("generation"), own.alias("part")).join(blocks)
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("pos", "long"), ("ref_weight", "double"), ("alt_weight", "double"), ("other_weight", "double"))]
-    grid = grid.select("chrom", "block", "part", "sample_id", "generation", *none)
-    seen = evidence.join(samples.select("sample_id"), "sample_id").join(site.select("chrom", "block", "pos"), "pos")
-    seen = seen.select(
-        "chrom", "block", own.alias("part"), "sample_id", F.lit(None).cast("double").alias("generation"), "pos",
-        *[F.col(w).cast("double").alias(w) for w in ("ref_weight", "alt_weight", "other_weight")],
-    )
-    left = grid.unionByName(seen).groupBy("chrom", "block", "part")
+    site = recombination(positions).join(by_site, "pos")
+    if "run" not in site.columns:
+        site = site.withColumn("run", every_run)
+    at = F.row_number().over(chrom) - 1
+    site = site.select("run", "chrom", "pos", "rate", "q", F.floor(at / core).cast("int").alias("block"), F.count(F.lit(1)).over(Window.partitionBy("run", "chrom")).alias("n"))
+    if blocks > 1:
+        site = written(site)  # every round of messages reads it
+    own = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int").alias("part")
+    names = {"generation": "double", "pos": "long", "ref_weight": "double", "alt_weight": "double", "other_weight": "double", "p": "array<double>"}
+
+    def rows(df: DataFrame, kind: int, *has: str) -> DataFrame:
+        rest = [F.col(n).cast(t).alias(n) if n in has else F.lit(None).cast(t).alias(n) for n, t in names.items()]
+        return df.select("run", "chrom", "block", own, "sample_id", F.lit(kind).alias("kind"), *rest)
+
     right = site.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # every sample gets a result at every site, so one row for each of its blocks is little beside that
+    left = rows(samples.withColumn("part", own).join(right.select(*_KEYS).distinct(), "part"), _SAMPLE, "generation")
+    wanted, at_site = samples.select("sample_id"), site.select("run", "chrom", "block", "pos")
+    seen = evidence.join(wanted, "sample_id").join(at_site, ["run", "pos"] if "run" in evidence.columns else "pos")
+    left = left.unionByName(rows(seen, _READS, "pos", "ref_weight", "alt_weight", "other_weight"))
+    if fragments is not None:
+        whole = fragments.join(wanted, "sample_id").join(at_site, ["run", "pos"] if "run" in fragments.columns else "pos")
+        left = left.unionByName(rows(whole, _FRAGMENT, "pos", "p"))
+    if blocks > 1:
+        left = written(left)
     # columns of their own: both sides come from the same sites
-    return left, right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("chrom", "block", "part")
-
-
-def _read_group(left: pa.Table, right: pa.Table, core: int):
-    """(sample ids, sites in order, weights 3 by sites by samples, q, switch, which sites are the block's own)."""
-    right = right.take(pa.array(np.argsort(right["pos"].to_numpy(), kind="stable")))
-    pos, at = right["pos"].to_numpy(), right["at"].to_numpy()
-    q = np.asarray(right["q"].combine_chunks().flatten(), float).reshape(len(pos), -1)
-    generation = left["generation"].to_numpy(zero_copy_only=False)
-    marks = ~np.isnan(generation)
-    all_ids = left["sample_id"].to_numpy()
-    ids, pick = np.unique(all_ids[marks], return_index=True)
-    switch = np.clip(1 - np.exp(-generation[marks][pick][None] * right["rate"].to_numpy()[:, None]), 1e-10, 1 - 1e-10)
-    w = np.zeros((3, len(pos), len(ids)))
-    where = np.searchsorted(pos, left["pos"].to_numpy(zero_copy_only=False)[~marks]), np.searchsorted(ids, all_ids[~marks])
-    for i, name in enumerate(("ref_weight", "alt_weight", "other_weight")):
-        w[i][where] = left[name].to_numpy(zero_copy_only=False)[~marks]
-    return ids, pos, w, q, switch, at // core == right["block"][0].as_py()
+    return left, right.select(*[F.col(c).alias(c) for c in right.columns]), blocks
+
+
+class _Group:
+    """One part of the samples on one block, as arrays: ids; pos; w, 3 by sites by samples; q; switch; messages from both sides."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, ploidy: int):
+        right = right.take(pa.array(np.argsort(right["pos"].to_numpy(), kind="stable")))
+        self.keys = {name: right[name][0].as_py() for name in _KEYS}
+        self.pos, self.n = right["pos"].to_numpy(), right["n"][0].as_py()
+        self.q = np.asarray(right["q"].combine_chunks().flatten(), float).reshape(len(self.pos), -1)
+        kind, all_ids = left["kind"].to_numpy(), left["sample_id"].to_numpy()
+        self.ids, pick = np.unique(all_ids[kind == _SAMPLE], return_index=True)
+        generation = left["generation"].to_numpy(zero_copy_only=False)[kind == _SAMPLE][pick]
+        self.switch = np.clip(1 - np.exp(-generation[None] * right["rate"].to_numpy()[:, None]), 1e-10, 1 - 1e-10)
+        reads = kind == _READS
+        self.w = np.zeros((3, len(self.pos), len(self.ids)))
+        where = self._site(left, reads), np.searchsorted(self.ids, all_ids[reads])
+        for i, name in enumerate(("ref_weight", "alt_weight", "other_weight")):
+            self.w[i][where] = left[name].to_numpy(zero_copy_only=False)[reads]
+        self._left, self._kind, self._ids = left, kind, all_ids
+        self.shape = kernels.state_shape(self.q.shape[1], ploidy)
+        self.ahead, self.behind = self._message(_AHEAD), self._message(_BEHIND)
+
+    def _site(self, left: pa.Table, which: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pos, left["pos"].to_numpy(zero_copy_only=False)[which])
+
+    def _arrays(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        which = np.flatnonzero(self._kind == kind)
+        return which, np.asarray(self._left["p"].take(pa.array(which)).combine_chunks().flatten(), float).reshape(len(which), -1 if len(which) else 0)
+
+    def _message(self, kind: int) -> np.ndarray | None:
+        which, p = self._arrays(kind)
+        if not len(which):
+            return None
+        return p[np.argsort(self._ids[which])].reshape(len(self.ids), *self.shape)
+
+    def whole(self, ploidy: int, mode: str):
+        """What `site_emissions` asks for to take in fragments, or None."""
+        which, p = self._arrays(_FRAGMENT)
+        if not len(which):
+            return None
+        site, sample = self._site(self._left, self._kind == _FRAGMENT), np.searchsorted(self.ids, self._ids[which])
+        return lambda log: kernels.with_fragments(log, site, sample, p, ploidy, mode)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -128,6 +186,57 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, x.shape[-1], dtype=np.int32)), flat)
 
 
+def _column(value, n: int, kind: pa.DataType) -> pa.Array:
+    return pa.array([value] * n, kind)
+
+
+_SENT = "run int, chrom string, block int, part int, sample_id long, kind int, p array<double>"
+
+
+def _with_messages(left: DataFrame, right: DataFrame, blocks: int, ploidy: int, error: float, core: int, shape: np.ndarray | None, mode: str) -> DataFrame:
+    """left with what neighbouring blocks tell each block: forward distributions from before it and backward ones from after it.
+
+    Every round scans all blocks with the messages of the round before. A message is exact once it has come from the chromosome's end, so
+    blocks - 1 rounds are enough; they end sooner where what lies far away no longer matters, which is after two or three
+    unless reads are few and sites close. What is held and written is one distribution for each sample and border.
+    """
+    if blocks == 1:
+        return left
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        sent = []
+        if len(left) and len(right):
+            g = _Group(left, right, ploidy)
+            block, last = g.keys["block"], (g.n - 1) // core
+            emission = kernels.state_emissions(g.w[1], g.w[0], g.w[2], g.q, ploidy, error, block == 0, g.whole(ploidy, mode))
+            step, back = kernels.moves(g.q.shape[1], ploidy, shape)
+            onward, backward = kernels.boundary(emission, g.switch, step, back, g.ahead, g.behind)
+            n = len(g.ids)
+            for kind, to, message in ((_AHEAD, block + 1, onward), (_BEHIND, block - 1, backward)):
+                if 0 <= to <= last:
+                    fixed = [_column(g.keys["run"], n, pa.int32()), _column(g.keys["chrom"], n, pa.string()), _column(to, n, pa.int32()), _column(g.keys["part"], n, pa.int32())]
+                    sent.append(pa.table([*fixed, pa.array(g.ids), _column(kind, n, pa.int32()), _lists(message.reshape(n, -1))], names=_SENT_NAMES))
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64())]
+        return pa.concat_tables(sent) if sent else pa.table([pa.nulls(0, k) for k in kinds], names=_SENT_NAMES)
+
+    messages = None
+    for k in range(blocks - 1):
+        given = left if messages is None else left.unionByName(messages, allowMissingColumns=True)
+        after = written(given.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, _SENT))
+        if messages is not None:
+            names = ["run", "chrom", "block", "part", "sample_id", "kind"]
+            gap = F.aggregate(F.zip_with("p", "was", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y))
+            change = after.join(messages.withColumnRenamed("p", "was"), names).agg(F.max(gap)).first()[0] or 0.0
+            forget(messages)
+        messages = after
+        if k and change <= SETTLED:
+            break
+    return left.unionByName(messages, allowMissingColumns=True)
+
+
+_SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+
+
 def posteriors(
     evidence: DataFrame,
     positions: DataFrame,
@@ -136,57 +245,68 @@ def posteriors(
     ploidy: int = 2,
     error: float = ERROR,
     core: int = CORE,
-    overlap: int = OVERLAP,
     shape: np.ndarray | None = None,
+    fragments: DataFrame | None = None,
+    mode: str = "replace",
 ) -> DataFrame:
-    """(sample_id, chrom, pos, hap array, gp array, dosage) at every site of every sample.
+    """(sample_id, chrom, pos, hap array, gp array, dosage) at every site of every sample; with run first where evidence or panel has one.
 
-    Blocks of sites and parts of samples are scanned in tasks of their own, all samples of a part at once; a block gives its own
-    sites only. Up to `core` sites the result is that of the whole chromosome, beyond it the overlap carries what is near.
-    Sites without reads take part with even emissions. `shape` is a founder transition shape, of founders squared numbers.
+    Blocks of sites and parts of samples are scanned in tasks of their own, all samples of a part at once; blocks tell their
+    neighbours what they know until nothing changes, so the result does not depend on `core`. Sites without reads take part with even
+    emissions. `shape` is a founder transition shape, of founders squared numbers. `fragments` (sample_id, fragment, pos, code, qual, one
+    observation for each position) count as a whole at their centres: instead of the cells they touch (`replace`) or with them (`augment`).
     """
-    left, right = _blocks(evidence, positions, samples, panel, core, overlap)
+    if mode not in ("replace", "augment"):
+        raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
+    whole = None if fragments is None else fragment_arrays(fragments, panel)
+    runs = "run" in evidence.columns or "run" in panel.columns
+    left, right, blocks = _sides(evidence, positions, samples, panel, ploidy, core, whole)
+    left = _with_messages(left, right, blocks, ploidy, error, core, shape, mode)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["sample_id", "chrom", "pos", "hap", "gp", "dosage"]
+        names = ["run", "sample_id", "chrom", "pos", "hap", "gp", "dosage"]
         if not len(left) or not len(right):
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
             return pa.table([pa.nulls(0, k) for k in kinds], names=names)
-        ids, pos, w, q, switch, own = _read_group(left, right, core)
-        hap, gp = kernels.posteriors(w[1], w[0], w[2], q, switch, ploidy, error, shape)
-        hap, gp, pos = hap[own], gp[own], pos[own]
+        g = _Group(left, right, ploidy)
+        hap, gp = kernels.posteriors(g.w[1], g.w[0], g.w[2], g.q, g.switch, ploidy, error, shape, g.keys["block"] == 0, g.ahead, g.behind, g.whole(ploidy, mode))
+        n = len(g.pos) * len(g.ids)
         columns = [
-            pa.array(np.tile(ids, len(pos))), pa.array([right["chrom"][0].as_py()] * (len(pos) * len(ids)), pa.string()),
-            pa.array(np.repeat(pos, len(ids))), _lists(hap), _lists(gp), pa.array((gp @ np.arange(ploidy + 1)).reshape(-1)),
+            _column(g.keys["run"], n, pa.int32()), pa.array(np.tile(g.ids, len(g.pos))), _column(g.keys["chrom"], n, pa.string()),
+            pa.array(np.repeat(g.pos, len(g.ids))), _lists(hap), _lists(gp), pa.array((gp @ np.arange(ploidy + 1)).reshape(-1)),
         ]
         return pa.table(columns, names=names)
 
-    return left.cogroup(right).applyInArrow(scan, "sample_id long, chrom string, pos long, hap array<double>, gp array<double>, dosage double")
+    out = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(
+        scan, "run int, sample_id long, chrom string, pos long, hap array<double>, gp array<double>, dosage double"
+    )
+    return out if runs else out.drop("run")
 
 
-def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, error: float = ERROR, core: int = CORE, overlap: int = OVERLAP) -> DataFrame:
+def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, error: float = ERROR, core: int = CORE) -> DataFrame:
     """(chrom, pos, i, j, n): summed posteriors that a haploid sample has founder i at the site before pos and j at pos.
 
     Sums over a part's samples leave a task, so what is shuffled does not grow with the samples of a part.
     """
-    left, right = _blocks(evidence, positions, samples, panel, core, overlap)
+    left, right, blocks = _sides(evidence, positions, samples, panel, 1, core, None)
+    left = _with_messages(left, right, blocks, 1, error, core, None, "replace")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["chrom", "pos", "i", "j", "n"]
-        if not len(left) or len(right) < 2:
+        if not len(left) or not len(right):
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             return pa.table([pa.nulls(0, k) for k in kinds], names=names)
-        _, pos, w, q, switch, own = _read_group(left, right, core)
-        xi = kernels.haploid_xi(kernels.site_emissions(w[1], w[0], w[2], q, error), switch).sum(1)[own[1:]]
-        pos, k = pos[1:][own[1:]], q.shape[1]
+        g = _Group(left, right, 1)
+        xi = kernels.haploid_xi(kernels.site_emissions(g.w[1], g.w[0], g.w[2], g.q, error), g.switch, g.ahead, g.behind).sum(1)
+        pos, k = g.pos[len(g.pos) - len(xi) :], g.q.shape[1]
         pairs = np.arange(k, dtype=np.int32)
         columns = [
-            pa.array([right["chrom"][0].as_py()] * (len(pos) * k * k), pa.string()), pa.array(np.repeat(pos, k * k)),
+            _column(g.keys["chrom"], len(pos) * k * k, pa.string()), pa.array(np.repeat(pos, k * k)),
             pa.array(np.tile(np.repeat(pairs, k), len(pos))), pa.array(np.tile(pairs, k * len(pos))), pa.array(xi.reshape(-1)),
         ]
         return pa.table(columns, names=names)
 
-    out = left.cogroup(right).applyInArrow(scan, "chrom string, pos long, i int, j int, n double")
+    out = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, "chrom string, pos long, i int, j int, n double")
     return out.groupBy("chrom", "pos", "i", "j").agg(F.sum("n").alias("n"))
 
 
@@ -201,9 +321,12 @@ def by_ploidy(evidence: DataFrame, positions: DataFrame, samples: DataFrame, pan
 
 
 def m_step(haps: DataFrame, fractions: DataFrame) -> DataFrame:
-    """(pos, founder, numerator, denominator): alternative fractions weighted by founder shares. haps: sample_id, pos, hap; fractions: sample_id, pos, fraction."""
-    rows = haps.join(fractions, ["sample_id", "pos"]).select("pos", "fraction", F.posexplode("hap").alias("founder", "share"))
-    return rows.groupBy("pos", F.col("founder").cast("long").alias("founder")).agg(
+    """(pos, founder, numerator, denominator): alternative fractions weighted by founder shares, by run if haps has one.
+
+    haps: sample_id, pos, hap; fractions: sample_id, pos, fraction.
+    """
+    rows = haps.join(fractions, ["sample_id", "pos"]).select(*_run(haps), "pos", "fraction", F.posexplode("hap").alias("founder", "share"))
+    return rows.groupBy(*_run(haps), "pos", F.col("founder").cast("long").alias("founder")).agg(
         F.sum(F.col("share") * F.col("fraction")).alias("numerator"), F.sum("share").alias("denominator")
     )
 
@@ -214,11 +337,14 @@ def alt_fractions(evidence: DataFrame) -> DataFrame:
 
 
 def updated_founders(panel: DataFrame, statistics: DataFrame, damping: float = 0.5) -> DataFrame:
-    """Mutable founders moved towards numerator / denominator and held in [1e-4, 1 - 1e-4]; panel has immutable."""
-    rows = panel.join(statistics, ["pos", "founder"], "left")
+    """Mutable founders moved towards numerator / denominator and held in [1e-4, 1 - 1e-4]; panel has immutable, and may have run.
+
+    `damping` is the part of the old value that stays.
+    """
+    rows = panel.join(statistics, [*_run(panel), "pos", "founder"], "left")
     new = F.when(F.col("denominator") > 1e-8, F.col("numerator") / F.col("denominator")).otherwise(F.col("alt_prob"))
     moved = clipped(damping * F.col("alt_prob") + (1 - damping) * new, 1e-4, 1 - 1e-4)
-    return rows.select("pos", "founder", F.when(F.col("immutable") == 1, F.col("alt_prob")).otherwise(moved).alias("alt_prob"), "immutable")
+    return rows.select(*_run(panel), "pos", "founder", F.when(F.col("immutable") == 1, F.col("alt_prob")).otherwise(moved).alias("alt_prob"), "immutable")
 
 
 def hardened(proposed: DataFrame, current: DataFrame) -> DataFrame:
@@ -227,9 +353,10 @@ def hardened(proposed: DataFrame, current: DataFrame) -> DataFrame:
     n_alt is the rounded mean times the number of mutable founders, kept off the ends where the site varies; a site with fewer
     than two mutable founders stays as proposed.
     """
-    rows = proposed.join(current.select("pos", "founder", F.col("alt_prob").alias("before")), ["pos", "founder"])
+    keys = [*_run(proposed), "pos", "founder"]
+    rows = proposed.join(current.select(*keys, F.col("alt_prob").alias("before")), keys)
     mutable = F.col("immutable") == 0
-    site = Window.partitionBy("pos", "immutable")
+    site = Window.partitionBy(*_run(proposed), "pos", "immutable")
     n, mean = F.count(F.lit(1)).over(site), clipped(F.avg("alt_prob").over(site), 0.0, 1.0)
     top = F.rint(mean * n)
     varies = (mean > 0.5 / n) & (mean < 1 - 0.5 / n)
@@ -237,29 +364,7 @@ def hardened(proposed: DataFrame, current: DataFrame) -> DataFrame:
     rank = F.row_number().over(site.orderBy(F.desc(F.round(F.col("alt_prob") + 0.05 * F.col("before"), 9)), F.desc("founder")))
     rows = rows.withColumn("n", n).withColumn("n_alt", n_alt).withColumn("rank", rank)
     value = F.when(~mutable | (F.col("n") < 2), F.col("alt_prob")).when(F.col("rank") <= F.col("n_alt"), 0.98).otherwise(0.02)
-    return rows.select("pos", "founder", value.alias("alt_prob"), "immutable")
-
-
-def learn_founders(
-    evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, rounds: int = 3, ploidy: int = 2, tolerance: float = 1e-4, harden: bool = False
-) -> tuple[DataFrame, list[float]]:
-    """EM over mutable founders: (panel, largest change of each round). Stops early below the tolerance.
-
-    Each round's panel is written and the one before is deleted, so lineage does not grow and lost executors cost one round.
-    """
-    fractions = alt_fractions(evidence)
-    now, deltas, own = panel, [], None
-    for _ in range(rounds):
-        haps = posteriors(evidence, positions, samples, now, ploidy).select("sample_id", "pos", "hap")
-        new = updated_founders(now, m_step(haps, fractions))
-        new = written(hardened(new, now) if harden else new)
-        both = new.join(now.select("pos", "founder", F.col("alt_prob").alias("before")), ["pos", "founder"])
-        deltas.append(both.agg(F.max(F.abs(F.col("alt_prob") - F.col("before")))).first()[0] or 0.0)
-        forget(own)  # what an earlier round wrote, never the caller's panel
-        now = own = new
-        if deltas[-1] < tolerance:
-            break
-    return now, deltas
+    return rows.select(*keys, value.alias("alt_prob"), "immutable")
 
 
 def pair_counts(haps: DataFrame) -> DataFrame:

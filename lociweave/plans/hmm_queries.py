@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociweave.operators import evidence as ev
-from lociweave.operators import hmm, sites
+from lociweave.operators import founders, hmm, sites
 from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
 from lociweave.plans.evidence_queries import BEST, COUNTS, USABLE
@@ -66,6 +66,30 @@ def q_fb_diploid(spark, folder):
     return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"), *[F.round(F.get("gp", F.lit(g)), 6).alias(f"g{g}") for g in range(3)])
 
 
+def _fb_coupled(spark, folder, mode):
+    out = hmm.posteriors(
+        _evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder), 2,
+        fragments=_fragments(spark, folder), mode=mode,
+    )
+    return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"), *[F.round(F.get("gp", F.lit(g)), 6).alias(f"g{g}") for g in range(3)])
+
+
+def q_fb_coupled(spark, folder):
+    """Diploid posteriors in which whole fragments take the place of the cells at their centres."""
+    return _fb_coupled(spark, folder, "replace")
+
+
+def q_fb_coupled_augment(spark, folder):
+    """Diploid posteriors in which whole fragments count beside the cells at their centres."""
+    return _fb_coupled(spark, folder, "augment")
+
+
+def q_read_log_likelihood(spark, folder):
+    """Read log-likelihood of every sample under its diploid posteriors."""
+    out = founders.read_log_likelihoods(_posteriors(spark, folder, 2), _evidence(spark, folder))
+    return out.select("sample_id", F.round("read_log_likelihood", 4).alias("read_log_likelihood"))
+
+
 def q_fb_polyploid(spark, folder):
     """Triploid posteriors, by site means."""
     out = _posteriors(spark, folder, 3)
@@ -97,10 +121,24 @@ def q_em_founders(spark, folder):
     """Two rounds of EM over the five given and two mutable founders."""
     panel = sites.padded(domain.founders(spark, folder), 7)
     start = panel.withColumn("alt_prob", F.when(F.col("immutable") == 0, 0.3 + 0.4 * (F.col("founder") - 5)).otherwise(F.col("alt_prob")))
-    out, _ = hmm.learn_founders(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), start, rounds=2)
+    out, _ = founders.learn_founders(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), start, rounds=2)
     return _r(out, 6, "alt_prob")
 
 
+def q_founder_start(spark, folder):
+    """Where EM starts: the five given founders, and two more drawn from the sites' alternative fractions, with noise."""
+    panel = sites.padded(domain.founders(spark, folder), 7)
+    out = founders.initial_founders(panel, ev.site_alt_fraction(_evidence(spark, folder)), seed=7, jitter=0.02)
+    return _r(out, 7, "alt_prob")
+
+
+def q_multistart(spark, folder):
+    """Three starts of EM over two mutable founders beside the given five, scanned together: their scores and the best one."""
+    panel = sites.padded(domain.founders(spark, folder), 7)
+    _, scores = founders.multistart(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), panel, starts=3, seed=7, rounds=2)
+    return _r(scores, 4, "read_log_likelihood", "founder_delta")
+
+
 def q_pair_counts(spark, folder):
     haps = _posteriors(spark, folder, 1)
     return _r(hmm.pair_counts(haps), 4, "n")
@@ -122,6 +160,7 @@ def q_fb_factorised(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     q_emission_haploid, q_emission_diploid, q_fragment_likelihood, q_coupling_replace, q_coupling_augment, q_gamma_haploid, q_fb_diploid,
+    q_fb_coupled, q_fb_coupled_augment, q_read_log_likelihood, q_founder_start, q_multistart,
     q_fb_polyploid, q_ploidy_groups, q_mstep_founders, q_harden_founders, q_em_founders, q_pair_counts, q_xi, q_fb_factorised,
 )}
 
@@ -208,7 +247,40 @@ gam as materialized (select em.sample_id, em.chrom, em.pos, w0, w1, w2, list_tra
 gp as materialized (select sample_id, chrom, pos, list_dot_product(g, w0) / list_sum(g) as g0, list_dot_product(g, w1) / list_sum(g) as g1,
   list_dot_product(g, w2) / list_sum(g) as g2 from gam)"""
 
+#: What whole fragments say about the founder pairs of a cell, and the emissions with it.
+_WHOLE2 = """pieces as materialized (select sample_id, center as pos, list(scaled order by founder) as s from frag join center using (sample_id, fragment) group by sample_id, fragment, center),
+touched as materialized (select sample_id, pos, list(w order by k) as w from (
+  select sample_id, pos, k, sum(ln(greatest(1e-5::double, (s[k // 5 + 1] + s[k % 5 + 1]) / 2))) as w from pieces, unnest(range(25)) t(k) group by all) group by all)"""
+
+
+def _coupled_grid(value):
+    """_GRID2 with `value` (of l and w, both lists) in the cells that fragments touch."""
+    ahead, emission = _GRID2.split("em as materialized")
+    held = f"""mixed as (select ll.* exclude (l), case when w is null then l else {value} end as v, w is not null as is_touched from ll left join touched using (sample_id, pos)),
+em as materialized (select * exclude (v, is_touched), list_transform(v, lambda x: exp(case when is_touched then greatest(x - list_max(v), -ln(1e10::double)) else x - list_max(v) end)) as e from mixed)"""
+    return f"{ahead.rstrip()}\n{FRAG},\n{CENTER},\n{_WHOLE2},\n{held}"
+
+
+def _fb_coupled_sql(value):
+    return with_tables("reads founders positions samples", f"""{_coupled_grid(value)},\n{_FB2}
+select sample_id, chrom, pos, round(g1 + 2 * g2, 6) as dosage, round(g0, 6) as g0, round(g1, 6) as g1, round(g2, 6) as g2 from gp""").replace("with ", "with recursive ", 1)
+
+
 ORACLE_SQL = {
+    "q_fb_coupled": _fb_coupled_sql("w"),
+    "q_fb_coupled_augment": _fb_coupled_sql("list_transform(list_zip(l, w), lambda z: z[1] + z[2])"),
+    "q_read_log_likelihood": with_tables("reads founders positions samples", f"""{_GRID2},\n{_FB2},
+share as (select sample_id, pos, least(1 - 1e-6::double, greatest(1e-6::double, (g1 + 2 * g2) / 2)) as a from gp)
+select sample_id, round(sum(ref_count * ln((1 - a) * 0.99 + a * 0.01::double / 3) + alt_count * ln(a * 0.99 + (1 - a) * 0.01::double / 3) + other_count * ln(0.01::double / 3)), 4) as read_log_likelihood
+from share join evidence using (sample_id, pos) group by 1""").replace("with ", "with recursive ", 1),
+    "q_founder_start": with_tables("reads founders", f"""{USABLE},\n{COUNTS},
+fraction as (select pos, case when sum(alt_count + ref_count) > 0 then (sum(alt_count) + 0.5::double) / (sum(alt_count + ref_count) + 1) else 0.5 end as af from evidence group by 1),
+two as (select pos, founder, least(0.999::double, greatest(0.001::double, coalesce(af, 0.5))) as chance from (select distinct pos from founders) s left join fraction using (pos), unnest([5, 6]) t(founder)),
+u as (select *, list_transform(['allele', 'radius', 'angle'], lambda x: (('0x' || substr(md5('7/' || x || '/' || pos || '/' || founder), 1, 8))::bigint + 0.5) / 4294967296.0::double) as u from two)
+select pos, founder, round(least(0.9999::double, greatest(0.0001::double, alt_prob)), 7) as alt_prob, 1 as immutable from founders
+union all
+select pos, founder::bigint, round(least(0.9999::double, greatest(0.0001::double,
+  case when u[1] < chance then 0.98 else 0.02 end + 0.02 * sqrt(-2 * ln(u[2])) * cos(2 * pi() * u[3]))), 7), 0 from u"""),
     "q_fb_diploid": with_tables("reads founders positions samples", f"""{_GRID2},\n{_FB2}
 select sample_id, chrom, pos, round(g1 + 2 * g2, 6) as dosage, round(g0, 6) as g0, round(g1, 6) as g1, round(g2, 6) as g2 from gp""").replace("with ", "with recursive ", 1),
     "q_xi": with_tables("reads founders positions samples", f"""{_GRID},\n{_FB},

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import evidence, hmm, pedigree, posterior, relatedness, sites
+from lociweave.operators import evidence, founders, hmm, pedigree, posterior, relatedness, sites
 from lociweave.operators.components import components
 
 
@@ -104,7 +104,7 @@ def test_em_moves_only_mutable_founders(spark):
     samples = spark.createDataFrame([(s, 10.0) for s in range(4)], "sample_id long, generation double")
     panel = spark.createDataFrame([(p, f, 0.05 if f == 0 else 0.5, int(f == 0)) for p in range(1, 6) for f in range(3)], "pos long, founder long, alt_prob double, immutable int")
     seen = spark.createDataFrame([(s, p, 0.0, 3.0, 0.0) for s in range(4) for p in range(1, 6)], "sample_id long, pos long, ref_weight double, alt_weight double, other_weight double")
-    out, deltas = hmm.learn_founders(seen, pos, samples, panel, rounds=2)
+    out, deltas = founders.learn_founders(seen, pos, samples, panel, rounds=2)
     got = {(r.pos, r.founder): r.alt_prob for r in out.collect()}
     assert all(got[p, 0] == 0.05 for p in range(1, 6)) and all(got[p, 1] > 0.6 for p in range(1, 6)) and len(deltas) == 2
 
