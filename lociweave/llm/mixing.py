@@ -2,15 +2,17 @@
 
 Documents are counted into cells (source, language, topic) of tokens. Each cell gets a keep probability, first the
 same everywhere; then, margin by margin and round by round, the probabilities of a margin's cells are multiplied by
-(target tokens / expected tokens), and held at 1 because no document can be kept more than once. Once a round changes no
-probability by more than `TOLERANCE` of it, a document stays if a number in [0, 1), made from its id by md5, is below its cell's probability.
+(target tokens / expected tokens), and held at 1 because no document can be kept more than once. A round's residual is the sum of
+|target - expected| over all values of all margins, as a share of all tokens. Raking ends when it is nearly 0 or no longer
+falls, which it does where no probabilities reach all targets, and gives the round with the smallest one. A document stays
+if a number in [0, 1), made from its id by md5, is below its cell's probability.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.sources.scratch import forget, written
@@ -21,10 +23,12 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 #: Share of all tokens that the sample aims at.
 KEEP_SHARE = 0.6
-#: Raking ends with the first round that changes no probability by more than this part of it.
-TOLERANCE = 1e-4
-#: Rounds without an end after which raking fails instead of giving probabilities that are not calibrated.
-MOST_ROUNDS = 500
+#: Raking ends with a residual of this, or once PATIENCE rounds have lowered the smallest one by less than GAIN altogether.
+TOLERANCE, GAIN, PATIENCE = 1e-6, 1e-5, 8
+#: No more rounds than these are made, whatever they still gain.
+MOST_ROUNDS = 2000
+#: Rounds of one job, and cells up to which one task does a job's rounds without a shuffle (cells are few beside documents).
+JOB_ROUNDS, CELLS_TOGETHER = 8, 200_000
 #: Topic rules, first match wins: a document with any of these strings has the topic.
 TOPICS = (
     ("legal", ("icense", "opyright", "ICENSE")),
@@ -94,32 +98,64 @@ def raked(
     tolerance: float = TOLERANCE,
     shares: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
-    """cells (source, lang, topic, tokens) with their keep probability p.
+    """cells (source, lang, topic, tokens; each cell once) with their keep probability p.
 
-    Cells without tokens keep the start value, as nothing can be calibrated by them. Each step aggregates a margin
-    (partial sums come first) and joins it back; the cells are written once a round, so lineage stays short. Where a
-    target cannot be reached, as more than all of a value's tokens would be needed, its cells end at 1; `residuals` tells.
+    Cells without tokens keep the start value where nothing moves their margins. Where the targets cannot all be met (more
+    than all of a value's tokens would be needed, or cells are absent), the nearest probabilities found are returned; `residuals` tells how
+    far from each target they are. Eight rounds are one job and one written table of the cells.
     """
-    aims = {m: written(targets(cells, m, powers[m], keep_share, (shares or {}).get(m))) for m in MARGINS}
-    now = cells.withColumn("p", F.lit(float(keep_share)))
-    before = None
-    for _ in range(MOST_ROUNDS):
-        now = now.select(*MARGINS, "tokens", "p", F.col("p").alias("was"))
-        for m in MARGINS:
-            expected = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("expected"))
-            factor = expected.join(aims[m], m).select(
-                m, F.when(F.col("expected") > 0, F.col("target") / F.col("expected")).otherwise(1.0).alias("factor")
-            )
-            now = now.join(factor, m).select(*MARGINS, "tokens", F.least(F.lit(1.0), F.col("p") * F.col("factor")).alias("p"), "was")
-        now = written(now)
-        forget(before)
-        change = F.max(F.when(F.col("was") > 0, F.abs(F.col("p") / F.col("was") - 1)).otherwise(0.0))
-        if (now.agg(change).first()[0] or 0.0) <= tolerance:  # one number
-            for aim in aims.values():
-                forget(aim)
-            return now.drop("was")
-        before = now
-    raise ArithmeticError(f"raking has not settled after {MOST_ROUNDS} rounds")
+    aims = {m: targets(cells, m, powers[m], keep_share, (shares or {}).get(m)) for m in MARGINS}
+    start = cells.select(*MARGINS, "tokens", F.lit(float(keep_share)).alias("p"))
+    for m in MARGINS:
+        start = start.join(aims[m].withColumnRenamed("target", f"target_{m}"), m)
+        start = start.withColumn(f"size_{m}", F.count(F.lit(1)).over(Window.partitionBy(m)))
+    now, column = written(start), "p"
+    n_cells, all_tokens = now.agg(F.count(F.lit(1)), F.sum("tokens")).first()  # two numbers
+    if not all_tokens:
+        return now.select(*MARGINS, "tokens", "p")
+    given = [*MARGINS, "tokens", *[f"{x}_{m}" for m in MARGINS for x in ("target", "size")]]
+    lowest: list[float] = []  # the smallest residual up to each round
+    best: tuple[DataFrame, str] | None = None
+    while True:
+        rows = now.select(*given, F.col(column).alias("p0"))
+        if n_cells <= CELLS_TOGETHER:
+            rows = rows.coalesce(1)  # then no window needs an exchange
+        for i in range(1, JOB_ROUNDS + 1):
+            rows = _round(rows, f"p{i - 1}", f"p{i}", f"off{i}")
+        job = written(rows.select(*given, *[f"{x}{i}" for i in range(1, JOB_ROUNDS + 1) for x in ("p", "off")]))
+        off = job.agg(*[F.sum(f"off{i}") for i in range(1, JOB_ROUNDS + 1)]).first()  # a number for each round
+        ended = False
+        for i in range(1, JOB_ROUNDS + 1):
+            residual = round(off[i - 1] / all_tokens, 9)
+            if not lowest or residual < lowest[-1]:
+                if best is not None and best[0] is not job:
+                    forget(best[0])
+                best = job, f"p{i}"
+            lowest.append(min(residual, lowest[-1]) if lowest else residual)
+            ended = lowest[-1] <= tolerance or len(lowest) >= MOST_ROUNDS
+            ended = ended or len(lowest) > PATIENCE and lowest[-1] > lowest[-1 - PATIENCE] - GAIN
+            if ended:
+                break
+        if now is not best[0]:
+            forget(now)
+        now, column = job, f"p{JOB_ROUNDS}"
+        if ended:
+            return best[0].select(*MARGINS, "tokens", F.col(best[1]).alias("p"))
+
+
+def _round(rows: DataFrame, before: str, after: str, off: str) -> DataFrame:
+    """One round from column `before` to `after`; `off` is what a cell adds to the residual of `after`."""
+    p = F.col(before)
+    for m in MARGINS:
+        expected = F.sum(F.col("tokens") * p).over(Window.partitionBy(m))
+        rows = rows.withColumn("expected", expected)
+        step = F.when(F.col("expected") > 0, F.col(f"target_{m}") / F.col("expected")).otherwise(1.0)
+        rows, p = rows.withColumn(after, F.least(F.lit(1.0), p * step)), F.col(after)
+    missed = F.lit(0.0)
+    for m in MARGINS:
+        rows = rows.withColumn(f"expected_{m}", F.sum(F.col("tokens") * p).over(Window.partitionBy(m)))
+        missed = missed + F.abs(F.col(f"target_{m}") - F.col(f"expected_{m}")) / F.col(f"size_{m}")
+    return rows.withColumn(off, missed).drop("expected", *[f"expected_{m}" for m in MARGINS])
 
 
 def residuals(
@@ -146,6 +182,7 @@ def mixed(
 
     docs: doc_id, text, source, lang; other columns are ignored. Null source and lang are the value `(none)`; null and empty
     texts have no tokens and the topic `general`. Rows that repeat an id share its decision. An empty table gives no rows.
+    Targets that cannot be met are met as nearly as raking gets (see `raked`); no table makes it fail.
     The join of documents with cells is on three columns, of which a hot one may hold a third of all rows: the cells are
     few there, and adaptive execution splits the documents' side.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm.mixing import KEEP_SHARE, MARGINS, NONE, OTHER_TOPIC, POWERS, TOLERANCE, TOPICS, WORD, mixed
+from lociweave.llm.mixing import GAIN, KEEP_SHARE, MARGINS, MOST_ROUNDS, NONE, OTHER_TOPIC, PATIENCE, POWERS, TOLERANCE, TOPICS, WORD, mixed
 from lociweave.sources.tables import table
 
 
@@ -14,7 +14,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rounds in DuckDB, one step after the other, until one changes nothing beyond the tolerance."""
+    """The same rounds in DuckDB, one step after the other, with the same end."""
     whens = " ".join(
         "when " + " or ".join(f"coalesce(contains(text, '{mark}'), false)" for mark in marks) + f" then '{name}'" for name, marks in TOPICS
     )
@@ -25,12 +25,13 @@ def _sql() -> str:
         from (select {m}, sum(tokens)::bigint as own from cells group by 1)))"""
         for m in MARGINS
     )
-    step = "rounds where change > " + repr(TOLERANCE)
     names = "source, lang, topic, tokens, " + ", ".join(f"target_{m}" for m in MARGINS)
-    step = f"(select {names}, p as was, p, n from {step})"
+    going = f"""n < {MOST_ROUNDS} and (n = 0 or not (lowest[n] <= {TOLERANCE!r} or n > {PATIENCE} and lowest[n] > lowest[n - {PATIENCE}] - {GAIN!r}))"""
+    step = f"(select {names}, p, n, lowest from rounds where {going})"
     for m in MARGINS:
-        step = f"""(select {names}, was, n, least(1.0::double, p * case when expected > 0 then target_{m} / expected else 1.0 end) as p
+        step = f"""(select {names}, n, lowest, least(1.0::double, p * case when expected > 0 then target_{m} / expected else 1.0 end) as p
   from (select *, sum(tokens * p) over (partition by {m}) as expected from {step}))"""
+    missed = " + ".join(f"abs(target_{m} - sum(tokens * p) over (partition by {m})) / count(*) over (partition by {m})" for m in MARGINS)
     return f"""with recursive rows_in as materialized (
   select doc_id, coalesce(source, '{NONE}') as source, coalesce(lang, '{NONE}') as lang,
          case {whens} else '{OTHER_TOPIC}' end as topic,
@@ -39,11 +40,12 @@ def _sql() -> str:
 cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from rows_in group by all),
 {aims},
 rounds as (
-  select {names}, {KEEP_SHARE}::double as p, 1.0::double as change, 0 as n
+  select {names}, {KEEP_SHARE}::double as p, 9.0::double as residual, 0 as n, []::double[] as lowest
   from cells join aim_source using (source) join aim_lang using (lang) join aim_topic using (topic)
   union all
-  select {names}, p, max(case when was > 0 then abs(p / was - 1) else 0.0 end) over () as change, n + 1 from {step}),
-last as (select * from rounds where n = (select max(n) from rounds))
+  select {names}, p, residual, n + 1, list_append(lowest, least(residual, coalesce(lowest[n], residual))) from (
+    select *, round(sum(missed) over () / sum(tokens) over (), 9) as residual from (select *, {missed} as missed from {step}))),
+last as (select * from rounds where n = (select n from rounds order by residual, n limit 1))
 select doc_id, source, lang, topic, n_tokens, round(p, 9) as probability,
        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < round(p, 9) as kept
 from rows_in join last using (source, lang, topic)"""
