@@ -10,7 +10,7 @@ if a number in [0, 1), made from its id by md5, is below its cell's probability.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +27,9 @@ KEEP_SHARE = 0.6
 TOLERANCE, GAIN, PATIENCE = 1e-6, 1e-5, 8
 #: No more rounds than these are made, whatever they still gain.
 MOST_ROUNDS = 2000
-#: Rounds of one job, and cells up to which one task does a job's rounds without a shuffle (cells are few beside documents).
-JOB_ROUNDS, CELLS_TOGETHER = 8, 200_000
+#: Up to so many cells (they are few beside documents) are one row of arrays, on which a job makes ROW_ROUNDS rounds; beyond that
+#: cells stay rows, and a job makes JOB_ROUNDS rounds by windows. Both give the same probabilities.
+CELLS_TOGETHER, ROW_ROUNDS, JOB_ROUNDS = 50_000, 250, 3
 #: Topic rules, first match wins: a document with any of these strings has the topic.
 TOPICS = (
     ("legal", ("icense", "opyright", "ICENSE")),
@@ -102,24 +103,95 @@ def raked(
 
     Cells without tokens keep the start value where nothing moves their margins. Where the targets cannot all be met (more
     than all of a value's tokens would be needed, or cells are absent), the nearest probabilities found are returned; `residuals` tells how
-    far from each target they are. Eight rounds are one job and one written table of the cells.
+    far from each target they are.
     """
     aims = {m: targets(cells, m, powers[m], keep_share, (shares or {}).get(m)) for m in MARGINS}
     start = cells.select(*MARGINS, "tokens", F.lit(float(keep_share)).alias("p"))
     for m in MARGINS:
         start = start.join(aims[m].withColumnRenamed("target", f"target_{m}"), m)
         start = start.withColumn(f"size_{m}", F.count(F.lit(1)).over(Window.partitionBy(m)))
-    now, column = written(start), "p"
+    now = written(start)
     n_cells, all_tokens = now.agg(F.count(F.lit(1)), F.sum("tokens")).first()  # two numbers
     if not all_tokens:
         return now.select(*MARGINS, "tokens", "p")
+    return _raked_as_arrays(now, all_tokens, tolerance) if n_cells <= CELLS_TOGETHER else _raked_as_rows(now, all_tokens, tolerance)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _expected(p: Column, tokens: Column, groups: Column) -> Column:
+    """Expected tokens of every value of a margin; groups: the numbers of each value's cells."""
+    return F.transform(groups, lambda g: F.aggregate(g, F.lit(0.0), lambda so_far, i: so_far + tokens[i] * p[i]))
+
+
+_STATE = "struct<p:array<double>,best:array<double>,lowest:array<double>,ended:boolean>"
+
+
+def _raked_as_arrays(start: DataFrame, all_tokens: int, tolerance: float) -> DataFrame:
+    """The rounds as expressions over one row: the cells' tokens and probabilities, and of each margin its targets and its values' cells."""
+    numbered = start.select("*", (F.row_number().over(Window.orderBy(*MARGINS)) - 1).alias("i"), *[(F.dense_rank().over(Window.orderBy(m)) - 1).alias(f"value_{m}") for m in MARGINS])
+    numbered = written(numbered)
+    cells = F.array_sort(F.collect_list(F.struct("i", *MARGINS, "tokens", "p", *[f"value_{m}" for m in MARGINS])))
+    row = numbered.agg(cells.alias("cells"))
+    for m in MARGINS:
+        values = numbered.groupBy(f"value_{m}").agg(F.first(f"target_{m}").alias("target"), F.array_sort(F.collect_list("i")).alias("cells"))
+        values = values.agg(F.array_sort(F.collect_list(F.struct(f"value_{m}", "target", "cells"))).alias(f"margin_{m}"))
+        row = row.join(F.broadcast(values))  # one row each
+    margin = [F.struct(
+        F.col(f"margin_{m}.target").alias("target"), F.col(f"margin_{m}.cells").alias("groups"),
+        F.col(f"cells.value_{m}").alias("value"),
+    ) for m in MARGINS]
+    p = F.col("cells.p")
+    first = F.struct(p.alias("p"), p.alias("best"), F.array().cast("array<double>").alias("lowest"), F.lit(False).alias("ended")).cast(_STATE)
+    row = row.select("cells", F.col("cells.tokens").cast("array<double>").alias("tokens"), F.array(*margin).alias("margins"), first.alias("state"))
+
+    def step(p: Column, m: Column) -> Column:
+        factors = F.transform(_expected(p, F.col("tokens"), m["groups"]), lambda e, j: F.when(e > 0, m["target"][j] / e).otherwise(1.0))
+        return _let(factors, lambda f: F.transform(p, lambda x, i: F.least(F.lit(1.0), x * f[m["value"][i]])))
+
+    def missed(p: Column) -> Column:
+        def of(so_far: Column, m: Column) -> Column:
+            gaps = F.zip_with(_expected(p, F.col("tokens"), m["groups"]), m["target"], lambda e, t: F.abs(t - e))
+            return so_far + F.aggregate(gaps, F.lit(0.0), lambda x, y: x + y)
+
+        return F.round(F.aggregate("margins", F.lit(0.0), of) / all_tokens, 9)
+
+    def follow(state: Column, p: Column, residual: Column) -> Column:
+        n = F.size(state["lowest"])
+        last = F.coalesce(F.get(state["lowest"], n - 1), F.lit(float("inf")))
+        least = F.least(residual, last)
+        calm = (n >= PATIENCE) & (least > F.coalesce(F.get(state["lowest"], n - PATIENCE), F.lit(float("inf"))) - GAIN)
+        return F.struct(
+            p.alias("p"), F.when(residual < last, p).otherwise(state["best"]).alias("best"), F.concat(state["lowest"], F.array(least)).alias("lowest"),
+            ((least <= tolerance) | calm | (n + 1 >= MOST_ROUNDS)).alias("ended"),
+        ).cast(_STATE)
+
+    def next_round(state: Column, _: Column) -> Column:
+        after = F.aggregate("margins", state["p"], step)
+        return F.when(state["ended"], state).otherwise(_let(after, lambda p: _let(missed(p), lambda r: follow(state, p, r)))).cast(_STATE)
+
+    while True:
+        after = written(row.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(ROW_ROUNDS)), F.col("state"), next_round)))
+        forget(row)
+        row = after
+        if row.select("state.ended").first()[0]:
+            break
+    forget(numbered)
+    out = row.select(F.explode(F.zip_with("cells", "state.best", lambda c, p: F.struct(*[c[m].alias(m) for m in MARGINS], c["tokens"].alias("tokens"), p.alias("p")))).alias("c"))
+    return out.select("c.*")
+
+
+def _raked_as_rows(now: DataFrame, all_tokens: int, tolerance: float) -> DataFrame:
+    """The rounds as windows by each margin in turn, a few in each job."""
+    column = "p"
     given = [*MARGINS, "tokens", *[f"{x}_{m}" for m in MARGINS for x in ("target", "size")]]
     lowest: list[float] = []  # the smallest residual up to each round
     best: tuple[DataFrame, str] | None = None
     while True:
         rows = now.select(*given, F.col(column).alias("p0"))
-        if n_cells <= CELLS_TOGETHER:
-            rows = rows.coalesce(1)  # then no window needs an exchange
         for i in range(1, JOB_ROUNDS + 1):
             rows = _round(rows, f"p{i - 1}", f"p{i}", f"off{i}")
         job = written(rows.select(*given, *[f"{x}{i}" for i in range(1, JOB_ROUNDS + 1) for x in ("p", "off")]))

@@ -80,7 +80,9 @@ def test_targets_that_can_be_met_are(spark):
     assert check(spark, cells_of((4, 3, 3), 11), 0.3, {"source": 0.9, "lang": 0.9, "topic": 1.0}) <= 1e-5
 
 
-def test_cells_in_many_partitions_give_the_same(spark, monkeypatch):
+def test_cells_as_rows_give_the_same(spark, monkeypatch):
+    """Beyond CELLS_TOGETHER cells are not one row; six rounds of either are alike."""
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 6)
     cells = cells_of((5, 3, 4), 4, 0.8)
     frame = spark.createDataFrame(cells, SCHEMA)
     one = {r[:3]: r.p for r in mixing.raked(frame).collect()}
