@@ -1,10 +1,9 @@
-"""Fitted models: callability, isotonic calibration, embeddings, heritability, cross-validation."""
+"""Fitted models: callability and isotonic calibration; cross-validation, and array genotypes beside reads."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import IsotonicRegression
@@ -37,45 +36,6 @@ def isotonic(rows: DataFrame, score: str, label: str) -> DataFrame:
     return model.transform(r).drop("_s", "_y")
 
 
-def principal_components(long: DataFrame, k: int = 2) -> DataFrame:
-    """(id, pc array): principal components of samples in the long matrix id, variant, dosage; signs are arbitrary."""
-    wide = long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant", "dosage"))), lambda x: x["dosage"]).alias("v"))
-    n = wide.select(F.size("v")).first()[0]
-    cols = [f"v{i}" for i in range(n)]
-    flat = wide.select("id", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(cols)])
-    x = VectorAssembler(inputCols=cols, outputCol="x").transform(flat)
-    x = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=False).fit(x).transform(x)
-    return PCA(k=k, inputCol="z", outputCol="pc").fit(x).transform(x).select("id", vector_to_array("pc").alias("pc"))
-
-
-def heritability(values: np.ndarray, eigenvalues: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """(h2, log likelihood) of a trait rotated into the eigenvectors of a relationship matrix, by golden section."""
-    def fit(h: float) -> float:
-        d = h * eigenvalues + (1 - h)
-        s = (values**2 / d).mean()
-        return float(-0.5 * (len(values) * np.log(s) + np.log(d).sum()))
-
-    lo, hi, g = 1e-4, 1 - 1e-4, (np.sqrt(5) - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = fit(a), fit(b)
-    for _ in range(steps):
-        if fa < fb:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = fit(b)
-        else:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = fit(a)
-    return (lo + hi) / 2, fit((lo + hi) / 2)
-
-
-def blup(values: np.ndarray, relationship: np.ndarray, h2: float) -> np.ndarray:
-    """Best linear unbiased prediction of the genetic part of a centred trait."""
-    v = h2 * relationship + (1 - h2) * np.eye(len(values))
-    return h2 * relationship @ np.linalg.solve(v, values)
-
-
 def folds(positions: DataFrame, n: int, key: Column) -> DataFrame:
     """Positions with fold: ranks by `key` in each chromosome, dealt round robin."""
     order = Window.partitionBy("chrom").orderBy(key, "pos")

@@ -2,8 +2,8 @@
 
 Statistics of all pairs of samples are made block by block: samples are dealt into blocks, variants into slices, and two
 blocks meet in one slice in a task of its own as dense arrays, whose products give all their pairs at once. All pairs are
-the result by definition; `among` restricts the samples before anything meets. Statistics of variants, and of pairs that
-share a small key, are self-joins with one ordered pair of each two.
+the result by definition; `among` restricts the samples before anything meets. Statistics of variants are made the same way with
+samples and variants changed over. Pairs that share a small key are a self-join with one ordered pair of each two.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ def block_pairs(long: DataFrame, values: list[str], kernel: Callable[..., dict[s
 
     kernel takes the arrays (samples by variants, nan where missing) of one block and of another, value by value, and returns
     each of `sums` as an array of the first by the second; slices are added up. `sided` names pairs of sums of which the first
-    is that of the first block, and then of a; the others must not depend on which block comes first.
+    is that of the first block, and then of a; the others must not depend on which block comes first. A sum of the type `<number>
+    array<double>` is that many numbers for each pair: the kernel returns them on a third axis.
     """
+    kinds = {n: k.split()[-1] for n, k in sums.items()}
+    widths = {n: int(k.split()[0]) for n, k in sums.items() if k.endswith("array<double>")}
+    arrow = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
     blocks = max(1, -(-long.select("id").distinct().count() // BLOCK))
     slices = max(1, -(-long.select("variant").distinct().count() // SLICE))
     rows = long.select(
@@ -56,7 +60,7 @@ def block_pairs(long: DataFrame, values: list[str], kernel: Callable[..., dict[s
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["a", "b", *sums]
         if not len(left) or not len(right):
-            return pa.table([pa.nulls(0, pa.int64())] * 2 + [pa.nulls(0, pa.int64() if k == "long" else pa.float64()) for k in sums.values()], names=names)
+            return pa.table([pa.nulls(0, pa.int64())] * 2 + [pa.nulls(0, arrow[k]) for k in kinds.values()], names=names)
         seen = [np.unique(side["cells"].combine_chunks().flatten().field("variant").to_numpy(zero_copy_only=False)) for side in (left, right)]
         variants = np.unique(np.concatenate(seen))
         (a, x), (b, y) = dense(left, variants), dense(right, variants)
@@ -67,11 +71,16 @@ def block_pairs(long: DataFrame, values: list[str], kernel: Callable[..., dict[s
         got = {n: x[p, q] for n, x in got.items()}
         for one, two in sided:
             got[one], got[two] = np.where(a[p] <= b[q], [got[one], got[two]], [got[two], got[one]])
-        return pa.table([*out, *[got[n].astype(np.int64 if k == "long" else float) for n, k in sums.items()]], names=names)
+        ends = np.arange(len(p) + 1, dtype=np.int32)
+        shown = {n: pa.ListArray.from_arrays(pa.array(ends * widths[n]), pa.array(x.ravel())) if n in widths else x.astype(np.int64 if kinds[n] == "long" else float) for n, x in got.items()}
+        return pa.table([*out, *[shown[n] for n in sums]], names=names)
 
-    schema = "a long, b long, " + ", ".join(f"{n} {k}" for n, k in sums.items())
+    schema = "a long, b long, " + ", ".join(f"{n} {k}" for n, k in kinds.items())
     out = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
-    return out if slices == 1 else out.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in sums])
+    if slices == 1:
+        return out
+    added = {n: F.array(*[F.sum(F.get(n, F.lit(i))) for i in range(widths[n])]) if n in widths else F.sum(n) for n in sums}
+    return out.groupBy("a", "b").agg(*[x.alias(n) for n, x in added.items()])
 
 
 def among(long: DataFrame, ids: DataFrame) -> DataFrame:
@@ -90,11 +99,15 @@ def paired(long: DataFrame, member: str, key: str, values: list[str], same: bool
     return x.join(y, key).where(F.col("a") <= F.col("b") if same else F.col("a") < F.col("b"))
 
 
-def correlations(long: DataFrame) -> DataFrame:
-    """(a, b, r) of samples: values imputed by variant means, centred by sample, cosine. long: id, variant, dosage (may be null)."""
-    v = Window.partitionBy("variant")
+def correlations(long: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(a, b, r) of samples: values imputed by variant means, centred by sample, cosine. long: id, variant, dosage (may be null).
+
+    Means are over all samples; with `ids` (column id) only pairs of those are made.
+    """
+    means = long.groupBy("variant").agg(F.avg("dosage").alias("mean"))
+    rows = long if ids is None else among(long, ids)
     s = Window.partitionBy("id")
-    x = long.select("id", "variant", F.coalesce("dosage", F.avg("dosage").over(v)).alias("d"))
+    x = rows.join(means, "variant").select("id", "variant", F.coalesce("dosage", "mean").alias("d"))
     x = x.withColumn("c", F.col("d") - F.avg("d").over(s))
     x = x.withColumn("u", F.col("c") / F.sqrt(F.greatest(F.sum(F.col("c") * F.col("c")).over(s), F.lit(1e-24))))
     return block_pairs(x.select("id", "variant", "u"), ["u"], lambda a, b: {"r": np.nan_to_num(a) @ np.nan_to_num(b).T}, {"r": "double"})
@@ -111,25 +124,45 @@ def relationship(r: Column, unrelated: float = 0.59, first_degree: float = 0.64,
     )
 
 
+def z_scores(long: DataFrame, *keep: str, population: bool = True) -> DataFrame:
+    """(id, variant, keep, z): dosages less their variant's mean over its deviation, 0 without spread, null where missing.
+
+    The statistics are one row for each variant, joined back: a variant's samples never meet in one task.
+    """
+    by = long.groupBy("variant").agg(F.avg("dosage").alias("mean"), (F.stddev_pop if population else F.stddev_samp)("dosage").alias("sd"))
+    z = F.when(F.col("sd") > 0, (F.col("dosage") - F.col("mean")) / F.col("sd")).when(F.col("dosage").isNotNull(), 0.0)
+    return long.join(by, "variant").select("id", "variant", *keep, z.alias("z"))
+
+
 def grm(long: DataFrame, population: bool = True) -> DataFrame:
     """(a, b, relationship, n) with a <= b: mean product of z-scores over variants, over n - 1. long: id, variant, dosage."""
-    v = Window.partitionBy("variant")
-    sd = F.stddev_pop("dosage").over(v) if population else F.stddev_samp("dosage").over(v)
-    z = long.withColumn("sd", sd).withColumn("z", F.when(F.col("sd") > 0, (F.col("dosage") - F.avg("dosage").over(v)) / F.col("sd")).otherwise(0.0))
     kernel = lambda x, y: {"s": np.nan_to_num(x) @ np.nan_to_num(y).T, "n": _both(x, y)}
-    out = block_pairs(z.select("id", "variant", "z"), ["z"], kernel, {"s": "double", "n": "long"}, same=True)
+    out = block_pairs(z_scores(long, population=population), ["z"], kernel, {"s": "double", "n": "long"}, same=True)
     return out.select("a", "b", "n", (F.col("s") / (F.col("n") - 1)).alias("relationship"), "s")
 
 
 def grm_by_group(long: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """Sums by (a, b, group), and the leave-one-group-out relationship (all - group) / (n_all - n_group)."""
-    v = Window.partitionBy("variant")
-    z = long.withColumn("sd", F.stddev_pop("dosage").over(v)).withColumn("z", F.when(F.col("sd") > 0, (F.col("dosage") - F.avg("dosage").over(v)) / F.col("sd")).otherwise(0.0))
-    pairs = paired(z, "id", "variant", ["z", group], same=True)
-    part = pairs.groupBy("a", "b", F.col(f"x_{group}").alias(group)).agg(F.sum(F.col("x_z") * F.col("y_z")).alias("s"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("a", "b")
-    rest = (F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))
-    return part, part.withColumn("loco", rest)
+    """Sums by (a, b, group), and the leave-one-group-out relationship (all - group) / (n_all - n_group).
+
+    long: id, variant, dosage and the group of the variant. Both are read from one array for each pair, a number for each group.
+    """
+    names = sorted(r[0] for r in long.select(group).distinct().collect())  # groups are chromosomes: few
+    code = F.coalesce(*[F.when(F.col(group) == F.lit(g), i) for i, g in enumerate(names)]).cast("double")
+
+    def kernel(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> dict[str, np.ndarray]:
+        of = np.fmax(np.fmax.reduce(cx, axis=0), np.fmax.reduce(cy, axis=0))
+        parts = [(x[:, of == g], y[:, of == g]) for g in range(len(names))]
+        return {"s": np.stack([np.nan_to_num(p) @ np.nan_to_num(q).T for p, q in parts], 2), "n": np.stack([_both(p, q) for p, q in parts], 2)}
+
+    rows = z_scores(long, group).withColumn("code", code)
+    many = f"{len(names)} array<double>"
+    pairs = block_pairs(rows.select("id", "variant", "z", "code"), ["z", "code"], kernel, {"s": many, "n": many}, same=True)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    each = F.arrays_zip(F.array(*[F.lit(g) for g in names]).alias("group"), F.col("s").alias("s"), F.col("n").alias("n"))
+    part = pairs.select("a", "b", add("s").alias("all_s"), add("n").alias("all_n"), F.explode(each).alias("x"))
+    part = part.select("a", "b", F.col("x.group").alias(group), F.col("x.s").alias("s"), F.col("x.n").cast("long").alias("n"), "all_s", "all_n").where("n > 0")
+    out = part.withColumn("loco", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).drop("all_s", "all_n")
+    return part.drop("all_s", "all_n"), out
 
 
 def king(long: DataFrame) -> DataFrame:
@@ -147,18 +180,25 @@ def king(long: DataFrame) -> DataFrame:
 
 
 def linkage(long: DataFrame) -> DataFrame:
-    """(a, b) of variants with covariance, r, r2, D and D' squared share, over the samples that have both. long: id, variant, dosage."""
-    p = paired(long, "variant", "id", ["dosage"])
-    x, y = F.col("x_dosage"), F.col("y_dosage")
-    out = p.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * y).alias("mxy"), F.avg(x * x).alias("mxx"), F.avg(y * y).alias("myy")
-    )
-    cov = F.col("mxy") - F.col("mx") * F.col("my")
-    vx, vy = F.col("mxx") - F.col("mx") * F.col("mx"), F.col("myy") - F.col("my") * F.col("my")
+    """(a, b) of variants with covariance, r, r2, D and D' squared share, over the samples that have both. long: id, variant, dosage.
+
+    Blocks of variants meet in slices of samples, as blocks of samples do in slices of variants elsewhere.
+    """
+    def kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, q, x, y = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float), np.nan_to_num(x), np.nan_to_num(y)
+        return {"n": p @ q.T, "x": x @ q.T, "y": p @ y.T, "xx": (x * x) @ q.T, "yy": p @ (y * y).T, "xy": x @ y.T}
+
+    turned = long.where("dosage is not null").select(F.col("variant").cast("long").alias("id"), F.col("id").alias("variant"), "dosage")
+    sums = {"n": "long", "x": "double", "y": "double", "xx": "double", "yy": "double", "xy": "double"}
+    out = block_pairs(turned, ["dosage"], kernel, sums, sided=(("x", "y"), ("xx", "yy"))).where("n > 0")
+    kind = long.schema["variant"].dataType
+    mx, my = F.col("x") / F.col("n"), F.col("y") / F.col("n")
+    cov = F.col("xy") / F.col("n") - mx * my
+    vx, vy = F.col("xx") / F.col("n") - mx * mx, F.col("yy") / F.col("n") - my * my
     r = F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy))
-    px, py = F.col("mx") / 2, F.col("my") / 2
+    px, py = mx / 2, my / 2
     d = r * F.sqrt(px * (1 - px) * py * (1 - py))
-    return out.select("a", "b", "n", cov.alias("cov"), r.alias("r"), (r * r).alias("r2"), d.alias("d"), (d * d).alias("d2"))
+    return out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "n", cov.alias("cov"), r.alias("r"), (r * r).alias("r2"), d.alias("d"), (d * d).alias("d2"))
 
 
 def cityblock(long: DataFrame) -> DataFrame:
@@ -191,10 +231,10 @@ def association(long: DataFrame, traits: DataFrame) -> DataFrame:
 
 
 def with_p_values(results: DataFrame) -> DataFrame:
-    """Association results plus neglog_p: two-sided, by the normal limit of t (for hundreds of samples and more)."""
-    from lociweave.operators.posterior import clipped, normal_p
+    """Association results plus neglog_p: two-sided, by the t distribution with the row's degrees of freedom."""
+    from lociweave.operators.mixedmodels import t_neglog
 
-    return results.withColumn("neglog_p", -F.log10(clipped(normal_p(F.col("stat")), 1e-300, 1.0)))
+    return results.withColumn("neglog_p", t_neglog(F.col("stat"), F.col("dof").cast("double")))
 
 
 def permuted(traits: DataFrame, replicates: int, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociweave.operators import evidence as ev
-from lociweave.operators import models, relatedness, sinks
+from lociweave.operators import mixedmodels, models, relatedness, sinks
 from lociweave.operators import pedigree as ped
 from lociweave.operators.components import components
 from lociweave.operators.posterior import argmax, confidence, entropy, margin
@@ -82,7 +82,7 @@ def q_isotonic(spark, folder):
 
 def q_embedding_pca(spark, folder):
     """First two principal components of all vectors, up to sign."""
-    out = models.principal_components(domain.matrix(spark, folder).select("id", "variant", "dosage"))
+    out = mixedmodels.principal_components(domain.matrix(spark, folder).select("id", "variant", "dosage"))
     return out.select("id", *[F.round(F.abs(F.get("pc", F.lit(i))), 5).alias(f"pc{i}") for i in range(2)])
 
 

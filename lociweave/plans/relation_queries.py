@@ -10,6 +10,7 @@ from lociweave.operators import relatedness as rel
 from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
 from lociweave.plans.evidence_queries import COUNTS, USABLE
+from lociweave.plans.mixed_queries import T_TAIL
 
 
 def _r(df, digits, *names):
@@ -63,8 +64,14 @@ def q_expected_relationship(spark, folder):
     return ped.expected_relationship(pairs.union(near).distinct(), p)
 
 
-def _similar(spark, folder):
-    return rel.correlations(domain.matrix(spark, folder).select("id", "variant", "dosage"))
+def _similar(spark, folder, ids=None):
+    return rel.correlations(domain.matrix(spark, folder).select("id", "variant", "dosage"), ids)
+
+
+def _members(spark, folder):
+    """The samples that declared edges name: no other pairs are looked at."""
+    e = _edges(spark, folder)
+    return e.select(F.col("child").alias("id")).union(e.select("parent"))
 
 
 def q_similarity(spark, folder):
@@ -75,12 +82,12 @@ def q_similarity(spark, folder):
 
 def q_edge_status(spark, folder):
     """Status of declared edges by the correlation of their members' vectors."""
-    r = _r(_similar(spark, folder), 7, "r")
+    r = _r(_similar(spark, folder, _members(spark, folder)), 7, "r")
     return ped.edge_status(_edges(spark, folder), r)
 
 
 def q_sample_status(spark, folder):
-    r = _r(_similar(spark, folder), 7, "r")
+    r = _r(_similar(spark, folder, _members(spark, folder)), 7, "r")
     return ped.sample_status(domain.samples(spark, folder), ped.edge_status(_edges(spark, folder), r))
 
 
@@ -118,7 +125,7 @@ def q_gwas_beta_se(spark, folder):
 
 
 def q_gwas_p(spark, folder):
-    """Negative log p-values of one trait: a sample's family number."""
+    """Negative log p-values of one trait, a sample's family number, by the t distribution."""
     long = domain.matrix(spark, folder)
     traits = long.where("variant = 0").select("id", F.lit("fam").alias("trait"), F.col("fam").cast("double").alias("value"))
     out = rel.association(long.select("id", "variant", "dosage"), traits).withColumn("stat", F.round("stat", 6))
@@ -238,10 +245,9 @@ select variant, trait, n, round(beta, 6) as beta, round(se, 6) as beta_se, round
   select variant::int as variant, count(*) as n, avg(dosage) as mx, avg(fam::double) as my, avg(dosage * dosage) as mxx, avg(dosage * fam) as mxy, avg(fam * fam::double) as myy
   from matrix group by all),
 b as (select *, n * (mxx - mx * mx) as sxx, n * (mxy - mx * my) as sxy, n * (myy - my * my) as syy from s),
-c as (select variant, round(case when sxx > 1e-9 then sxy / sxx / sqrt(greatest(0, (syy - sxy * sxy / sxx) / (n - 2)) / sxx) end, 6) as stat from b),
-t as (select *, abs(stat) / sqrt(2.0::double) as z, 1 / (1 + 0.3275911::double * abs(stat) / sqrt(2.0::double)) as t from c)
-select variant, 'fam' as trait, stat, round(-log10(least(1.0::double, greatest(1e-300::double,
-  ((((1.061405429::double * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z)))), 4) as neglog_p from t"""),
+c as (select variant, n - 2 as dof, round(case when sxx > 1e-9 then sxy / sxx / sqrt(greatest(0, (syy - sxy * sxy / sxx) / (n - 2)) / sxx) end, 6) as stat from b),
+t as (select *, atan(abs(stat) / sqrt(dof)) as th from c)
+select variant, 'fam' as trait, stat, round(""" + T_TAIL + """, 4) as neglog_p from t"""),
     "q_long_edges": with_tables("matrix", """m as (select id, max(dosage) filter (where variant = 0) as x, max(dosage) filter (where variant = 1) as y from matrix where variant < 2 group by 1),
 e as (select a.id, round(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), 7) as length from m a join m b on b.id = a.id + 1),
 q as (select median(length) as m, quantile_cont(length, 0.95) as q from e),

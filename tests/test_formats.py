@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import models, sinks
+from lociweave.operators import mixedmodels, models, sinks
 from lociweave.sources import formats
 from lociweave.streaming import counts
 
@@ -78,15 +78,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, counts.running_evidence(reads).collect()))
 
 
-def test_heritability_and_blup():
+def test_heritability_and_blup(spark):
     rng = np.random.default_rng(1)
-    z = rng.normal(size=(300, 400))
-    k = z @ z.T / 400
-    s, u = np.linalg.eigh(k)
-    y = np.linalg.cholesky(0.6 * k + 0.4 * np.eye(300)) @ rng.normal(size=300)
-    y -= y.mean()
-    h2, _ = models.heritability(u.T @ y, np.maximum(s, 0))
-    assert 0.2 < h2 <= 1 and np.corrcoef(models.blup(y, k, h2), y)[0, 1] > 0.5
+    z = rng.normal(size=(120, 300))
+    k = z @ z.T / 300
+    y = np.linalg.cholesky(0.6 * k + 0.4 * np.eye(120)) @ rng.normal(size=120)
+    long = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(120) for j in range(300)], "id long, variant long, dosage double")
+    traits = spark.createDataFrame([(i, "t", float(y[i])) for i in range(120)], "id long, trait string, value double")
+    u, s = mixedmodels.eigenvectors(mixedmodels.standardised(long), 120)
+    parts = mixedmodels.rotated(u, s, traits)
+    h2 = mixedmodels.heritability(parts)
+    blup = {r.id: r.value for r in mixedmodels.corrected(u, parts, h2, "blup", traits).collect()}
+    assert 0.2 < h2.first().h2 <= 1 and np.corrcoef([blup[i] for i in range(120)], y)[0, 1] > 0.5
 
 
 def test_isotonic_does_not_decrease(spark):
