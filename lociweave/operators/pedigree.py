@@ -47,6 +47,44 @@ def ancestry(edges_: DataFrame, samples: DataFrame, least: float = 1e-6, rounds:
     return all_levels.groupBy("id", "ancestor").agg(F.sum("weight").alias("weight"))
 
 
+def ordered(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, step, on_cycle) of every node: steps from 0 in which all parents come before their children.
+
+    edges_: child, parent (rows with a null end do not count, repeated ones once); nodes: id. A node's step is the longest way from a node without
+    parents. Every round takes the nodes without an open parent, so there are as many rounds as generations. What is left has no
+    step: the members of cycles, and their descendants; nodes without open children are taken off these until only cycles (and what lies
+    between two of them) remain, which on_cycle marks.
+    """
+    open_ = written(edges_.where("child is not null and parent is not null").select("child", "parent").distinct())
+    ends = open_.select(F.col("child").alias("id")).union(open_.select("parent"))
+    left = written(nodes.select("id").where("id is not null").union(ends).distinct())
+    placed, k = None, 0
+    while True:
+        free = written(left.join(open_.select(F.col("child").alias("id")).distinct(), "id", "left_anti").withColumn("step", F.lit(k)))
+        if free.isEmpty():
+            break
+        placed = free if placed is None else placed.unionByName(free)
+        left, open_, k = *_without(left, open_, free, "parent"), k + 1
+    stuck, inner = left, left
+    while True:
+        free = written(inner.join(open_.select(F.col("parent").alias("id")).distinct(), "id", "left_anti"))
+        if free.isEmpty():
+            break
+        inner, open_ = _without(inner, open_, free, "child", keep=stuck)
+    rest = stuck.join(inner.withColumn("on_cycle", F.lit(True)), "id", "left").select("id", F.lit(None).cast("int").alias("step"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return rest if placed is None else placed.withColumn("on_cycle", F.lit(False)).unionByName(rest)
+
+
+def _without(left: DataFrame, open_: DataFrame, free: DataFrame, end: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the free nodes and the edges that end in them; the tables before are deleted, but for `keep`."""
+    ids = free.select("id")
+    nodes, edges_ = written(left.join(ids, "id", "left_anti")), written(open_.join(ids.withColumnRenamed("id", end), end, "left_anti").select("child", "parent"))
+    if left is not keep:
+        forget(left)
+    forget(open_)
+    return nodes, edges_
+
+
 def kinship(ancestry_: DataFrame, threshold: float = 0.01) -> DataFrame:
     """(a, b, kinship) for a <> b: half the summed products of ancestry weights, at least `threshold`."""
     x = ancestry_.select("ancestor", F.col("id").alias("a"), F.col("weight").alias("wa"))

@@ -31,6 +31,11 @@ def q_pedigree_edges(spark, folder):
     return _edges(spark, folder)
 
 
+def q_pedigree_order(spark, folder):
+    """Steps in which parents come before their children, over the samples' declared parents."""
+    return ped.ordered(_edges(spark, folder).select("child", "parent"), domain.samples(spark, folder).select(F.col("sample_id").alias("id")))
+
+
 def q_ancestry(spark, folder):
     return _r(ped.ancestry(_edges(spark, folder), domain.samples(spark, folder)), 9, "weight")
 
@@ -141,7 +146,7 @@ def q_long_edges(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_pedigree_edges, q_ancestry, q_kinship, q_smooth, q_kinship_fallback, q_transmission_prior, q_expected_relationship, q_similarity,
+    q_pedigree_edges, q_pedigree_order, q_ancestry, q_kinship, q_smooth, q_kinship_fallback, q_transmission_prior, q_expected_relationship, q_similarity,
     q_edge_status, q_sample_status, q_grm, q_loco_grm, q_king, q_cityblock, q_ld_r2, q_gwas_beta_se, q_gwas_p, q_long_edges,
 )}
 
@@ -178,6 +183,9 @@ def _rec(names, body):
 
 ORACLE_SQL = {
     "q_pedigree_edges": with_tables("samples pedigree", f"{EDGES}\nselect * from edges"),
+    "q_pedigree_order": _rec("samples pedigree", f"""{EDGES},
+way(id, n) as (select sample_id, 0 from samples union select e.child, n + 1 from way join edges e on e.parent = way.id)
+select id, max(n)::int as step, false as on_cycle from way group by 1"""),
     "q_ancestry": _rec("samples pedigree", f"{EDGES},\n{ANCESTRY}\nselect id, ancestor, round(weight, 9) as weight from ancestry"),
     "q_kinship": _rec("samples pedigree", f"{EDGES},\n{ANCESTRY},\n{KIN}\nselect a, b, round(kinship, 9) as kinship from kin"),
     "q_smooth": with_tables("reads samples pedigree", f"""{DS},\n{EDGES},

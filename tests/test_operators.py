@@ -93,6 +93,15 @@ def test_components(spark):
     assert components(chain.limit(0)).count() == 0
 
 
+def test_pedigree_order_with_cycles(spark):
+    edges = [(3, 1), (3, 2), (4, 3), (4, 1), (5, 4), (5, 4), (10, 12), (11, 10), (12, 11), (13, 12), (14, 13), (10, 9), (20, 20), (7, None)]
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 6)], "id long")
+    out = {r.id: (r.step, r.on_cycle) for r in pedigree.ordered(spark.createDataFrame(edges, "child long, parent long"), nodes).collect()}
+    steps = {1: 0, 2: 0, 6: 0, 9: 0, 3: 1, 4: 2, 5: 3}
+    assert out == {**{i: (s, False) for i, s in steps.items()}, **{i: (None, True) for i in (10, 11, 12, 20)}, 13: (None, False), 14: (None, False)}
+    assert pedigree.ordered(spark.createDataFrame([], "child long, parent long"), nodes.limit(0)).count() == 0
+
+
 def test_unknown_coupling_mode_is_an_error(spark):
     none = spark.createDataFrame([], "sample_id long, pos long, founder long, log_emission double, fragment long, scaled double, center long")
     with pytest.raises(ValueError, match="unknown coupling mode"):
