@@ -33,8 +33,6 @@ FIT_ROWS = 20_000
 STEMS = (3, 4, 5, 6)
 #: A learned insult has this much evidence (likelihood ratio statistic) and occurs in this share of toxic texts.
 LEAST_EVIDENCE, LEAST_SHARE = 16.0, 0.02
-#: Lexicon entries at most, by evidence.
-MOST_TERMS = 5_000
 
 # Word lists of the grammar.
 INSULTS = (
@@ -226,7 +224,8 @@ def learned(labelled: DataFrame) -> Grammar:
         odds = F.log((b + 0.5) / (bad + 1)) - F.log((n - b + 0.5) / (total - bad + 1))
         kept = terms.withColumn("evidence", evidence).withColumn("odds", odds)
         kept = kept.where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") > 1) & (b >= LEAST_SHARE * bad))
-        insults = {r["term"]: r["odds"] for r in kept.orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).collect()}
+        # at most 1 / LEAST_SHARE times the terms of a mean toxic text, as each of these is in that share of them
+        insults = {r["term"]: r["odds"] for r in kept.collect()}
     grammar = Grammar(insults)
     rows = featured(texts.select("text", "toxic"), grammar).select("toxic", "features").limit(FIT_ROWS).toArrow()
     forget(texts)
@@ -242,7 +241,7 @@ def featured(docs: DataFrame, grammar: Grammar, added: str = "features") -> Data
     docs = docs.drop(added)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    sent = docs.sparkSession.sparkContext.broadcast(grammar.insults)  # MOST_TERMS entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(grammar.insults)  # see `learned`: bounded by LEAST_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Grammar(sent.value)
