@@ -73,7 +73,8 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: Language models and BPE are not expressible in SQL; the tests hold every stage against a brute-force version.
+#: Language models and BPE are not expressible in SQL. The tests hold every stage against its operator, and the operators against SQL,
+#: the tokenizer's library or enumeration.
 ORACLE_SQL = None
 
 
