@@ -12,12 +12,13 @@ from lociweave.plans import (
     mixed_queries,
     model_queries,
     posterior_queries,
+    rate_queries,
     relation_queries,
     site_queries,
     transmission_queries,
 )
 
-_MODULES = (evidence_queries, filter_queries, site_queries, posterior_queries, hmm_queries, relation_queries, transmission_queries, model_queries, mixed_queries, decision_queries, boosting_queries, indel_queries)
+_MODULES = (evidence_queries, filter_queries, site_queries, posterior_queries, hmm_queries, relation_queries, transmission_queries, model_queries, mixed_queries, decision_queries, boosting_queries, indel_queries, rate_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
