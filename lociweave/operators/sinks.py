@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.sources import byteranges
+from lociweave.sources.formats import BED_MAGIC
+
 BLOCKS = ("dosage", "support_mask", "recombination", "transitions", "haplotype_probabilities", "genotype_posteriors", "genotype_calls", "founder_updates")
 
 
@@ -89,6 +92,48 @@ def bed_rows(dosages: DataFrame, n_samples: int) -> DataFrame:
     return rows.mapInArrow(pack, "variant_index long, packed binary")
 
 
+def write_genotype_set(dosages: DataFrame, samples: DataFrame, variants: DataFrame, prefix: str) -> None:
+    """`prefix`.bed, .fam and .bim. dosages: variant_index, sample_index, dosage (null or absent: missing); samples: sample_index from 0, fid, iid, father,
+    mother, sex, pheno; variants: variant_index from 0, chrom, snp, cm, pos, a1, a2.
+
+    Ranges of variants are packed and written by tasks of their own; a variant without dosages is missing throughout.
+    """
+    spark = dosages.sparkSession
+    n_samples, n_variants = samples.count(), variants.count()
+    width = (n_samples + 3) // 4
+    each = max(1, byteranges.RANGE_BYTES // max(1, width))
+    folder = byteranges.scratch_name(f"{prefix}.bed")
+    rows = bed_rows(dosages, n_samples).withColumn("chunk", F.floor(F.col("variant_index") / each).cast("long"))
+    empty = np.ones(width * 4, np.uint8)
+    empty[n_samples:] = 0
+    missing = (empty.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
+
+    def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = key[0].as_py()
+        out = np.tile(missing, (min(each, n_variants - chunk * each), 1))
+        for index, packed in zip(right["variant_index"].to_numpy(), right["packed"]):
+            out[index - chunk * each] = np.frombuffer(packed.as_py(), np.uint8)
+        return pa.table({"n": pa.array([byteranges.put(folder, chunk, out.tobytes())], pa.int64())})
+
+    byteranges.ranges(spark, n_variants, each).groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(fill, "n long").agg(F.sum("n")).collect()
+    byteranges.joined(spark, folder, f"{prefix}.bed", BED_MAGIC)
+    for df, order, names, suffix in (
+        (samples, "sample_index", ("fid", "iid", "father", "mother", "sex", "pheno"), "fam"), (variants, "variant_index", ("chrom", "snp", "cm", "pos", "a1", "a2"), "bim"),
+    ):
+        line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in names])
+        byteranges.write_lines(df.select(order, line.alias("line")), order, f"{prefix}.{suffix}")
+
+
+def write_grm(pairs: DataFrame, ids: DataFrame, prefix: str) -> None:
+    """`prefix`.grm.bin and .grm.id, and .grm.N.bin where pairs has n. pairs: i, j (in either order), value; ids: at from 0, fid, iid."""
+    n = ids.count()
+    lower = pairs.withColumn("_i", F.greatest("i", "j")).withColumn("_j", F.least("i", "j")).drop("i", "j").withColumnsRenamed({"_i": "i", "_j": "j"})
+    byteranges.write_triangle(lower, n, f"{prefix}.grm.bin")
+    if "n" in pairs.columns:
+        byteranges.write_triangle(lower, n, f"{prefix}.grm.N.bin", "n")
+    byteranges.write_lines(ids.select("at", F.concat_ws("\t", "fid", "iid").alias("line")), "at", f"{prefix}.grm.id")
+
+
 def renamed(names: DataFrame, column: str, pattern: str, to: str) -> DataFrame:
     """Names with a new_name by a regular expression, and whether it differs."""
     new = F.regexp_replace(column, pattern, to)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.sources import byteranges
+
 #: First bytes of a genotype bed file in variant-major order.
 BED_MAGIC = bytes([0x6C, 0x1B, 0x01])
 #: Genotypes of the four 2-bit codes; None is missing.
@@ -68,49 +70,95 @@ def _white_space(spark: SparkSession, path: str, names: tuple[str, ...], index:
     return rows.select(*[f[i].alias(n) for i, n in enumerate(names)], index)
 
 
-def bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
-    """(variant_index, sample_index, genotype) of a variant-major bed file, null where missing; counts the second allele."""
+def bed(spark: SparkSession, path: str, n_samples: int, variants: DataFrame | None = None) -> DataFrame:
+    """(variant_index, sample_index, genotype) of a variant-major bed file, null where missing; counts the second allele.
+
+    Tasks read ranges of bytes of their own. With `variants` (variant_index; repeated ones count once) only those variants are read, from
+    only those ranges that have some.
+    """
     width = (n_samples + 3) // 4
-    files = spark.read.format("binaryFile").load(path).select("content")
+    if byteranges.read_bytes(path, 0, 3) != BED_MAGIC:
+        raise ValueError("not a variant-major bed file")
+    total = (byteranges.size_of(path) - 3) // width if width else 0
+    each = max(1, byteranges.RANGE_BYTES // max(1, width))
+    chunks = byteranges.ranges(spark, total, each)
+    if variants is None:
+        chunks = chunks.withColumn("wanted", F.lit(None).cast("array<bigint>"))
+    else:
+        own = variants.where(F.col("variant_index").between(0, total - 1)).select(F.col("variant_index").cast("long"))
+        chunks = own.groupBy(F.floor(F.col("variant_index") / each).cast("long").alias("chunk")).agg(F.array_sort(F.collect_set("variant_index")).alias("wanted"))
     codes = np.array([-1 if c is None else c for c in BED_CODES], np.int8)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                if bytes(raw[:3]) != BED_MAGIC:
-                    raise ValueError("not a variant-major bed file")
-                body = raw[3 : 3 + (len(raw) - 3) // width * width].reshape(-1, width)
-                for start in range(0, len(body), 4096):
-                    part = body[start : start + 4096]
+            for chunk, wanted in zip(batch.column("chunk").to_pylist(), batch.column("wanted")):
+                first, last = chunk * each, min(total, (chunk + 1) * each)
+                asked = None if not wanted.is_valid else np.asarray(wanted.values, np.int64)
+                if asked is not None:
+                    first, last = int(asked[0]), int(asked[-1]) + 1
+                body = np.frombuffer(byteranges.read_bytes(path, 3 + first * width, (last - first) * width), np.uint8).reshape(-1, width)
+                index = np.arange(first, last) if asked is None else asked
+                # about a million genotypes in a batch, whatever the number of samples
+                step = max(1, (1 << 20) // n_samples)
+                for start in range(0, len(index), step):
+                    some = index[start : start + step]
+                    part = body[some - first]
                     two = np.stack([(part >> s) & 3 for s in (0, 2, 4, 6)], 2).reshape(len(part), -1)[:, :n_samples]
                     g = codes[two].ravel()
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "variant_index": np.repeat(np.arange(start, start + len(part)), n_samples),
+                            "variant_index": np.repeat(some, n_samples),
                             "sample_index": np.tile(np.arange(n_samples), len(part)),
                             "genotype": pa.array(g.astype(np.int32), mask=g < 0),
                         }
                     )
 
-    return files.mapInArrow(decode, "variant_index long, sample_index long, genotype int")
+    return chunks.mapInArrow(decode, "variant_index long, sample_index long, genotype int")
+
+
+def bed_at(spark: SparkSession, prefix: str, positions: DataFrame) -> DataFrame:
+    """(chrom, pos, snp, a1, a2, fid, iid, genotype) of a genotype set `prefix`.bed, .bim and .fam at the given sites (chrom, pos), with or without a leading chr.
+
+    Only the ranges of the bed file that hold such variants are read.
+    """
+    people, sites = fam(spark, f"{prefix}.fam"), bim(spark, f"{prefix}.bim")
+    plain = F.regexp_replace("chrom", "^chr", "")
+    wanted = positions.select(plain.alias("_chrom"), F.col("pos").cast("long").alias("pos")).distinct()
+    picked = sites.withColumn("_chrom", plain).join(wanted, ["_chrom", "pos"], "left_semi").drop("_chrom")
+    cells = bed(spark, f"{prefix}.bed", people.count(), picked.select("variant_index"))
+    out = cells.join(picked, "variant_index").join(people.select("sample_index", "fid", "iid"), "sample_index")
+    return out.select("chrom", "pos", "snp", "a1", "a2", "fid", "iid", "genotype")
 
 
 def grm_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, value) with j <= i of a lower-triangle float32 file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """(i, j, value) with j <= i of a lower-triangle float32 file, by ranges of bytes."""
+    total, each = byteranges.size_of(path) // 4, byteranges.RANGE_BYTES // 4
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                v = np.frombuffer(content.as_buffer(), "<f4")
-                k = np.arange(len(v))
+            for chunk in batch.column("chunk").to_pylist():
+                v = np.frombuffer(byteranges.read_bytes(path, chunk * each * 4, each * 4), "<f4")
+                k = np.arange(len(v)) + chunk * each
                 i = ((np.sqrt(8 * k + 1.0) - 1) / 2).astype(np.int64)
                 i -= i * (i + 1) // 2 > k  # rounding of the root
                 i += (i + 1) * (i + 2) // 2 <= k
                 yield pa.RecordBatch.from_pydict({"i": i, "j": k - i * (i + 1) // 2, "value": v.astype(float)})
 
-    return files.mapInArrow(decode, "i long, j long, value double")
+    return byteranges.ranges(spark, total, each).mapInArrow(decode, "i long, j long, value double")
+
+
+def grm(spark: SparkSession, prefix: str) -> DataFrame:
+    """(fid_i, iid_i, fid_j, iid_j, value, n) of `prefix`.grm.bin, .grm.id and, where there is one, .grm.N.bin (n null without)."""
+    ids = _white_space(spark, f"{prefix}.grm.id", ("fid", "iid"), "at")
+    out = grm_binary(spark, f"{prefix}.grm.bin")
+    try:
+        counts = grm_binary(spark, f"{prefix}.grm.N.bin").withColumnRenamed("value", "n")
+        out = out.join(counts, ["i", "j"])
+    except FileNotFoundError:
+        out = out.withColumn("n", F.lit(None).cast("double"))
+    for side in ("i", "j"):
+        out = out.join(ids.select(F.col("at").alias(side), F.col("fid").alias(f"fid_{side}"), F.col("iid").alias(f"iid_{side}")), side)
+    return out.select("fid_i", "iid_i", "fid_j", "iid_j", "value", "n")
 
 
 def cigar_aligned(reads: DataFrame) -> DataFrame:
