@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lociweave.plans import (
     boosting_queries,
+    crossvalidation_queries,
     decision_queries,
     evidence_queries,
     file_queries,
@@ -19,7 +20,7 @@ from lociweave.plans import (
     transmission_queries,
 )
 
-_MODULES = (evidence_queries, filter_queries, site_queries, posterior_queries, hmm_queries, relation_queries, transmission_queries, model_queries, mixed_queries, decision_queries, boosting_queries, indel_queries, rate_queries, file_queries)
+_MODULES = (evidence_queries, filter_queries, site_queries, posterior_queries, hmm_queries, relation_queries, transmission_queries, model_queries, mixed_queries, decision_queries, boosting_queries, indel_queries, rate_queries, file_queries, crossvalidation_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
