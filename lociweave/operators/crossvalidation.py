@@ -18,7 +18,9 @@ def pseudo_truth(rows: DataFrame) -> DataFrame:
     name = next((c for c in ("genotype", "genotype_truth", "dosage_truth", "dosage") if c in rows.columns), None)
     if name is None or not {"sample_id", "pos"} <= set(rows.columns):
         raise ValueError("pseudo-truth needs sample_id, pos and one of genotype, genotype_truth, dosage_truth, dosage")
-    genotype = F.rint(clipped(F.col(name).cast("double"), 0.0, 2.0)) if name.startswith("dosage") else F.col(name)
+    # bounds alone would make a genotype of a null
+    held = F.when(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")), clipped(F.col(name).cast("double"), 0.0, 2.0))
+    genotype = F.rint(held) if name.startswith("dosage") else F.col(name)
     dosage = F.col("dosage_truth") if "dosage_truth" in rows.columns else genotype
     cells = rows.select("sample_id", F.col("pos").cast("long").alias("pos"), F.struct(genotype.cast("int").alias("g"), dosage.cast("double").alias("d")).alias("t")).where("t.g is not null")
     best = cells.groupBy("sample_id", "pos").agg(F.min("t").alias("t"))
