@@ -110,7 +110,8 @@ def transition_summary(positions: DataFrame, samples: DataFrame, n_founders: int
 def interpolated(sites: DataFrame, genetic_map: DataFrame) -> DataFrame:
     """cM of each site between the map points around it, held at the map's ends: an as-of join in both directions.
 
-    Both tables are united, sorted once in each chromosome, and the last and next map points carried along.
+    Both tables are united and sorted both ways in each chromosome, and the last map point of either way is carried along: a frame that
+    ends at the row is a running value, while one that reaches to the partition's end is made anew for each row.
     sites: chrom, pos; genetic_map: chrom, pos, cm, where the first of equal positions counts.
     """
     points = genetic_map.groupBy("chrom", "pos").agg(F.min("cm").alias("cm"))
@@ -118,9 +119,9 @@ def interpolated(sites: DataFrame, genetic_map: DataFrame) -> DataFrame:
         points.select("chrom", "pos", "cm", F.lit(0).alias("is_site"))
     )
     up = Window.partitionBy("chrom").orderBy("pos", "is_site").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("chrom").orderBy("pos", F.desc("is_site")).rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("chrom").orderBy(F.desc("pos"), "is_site").rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col("is_site") == 0, F.struct("pos", "cm"))
-    near = both.withColumn("a", F.last(point, ignorenulls=True).over(up)).withColumn("b", F.first(point, ignorenulls=True).over(down))
+    near = both.withColumn("a", F.last(point, ignorenulls=True).over(up)).withColumn("b", F.last(point, ignorenulls=True).over(down))
     a, b = F.col("a"), F.col("b")
     share = (F.col("pos") - a["pos"]) / (b["pos"] - a["pos"])
     line = F.when(a.isNull(), b["cm"]).when(b.isNull(), a["cm"]).when(a["pos"] == b["pos"], a["cm"]).otherwise(a["cm"] + share * (b["cm"] - a["cm"]))
