@@ -1,9 +1,10 @@
 """What must not grow faster than its input: frames, copies of blocks, rows that leave a task."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import sites
+from lociweave.operators import relatedness, sites
 
 
 def test_map_interpolation_carries_points_both_ways(spark):
@@ -19,3 +20,42 @@ def test_map_interpolation_carries_points_both_ways(spark):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
     assert out.where("chrom = 'd'").agg(F.count("cm"), F.count(F.lit(1))).first()[:] == (0, 1)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Blocks of four samples and slices of three variants."""
+    monkeypatch.setattr(relatedness, "BLOCK", 4)
+    monkeypatch.setattr(relatedness, "SLICE", 3)
+
+
+def gappy(spark, n=23, m=10):
+    """Genotypes with gaps as an array and as rows; the last sample has one variant only."""
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 3, (n, m)).astype(float)
+    g[rng.random((n, m)) < 0.2] = np.nan
+    g[-1] = np.nan
+    g[-1, 4] = 1.0
+    rows = [(i, j, float(g[i, j])) for i in range(n) for j in range(m) if g[i, j] == g[i, j]]
+    return g, spark.createDataFrame(rows, "id long, variant long, dosage double")
+
+
+def test_blocks_meet_without_copies_in_a_shuffle(spark, small_blocks):
+    g, long = gappy(spark)
+    out = relatedness.grm(long)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    z = (g - np.nanmean(g, 0)) / np.nanstd(g, 0)
+    s = np.nan_to_num(z) @ np.nan_to_num(z).T
+    n = (g == g).astype(int) @ (g == g).astype(int).T
+    want = {(a, b): (n[a, b], s[a, b]) for a in range(len(g)) for b in range(a, len(g)) if n[a, b]}
+    got = {(r.a, r.b): (r.n, r.s) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    kin = relatedness.king(long.withColumn("genotype", F.col("dosage")))
+    assert "Exchange" not in kin._jdf.queryExecution().executedPlan().toString()
+    for r in kin.collect():
+        both = (g[r.a] == g[r.a]) & (g[r.b] == g[r.b])
+        x, y = g[r.a][both], g[r.b][both]
+        het = min((x == 1).sum(), (y == 1).sum())
+        assert r.n == both.sum() and r.kinship == (None if not het else 0.5 * (1 - (abs(x - y) == 2).sum() / (2.0 * het)))
+    assert relatedness.grm(long.limit(0)).count() == 0
