@@ -59,3 +59,16 @@ def test_blocks_meet_without_copies_in_a_shuffle(spark, small_blocks):
         het = min((x == 1).sum(), (y == 1).sum())
         assert r.n == both.sum() and r.kinship == (None if not het else 0.5 * (1 - (abs(x - y) == 2).sum() / (2.0 * het)))
     assert relatedness.grm(long.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_cityblock_with_and_without_gaps(spark, small_blocks, whole):
+    g, long = gappy(spark)
+    if whole:
+        g = np.nan_to_num(g, nan=2.0)
+        long = spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(g)], "id long, variant long, dosage double")
+    out = relatedness.cityblock(long)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    gaps = abs(g[:, None] - g[None])
+    want = {(a, b): (np.nansum(gaps[a, b]), (gaps[a, b] == gaps[a, b]).sum()) for a in range(len(g)) for b in range(a + 1, len(g)) if (gaps[a, b] == gaps[a, b]).any()}
+    assert {(r.a, r.b): (r.sum_abs, r.n) for r in out.collect()} == want
