@@ -88,9 +88,8 @@ def q_embedding_pca(spark, folder):
 
 def q_relationship_bands(spark, folder):
     """How many pairs fall into each band of similarity."""
-    r = relatedness.correlations(domain.matrix(spark, folder).select("id", "variant", "dosage"))
-    call = relatedness.relationship(F.round("r", 7), 0.1, 0.2, 0.4)
-    return r.groupBy(call.alias("band")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    r = relatedness.correlation_bands(domain.matrix(spark, folder).select("id", "variant", "dosage"), [0.1, 0.2, 0.4], 7)
+    return r.select(relatedness.relationship(F.col("r"), 0.1, 0.2, 0.4).alias("band"), F.col("n").alias("n_pairs"))
 
 
 def q_stream_windows(spark, folder):

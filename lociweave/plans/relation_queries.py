@@ -69,8 +69,8 @@ def q_expected_relationship(spark, folder):
     return ped.expected_relationship(pairs.union(near).distinct(), p)
 
 
-def _similar(spark, folder, ids=None):
-    return rel.correlations(domain.matrix(spark, folder).select("id", "variant", "dosage"), ids)
+def _similar(spark, folder, ids=None, least=None):
+    return rel.correlations(domain.matrix(spark, folder).select("id", "variant", "dosage"), ids, least)
 
 
 def _members(spark, folder):
@@ -81,7 +81,7 @@ def _members(spark, folder):
 
 def q_similarity(spark, folder):
     """Pairs of samples with a correlation of 0.3 or more, and their relationship call."""
-    out = _r(_similar(spark, folder), 7, "r").where("r >= 0.3")
+    out = _r(_similar(spark, folder, least=0.3 - 1e-6), 7, "r").where("r >= 0.3")
     return out.withColumn("relationship_call", rel.relationship(F.col("r"), 0.32, 0.36, 0.45))
 
 

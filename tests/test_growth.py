@@ -72,3 +72,16 @@ def test_cityblock_with_and_without_gaps(spark, small_blocks, whole):
     gaps = abs(g[:, None] - g[None])
     want = {(a, b): (np.nansum(gaps[a, b]), (gaps[a, b] == gaps[a, b]).sum()) for a in range(len(g)) for b in range(a + 1, len(g)) if (gaps[a, b] == gaps[a, b]).any()}
     assert {(r.a, r.b): (r.sum_abs, r.n) for r in out.collect()} == want
+
+
+def test_few_pairs_or_counts_leave_where_blocks_meet(spark, small_blocks):
+    _, long = gappy(spark)
+    every = {(r.a, r.b): r.r for r in relatedness.correlations(long).collect()}
+    few = relatedness.correlations(long, least=0.2)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b): r.r for r in few.collect()} == {k: r for k, r in every.items() if r >= 0.2}
+    want = {}
+    for r in every.values():
+        reached = max([c for c in (0.1, 0.3) if round(r, 3) >= c], default=-1.0)
+        want[reached] = want.get(reached, 0) + 1
+    assert {r.r: r.n for r in relatedness.correlation_bands(long, [0.3, 0.1], 3).collect()} == want
