@@ -85,3 +85,30 @@ def test_few_pairs_or_counts_leave_where_blocks_meet(spark, small_blocks):
         reached = max([c for c in (0.1, 0.3) if round(r, 3) >= c], default=-1.0)
         want[reached] = want.get(reached, 0) + 1
     assert {r.r: r.n for r in relatedness.correlation_bands(long, [0.3, 0.1], 3).collect()} == want
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("slices", [1, 4])
+def test_loco_means_against_all_pairs(spark, monkeypatch, small_blocks, whole, slices):
+    if slices == 1:
+        monkeypatch.setattr(relatedness, "SLICE", 100)
+    g, long = gappy(spark)
+    if whole:
+        long = spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(np.nan_to_num(g, nan=2.0))], "id long, variant long, dosage double")
+    long = long.withColumn("grp", F.col("variant") % 3)
+    sums = {}
+    part, _ = relatedness.grm_by_group(long, "grp")
+    rows = part.where("n > 0").collect()
+    total = {}
+    for r in rows:
+        s, n = total.get((r.a, r.b), (0, 0))
+        total[r.a, r.b] = s + r.s, n + r.n
+    for r in rows:
+        s, n = total[r.a, r.b]
+        sums.setdefault((r.a, r.grp), []).append((s - r.s) / (n - r.n) if n > r.n else None)
+    got = {(r.a, r.grp): (r.mean_loco, r.n_pairs) for r in relatedness.loco_means(long, "grp").collect()}
+    assert got.keys() == sums.keys()
+    for k, values in sums.items():
+        known = [v for v in values if v is not None]
+        assert got[k][1] == len(values)
+        assert got[k][0] is None if not known else abs(got[k][0] - sum(known) / len(known)) < 1e-9
