@@ -80,11 +80,10 @@ def bed_rows(dosages: DataFrame, n_samples: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for cs in batch.column("cs").to_pylist():
+            for cs in batch.column("cs"):
                 two = np.ones(width * 4, np.uint8)
                 two[n_samples:] = 0
-                for c in cs:
-                    two[c["at"]] = c["code"]
+                two[cs.values.field("at").to_numpy()] = cs.values.field("code").to_numpy()
                 q = two.reshape(-1, 4)
                 out.append((q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("variant_index"), pa.array(out, pa.binary())], names=["variant_index", "packed"])

@@ -27,10 +27,11 @@ def q_genotype_set(spark, folder):
     """Genotypes of the matrix by variant, after writing them as a bed, fam and bim file and reading these."""
     cells = domain.matrix(spark, folder)
     ids = cells.select("id").distinct().withColumn("sample_index", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
+    # samples and variants grow with the table, so joins with their lists are exchanges
     people = ids.select("sample_index", F.lit("f").alias("fid"), F.col("id").cast("string").alias("iid"), F.lit("0").alias("father"), F.lit("0").alias("mother"), F.lit("0").alias("sex"), F.lit("-9").alias("pheno"))
     variants = cells.select(F.col("variant").cast("long").alias("variant_index")).distinct()
     variants = variants.select("variant_index", F.lit("1").alias("chrom"), F.concat(F.lit("v"), F.col("variant_index").cast("string")).alias("snp"), F.lit(0.0).alias("cm"), (F.col("variant_index") + 1).alias("pos"), F.lit("A").alias("a1"), F.lit("G").alias("a2"))
-    rows = cells.join(ids, "id").select(F.col("variant").cast("long").alias("variant_index"), "sample_index", F.col("genotype").cast("double").alias("dosage"))
+    rows = cells.join(ids.hint("merge"), "id").select(F.col("variant").cast("long").alias("variant_index"), "sample_index", F.col("genotype").cast("double").alias("dosage"))
     prefix = f"{_fresh(spark, 'genotypes')}-set"
     sinks.write_genotype_set(rows, people, variants, prefix)
     read = formats.bed_at(spark, prefix, variants.select("chrom", "pos"))

@@ -119,14 +119,15 @@ def bed(spark: SparkSession, path: str, n_samples: int, variants: DataFrame | No
 def bed_at(spark: SparkSession, prefix: str, positions: DataFrame) -> DataFrame:
     """(chrom, pos, snp, a1, a2, fid, iid, genotype) of a genotype set `prefix`.bed, .bim and .fam at the given sites (chrom, pos), with or without a leading chr.
 
-    Only the ranges of the bed file that hold such variants are read.
+    Only the ranges of the bed file that hold such variants are read. Lists of samples and variants are joined by exchanges, however
+    small their files look: broadcast, they would take memory of the driver that grows with them.
     """
     people, sites = fam(spark, f"{prefix}.fam"), bim(spark, f"{prefix}.bim")
     plain = F.regexp_replace("chrom", "^chr", "")
     wanted = positions.select(plain.alias("_chrom"), F.col("pos").cast("long").alias("pos")).distinct()
-    picked = sites.withColumn("_chrom", plain).join(wanted, ["_chrom", "pos"], "left_semi").drop("_chrom")
+    picked = sites.withColumn("_chrom", plain).join(wanted.hint("merge"), ["_chrom", "pos"], "left_semi").drop("_chrom")
     cells = bed(spark, f"{prefix}.bed", people.count(), picked.select("variant_index"))
-    out = cells.join(picked, "variant_index").join(people.select("sample_index", "fid", "iid"), "sample_index")
+    out = cells.join(picked.hint("merge"), "variant_index").join(people.select("sample_index", "fid", "iid").hint("merge"), "sample_index")
     return out.select("chrom", "pos", "snp", "a1", "a2", "fid", "iid", "genotype")
 
 

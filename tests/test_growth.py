@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import relatedness, sites
+from lociweave.operators import relatedness, sinks, sites
+from lociweave.sources import formats
 
 
 def test_map_interpolation_carries_points_both_ways(spark):
@@ -112,3 +113,14 @@ def test_loco_means_against_all_pairs(spark, monkeypatch, small_blocks, whole, s
         known = [v for v in values if v is not None]
         assert got[k][1] == len(values)
         assert got[k][0] is None if not known else abs(got[k][0] - sum(known) / len(known)) < 1e-9
+
+
+def test_lists_of_a_genotype_set_are_not_broadcast(spark, tmp_path):
+    prefix = str(tmp_path / "set")
+    samples = spark.createDataFrame([(s, "f", f"i{s}", "0", "0", "0", "-9") for s in range(5)], "sample_index long, fid string, iid string, father string, mother string, sex string, pheno string")
+    variants = spark.createDataFrame([(v, "1", f"v{v}", 0.0, v + 1, "A", "G") for v in range(6)], "variant_index long, chrom string, snp string, cm double, pos long, a1 string, a2 string")
+    dosages = spark.createDataFrame([(v, s, float((v + s) % 3)) for v in range(6) for s in range(5) if v + s != 4], "variant_index long, sample_index long, dosage double")
+    sinks.write_genotype_set(dosages, samples, variants, prefix)
+    out = formats.bed_at(spark, prefix, variants.where("pos < 5").select("chrom", "pos"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.snp, r.iid): r.genotype for r in out.collect()} == {(f"v{v}", f"i{s}"): (v + s) % 3 if v + s != 4 else None for v in range(4) for s in range(5)}
