@@ -28,11 +28,60 @@ def diploid_step(x: np.ndarray, switch) -> np.ndarray:
     return b * b * x + b * off * (rows + columns) + off * off * rows.sum(-2, keepdims=True)
 
 
-def factorised_step(x: np.ndarray, switch, shape: np.ndarray) -> np.ndarray:
-    """Two founders stay with 1 - switch or move as the row-stochastic `shape` (founders by founders) says."""
-    stay = 1 - switch
-    one = stay * x + switch * np.swapaxes(np.swapaxes(x, -1, -2) @ shape, -1, -2)
-    return stay * one + switch * (one @ shape)
+class Moves:
+    """Moves of many samples at once between states laid out flat: `along` forward, `against` for functions of the next state.
+
+    A site costs a few calls: weights of all sites are made beforehand. Haploids and diploids that move evenly keep a share, and get back what
+    two thin matrices add up (by founder, by both) and spread again.
+    """
+
+    def __init__(self, k: int, ploidy: int, shape: np.ndarray | None = None):
+        self.k, self.ploidy, one = k, ploidy, np.eye(k)
+        self.even = ploidy == 1 or ploidy == 2 and shape is None
+        if ploidy == 1:
+            self.sums = np.ones((k, 1))
+        elif self.even:
+            self.sums = np.hstack([np.kron(one, np.ones((k, 1))), np.kron(np.ones((k, 1)), one), np.ones((k * k, 1))])
+        elif ploidy == 2:
+            self.first, self.second = np.kron(shape, one), np.kron(one, shape)
+        else:
+            self.parts = np.hstack(list(stay_counts(k, ploidy))), np.hstack([p.T for p in stay_counts(k, ploidy)])
+        if self.even:
+            self.spread = np.ascontiguousarray(self.sums.T)
+
+    def weights(self, switch: np.ndarray) -> list:
+        """What `along` asks for at each site, from switches by sites and samples."""
+        off = (switch / max(self.k - 1, 1))[..., None]
+        switch = switch[..., None]
+        stay = 1 - switch - off
+        if self.ploidy == 1:
+            return list(zip(stay, off, strict=True))
+        if self.even:
+            return list(zip(stay * stay, np.concatenate([np.repeat(stay * off, 2 * self.k, 2), off * off], 2), strict=True))
+        if self.ploidy == 2:
+            return list(zip(1 - switch, switch, strict=True))
+        return list(zip(*[(1 - switch) ** m * off ** (self.ploidy - m) for m in range(self.ploidy + 1)], strict=True))
+
+    def along(self, x: np.ndarray, w: tuple, back: bool = False) -> np.ndarray:
+        """Samples by states moved with the weights of one site."""
+        if self.even:
+            sums = np.dot(x, self.sums)
+            sums *= w[1]
+            out = np.dot(sums, self.spread)
+            out += x * w[0]
+            return out
+        if self.ploidy == 2:
+            first, second = (self.first.T, self.second.T) if back else (self.first, self.second)
+            x = w[0] * x + w[1] * (x @ first)
+            return w[0] * x + w[1] * (x @ second)
+        moved = (x @ self.parts[back]).reshape(len(x), self.ploidy + 1, -1)
+        out = w[0] * moved[:, 0]
+        for m in range(1, self.ploidy + 1):
+            out += w[m] * moved[:, m]
+        return out
+
+    def against(self, x: np.ndarray, w: tuple) -> np.ndarray:
+        return self.along(x, w, True)
 
 
 def multisets(k: int, ploidy: int) -> list[tuple[int, ...]]:
@@ -67,81 +116,97 @@ def polyploid_matrix(k: int, ploidy: int, switch: float) -> np.ndarray:
     return np.tensordot((1 - switch) ** m * off ** (ploidy - m), stay_counts(k, ploidy), 1)
 
 
-def polyploid_step(x: np.ndarray, switch, k: int, ploidy: int, back: bool = False) -> np.ndarray:
-    """`x` (multisets on the last axis) times the matrix that `polyploid_matrix` makes, or that times `x`, for any number of switches."""
-    off = switch / max(k - 1, 1)
-    parts = stay_counts(k, ploidy)
-    out = np.zeros_like(x)
-    for m in range(ploidy + 1):
-        out += (1 - switch) ** m * off ** (ploidy - m) * (x @ (parts[m].T if back else parts[m]))
-    return out
-
-
-def _scans(emission: np.ndarray, switch: np.ndarray, step, back, batch: bool, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised forward and backward messages. emission: sites, samples if `batch`, then states; switch likewise.
+def _unit(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Rows made to sum to 1, in place; those without any mass uniform."""
+    z = np.dot(x, ones)
+    if z.min() > 0:
+        x /= z
+        return x
+    return np.where(z > 0, x / np.where(z > 0, z, 1), 1.0 / x.shape[1])
+
+
+def _forward(e: np.ndarray, w: list, moves: Moves, ahead: np.ndarray | None, out: np.ndarray | None = None) -> np.ndarray:
+    """The forward distribution of the last site; `out` takes all. e: sites, samples, flat states; w: weights."""
+    along, ones = moves.along, np.ones((e.shape[2], 1))
+    now = _unit(e[0].copy() if ahead is None else along(ahead, w[0]) * e[0], ones)
+    if out is not None:
+        out[0] = now
+    for t in range(1, len(e)):
+        now = along(now, w[t])
+        now *= e[t]
+        now = _unit(now, ones)
+        if out is not None:
+            out[t] = now
+    return now
+
+
+def _backward(e: np.ndarray, w: list, moves: Moves, behind: np.ndarray | None, out: np.ndarray | None = None) -> np.ndarray:
+    """What the backward recursion hands to the site before the first; `out` takes what each site is handed."""
+    against, ones = moves.against, np.ones((e.shape[2], 1))
+    now = np.full(e.shape[1:], 1.0 / e.shape[2]) if behind is None else behind
+    for t in range(len(e) - 1, -1, -1):
+        if out is not None:
+            out[t] = now
+        now = _unit(against(now * e[t], w[t]), ones)
+    return now
+
+
+def _scans(emission: np.ndarray, switch: np.ndarray, moves: Moves, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised forward and backward messages of samples on the second axis.
 
     ahead and behind are messages from the stretches before and after this one, as `boundary` gives them; without them a
     chromosome begins or ends here.
     """
-    back = back or step
-    n = len(emission)
-    unit, switch = _normaliser(emission, batch), _fitted(switch, emission, batch)
-    alpha, beta = np.empty_like(emission), np.empty_like(emission)
-    alpha[0] = unit(emission[0] if ahead is None else step(ahead, switch[0]) * emission[0])
-    for t in range(1, n):
-        alpha[t] = unit(step(alpha[t - 1], switch[t]) * emission[t])
-    beta[-1] = unit(np.ones_like(emission[0])) if behind is None else behind
-    for t in range(n - 2, -1, -1):
-        beta[t] = unit(back(beta[t + 1] * emission[t + 1], switch[t + 1]))
-    return alpha, beta
-
-
-def _normaliser(emission: np.ndarray, batch: bool):
-    """A function that makes distributions sum to 1, and those without any mass uniform."""
-    axes = tuple(range(1 if batch else 0, emission.ndim - 1))
-    shape = emission.shape[1:]
-    uniform = np.full(shape, 1.0 / np.prod([shape[i] for i in axes]))
+    e, w, ahead, behind = _flat(emission, switch, moves, ahead, behind)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    _forward(e, w, moves, ahead, alpha)
+    _backward(e, w, moves, behind, beta)
+    return alpha.reshape(emission.shape), beta.reshape(emission.shape)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        z = x.sum(axes, keepdims=True)
-        return np.where(z > 0, x / np.where(z > 0, z, 1), uniform)
 
-    return unit
+def _flat(emission, switch, moves, ahead, behind):
+    n = emission.shape[1]
+    return emission.reshape(len(emission), n, -1), moves.weights(switch), None if ahead is None else ahead.reshape(n, -1), None if behind is None else behind.reshape(n, -1)
 
 
-def _fitted(switch: np.ndarray, emission: np.ndarray, batch: bool) -> np.ndarray:
-    return switch.reshape(switch.shape + (1,) * (emission.ndim - 2)) if batch else switch
-
-
-def boundary(emission: np.ndarray, switch: np.ndarray, step, back=None, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
+def boundary(emission: np.ndarray, switch: np.ndarray, moves: Moves, ahead=None, behind=None) -> tuple[np.ndarray, np.ndarray]:
     """(message for the stretch after this one, message for the one before), given what these sent; samples on the second axis.
 
     The first is the forward distribution of the last site, the second what the backward recursion hands to the site before
     the first. Only the running message is held.
     """
-    unit, switch = _normaliser(emission, True), _fitted(switch, emission, True)
-    back = back or step
-    onward = unit(emission[0] if ahead is None else step(ahead, switch[0]) * emission[0])
-    for t in range(1, len(emission)):
-        onward = unit(step(onward, switch[t]) * emission[t])
-    backward = unit(np.ones_like(emission[0])) if behind is None else behind
-    for t in range(len(emission) - 1, -1, -1):
-        backward = unit(back(backward * emission[t], switch[t]))
-    return onward, backward
+    e, w, ahead, behind = _flat(emission, switch, moves, ahead, behind)
+    return _forward(e, w, moves, ahead).reshape(emission.shape[1:]), _backward(e, w, moves, behind).reshape(emission.shape[1:])
 
 
-def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None, batch: bool = False, ahead=None, behind=None) -> np.ndarray:
-    """Posterior of each site's states. emission: sites by state shape; switch[t] leads from t - 1 to t.
+def forward_backward(emission: np.ndarray, switch: np.ndarray, step, back=None) -> np.ndarray:
+    """Posterior of each site's states of one sample. emission: sites by state shape; switch[t] leads from t - 1 to t.
 
     step(x, switch) moves a distribution forward; back(x, switch) applies the transition to a function of the next state (the same
-    as step where the transition is symmetric). With `batch` the second axis of emission and switch is samples, all scanned at once.
-    ahead and behind: see `boundary`.
+    as step where the transition is symmetric). `state_posteriors` does the same for many samples.
     """
-    alpha, beta = _scans(emission, switch, step, back, batch, ahead, behind)
+    def unit(x: np.ndarray) -> np.ndarray:
+        z = x.sum()
+        return x / z if z > 0 else np.full(x.shape, 1.0 / x.size)
+
+    n, back = len(emission), back or step
+    alpha, beta = np.empty_like(emission), unit(np.ones_like(emission[0]))
+    for t in range(n):
+        alpha[t] = unit(emission[0] if t == 0 else step(alpha[t - 1], switch[t]) * emission[t])
+    for t in range(n - 1, -1, -1):
+        alpha[t] *= beta
+        beta = unit(back(beta * emission[t], switch[t]))
+    axes = tuple(range(1, emission.ndim))
+    return alpha / np.maximum(alpha.sum(axes, keepdims=True), 1e-300)
+
+
+def state_posteriors(emission: np.ndarray, switch: np.ndarray, moves: Moves, ahead=None, behind=None) -> np.ndarray:
+    """Posterior of each site's states, of samples on the second axis; ahead and behind: see `boundary`."""
+    alpha, beta = _scans(emission, switch, moves, ahead, behind)
     gamma = alpha
     gamma *= beta
-    axes = tuple(range(2 if batch else 1, emission.ndim))
-    gamma /= np.maximum(gamma.sum(axes, keepdims=True), 1e-300)
+    flat = gamma.reshape(*gamma.shape[:2], -1)
+    flat /= np.maximum(flat @ np.ones((flat.shape[2], 1)), 1e-300)
     return gamma
 
 
@@ -150,7 +215,7 @@ def haploid_xi(emission: np.ndarray, switch: np.ndarray, ahead=None, behind=None
 
     One entry for each site but the first, whose pair with the site before it comes too where `ahead` is given.
     """
-    alpha, beta = _scans(emission, switch, haploid_step, None, True, ahead, behind)
+    alpha, beta = _scans(emission, switch, Moves(emission.shape[-1], 1), ahead, behind)
     if ahead is not None:
         alpha = np.concatenate([ahead[None], alpha])
         following, sw = emission * beta, switch
@@ -177,7 +242,11 @@ def site_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.nd
     log += other.reshape(shape) * np.log(max(third, floor))
     if whole is not None:
         whole(log)
-    log -= log.max(tuple(range(2, log.ndim)), keepdims=True)
+    flat = log.reshape(*alt.shape, -1)
+    top = flat[..., 0].copy()
+    for i in range(1, flat.shape[2]):
+        np.maximum(top, flat[..., i], out=top)
+    flat -= top[..., None]
     return np.exp(log, out=log)
 
 
@@ -214,8 +283,9 @@ def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndar
         alt = (gamma * q[:, None]).sum(2)
         return np.stack([1 - alt, alt], 2)
     if gamma.ndim == 4:
-        a, b = q[:, None, :, None], q[:, None, None, :]
-        return np.stack([(gamma * g).sum((2, 3)) for g in ((1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b)], 2)
+        a, b = q[:, :, None], q[:, None, :]
+        each = np.stack([(1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b], 3)
+        return gamma.reshape(*gamma.shape[:2], -1) @ each.reshape(len(q), -1, 3)
     out = np.zeros(gamma.shape[:2] + (ploidy + 1,))
     for s, state in enumerate(multisets(k, ploidy)):
         dist = np.ones((len(q), 1))
@@ -230,17 +300,6 @@ def state_shape(k: int, ploidy: int) -> tuple[int, ...]:
     return (k,) if ploidy == 1 else (k, k) if ploidy == 2 else (len(multisets(k, ploidy)),)
 
 
-def moves(k: int, ploidy: int, shape: np.ndarray | None = None):
-    """(step, back) of a ploidy; `shape` makes a diploid's moves follow a transition shape."""
-    if ploidy == 1:
-        return haploid_step, None
-    if ploidy == 2:
-        if shape is None:
-            return diploid_step, None
-        return (lambda x, sw: factorised_step(x, sw, shape)), (lambda x, sw: factorised_step(x, sw, shape.T))
-    return (lambda x, sw: polyploid_step(x, sw, k, ploidy)), (lambda x, sw: polyploid_step(x, sw, k, ploidy, True))
-
-
 def state_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, ploidy: int, error: float, begins: bool = True, whole=None) -> np.ndarray:
     """Scaled emissions of the states of a ploidy. q: sites by K. Where a chromosome `begins`, a multiset counts as often as it has orderings."""
     if ploidy == 1:
@@ -259,7 +318,8 @@ def founder_shares(gamma: np.ndarray, k: int, ploidy: int) -> np.ndarray:
     if ploidy == 1:
         return gamma
     if ploidy == 2:
-        return 0.5 * (gamma.sum(2) + gamma.sum(3))
+        one = np.eye(k)
+        return gamma.reshape(*gamma.shape[:2], -1) @ (0.5 * (np.kron(one, np.ones((k, 1))) + np.kron(np.ones((k, 1)), one)))
     return gamma @ np.array([[s.count(f) / ploidy for f in range(k)] for s in multisets(k, ploidy)])
 
 
@@ -272,9 +332,8 @@ def posteriors(
     alt, ref, other and switch are sites by samples, q sites by K; begins: see `state_emissions`; ahead and behind: see `boundary`; whole: see `site_emissions`.
     """
     k = q.shape[1]
-    step, back = moves(k, ploidy, shape)
     emission = state_emissions(alt, ref, other, q, ploidy, error, begins, whole)
-    gamma = forward_backward(emission, switch, step, back, True, ahead, behind)
+    gamma = state_posteriors(emission, switch, Moves(k, ploidy, shape), ahead, behind)
     return founder_shares(gamma, k, ploidy), genotype_posterior(gamma, q, ploidy)
 
 

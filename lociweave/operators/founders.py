@@ -79,14 +79,16 @@ def learn(
     damping: float = 0.5,
     fragments: DataFrame | None = None,
     mode: str = "replace",
+    grid: hmm.Grid | None = None,
 ) -> tuple[DataFrame, list[tuple[int, int, float]]]:
     """EM over the mutable founders of every run: (panel, history of (run, round from 1, largest change)).
 
     panel: run, pos, founder, alt_prob, immutable. A run ends after `patience` rounds in a row (none before `least_rounds`) that change no founder by
     more than the tolerance; then, with `restore`, its founders are those of the round that changed them least. A run that does not
     end has the founders of the last round. Every round's panel is written, so lineage does not grow and lost executors cost one round.
+    Reads are laid out once, in `grid`, for all rounds.
     """
-    fractions = hmm.alt_fractions(evidence)
+    grid = grid or hmm.laid_out(evidence, positions, samples, panel, ploidy)
     now = {r[0]: panel for r in panel.select("run").distinct().collect()}  # a handful of runs; where each one's founders are
     best: dict[int, tuple[float, DataFrame]] = {}
     calm = dict.fromkeys(now, 0)
@@ -94,8 +96,7 @@ def learn(
     active = sorted(now)
     for k in range(1, rounds + 1):
         given = _of(now, active)
-        haps = hmm.posteriors(evidence, positions, samples, given, ploidy, fragments=fragments, mode=mode).select("run", "sample_id", "pos", "hap")
-        statistics = hmm.m_step(haps, fractions)
+        statistics = hmm.scanned_founder_statistics(evidence, positions, samples, given, ploidy, fragments=fragments, mode=mode, grid=grid._replace(runs=list(active)))
         if harden:
             aim = hmm.hardened(hmm.updated_founders(given, statistics, 0.0), given)
             both = aim.join(given.select("run", "pos", "founder", F.col("alt_prob").alias("before")), ["run", "pos", "founder"])
@@ -151,15 +152,17 @@ def multistart(
     """
     if panel.where("immutable = 0").isEmpty():
         starts = 1
+    evidence = written(evidence)
     fractions = site_alt_fraction(evidence)
     first = None
     for k in range(starts):
         one = initial_founders(panel, fractions, seed + k, jitter if k == 0 else max(jitter, LEAST_JITTER)).withColumn("run", F.lit(k))
         first = one if first is None else first.unionByName(one)
-    learned, history = learn(evidence, positions, samples, written(first), ploidy=ploidy, **how)
+    first = written(first)
+    grid = hmm.laid_out(evidence, positions, samples, first, ploidy, counts=True)
+    learned, history = learn(evidence, positions, samples, first, ploidy=ploidy, grid=grid, **how)
     rest = {name: how[name] for name in ("fragments", "mode") if name in how}
-    last = hmm.posteriors(evidence, positions, samples, learned, ploidy, **rest).select("run", "sample_id", "pos", "gp")
-    score = read_log_likelihoods(last, evidence).groupBy("run").agg(F.sum("read_log_likelihood").alias("read_log_likelihood")).collect()  # one row for each start
+    score = hmm.scanned_read_log_likelihoods(evidence, positions, samples, learned, ploidy, grid=grid, **rest).groupBy("run").agg(F.sum("read_log_likelihood").alias("read_log_likelihood")).collect()  # one row for each start
     done = {run: (k, delta) for run, k, delta in history}
     totals = {r["run"]: r["read_log_likelihood"] for r in score}
     chosen = max(range(starts), key=lambda k: (totals.get(k, -math.inf), -k))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +84,8 @@ CORE, ARRAY_BYTES, MOST_TOGETHER = 4096, 48 << 20, 64
 SETTLED = 1e-9
 #: What a row on the samples' side of a group is.
 _SAMPLE, _READS, _FRAGMENT, _AHEAD, _BEHIND = range(5)
-_KEYS = ["run", "chrom", "block", "part"]
+_KEYS = ["chrom", "block", "part"]
+_COUNTS = ("ref_count", "alt_count", "other_count")
 
 
 def fragment_arrays(fragments: DataFrame, panel: DataFrame) -> DataFrame:
@@ -92,58 +96,105 @@ def fragment_arrays(fragments: DataFrame, panel: DataFrame) -> DataFrame:
     return arrays.join(at, ["sample_id", "fragment"]).select(*_run(panel), "sample_id", "pos", "p")
 
 
-def _sides(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int, core: int, fragments: DataFrame | None):
-    """(left, right, number of blocks): rows of samples, reads and fragments, and rows of sites, both with the keys run, chrom, block, part.
+class Grid(NamedTuple):
+    """Reads and sites dealt out to groups, which scans with other founders at the same sites may share: see `laid_out`."""
+
+    left: DataFrame
+    sites: DataFrame
+    runs: list[int]
+    blocks: int
+    parts: int
+
+
+_ROW = {"generation": "double", "pos": "long", "ref_weight": "double", "alt_weight": "double", "other_weight": "double", "p": "array<double>"}
+
+
+def _own(parts: int) -> Column:
+    return F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int").alias("part")
+
+
+def _rows(df: DataFrame, kind: int, parts: int, *has: str) -> DataFrame:
+    """Rows of the samples' side. A null run stands for all of them."""
+    names = _ROW | dict.fromkeys(_COUNTS, "int")
+    rest = [F.col(n).cast(t).alias(n) if n in has else F.lit(None).cast(t).alias(n) for n, t in names.items()]
+    run = F.col("run").cast("int") if "run" in df.columns else F.lit(None).cast("int")
+    return df.select(run.alias("run"), "chrom", "block", _own(parts), "sample_id", F.lit(kind).alias("kind"), *rest)
+
+
+def laid_out(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 2, core: int = CORE, counts: bool = False) -> Grid:
+    """Rows of samples and reads, and the sites, by chrom, block and part.
 
-    A chromosome is cut into blocks of `core` sites and samples into parts, so a group's size does not depend on the corpus; a
-    block's sites go to each part once. evidence and panel may each have a column run: then all runs are scanned in one job.
+    A chromosome is cut into blocks of `core` sites and samples into parts, so a group's size does not depend on the corpus. evidence
+    and panel may each have a column run: then all runs are scanned in one job, and what they have in common is laid out once. `counts` takes in the
+    numbers of reads beside their weights. Later scans may use the same grid with panels of the same runs, sites and founders.
     """
     runs = sorted({r[0] for df in (evidence, panel) if "run" in df.columns for r in df.select("run").distinct().collect()}) or [0]  # a handful
-    every_run = F.explode(F.array(*[F.lit(r) for r in runs]))
     founders = panel.select("founder").distinct().count()
     states = int(np.prod(kernels.state_shape(founders, ploidy))) if founders else 1
     together = max(1, min(MOST_TOGETHER, ARRAY_BYTES // (8 * core * states)))
     n_samples, longest = samples.count(), positions.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
     parts, blocks = max(1, -(-n_samples // together)), max(1, -(-longest // core))
-    chrom = Window.partitionBy("run", "chrom").orderBy("pos")
-    by_site = panel.groupBy(*([c for c in ("run",) if c in panel.columns]), "pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q")
-    )
-    site = recombination(positions).join(by_site, "pos")
-    if "run" not in site.columns:
-        site = site.withColumn("run", every_run)
-    at = F.row_number().over(chrom) - 1
-    site = site.select("run", "chrom", "pos", "rate", "q", F.floor(at / core).cast("int").alias("block"), F.count(F.lit(1)).over(Window.partitionBy("run", "chrom")).alias("n"))
+    named = panel.select(*_run(panel), "pos").distinct()
+    if "run" in named.columns and named.groupBy("pos").count().where(F.col("count") < named.select("run").distinct().count()).isEmpty():
+        named = named.select("pos").distinct()  # all runs have the same sites
+    chrom = Window.partitionBy(*_run(named), "chrom")
+    at = F.floor((F.row_number().over(chrom.orderBy("pos")) - 1) / core).cast("int")
+    sites = recombination(positions).join(named, "pos").select(*_run(named), "chrom", "pos", "rate", at.alias("block"), F.count(F.lit(1)).over(chrom).alias("n"))
     if blocks > 1:
-        site = written(site)  # every round of messages reads it
-    own = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int").alias("part")
-    names = {"generation": "double", "pos": "long", "ref_weight": "double", "alt_weight": "double", "other_weight": "double", "p": "array<double>"}
+        sites = written(sites)  # every round of messages reads it
+    groups = sites.select("chrom", "block").distinct()
+    # every sample gets a result at every site, so one row for each of its blocks is little beside that
+    left = _rows(samples.withColumn("_", F.lit(1)).join(groups.withColumn("_", F.lit(1)), "_"), _SAMPLE, parts, "generation")
+    seen = evidence.join(samples.select("sample_id"), "sample_id").join(_places(evidence, sites), _on(evidence, sites))
+    left = left.unionByName(_rows(seen, _READS, parts, "pos", "ref_weight", "alt_weight", "other_weight", *(_COUNTS if counts else ())))
+    return Grid(written(left) if blocks > 1 else left, sites, runs, blocks, parts)
 
-    def rows(df: DataFrame, kind: int, *has: str) -> DataFrame:
-        rest = [F.col(n).cast(t).alias(n) if n in has else F.lit(None).cast(t).alias(n) for n, t in names.items()]
-        return df.select("run", "chrom", "block", own, "sample_id", F.lit(kind).alias("kind"), *rest)
 
-    right = site.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # every sample gets a result at every site, so one row for each of its blocks is little beside that
-    left = rows(samples.withColumn("part", own).join(right.select(*_KEYS).distinct(), "part"), _SAMPLE, "generation")
-    wanted, at_site = samples.select("sample_id"), site.select("run", "chrom", "block", "pos")
-    seen = evidence.join(wanted, "sample_id").join(at_site, ["run", "pos"] if "run" in evidence.columns else "pos")
-    left = left.unionByName(rows(seen, _READS, "pos", "ref_weight", "alt_weight", "other_weight"))
+def _on(df: DataFrame, sites: DataFrame) -> list[str]:
+    return [c for c in ("run", "pos") if c in df.columns and c in sites.columns]
+
+
+def _places(df: DataFrame, sites: DataFrame) -> DataFrame:
+    return sites.select(*_run(sites), "chrom", "block", "pos")
+
+
+def _sides(grid: Grid, samples: DataFrame, panel: DataFrame, fragments: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(left, right): the grid's rows with those of fragments, and rows of sites with founders."""
+    left = grid.left
     if fragments is not None:
-        whole = fragments.join(wanted, "sample_id").join(at_site, ["run", "pos"] if "run" in fragments.columns else "pos")
-        left = left.unionByName(rows(whole, _FRAGMENT, "pos", "p"))
-    if blocks > 1:
-        left = written(left)
+        whole = fragments.join(samples.select("sample_id"), "sample_id").join(_places(fragments, grid.sites), _on(fragments, grid.sites))
+        whole = _rows(whole, _FRAGMENT, grid.parts, "pos", "p")
+        left = left.unionByName(written(whole) if grid.blocks > 1 else whole)
+    by_site = panel.groupBy(*_run(panel), "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q")
+    )
+    right = grid.sites.join(by_site, _on(by_site, grid.sites))
+    if "run" not in right.columns:
+        right = right.withColumn("run", F.lit(None).cast("int"))
+    if grid.blocks > 1:
+        right = written(right)
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(grid.parts - 1))))
+    names = ["run", *_KEYS, "pos", "rate", "q", "n"]
     # columns of their own: both sides come from the same sites
-    return left, right.select(*[F.col(c).alias(c) for c in right.columns]), blocks
+    return left, right.select(*[F.col(c).alias(c) for c in names])
+
+
+def _groups(left: pa.Table, right: pa.Table, runs: list[int], ploidy: int):
+    """The arrays of each run that has sites in this group."""
+    if not len(left):
+        return
+    for run in runs:
+        mine = [t.filter(pc.fill_null(pc.equal(t["run"], run), True)) for t in (left, right)]
+        if len(mine[1]):
+            yield _Group(*mine, run, ploidy)
 
 
 class _Group:
     """One part of the samples on one block, as arrays: ids; pos; w, 3 by sites by samples; q; switch; messages from both sides."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, ploidy: int):
+    def __init__(self, left: pa.Table, right: pa.Table, run: int, ploidy: int):
         right = right.take(pa.array(np.argsort(right["pos"].to_numpy(), kind="stable")))
-        self.keys = {name: right[name][0].as_py() for name in _KEYS}
+        self.keys = {"run": run} | {name: right[name][0].as_py() for name in _KEYS}
         self.pos, self.n = right["pos"].to_numpy(), right["n"][0].as_py()
         self.q = np.asarray(right["q"].combine_chunks().flatten(), float).reshape(len(self.pos), -1)
         kind, all_ids = left["kind"].to_numpy(), left["sample_id"].to_numpy()
@@ -152,13 +203,17 @@ class _Group:
         self.switch = np.clip(1 - np.exp(-generation[None] * right["rate"].to_numpy()[:, None]), 1e-10, 1 - 1e-10)
         reads = kind == _READS
         self.w = np.zeros((3, len(self.pos), len(self.ids)))
-        where = self._site(left, reads), np.searchsorted(self.ids, all_ids[reads])
+        self._left, self._kind, self._ids = left, kind, all_ids
+        self.covered = where = self._site(left, reads), np.searchsorted(self.ids, all_ids[reads])
         for i, name in enumerate(("ref_weight", "alt_weight", "other_weight")):
             self.w[i][where] = left[name].to_numpy(zero_copy_only=False)[reads]
-        self._left, self._kind, self._ids = left, kind, all_ids
         self.shape = kernels.state_shape(self.q.shape[1], ploidy)
         self.ahead, self.behind = self._message(_AHEAD), self._message(_BEHIND)
 
+    def counts(self) -> list[np.ndarray]:
+        """Numbers of reads of the `covered` cells: reference, alternative, other."""
+        return [self._left[name].to_numpy(zero_copy_only=False)[self._kind == _READS] for name in _COUNTS]
+
     def _site(self, left: pa.Table, which: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.pos, left["pos"].to_numpy(zero_copy_only=False)[which])
 
@@ -187,13 +242,19 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def _column(value, n: int, kind: pa.DataType) -> pa.Array:
-    return pa.array([value] * n, kind)
+    return pa.repeat(pa.scalar(value, kind), n)
+
+
+def _nothing(schema: str) -> pa.Table:
+    """No rows of a schema in Spark's words."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    return pa.table({name: pa.nulls(0, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))})
 
 
 _SENT = "run int, chrom string, block int, part int, sample_id long, kind int, p array<double>"
 
 
-def _with_messages(left: DataFrame, right: DataFrame, blocks: int, ploidy: int, error: float, core: int, shape: np.ndarray | None, mode: str) -> DataFrame:
+def _with_messages(left: DataFrame, right: DataFrame, runs: list[int], blocks: int, ploidy: int, error: float, core: int, shape: np.ndarray | None, mode: str) -> DataFrame:
     """left with what neighbouring blocks tell each block: forward distributions from before it and backward ones from after it.
 
     Every round scans all blocks with the messages of the round before. A message is exact once it has come from the chromosome's end, so
@@ -205,19 +266,16 @@ def _with_messages(left: DataFrame, right: DataFrame, blocks: int, ploidy: int,
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         sent = []
-        if len(left) and len(right):
-            g = _Group(left, right, ploidy)
+        for g in _groups(left, right, runs, ploidy):
             block, last = g.keys["block"], (g.n - 1) // core
             emission = kernels.state_emissions(g.w[1], g.w[0], g.w[2], g.q, ploidy, error, block == 0, g.whole(ploidy, mode))
-            step, back = kernels.moves(g.q.shape[1], ploidy, shape)
-            onward, backward = kernels.boundary(emission, g.switch, step, back, g.ahead, g.behind)
+            onward, backward = kernels.boundary(emission, g.switch, kernels.Moves(g.q.shape[1], ploidy, shape), g.ahead, g.behind)
             n = len(g.ids)
             for kind, to, message in ((_AHEAD, block + 1, onward), (_BEHIND, block - 1, backward)):
                 if 0 <= to <= last:
                     fixed = [_column(g.keys["run"], n, pa.int32()), _column(g.keys["chrom"], n, pa.string()), _column(to, n, pa.int32()), _column(g.keys["part"], n, pa.int32())]
                     sent.append(pa.table([*fixed, pa.array(g.ids), _column(kind, n, pa.int32()), _lists(message.reshape(n, -1))], names=_SENT_NAMES))
-        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64())]
-        return pa.concat_tables(sent) if sent else pa.table([pa.nulls(0, k) for k in kinds], names=_SENT_NAMES)
+        return pa.concat_tables(sent) if sent else _nothing(_SENT)
 
     messages = None
     for k in range(blocks - 1):
@@ -237,6 +295,24 @@ def _with_messages(left: DataFrame, right: DataFrame, blocks: int, ploidy: int,
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
+def _scanned(make, schema: str, evidence, positions, samples, panel, ploidy=2, error=ERROR, core=CORE, shape=None, fragments=None, mode="replace", grid=None, counts=False) -> DataFrame:
+    """What make(group, founder shares, genotype probabilities) returns for every group, as one table of `schema`."""
+    if mode not in ("replace", "augment"):
+        raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
+    grid = grid or laid_out(evidence, positions, samples, panel, ploidy, core, counts)
+    left, right = _sides(grid, samples, panel, None if fragments is None else fragment_arrays(fragments, panel))
+    left, runs = _with_messages(left, right, grid.runs, grid.blocks, ploidy, error, core, shape, mode), grid.runs
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        for g in _groups(left, right, runs, ploidy):
+            whole = g.whole(ploidy, mode)
+            made.append(make(g, *kernels.posteriors(g.w[1], g.w[0], g.w[2], g.q, g.switch, ploidy, error, shape, g.keys["block"] == 0, g.ahead, g.behind, whole)))
+        return pa.concat_tables(made) if made else _nothing(schema)
+
+    return left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, schema)
+
+
 def posteriors(
     evidence: DataFrame,
     positions: DataFrame,
@@ -248,6 +324,8 @@ def posteriors(
     shape: np.ndarray | None = None,
     fragments: DataFrame | None = None,
     mode: str = "replace",
+    wanted: tuple[str, ...] = ("hap", "gp", "dosage"),
+    grid: Grid | None = None,
 ) -> DataFrame:
     """(sample_id, chrom, pos, hap array, gp array, dosage) at every site of every sample; with run first where evidence or panel has one.
 
@@ -255,32 +333,77 @@ def posteriors(
     neighbours what they know until nothing changes, so the result does not depend on `core`. Sites without reads take part with even
     emissions. `shape` is a founder transition shape, of founders squared numbers. `fragments` (sample_id, fragment, pos, code, qual, one
     observation for each position) count as a whole at their centres: instead of the cells they touch (`replace`) or with them (`augment`).
+    Only the `wanted` of the last three columns leave the tasks.
     """
-    if mode not in ("replace", "augment"):
-        raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
-    whole = None if fragments is None else fragment_arrays(fragments, panel)
-    runs = "run" in evidence.columns or "run" in panel.columns
-    left, right, blocks = _sides(evidence, positions, samples, panel, ploidy, core, whole)
-    left = _with_messages(left, right, blocks, ploidy, error, core, shape, mode)
+    kinds = {"hap": "array<double>", "gp": "array<double>", "dosage": "double"}
 
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["run", "sample_id", "chrom", "pos", "hap", "gp", "dosage"]
-        if not len(left) or not len(right):
-            kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-            return pa.table([pa.nulls(0, k) for k in kinds], names=names)
-        g = _Group(left, right, ploidy)
-        hap, gp = kernels.posteriors(g.w[1], g.w[0], g.w[2], g.q, g.switch, ploidy, error, shape, g.keys["block"] == 0, g.ahead, g.behind, g.whole(ploidy, mode))
+    def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
         n = len(g.pos) * len(g.ids)
-        columns = [
-            _column(g.keys["run"], n, pa.int32()), pa.array(np.tile(g.ids, len(g.pos))), _column(g.keys["chrom"], n, pa.string()),
-            pa.array(np.repeat(g.pos, len(g.ids))), _lists(hap), _lists(gp), pa.array((gp @ np.arange(ploidy + 1)).reshape(-1)),
-        ]
-        return pa.table(columns, names=names)
-
-    out = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(
-        scan, "run int, sample_id long, chrom string, pos long, hap array<double>, gp array<double>, dosage double"
-    )
-    return out if runs else out.drop("run")
+        values = {"hap": lambda: _lists(hap), "gp": lambda: _lists(gp), "dosage": lambda: pa.array((gp @ np.arange(ploidy + 1)).reshape(-1))}
+        columns = [_column(g.keys["run"], n, pa.int32()), pa.array(np.tile(g.ids, len(g.pos))), _column(g.keys["chrom"], n, pa.string()), pa.array(np.repeat(g.pos, len(g.ids)))]
+        return pa.table([*columns, *[values[w]() for w in wanted]], names=["run", "sample_id", "chrom", "pos", *wanted])
+
+    schema = ", ".join(["run int, sample_id long, chrom string, pos long", *[f"{w} {kinds[w]}" for w in wanted]])
+    out = _scanned(make, schema, evidence, positions, samples, panel, ploidy, error, core, shape, fragments, mode, grid)
+    return out if "run" in evidence.columns or "run" in panel.columns else out.drop("run")
+
+
+def scanned_founder_statistics(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 2, **how) -> DataFrame:
+    """What `m_step` makes of posteriors and `alt_fractions`, summed where a block is scanned, so no cell leaves a task."""
+
+    def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
+        weight = np.zeros((2, len(g.pos), len(g.ids)))
+        weight[0][g.covered] = (g.w[1][g.covered] + 0.5) / (g.w[0][g.covered] + g.w[1][g.covered] + 1)
+        weight[1][g.covered] = 1
+        seen = np.flatnonzero(weight[1].any(1))
+        numerator, denominator = ((w[:, None] @ hap)[:, 0][seen].reshape(-1) for w in weight)
+        n, k = len(numerator), hap.shape[2]
+        columns = [_column(g.keys["run"], n, pa.int32()), pa.array(np.repeat(g.pos[seen], k)), pa.array(np.tile(np.arange(k, dtype=np.int64), len(seen)))]
+        return pa.table([*columns, pa.array(numerator), pa.array(denominator)], names=["run", "pos", "founder", "numerator", "denominator"])
+
+    out = _scanned(make, "run int, pos long, founder long, numerator double, denominator double", evidence, positions, samples, panel, ploidy, **how)
+    keys = ["run", "pos", "founder"] if "run" in evidence.columns or "run" in panel.columns else ["pos", "founder"]
+    return out.groupBy(*keys).agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+
+
+def scanned_read_log_likelihoods(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 2, read_error: float = 0.01, floor: float = 1e-6, **how) -> DataFrame:
+    """What `founders.read_log_likelihoods` makes of posteriors, summed where a block is scanned. A grid needs counts."""
+
+    def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
+        alt = np.clip((gp @ np.arange(ploidy + 1))[g.covered] / max(ploidy, 1), floor, 1 - floor)
+        ref_count, alt_count, other_count = g.counts()
+        each = ref_count * np.log(np.clip((1 - alt) * (1 - read_error) + alt * (read_error / 3), floor, 1))
+        each += alt_count * np.log(np.clip(alt * (1 - read_error) + (1 - alt) * (read_error / 3), floor, 1)) + other_count * np.log(max(read_error / 3, floor))
+        some = np.unique(g.covered[1])
+        total = np.bincount(g.covered[1], each, len(g.ids))[some]
+        return pa.table([_column(g.keys["run"], len(some), pa.int32()), pa.array(g.ids[some]), pa.array(total)], names=["run", "sample_id", "x"])
+
+    out = _scanned(make, "run int, sample_id long, x double", evidence, positions, samples, panel, ploidy, counts=True, **how)
+    keys = ["run", "sample_id"] if "run" in evidence.columns or "run" in panel.columns else ["sample_id"]
+    return out.groupBy(*keys).agg(F.sum("x").alias("read_log_likelihood"))
+
+
+def scanned_pair_counts(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 1, **how) -> DataFrame:
+    """What `pair_counts` makes of posteriors (without runs), summed where a block is scanned; blocks tell the shares at their ends to a join."""
+    schema = "run int, chrom string, block int, sample_id long, is_end int, hap array<double>"
+
+    def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
+        sums = np.einsum("nsi,nsj->ij", hap[:-1], hap[1:], optimize=True)
+        ends = [(0, hap[0]), (1, hap[-1])]
+        rows = [(g.keys["block"], g.ids, at, h) for at, h in ends] + [(-1, np.array([-1]), -1, sums.reshape(1, -1))]
+        return pa.concat_tables(
+            pa.table([_column(g.keys["run"], len(i), pa.int32()), _column(g.keys["chrom"], len(i), pa.string()), _column(b, len(i), pa.int32()), pa.array(i), _column(at, len(i), pa.int32()), _lists(h)], names=[x.split()[0] for x in schema.split(", ")])
+            for b, i, at, h in rows
+        )
+
+    out = written(_scanned(make, schema, evidence, positions, samples, panel, ploidy, **how))
+    k = F.sqrt(F.size("hap")).cast("int")
+    inner = out.where("is_end = -1").select(k.alias("k"), F.posexplode("hap").alias("at", "n"))
+    inner = inner.select(F.floor(F.col("at") / F.col("k")).cast("int").alias("i"), (F.col("at") % F.col("k")).alias("j"), "n")
+    after = out.where("is_end = 0").select("chrom", (F.col("block") - 1).alias("block"), "sample_id", F.col("hap").alias("after"))
+    across = out.where("is_end = 1").join(after, ["chrom", "block", "sample_id"]).select(F.posexplode("hap").alias("i", "x"), "after")
+    across = across.select("i", "x", F.posexplode("after").alias("j", "y")).select("i", "j", (F.col("x") * F.col("y")).alias("n"))
+    return inner.unionByName(across).groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
 def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, error: float = ERROR, core: int = CORE) -> DataFrame:
@@ -288,23 +411,22 @@ def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples:
 
     Sums over a part's samples leave a task, so what is shuffled does not grow with the samples of a part.
     """
-    left, right, blocks = _sides(evidence, positions, samples, panel, 1, core, None)
-    left = _with_messages(left, right, blocks, 1, error, core, None, "replace")
+    grid = laid_out(evidence, positions, samples, panel, 1, core)
+    left, right = _sides(grid, samples, panel, None)
+    left, runs = _with_messages(left, right, grid.runs, grid.blocks, 1, error, core, None, "replace"), grid.runs
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["chrom", "pos", "i", "j", "n"]
-        if not len(left) or not len(right):
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            return pa.table([pa.nulls(0, k) for k in kinds], names=names)
-        g = _Group(left, right, 1)
-        xi = kernels.haploid_xi(kernels.site_emissions(g.w[1], g.w[0], g.w[2], g.q, error), g.switch, g.ahead, g.behind).sum(1)
-        pos, k = g.pos[len(g.pos) - len(xi) :], g.q.shape[1]
-        pairs = np.arange(k, dtype=np.int32)
-        columns = [
-            _column(g.keys["chrom"], len(pos) * k * k, pa.string()), pa.array(np.repeat(pos, k * k)),
-            pa.array(np.tile(np.repeat(pairs, k), len(pos))), pa.array(np.tile(pairs, k * len(pos))), pa.array(xi.reshape(-1)),
-        ]
-        return pa.table(columns, names=names)
+        made = []
+        for g in _groups(left, right, runs, 1):
+            xi = kernels.haploid_xi(kernels.site_emissions(g.w[1], g.w[0], g.w[2], g.q, error), g.switch, g.ahead, g.behind).sum(1)
+            pos, k = g.pos[len(g.pos) - len(xi) :], g.q.shape[1]
+            pairs = np.arange(k, dtype=np.int32)
+            columns = [
+                _column(g.keys["chrom"], len(pos) * k * k, pa.string()), pa.array(np.repeat(pos, k * k)),
+                pa.array(np.tile(np.repeat(pairs, k), len(pos))), pa.array(np.tile(pairs, k * len(pos))), pa.array(xi.reshape(-1)),
+            ]
+            made.append(pa.table(columns, names=["chrom", "pos", "i", "j", "n"]))
+        return pa.concat_tables(made) if made else _nothing("chrom string, pos long, i int, j int, n double")
 
     out = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, "chrom string, pos long, i int, j int, n double")
     return out.groupBy("chrom", "pos", "i", "j").agg(F.sum("n").alias("n"))
