@@ -10,6 +10,7 @@ from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
 from lociweave.plans.evidence_queries import BEST, COUNTS, USABLE
 from lociweave.plans.site_queries import RATE
+from lociweave.sources.scratch import written
 
 
 def _evidence(spark, folder):
@@ -51,26 +52,27 @@ def q_coupling_augment(spark, folder):
     return _coupled(spark, folder, "augment")
 
 
-def _posteriors(spark, folder, ploidy):
-    return hmm.posteriors(_evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder), ploidy)
+def _given(spark, folder):
+    return _evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder)
+
+
+def _posteriors(spark, folder, ploidy, *wanted):
+    return hmm.posteriors(*_given(spark, folder), ploidy, wanted=wanted)
 
 
 def q_gamma_haploid(spark, folder):
     """Founder posteriors of a haploid forward-backward at every site of every sample."""
-    out = _posteriors(spark, folder, 1)
+    out = _posteriors(spark, folder, 1, "hap")
     return out.select("sample_id", "chrom", "pos", *[F.round(F.get("hap", F.lit(k)), 6).alias(f"h{k}") for k in range(5)])
 
 
 def q_fb_diploid(spark, folder):
-    out = _posteriors(spark, folder, 2)
+    out = _posteriors(spark, folder, 2, "gp", "dosage")
     return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"), *[F.round(F.get("gp", F.lit(g)), 6).alias(f"g{g}") for g in range(3)])
 
 
 def _fb_coupled(spark, folder, mode):
-    out = hmm.posteriors(
-        _evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder), 2,
-        fragments=_fragments(spark, folder), mode=mode,
-    )
+    out = hmm.posteriors(*_given(spark, folder), 2, fragments=_fragments(spark, folder), mode=mode, wanted=("gp", "dosage"))
     return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"), *[F.round(F.get("gp", F.lit(g)), 6).alias(f"g{g}") for g in range(3)])
 
 
@@ -86,13 +88,13 @@ def q_fb_coupled_augment(spark, folder):
 
 def q_read_log_likelihood(spark, folder):
     """Read log-likelihood of every sample under its diploid posteriors."""
-    out = founders.read_log_likelihoods(_posteriors(spark, folder, 2), _evidence(spark, folder))
+    out = hmm.scanned_read_log_likelihoods(*_given(spark, folder))
     return out.select("sample_id", F.round("read_log_likelihood", 4).alias("read_log_likelihood"))
 
 
 def q_fb_polyploid(spark, folder):
     """Triploid posteriors, by site means."""
-    out = _posteriors(spark, folder, 3)
+    out = _posteriors(spark, folder, 3, "dosage")
     return out.groupBy("pos").agg(F.round(F.avg("dosage"), 6).alias("mean_dosage"), F.count(F.lit(1)).alias("n"))
 
 
@@ -140,8 +142,7 @@ def q_multistart(spark, folder):
 
 
 def q_pair_counts(spark, folder):
-    haps = _posteriors(spark, folder, 1)
-    return _r(hmm.pair_counts(haps), 4, "n")
+    return _r(hmm.scanned_pair_counts(*_given(spark, folder)), 4, "n")
 
 
 def q_xi(spark, folder):
@@ -152,9 +153,10 @@ def q_xi(spark, folder):
 
 def q_fb_factorised(spark, folder):
     """Diploid posteriors whose moves follow a rank-two shape fitted to pair counts."""
-    given = _evidence(spark, folder), domain.positions(spark, folder), domain.samples(spark, folder), domain.founders(spark, folder)
-    shape = hmm.factorised_transitions(hmm.pair_counts(hmm.posteriors(*given, 1)), 5)
-    out = hmm.posteriors(*given, 2, shape=shape)
+    reads, *rest = _given(spark, folder)
+    given = written(reads), *rest
+    shape = hmm.factorised_transitions(hmm.scanned_pair_counts(*given), 5)
+    out = hmm.posteriors(*given, 2, shape=shape, wanted=("dosage",))
     return out.select("sample_id", "chrom", "pos", F.round("dosage", 6).alias("dosage"))
 
 
