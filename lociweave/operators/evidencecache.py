@@ -1,6 +1,6 @@
 """Evidence kept between runs, under an identity that tells when it may be used again.
 
-A cache is a folder. Every commit writes a part of its own (sites, samples of each block, evidence, all as Parquet by block) and then, last, one
+A cache is a folder. Every commit writes a part of its own (sites, samples, evidence, all as Parquet sorted by block) and then, last, one
 row in `commits`; a part without that row does not exist, so a torn write is ignored. Newer commits stand before older ones
 for each block and sample.
 """
@@ -11,7 +11,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 _COMMIT = "part string, number long, settings string"
@@ -41,18 +41,23 @@ def commits(spark: SparkSession, folder: str, settings: dict) -> DataFrame:
     return rows.where(F.col("settings") == settings_hash(settings)).select("part", "number")
 
 
+def _by_block(rows: DataFrame) -> DataFrameWriter:
+    return rows.withColumn("block", F.col("block").cast("long")).sortWithinPartitions("chrom", "block").write.option("compression", "zstd")
+
+
 def store(evidence: DataFrame, sites: DataFrame, samples: DataFrame, folder: str, settings: dict) -> str:
     """Adds a commit: evidence (chrom, block, sample_id, pos, any values) of all of `samples` (sample_id) at `sites` (chrom, block, pos, ref, alt); its name.
 
-    Samples without evidence are remembered too: they were looked at. One writer at a time gives commits increasing numbers.
+    Samples without evidence are remembered too: they were looked at. One writer at a time gives commits increasing numbers. A task writes one
+    file, in which chrom and block are columns, so files are as many as tasks, however many blocks there are.
     """
     spark = evidence.sparkSession
     part = f"part-{uuid.uuid4().hex}"
     known = commits(spark, folder, settings).agg(F.max("number")).first()[0]
     at = f"{folder}/{part}"
-    sites.select("chrom", "block", "pos", "ref", "alt").write.partitionBy("chrom", "block").parquet(f"{at}/sites")
+    _by_block(sites.select("chrom", "block", "pos", "ref", "alt")).parquet(f"{at}/sites")
     samples.select("sample_id").distinct().write.parquet(f"{at}/samples")
-    evidence.write.option("compression", "zstd").partitionBy("chrom", "block").parquet(f"{at}/evidence")
+    _by_block(evidence).parquet(f"{at}/evidence")
     row = spark.createDataFrame([(part, (known or 0) + 1, settings_hash(settings))], _COMMIT)
     row.coalesce(1).write.mode("append").parquet(f"{folder}/commits")
     return part

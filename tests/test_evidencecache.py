@@ -48,6 +48,17 @@ def test_torn_write_is_ignored(spark, tmp_path):
     assert rows(cache.lookup(spark, folder, sites, people(spark, 1), {}, SCHEMA)[0]) == [("1", 0, 1, 1, 7)]
 
 
+def test_files_do_not_grow_with_blocks(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    sites = spark.range(0, 400, 1, 4).selectExpr("'1' as chrom", "id div 2 as block", "id as pos", "'A' as ref", "'G' as alt")
+    cells = sites.selectExpr("chrom", "block", "1L as sample_id", "pos", "2L as depth")
+    part = cache.store(cells, sites, people(spark, 1), folder, {})
+    assert all(len(list((tmp_path / "cache" / part / name).rglob("*.parquet"))) <= 4 for name in ("sites", "evidence"))
+    got, missing = cache.lookup(spark, folder, sites.where("block >= 100"), people(spark, 1, 2), {}, SCHEMA)
+    assert rows(got) == [("1", i // 2, 1, i, 2) for i in range(200, 400)]
+    assert rows(missing) == [("1", b, 2) for b in range(100, 200)]
+
+
 def test_hashes(spark):
     assert cache.settings_hash({"a": 1, "b": 2}) == cache.settings_hash({"b": 2, "a": 1}) != cache.settings_hash({"a": 1, "b": 3})
     sites = spark.createDataFrame(A, SITES)
