@@ -11,7 +11,7 @@ from lociweave.sources.scratch import forget, written
 
 #: Texts that stand for no parent, after trimming and lower-casing.
 MISSING = ("", "na", "nan", "n/a", "none", "null", "0")
-#: Pairs of kin that are broadcast (24 MB); more of them are joined by an exchange.
+#: Pairs of kin, or samples, that are broadcast (24 MB); more of them are joined by an exchange.
 MOST_PAIRS = 1_000_000
 
 
@@ -117,17 +117,20 @@ def evidence_weight(confidence: Column, supported: Column) -> Column:
     return F.when(supported, F.greatest(w, F.lit(0.75))).otherwise(F.least(w, F.lit(0.15)))
 
 
+def broadcast_if_few(rows: DataFrame) -> DataFrame:
+    """rows about samples, written, to be broadcast in a join if they are at most MOST_PAIRS."""
+    out = written(rows)
+    return F.broadcast(out) if out.count() <= MOST_PAIRS else out.hint("merge")
+
+
 def kinship_prior(cells: DataFrame, kin: DataFrame) -> DataFrame:
     """(sample_id, pos, prior, strength): relatives' dosages weighted by kinship and evidence. cells: sample_id, pos, dosage, weight.
 
     Cells are shuffled once, by site; with at most MOST_PAIRS pairs of kin, which are broadcast, what a cell says to its relatives then stays
     where the site is. With more pairs cells and kin meet by an exchange on the sample.
     """
-    rel = written(kin.select(F.col("a").alias("target"), F.col("b").alias("sample_id"), "kinship"))
-    if rel.count() <= MOST_PAIRS:
-        told = cells.select("sample_id", "pos", "dosage", "weight").repartition("pos").join(F.broadcast(rel), "sample_id")
-    else:
-        told = cells.join(rel.hint("merge"), "sample_id")
+    rel = broadcast_if_few(kin.select(F.col("a").alias("target"), F.col("b").alias("sample_id"), "kinship"))
+    told = cells.select("sample_id", "pos", "dosage", "weight").repartition("pos").join(rel, "sample_id")
     w = F.col("kinship") * F.col("weight")
     out = told.groupBy(F.col("target").alias("sample_id"), "pos").agg(F.sum(w * F.col("dosage")).alias("s"), F.sum(w).alias("w"))
     return out.where("w > 1e-8").select("sample_id", "pos", (F.col("s") / F.col("w")).alias("prior"), clipped(F.col("w"), 0.0, 1.0).alias("strength"))

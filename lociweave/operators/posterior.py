@@ -53,6 +53,29 @@ def blended(raw: Column, other: Column, share: float, floor: float = SMALL) -> C
     return normalised(F.zip_with(raw, other, lambda a, b: (1 - share) * a + share * b), floor)
 
 
+def modelled(rows: DataFrame, share: float, temperature: float = 0.35, floor: float = SMALL) -> DataFrame:
+    """Diploid rows (dosage, depth) with raw, soft and gp: `hardy_weinberg`, `from_dosage` and the two `blended`.
+
+    The same numbers from plain columns in steps, which Spark compiles and works out once, whatever is asked of the arrays later.
+    """
+    three = range(3)
+    d, p, s = F.col("dosage"), F.col("_p"), F.col("_s")
+    out = rows.withColumns({"_p": clipped(d / 2, 0.0, 1.0), "_heat": F.greatest(F.lit(SMALL), temperature / F.sqrt(F.greatest(F.col("depth"), F.lit(0)) + 1.0))})
+    out = out.withColumns({f"_x{g}": -F.pow(d - g, F.lit(2.0)) / F.col("_heat") for g in three} | {"_r0": (1 - p) * (1 - p), "_r1": 2 * p * (1 - p), "_r2": p * p})
+    out = out.withColumn("_s", F.greatest(*[f"_x{g}" for g in three])).withColumns({f"_x{g}": F.exp(F.col(f"_x{g}") - s) for g in three})
+    out = out.withColumn("_s", F.col("_x0") + F.col("_x1") + F.col("_x2")).withColumns({f"_x{g}": F.col(f"_x{g}") / s for g in three})
+    out = plainly_normalised(out, "_x", floor)
+    out = out.withColumns({"raw": F.array("_r0", "_r1", "_r2"), "soft": F.array("_x0", "_x1", "_x2")} | {f"_x{g}": (1 - share) * F.col(f"_r{g}") + share * F.col(f"_x{g}") for g in three})
+    return plainly_normalised(out, "_x", floor).withColumn("gp", F.array("_x0", "_x1", "_x2")).select(*rows.columns, "raw", "soft", "gp")
+
+
+def plainly_normalised(rows: DataFrame, name: str, floor: float) -> DataFrame:
+    """rows whose columns name0 to name2 are `normalised`."""
+    names = [f"{name}{g}" for g in range(3)]
+    held = rows.withColumns({n: clipped(F.col(n), floor, 1.0) for n in names}).withColumn("_s", F.col(names[0]) + F.col(names[1]) + F.col(names[2]))
+    return held.withColumns({n: F.col(n) / F.greatest("_s", F.lit(1e-12)) for n in names}).drop("_s")
+
+
 def dosage(gp: Column) -> Column:
     """Expected alternative alleles."""
     return F.aggregate(F.transform(gp, lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)

@@ -1,7 +1,7 @@
 """Adjustment of genotype posteriors by messages between parents and children.
 
 cells: sample_id, chrom, pos, gp (three probabilities), supported (whether reads or arrays speak for the cell). A site is named
-by pos; cells with a null in any of these take no part. A cell that a relative lacks is filled by the population there.
+by pos, so all cells there have one chrom; cells with a null in any of these take no part. A cell that a relative lacks is filled by the population there.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.operators import posterior as gp_
-from lociweave.operators.pedigree import ancestry, child_distribution, edges, evidence_weight, kinship, kinship_prior, smoothed
+from lociweave.operators.pedigree import ancestry, broadcast_if_few, child_distribution, edges, evidence_weight, kinship, kinship_prior, smoothed
 from lociweave.sources.scratch import forget, written
 
 #: Fixed values of the method.
@@ -57,59 +57,82 @@ def recombination_smoothed(values: DataFrame, generations: DataFrame | None = No
     return rows.withColumn("smoothed", gp_.clipped(mean, 0.0, 1.0)).drop("_rate", "_span", "_ahead", "_behind", "_f", "_b")
 
 
-def _mixed(a: Column, b: Column, share: Column) -> Column:
-    return gp_.normalised(F.zip_with(a, b, lambda x, y: (1 - share) * x + share * y), FLOOR)
+def _split(rows: DataFrame) -> DataFrame:
+    """rows with g0 to g2, the normalised gp, instead of gp."""
+    return gp_.plainly_normalised(rows.withColumns({f"g{g}": F.get("gp", F.lit(g)) for g in range(3)}).drop("gp"), "g", FLOOR)
+
+
+def _blended(rows: DataFrame, into: str, other: str, share: Column) -> DataFrame:
+    """rows whose three columns `into` move towards the columns `other` by `share`."""
+    mixed = rows.withColumn("_share", share)
+    mixed = mixed.withColumns({f"{into}{g}": (1 - F.col("_share")) * F.col(f"{into}{g}") + F.col("_share") * F.col(f"{other}{g}") for g in range(3)})
+    return gp_.plainly_normalised(mixed.drop("_share"), into, FLOOR)
+
+
+_DOSAGE = F.col("g1") + 2 * F.col("g2")
+_GP = F.array("g0", "g1", "g2")
 
 
 def _prepared(cells: DataFrame) -> DataFrame:
-    rows = cells.where("sample_id is not null and pos is not null and gp is not null and supported is not null")
-    rows = rows.withColumn("gp", gp_.normalised(F.col("gp"), FLOOR))
-    return rows.withColumn("weight", evidence_weight(F.array_max("gp"), F.col("supported")))
+    """Whole cells as g0 to g2 instead of gp, and their weight: plain columns, which Spark compiles."""
+    rows = _split(cells.where("sample_id is not null and pos is not null and gp is not null and supported is not null"))
+    return rows.withColumn("weight", evidence_weight(F.greatest("g0", "g1", "g2"), F.col("supported")))
 
 
 def kinship_adjusted(cells: DataFrame, kin: DataFrame, strength: float = 0.5) -> DataFrame:
     """`cells` whose gp moves towards the dosages of relatives, by `strength` times what evidence the relatives have. kin: a, b, kinship."""
-    rows = _prepared(cells)
-    prior = kinship_prior(rows.select("sample_id", "pos", gp_.dosage(F.col("gp")).alias("dosage"), "weight"), kin)
+    rows = _prepared(cells).withColumn("_own", _DOSAGE)
+    prior = kinship_prior(rows.select("sample_id", "pos", F.col("_own").alias("dosage"), "weight"), kin)
     prior = prior.select("sample_id", "pos", F.col("prior").alias("_prior"), gp_.clipped(F.col("strength") * strength, 0.0, 1.0).alias("_blend"))
-    own = gp_.dosage(F.col("gp"))
     rows = rows.drop("weight").join(prior, ["sample_id", "pos"], "left").withColumn("_blend", F.coalesce("_blend", F.lit(0.0)))
-    moved = gp_.clipped((1 - F.col("_blend")) * own + F.col("_blend") * F.coalesce("_prior", own), 0.0, 2.0)
-    target = gp_.let(moved, lambda d: gp_.softmax(F.array(*[-(d - g) * (d - g) / 0.25 for g in range(3)])))
-    return rows.withColumn("gp", _mixed(F.col("gp"), target, F.col("_blend"))).drop("_prior", "_blend")
+    rows = rows.withColumn("_d", gp_.clipped((1 - F.col("_blend")) * F.col("_own") + F.col("_blend") * F.coalesce("_prior", "_own"), 0.0, 2.0))
+    # a softmax; one of the three is at most half away, so without taking their top off
+    rows = rows.withColumns({f"_e{g}": F.exp(-(F.col("_d") - g) * (F.col("_d") - g) / 0.25) for g in range(3)}).withColumn("_sum", F.col("_e0") + F.col("_e1") + F.col("_e2"))
+    rows = _blended(rows.withColumns({f"_e{g}": F.col(f"_e{g}") / F.col("_sum") for g in range(3)}), "g", "_e", F.col("_blend"))
+    return rows.withColumn("gp", _GP).select(*cells.columns)
 
 
-def _likelihood(gp: Column, other: Column) -> Column:
-    """How well each genotype of one parent explains the child's gp when the other parent passes the alternative with chance `other`."""
-    each = [child_distribution(F.lit(g / 2), other) for g in range(3)]
-    return gp_.normalised(F.array(*[gp_.total(F.zip_with(gp, d, lambda x, y: x * y)) for d in each]), FLOOR)
+def _likelihood(rows: DataFrame, name: str, other: str) -> DataFrame:
+    """rows with name0 to name2: how well each genotype of one parent explains the child's gp when the other parent passes the alternative with chance `other`."""
+    z = F.col(other)
+    each = [[gp_.clipped(F.lit(g / 2), 1e-5, 1 - 1e-5), gp_.clipped(z, 1e-5, 1 - 1e-5)] for g in range(3)]
+    told = {f"{name}{g}": F.col("g0") * ((1 - a) * (1 - b)) + F.col("g1") * (a * (1 - b) + (1 - a) * b) + F.col("g2") * (a * b) for g, (a, b) in enumerate(each)}
+    return gp_.plainly_normalised(rows.withColumns(told), name, FLOOR)
 
 
-def _messages(q: DataFrame, parents: DataFrame) -> DataFrame:
-    """(sample_id, pos, n, message): the product of what a cell's parents and children say.
+_STATE = ("supported", "g0", "g1", "g2", "weight", "anchor", "pop_q")
 
-    A child, its parents' and the population's chances meet in one row, which sends up to three messages; they are added as
-    logarithms, partly before the shuffle.
-    """
-    chance = q.select("sample_id", "pos", "q")
-    trio = q.select(F.col("sample_id").alias("child"), "pos", "gp", "pop_q").join(parents, "child")
-    for role in ("father", "mother"):
-        trio = trio.join(chance.select(F.col("sample_id").alias(role), "pos", F.col("q").alias(f"q_{role}")), [role, "pos"], "left")
-    trio = trio.where("q_father is not null or q_mother is not null")
-    a, b = F.coalesce("q_father", "pop_q"), F.coalesce("q_mother", "pop_q")
 
-    def to(who: Column, message: Column) -> Column:
-        return F.struct(who.alias("sample_id"), message.alias("m"))
+def _messages(q: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
+    """The state of every cell of q with n and m0 to m2: the product of what its parents and children say.
+
+    Cells are shuffled once, by site. There a cell tells its children its chance; a child, its parents' and the population's chances meet in
+    one row, which sends up to three messages, added as logarithms. parents: child, father, mother; children: sample_id, to (target, role).
+    """
+    me = F.array(F.struct(F.col("sample_id").alias("target"), F.lit(0).alias("role")))
+    told = q.repartition("pos").join(children, "sample_id", "left").withColumn("e", F.explode(F.concat(me, F.coalesce("to", F.array().cast("array<struct<target:bigint,role:int>>")))))
+    role = F.col("e.role")
+    trio = told.groupBy(F.col("e.target").alias("child"), "pos", "chrom").agg(
+        *[F.max(F.when(role == 0, F.col(c))).alias(c) for c in _STATE], *[F.max(F.when(role == i + 1, F.col("q"))).alias(f"q_{who}") for i, who in enumerate(("father", "mother"))]
+    ).where("g0 is not null")
+    trio = trio.join(parents, "child", "left").withColumns({"a": F.coalesce("q_father", "pop_q"), "b": F.coalesce("q_mother", "pop_q")})
+    trio = trio.withColumns({f"c{g}": F.get(child_distribution(F.col("a"), F.col("b")), F.lit(g)) for g in range(3)})
+    trio = _likelihood(_likelihood(trio, "f", "b"), "m", "a")
+    heard = F.col("q_father").isNotNull() | F.col("q_mother").isNotNull()
+
+    def to(who: Column, own: bool, said: Column, name: str) -> Column:
+        return F.struct(who.alias("sample_id"), F.lit(own).alias("own"), *[F.when(said, F.log(f"{name}{g}")).alias(f"l{g}") for g in range(3)])
 
     sent = F.array(
-        to(F.col("child"), child_distribution(a, b)),
-        to(F.when(F.col("q_father").isNotNull(), F.col("father")), _likelihood(F.col("gp"), b)),
-        to(F.when(F.col("q_mother").isNotNull(), F.col("mother")), _likelihood(F.col("gp"), a)),
+        to(F.col("child"), True, heard, "c"),
+        to(F.when(F.col("q_father").isNotNull(), F.col("father")), False, F.lit(True), "f"),
+        to(F.when(F.col("q_mother").isNotNull(), F.col("mother")), False, F.lit(True), "m"),
+    )
+    rows = trio.select("pos", "chrom", *_STATE, F.explode(sent).alias("s")).where("s.sample_id is not null")
+    out = rows.groupBy(F.col("s.sample_id").alias("sample_id"), "pos", "chrom").agg(
+        *[F.max(F.when(F.col("s.own"), F.col(c))).alias(c) for c in _STATE], F.count("s.l0").alias("n"), *[F.exp(F.sum(f"s.l{g}")).alias(f"m{g}") for g in range(3)]
     )
-    rows = trio.select("pos", F.explode(F.filter(sent, lambda s: s["sample_id"].isNotNull())).alias("s"))
-    logs = [F.sum(F.log(F.get("s.m", F.lit(g)))) for g in range(3)]
-    out = rows.groupBy(F.col("s.sample_id").alias("sample_id"), "pos").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.exp(x) for x in logs]).alias("m"))
-    return out.select("sample_id", "pos", "n", gp_.normalised(F.col("m"), FLOOR).alias("message"))
+    return gp_.plainly_normalised(out, "m", FLOOR)
 
 
 def parents_of(pedigree: DataFrame) -> DataFrame:
@@ -128,21 +151,28 @@ def transmission_adjusted(
     evidence and for samples with any supported cell. Each round's state is written, so lineage stays short.
     """
     base = _prepared(cells.select("sample_id", "chrom", "pos", "supported", "gp"))
-    direct = base.groupBy("sample_id").agg(F.when(F.max("supported"), ANCHORED).otherwise(1.0).alias("anchor"))
-    population = base.groupBy("pos").agg((F.avg(gp_.dosage(F.col("gp"))) / 2).alias("pop_q"))
+    direct = broadcast_if_few(base.groupBy("sample_id").agg(F.when(F.max("supported"), ANCHORED).otherwise(1.0).alias("anchor")))
+    population = base.groupBy("pos").agg((F.avg(_DOSAGE) / 2).alias("pop_q"))
     parents = parents_of(pedigree)
-    now = written(base.join(direct, "sample_id").join(population, "pos"))
+    roles = F.array(*[F.struct(F.col(who).alias("sample_id"), F.lit(i + 1).alias("role")) for i, who in enumerate(("father", "mother"))])
+    children = parents.select(F.col("child").cast("long").alias("child"), F.explode(roles).alias("e")).where("e.sample_id is not null")
+    children = broadcast_if_few(children.groupBy("e.sample_id").agg(F.collect_list(F.struct(F.col("child").alias("target"), "e.role")).alias("to")))
+    parents = broadcast_if_few(parents)
+    names = ["sample_id", "chrom", "pos", *_STATE]
+    now = written(base.join(direct, "sample_id").join(population, "pos").select(*names))
     for _ in range(max(iterations, 1)):
-        q = recombination_smoothed(now.withColumn("value", gp_.dosage(F.col("gp")) / 2), generations, rate)
+        q = recombination_smoothed(now.withColumn("value", _DOSAGE / 2), generations, rate)
         q = q.withColumn("q", gp_.clipped((1 - SMOOTH_SHARE) * F.col("value") + SMOOTH_SHARE * F.col("smoothed"), 0.0, 1.0)).drop("value", "smoothed")
-        rows = now.join(_messages(q, parents), ["sample_id", "pos"], "left")
+        rows = _messages(q, parents, children)
         blend = gp_.clipped(strength * F.col("anchor") * F.col("n") / (F.col("n") + 2.0) * (1 - F.col("weight")), 0.0, MOST_BLEND)
-        gp = F.when(F.col("n").isNull(), F.col("gp")).otherwise(_mixed(F.col("gp"), F.col("message"), blend))
-        before, now = now, written(rows.withColumn("gp", gp).select(*now.columns))
+        rows = _blended(rows.withColumns({f"was{g}": F.col(f"g{g}") for g in range(3)}), "g", "m", blend)
+        rows = rows.withColumns({f"g{g}": F.when(F.col("n") == 0, F.col(f"was{g}")).otherwise(F.col(f"g{g}")) for g in range(3)})
+        before, now = now, written(rows.select(*names))
         forget(before)
-    related = kinship_adjusted(now.select("sample_id", "pos", "supported", "gp"), kin, min(strength, 0.35)).select("sample_id", "pos", F.col("gp").alias("kin_gp"))
-    gp = _mixed(F.col("gp"), F.col("kin_gp"), KINSHIP_SHARE * (1 - F.col("weight")))
-    return now.join(related, ["sample_id", "pos"]).select("sample_id", "chrom", "pos", "supported", gp.alias("gp"))
+    kept = now.withColumn("gp", _GP).withColumnsRenamed({"g0": "was0", "g1": "was1", "g2": "was2", "weight": "was_weight"})
+    related = _split(kinship_adjusted(kept, kin, min(strength, 0.35)))
+    related = _blended(related, "was", "g", KINSHIP_SHARE * (1 - F.col("was_weight")))
+    return related.select("sample_id", "chrom", "pos", "supported", F.array("was0", "was1", "was2").alias("gp"))
 
 
 def adjusted(cells: DataFrame, pedigree: DataFrame, samples: DataFrame, mode: str, strength: float, ploidy: int = 2, **more) -> DataFrame:

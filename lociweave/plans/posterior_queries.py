@@ -20,9 +20,7 @@ def cells(spark, folder):
     """sample_id, pos, depth, truth, dosage, raw and calibrated gp of every covered cell."""
     e = ev.truth_labels(ev.evidence_counts(ev.usable(domain.reads(spark, folder))))
     ds = 2 * (F.col("alt_weight") + 0.5) / (F.col("ref_weight") + F.col("alt_weight") + 1)
-    out = e.select("sample_id", "pos", "depth", "truth", ds.alias("dosage"))
-    out = out.withColumn("raw", gp.hardy_weinberg(F.col("dosage"))).withColumn("soft", gp.from_dosage(F.col("dosage"), F.col("depth")))
-    return out.withColumn("gp", gp.blended(F.col("raw"), F.col("soft"), 0.35))
+    return gp.modelled(e.select("sample_id", "pos", "depth", "truth", ds.alias("dosage")), 0.35)
 
 
 def _three(df, column, *keys):
