@@ -69,27 +69,50 @@ def _blended(rows: DataFrame, into: str, other: str, share: Column) -> DataFrame
     return gp_.plainly_normalised(mixed.drop("_share"), into, FLOOR)
 
 
-_DOSAGE = F.col("g1") + 2 * F.col("g2")
-_GP = F.array("g0", "g1", "g2")
+def _dosage() -> Column:
+    return F.col("g1") + 2 * F.col("g2")
 
 
 def _prepared(cells: DataFrame) -> DataFrame:
     """Whole cells as g0 to g2 instead of gp, and their weight: plain columns, which Spark compiles."""
     rows = _split(cells.where("sample_id is not null and pos is not null and gp is not null and supported is not null"))
-    return rows.withColumn("weight", evidence_weight(F.greatest("g0", "g1", "g2"), F.col("supported")))
+    return plainly_weighed(rows, "weight")
+
+
+def plainly_weighed(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumn(name, evidence_weight(F.greatest("g0", "g1", "g2"), F.col("supported")))
 
 
 def kinship_adjusted(cells: DataFrame, kin: DataFrame, strength: float = 0.5) -> DataFrame:
     """`cells` whose gp moves towards the dosages of relatives, by `strength` times what evidence the relatives have. kin: a, b, kinship."""
-    rows = _prepared(cells).withColumn("_own", _DOSAGE)
-    prior = kinship_prior(rows.select("sample_id", "pos", F.col("_own").alias("dosage"), "weight"), kin)
-    prior = prior.select("sample_id", "pos", F.col("prior").alias("_prior"), gp_.clipped(F.col("strength") * strength, 0.0, 1.0).alias("_blend"))
-    rows = rows.drop("weight").join(prior, ["sample_id", "pos"], "left").withColumn("_blend", F.coalesce("_blend", F.lit(0.0)))
+    rows = _prepared(cells)
+    prior = kinship_prior(rows.select("sample_id", "pos", _dosage().alias("dosage"), "weight"), kin)
+    prior = prior.select("sample_id", "pos", F.col("prior").alias("_prior"), F.col("strength").alias("_strength"))
+    rows = _towards_prior(rows.drop("weight").join(prior, ["sample_id", "pos"], "left"), strength)
+    return rows.withColumn("gp", F.array("g0", "g1", "g2")).select(*cells.columns)
+
+
+def _towards_prior(rows: DataFrame, strength: float) -> DataFrame:
+    """g0 to g2 moved towards _prior, a dosage, by `strength` times _strength; nulls say nothing."""
+    rows = rows.withColumns({"_own": _dosage(), "_blend": F.coalesce(gp_.clipped(F.when(F.col("_prior").isNotNull(), F.col("_strength")) * strength, 0.0, 1.0), F.lit(0.0))})
     rows = rows.withColumn("_d", gp_.clipped((1 - F.col("_blend")) * F.col("_own") + F.col("_blend") * F.coalesce("_prior", "_own"), 0.0, 2.0))
     # a softmax; one of the three is at most half away, so without taking their top off
     rows = rows.withColumns({f"_e{g}": F.exp(-(F.col("_d") - g) * (F.col("_d") - g) / 0.25) for g in range(3)}).withColumn("_sum", F.col("_e0") + F.col("_e1") + F.col("_e2"))
-    rows = _blended(rows.withColumns({f"_e{g}": F.col(f"_e{g}") / F.col("_sum") for g in range(3)}), "g", "_e", F.col("_blend"))
-    return rows.withColumn("gp", _GP).select(*cells.columns)
+    return _blended(rows.withColumns({f"_e{g}": F.col(f"_e{g}") / F.col("_sum") for g in range(3)}), "g", "_e", F.col("_blend"))
+
+
+def _towards_kin(rows: DataFrame, kin: DataFrame, strength: float) -> DataFrame:
+    """`kinship_adjusted` of rows with g0 to g2 in place: what a cell tells its kin stays with its site. kin: sample_id, to (target, kinship)."""
+    names = [c for c in rows.columns if c not in ("sample_id", "chrom", "pos")]
+    rows = plainly_weighed(gp_.plainly_normalised(rows, "g", FLOOR), "_w").withColumn("_own", _dosage())
+    me = F.array(F.struct(F.col("sample_id").alias("target"), F.lit(None).cast("double").alias("kinship")))
+    told = rows.join(kin, "sample_id", "left").withColumn("e", F.explode(F.concat(me, F.coalesce("to", F.array().cast("array<struct<target:bigint,kinship:double>>")))))
+    own, w = F.col("e.kinship").isNull(), F.col("e.kinship") * F.col("_w")
+    met = told.groupBy(F.col("e.target").alias("sample_id"), "pos", "chrom").agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in names], F.sum(w * F.col("_own")).alias("_s"), F.sum(w).alias("_strength")
+    ).where("g0 is not null")
+    met = met.withColumn("_prior", F.when(F.col("_strength") > 1e-8, F.col("_s") / F.col("_strength"))).withColumn("_strength", gp_.clipped(F.col("_strength"), 0.0, 1.0))
+    return _towards_prior(met, strength)
 
 
 def _likelihood(rows: DataFrame, name: str, other: str) -> DataFrame:
@@ -100,7 +123,7 @@ def _likelihood(rows: DataFrame, name: str, other: str) -> DataFrame:
     return gp_.plainly_normalised(rows.withColumns(told), name, FLOOR)
 
 
-_STATE = ("supported", "g0", "g1", "g2", "weight", "anchor", "pop_q")
+_STATE = ("supported", "g0", "g1", "g2", "weight", "pop_q")
 
 
 def _messages(q: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -150,28 +173,30 @@ def transmission_adjusted(
     of all messages of a cell (floored at 1e-8, so very many children say nothing more) and blends it in, less where the cell has
     evidence and for samples with any supported cell. Each round's state is written, so lineage stays short.
     """
-    base = _prepared(cells.select("sample_id", "chrom", "pos", "supported", "gp"))
-    direct = broadcast_if_few(base.groupBy("sample_id").agg(F.when(F.max("supported"), ANCHORED).otherwise(1.0).alias("anchor")))
-    population = base.groupBy("pos").agg((F.avg(_DOSAGE) / 2).alias("pop_q"))
     parents = parents_of(pedigree)
     roles = F.array(*[F.struct(F.col(who).alias("sample_id"), F.lit(i + 1).alias("role")) for i, who in enumerate(("father", "mother"))])
     children = parents.select(F.col("child").cast("long").alias("child"), F.explode(roles).alias("e")).where("e.sample_id is not null")
     children = broadcast_if_few(children.groupBy("e.sample_id").agg(F.collect_list(F.struct(F.col("child").alias("target"), "e.role")).alias("to")))
     parents = broadcast_if_few(parents)
     names = ["sample_id", "chrom", "pos", *_STATE]
-    now = written(base.join(direct, "sample_id").join(population, "pos").select(*names))
-    for _ in range(max(iterations, 1)):
-        q = recombination_smoothed(now.withColumn("value", _DOSAGE / 2), generations, rate)
+    base = _prepared(cells.select("sample_id", "chrom", "pos", "supported", "gp"))
+    now = written(base.withColumn("pop_q", F.avg(_dosage()).over(Window.partitionBy("pos")) / 2).select(*names))
+    direct = broadcast_if_few(now.groupBy("sample_id").agg(F.when(F.max("supported"), ANCHORED).otherwise(1.0).alias("anchor")))
+    # the last round goes on to kin where its sites are
+    rounds = max(iterations, 1)
+    for k in range(rounds):
+        q = recombination_smoothed(now.withColumn("value", _dosage() / 2), generations, rate)
         q = q.withColumn("q", gp_.clipped((1 - SMOOTH_SHARE) * F.col("value") + SMOOTH_SHARE * F.col("smoothed"), 0.0, 1.0)).drop("value", "smoothed")
-        rows = _messages(q, parents, children)
+        rows = _messages(q, parents, children).join(direct, "sample_id")
         blend = gp_.clipped(strength * F.col("anchor") * F.col("n") / (F.col("n") + 2.0) * (1 - F.col("weight")), 0.0, MOST_BLEND)
         rows = _blended(rows.withColumns({f"was{g}": F.col(f"g{g}") for g in range(3)}), "g", "m", blend)
         rows = rows.withColumns({f"g{g}": F.when(F.col("n") == 0, F.col(f"was{g}")).otherwise(F.col(f"g{g}")) for g in range(3)})
-        before, now = now, written(rows.select(*names))
-        forget(before)
-    kept = now.withColumn("gp", _GP).withColumnsRenamed({"g0": "was0", "g1": "was1", "g2": "was2", "weight": "was_weight"})
-    related = _split(kinship_adjusted(kept, kin, min(strength, 0.35)))
-    related = _blended(related, "was", "g", KINSHIP_SHARE * (1 - F.col("was_weight")))
+        if k < rounds - 1:
+            before, now = now, written(rows.select(*names))
+            forget(before)
+    related = rows.select(*names).withColumns({f"was{g}": F.col(f"g{g}") for g in range(3)})
+    related = _towards_kin(related, broadcast_if_few(kin.groupBy(F.col("b").alias("sample_id")).agg(F.collect_list(F.struct(F.col("a").alias("target"), "kinship")).alias("to"))), min(strength, 0.35))
+    related = _blended(related, "was", "g", KINSHIP_SHARE * (1 - F.col("weight")))
     return related.select("sample_id", "chrom", "pos", "supported", F.array("was0", "was1", "was2").alias("gp"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import relatedness, sinks, sites
+from lociweave.operators import pedigree, relatedness, sinks, sites, transmission
 from lociweave.sources import formats
 
 
@@ -124,3 +124,33 @@ def test_lists_of_a_genotype_set_are_not_broadcast(spark, tmp_path):
     out = formats.bed_at(spark, prefix, variants.where("pos < 5").select("chrom", "pos"))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.snp, r.iid): r.genotype for r in out.collect()} == {(f"v{v}", f"i{s}"): (v + s) % 3 if v + s != 4 else None for v in range(4) for s in range(5)}
+
+
+def exchanges(df):
+    """Exchanges of rows in a plan, and their keys; broadcasts do not count."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_what_relatives_are_told_stays_with_the_site(spark, monkeypatch):
+    kin = spark.createDataFrame([(a, b, 0.25) for a in range(6) for b in range(6) if a != b], "a long, b long, kinship double")
+    cells = spark.createDataFrame([(s, p, float(s), 1.0) for s in range(6) for p in range(4)], "sample_id long, pos long, dosage double, weight double")
+    out = pedigree.kinship_prior(cells, kin)
+    assert len(exchanges(out)) == 1
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(s, p, (15 - s) / 5, 1.0) for s in range(6) for p in range(4)]
+    monkeypatch.setattr(pedigree, "MOST_PAIRS", 3)
+    assert sorted(map(tuple, pedigree.kinship_prior(cells, kin).collect())) == got
+
+
+def test_rounds_of_messages_shuffle_cells_twice(spark, monkeypatch):
+    cells = spark.createDataFrame([(s, "x", p, [0.2, 0.3, 0.5] if s % 2 else [0.7, 0.2, 0.1], s < 3) for s in range(6) for p in (1, 5, 9)], "sample_id long, chrom string, pos long, gp array<double>, supported boolean")
+    trios = spark.createDataFrame([(2, 0, 1), (3, 0, 1), (4, 2, 3), (5, 2, None)], "child long, father long, mother long")
+    kin = spark.createDataFrame([(2, 3, 0.25), (3, 2, 0.25), (4, 2, 0.25)], "a long, b long, kinship double")
+    out = transmission.transmission_adjusted(cells, trios, kin, iterations=2)
+    # by sample for the moving averages, and by site for messages and kin
+    assert len(exchanges(out)) == 2
+    got = {(r.sample_id, r.pos): r.gp for r in out.collect()}
+    assert len(got) == 18
+    monkeypatch.setattr(pedigree, "MOST_PAIRS", 0)
+    for r in transmission.transmission_adjusted(cells, trios, kin, iterations=2).collect():
+        np.testing.assert_allclose(r.gp, got[r.sample_id, r.pos], atol=1e-12)
