@@ -26,8 +26,8 @@ FEATURES = (
 )
 
 
-def read_aware_features(cells: DataFrame, n_samples: int) -> DataFrame:
-    """sample_id, pos and FEATURES of every cell; cells: sample_id, pos, dosage, gp, depth, ref_count, alt_count, other_count.
+def read_aware_features(cells: DataFrame, n_samples: int, keep: tuple[str, ...] = ("sample_id", "pos")) -> DataFrame:
+    """keep and FEATURES of every cell; cells: sample_id, pos, dosage, gp, depth, ref_count, alt_count, other_count.
 
     Site features are one aggregation by site, joined back; sites without a statistic have 0 there. Rates and mean depth are over n_samples.
     """
@@ -44,7 +44,7 @@ def read_aware_features(cells: DataFrame, n_samples: int) -> DataFrame:
         "posterior_var": F.greatest(F.lit(0.0), F.get(g, F.lit(1)) + 4 * F.get(g, F.lit(2)) - F.col("dosage") * F.col("dosage")),
     }
     rows = cells.withColumns(own).join(site, "pos")
-    return rows.select("sample_id", "pos", *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    return rows.select(*keep, *[F.col(f).cast("double").alias(f) for f in FEATURES])
 
 
 @dataclass

@@ -11,12 +11,15 @@ from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
 from lociweave.plans.evidence_queries import COUNTS, TRUTH, USABLE
 from lociweave.plans.posterior_queries import CELLS, SITES, cells, entropy_sql
+from lociweave.sources.scratch import written
 
 
-def _features(spark, folder):
-    counts = ev.evidence_counts(ev.usable(domain.reads(spark, folder))).select("sample_id", "pos", "ref_count", "alt_count", "other_count")
-    rows = cells(spark, folder).withColumn("dosage", gp.dosage(F.col("gp"))).join(counts, ["sample_id", "pos"])
-    return boosting.read_aware_features(rows, domain.samples(spark, folder).count())
+def _features(spark, folder, *keep):
+    """Features of every cell with the `keep` columns; cells are worked out and written once, sites are sums of what was written."""
+    counts = ("ref_count", "alt_count", "other_count")
+    rows = written(cells(spark, folder, *counts).select("sample_id", "pos", "depth", "truth", *counts, "gp"))
+    rows = rows.withColumn("dosage", gp.dosage(F.col("gp"))).withColumn("pred", gp.argmax(F.col("gp"))).repartition("pos")
+    return boosting.read_aware_features(rows, domain.samples(spark, folder).count(), ("sample_id", "pos", *keep))
 
 
 def q_calibration_features(spark, folder):
@@ -26,8 +29,7 @@ def q_calibration_features(spark, folder):
 
 def q_boosted_calls(spark, folder):
     """Genotype probabilities of every cell by boosted trees over its features, learned from the truth of four fifths of the samples."""
-    truth = cells(spark, folder).select("sample_id", "pos", "truth", gp.argmax(F.col("gp")).alias("pred"))
-    rows = _features(spark, folder).join(truth, ["sample_id", "pos"]).withColumn("held_out", F.col("sample_id") % 5 == 0)
+    rows = written(_features(spark, folder, "truth", "pred")).withColumn("held_out", F.col("sample_id") % 5 == 0)
     model = boosting.fitted(rows.where(~F.col("held_out")), boosting.FEATURES, "truth")
     out = boosting.predicted(rows, model, ("sample_id", "pos", "truth", "pred", "held_out"))
     return out.select("sample_id", "pos", "held_out", "truth", "pred", *[F.round(F.get("gp", F.lit(g)), 6).alias(f"p{g}") for g in range(3)])

@@ -16,11 +16,11 @@ BINS = {"maf": (0.0, 0.1, 0.2, 0.3, 0.4, 0.5), "info": (-5.0, -0.2, 0.0, 0.2, 1.
 MAF_EDGES = (0.0, 0.3, 0.4, 0.5)
 
 
-def cells(spark, folder):
-    """sample_id, pos, depth, truth, dosage, raw and calibrated gp of every covered cell."""
+def cells(spark, folder, *more):
+    """sample_id, pos, depth, truth, dosage, raw and calibrated gp of every covered cell, and `more` columns of its evidence."""
     e = ev.truth_labels(ev.evidence_counts(ev.usable(domain.reads(spark, folder))))
     ds = 2 * (F.col("alt_weight") + 0.5) / (F.col("ref_weight") + F.col("alt_weight") + 1)
-    return gp.modelled(e.select("sample_id", "pos", "depth", "truth", ds.alias("dosage")), 0.35)
+    return gp.modelled(e.select("sample_id", "pos", "depth", "truth", ds.alias("dosage"), *more), 0.35)
 
 
 def _three(df, column, *keys):

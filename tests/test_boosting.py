@@ -75,3 +75,12 @@ def test_boosted_calls_of_held_out_samples(spark):
     assert right > 0.95
     assert np.mean([-np.log((r.p0, r.p1, r.p2)[r.truth]) for r in out]) < 0.25
     assert all(r.p0 + r.p1 + r.p2 == pytest.approx(1, abs=1e-5) for r in out)
+
+
+def test_cells_are_worked_out_once(spark, monkeypatch):
+    from lociweave.plans import boosting_queries, domain
+
+    seen = []
+    monkeypatch.setattr(domain, "reads", lambda *a, reads=domain.reads: seen.append(a) or reads(*a))
+    out = boosting_queries.q_boosted_calls(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "lineitem" not in str(out.inputFiles())
