@@ -9,6 +9,7 @@ from lociweave.operators import decisions
 from lociweave.operators import posterior as gp
 from lociweave.plans import posterior_queries as pq
 from lociweave.plans.posterior_queries import _ARG, _MAX, _sql, entropy_sql
+from lociweave.sources.scratch import written
 
 #: Bins of a site's MAF, mean entropy and Hardy-Weinberg deviation, thresholds of log confidence and of callability.
 CLASS_BINS = {"maf": (0.0, 0.3, 0.4, 0.5), "mean_entropy": (0.0, 0.6, 0.75, 0.85, 1.01), "hwe_deviation": (0.0, 0.02, 0.05, 0.1, float("inf"))}
@@ -17,8 +18,12 @@ CALL_THRESHOLDS = [round(0.3 + 0.02 * i, 2) for i in range(31)]
 RAW_THRESHOLD, LEAST_ROWS = 0.55, 6
 
 
-def _classes(spark, folder):
-    c = pq.cells(spark, folder)
+def _cells(spark, folder):
+    """Cells, worked out from the reads once."""
+    return written(pq.cells(spark, folder).select("pos", "depth", "truth", "gp"))
+
+
+def _classes(c):
     spread = c.groupBy("pos").agg(F.round(F.avg(gp.entropy(F.col("gp"))), 6).alias("mean_entropy"))
     sites = gp.site_statistics(c).select("pos", F.round("maf", 6).alias("maf"), F.round("hwe_deviation", 6).alias("hwe_deviation")).join(spread, "pos")
     return cal.strata(sites, CLASS_BINS).select("pos", F.col("stratum").alias("class_id"))
@@ -27,8 +32,9 @@ def _classes(spark, folder):
 def q_no_call_by_class(spark, folder):
     """A no-call threshold of log confidence for each class of sites by MAF, entropy and Hardy-Weinberg deviation."""
     g = F.col("gp")
-    cells = pq.cells(spark, folder).select("pos", "truth", gp.argmax(g).alias("pred"), F.round(gp.call_score(g, "log_max_gp"), 6).alias("score"))
-    out = decisions.thresholds_by_class(cells, _classes(spark, folder), LOG_THRESHOLDS, max_no_call_rate=0.9)
+    c = _cells(spark, folder)
+    cells = c.select("pos", "truth", gp.argmax(g).alias("pred"), F.round(gp.call_score(g, "log_max_gp"), 6).alias("score"))
+    out = decisions.thresholds_by_class(cells, _classes(c), LOG_THRESHOLDS, max_no_call_rate=0.9)
     digits = ("train_call_rate", "train_f1", "train_balanced_accuracy")
     return out.select(*[F.round(c, 8).alias(c) if c in digits else c for c in out.columns])
 
@@ -37,8 +43,9 @@ def _level_inputs(spark, folder):
     g = F.col("gp")
     # callability grows with confidence and depth, and with the base that is called
     prob = F.round(F.least(F.lit(1.0), gp.confidence(g) * (0.7 + 0.1 * F.least(F.col("depth"), F.lit(4))) + F.when(gp.argmax(g) == 1, -0.03).otherwise(0.0)), 5)
-    cells = pq.cells(spark, folder).select("pos", "truth", gp.argmax(g).alias("pred"), prob.alias("prob"), F.round(gp.confidence(g), 5).alias("conf"))
-    sites = _classes(spark, folder).select("pos", (F.col("pos") - 1).alias("site_index"), F.col("class_id").alias("stratum"))
+    c = _cells(spark, folder)
+    cells = c.select("pos", "truth", gp.argmax(g).alias("pred"), prob.alias("prob"), F.round(gp.confidence(g), 5).alias("conf"))
+    sites = _classes(c).select("pos", (F.col("pos") - 1).alias("site_index"), F.col("class_id").alias("stratum"))
     return cells, sites
 
 

@@ -37,3 +37,12 @@ def test_a_class_below_the_least_rows_takes_the_threshold_of_all(spark):
     assert out[7].n_train_rows == 32 and out[7].threshold == -0.5
     kept = decisions.thresholds_by_class(cells, classes, [float("-inf"), -0.5], max_no_call_rate=0.2).where("class_id = 7").first()
     assert kept.fallback_to_global  # a quarter of the site's cells would go, so the class keeps what all sites have
+
+
+def test_cells_are_worked_out_once(spark, monkeypatch):
+    from lociweave.plans import decision_queries, domain
+
+    seen = []
+    monkeypatch.setattr(domain, "reads", lambda *a, reads=domain.reads: seen.append(a) or reads(*a))
+    cells, sites = decision_queries._level_inputs(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "lineitem" not in str(cells.inputFiles() + sites.inputFiles())
