@@ -94,7 +94,8 @@ def observations(reads: DataFrame, targets: DataFrame, min_qual: int = 5, max_in
     an event of too low a quality says nothing, not reference. `ref_alt_only` leaves out code 2.
 
     Pieces of reads and sites meet by an equality join on bins. A piece is shuffled once for each bin that it touches, with the bases
-    which that bin can ask for, so long reads do not multiply; adaptive execution may split bins of deep coverage, as nothing is grouped.
+    which that bin can ask for, so long reads do not multiply. Sites are hashed in memory, one partition of them at a time, so pieces are
+    never sorted; adaptive execution may split bins of deep coverage, as nothing is grouped.
     """
     keep = [c for c in reads.columns if c not in ("chrom", "pos", "cigar", "seq", "qual", "mapq", "ref", "alt", "code")]
     longest = targets.agg(F.max(F.greatest(F.length("ref"), F.length("alt")))).first()[0] or 1
@@ -120,7 +121,7 @@ def observations(reads: DataFrame, targets: DataFrame, min_qual: int = 5, max_in
         F.filter("inserted", lambda a: F.floor(a / width) == F.col("bin")).alias("inserted"), cut("p_bases").alias("p_bases"), cut("p_quals").alias("p_quals"),
     )
     site = target_bins(targets, max_indel, width).select("chrom", "bin", "pos", "ref", "alt", "kind", "change", "key", "first", "last", "tail")
-    met = rows.join(site, ["chrom", "bin"])
+    met = rows.join(site.hint("shuffle_hash"), ["chrom", "bin"])
     covers = match & (F.col("first") >= F.col("p_at")) & (F.col("last") < F.col("p_at") + F.length("p_bases"))
     as_reference = F.col("pos").between(F.col("start"), F.col("end")) & ~((F.col("kind") == "insertion") & F.array_contains("inserted", F.col("key")))
     event = (F.col("p_kind") == F.col("kind")) & (F.col("p_at") == F.col("key")) & (F.col("pos") >= F.col("p_at") - max(max_indel, 1) - 2)
