@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +16,8 @@ from lociweave.functions import forwardbackward as kernels
 from lociweave.operators.evidence import centres
 from lociweave.operators.posterior import clipped
 from lociweave.operators.sites import recombination
-from lociweave.sources.scratch import forget, written
+from lociweave.sources import byteranges
+from lociweave.sources.scratch import forget, shared_folder, written
 
 ERROR, FLOOR = 0.001, 1e-5
 
@@ -97,13 +100,73 @@ def fragment_arrays(fragments: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 class Grid(NamedTuple):
-    """Reads and sites dealt out to groups, which scans with other founders at the same sites may share: see `laid_out`."""
+    """Reads and sites dealt out to groups, which scans with other founders at the same sites may share: see `laid_out`.
+
+    Where a chromosome has several blocks, `own` are left's rows of samples alone, `files` is the folder of its reads, a file for each group
+    (see `_packed`), and `tasks` how many tasks scan the groups.
+    """
 
     left: DataFrame
     sites: DataFrame
     runs: list[int]
     blocks: int
     parts: int
+    own: DataFrame | None = None
+    files: str | None = None
+    tasks: int = 1
+
+
+class _Dealt(NamedTuple):
+    """The two sides of a scan: rows of both, or with `sites` set only small rows on the left; then folders have its other rows and `sites` the right side."""
+
+    left: DataFrame
+    right: DataFrame | None
+    folders: tuple[str, ...] = ()
+    sites: str | None = None
+    tasks: int = 1
+
+    def mapped(self, scan, schema: str) -> DataFrame:
+        """scan(left, right) of every group."""
+        if self.sites is None:
+            return self.left.groupBy(*_KEYS).cogroup(self.right.groupBy(*_KEYS)).applyInArrow(scan, schema)
+        folders, sites = self.folders, self.sites
+
+        def read(left: pa.Table) -> pa.Table:
+            chrom, block, part = (left[c][0].as_py() for c in _KEYS)
+            more = [x for x in (_unpacked(f, chrom, block, part) for f in folders) if x is not None]
+            right = _unpacked(sites, chrom, block)
+            left = pa.concat_tables([left, *more], promote_options="default")
+            return scan(left, right.append_column("part", _column(part, len(right), pa.int32())))
+
+        # a number that adaptive execution keeps: groups are few bytes and much work
+        return self.left.repartition(self.tasks, *_KEYS).groupBy(*_KEYS).applyInArrow(read, schema)
+
+
+def _number(*key) -> int:
+    """A group's number: a digest, as chromosomes have names."""
+    return int(hashlib.sha256("/".join(map(str, reversed(key))).encode()).hexdigest(), 16)
+
+
+def _packed(df: DataFrame, keys: list[str]) -> str:
+    """Rows by group, each in a file of its own in a new shared folder, which is the result: rounds read them there and shuffle them no more."""
+    folder = f"{shared_folder(df.sparkSession)}/groups-{uuid.uuid4().hex}"
+
+    def store(rows: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        named = _number(*[rows[c][0].as_py() for c in keys])
+        rows = rows if "part" not in keys else rows.drop_columns(keys)
+        with pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            f.write_table(rows)
+        return pa.table({"n": pa.array([byteranges.put(folder, named, out.getvalue())], pa.int64())})
+
+    df.groupBy(*keys).applyInArrow(store, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def _unpacked(folder: str, *key) -> pa.Table | None:
+    """A group's rows, or None where it has none."""
+    raw = byteranges.range_bytes(folder, _number(*key))
+    return None if raw is None else pa.ipc.open_file(pa.BufferReader(raw)).read_all()
 
 
 _ROW = {"generation": "double", "pos": "long", "ref_weight": "double", "alt_weight": "double", "other_weight": "double", "p": "array<double>"}
@@ -144,10 +207,15 @@ def laid_out(evidence: DataFrame, positions: DataFrame, samples: DataFrame, pane
         sites = written(sites)  # every round of messages reads it
     groups = sites.select("chrom", "block").distinct()
     # every sample gets a result at every site, so one row for each of its blocks is little beside that
-    left = _rows(samples.withColumn("_", F.lit(1)).join(groups.withColumn("_", F.lit(1)), "_"), _SAMPLE, parts, "generation")
+    own = _rows(samples.withColumn("_", F.lit(1)).join(groups.withColumn("_", F.lit(1)), "_"), _SAMPLE, parts, "generation")
     seen = evidence.join(samples.select("sample_id"), "sample_id").join(_places(evidence, sites), _on(evidence, sites))
-    left = left.unionByName(_rows(seen, _READS, parts, "pos", "ref_weight", "alt_weight", "other_weight", *(_COUNTS if counts else ())))
-    return Grid(written(left) if blocks > 1 else left, sites, runs, blocks, parts)
+    has = ("pos", "ref_weight", "alt_weight", "other_weight", *(_COUNTS if counts else ()))
+    reads = _rows(seen, _READS, parts, *has)
+    grid = Grid(own.unionByName(reads), sites, runs, blocks, parts)
+    if blocks == 1:
+        return grid
+    tasks = min(groups.count() * parts, int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return grid._replace(own=written(own), files=_packed(reads.select("run", *_KEYS, "sample_id", "kind", *has), _KEYS), tasks=max(1, tasks))
 
 
 def _on(df: DataFrame, sites: DataFrame) -> list[str]:
@@ -158,25 +226,27 @@ def _places(df: DataFrame, sites: DataFrame) -> DataFrame:
     return sites.select(*_run(sites), "chrom", "block", "pos")
 
 
-def _sides(grid: Grid, samples: DataFrame, panel: DataFrame, fragments: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(left, right): the grid's rows with those of fragments, and rows of sites with founders."""
-    left = grid.left
+def _sides(grid: Grid, samples: DataFrame, panel: DataFrame, fragments: DataFrame | None) -> _Dealt:
+    """The grid's rows with those of fragments, and rows of sites with founders."""
+    whole = None
     if fragments is not None:
         whole = fragments.join(samples.select("sample_id"), "sample_id").join(_places(fragments, grid.sites), _on(fragments, grid.sites))
         whole = _rows(whole, _FRAGMENT, grid.parts, "pos", "p")
-        left = left.unionByName(written(whole) if grid.blocks > 1 else whole)
     by_site = panel.groupBy(*_run(panel), "pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q")
     )
     right = grid.sites.join(by_site, _on(by_site, grid.sites))
     if "run" not in right.columns:
         right = right.withColumn("run", F.lit(None).cast("int"))
+    names = ["chrom", "block", "pos", "rate", "q", "n", *[c for c in ("fold",) if c in grid.sites.columns]]
     if grid.blocks > 1:
-        right = written(right)
+        right = right.select(F.col("run").cast("int").alias("run"), *names)
+        folders = [grid.files] + ([] if whole is None else [_packed(whole.select("run", *_KEYS, "sample_id", "kind", "pos", "p"), _KEYS)])
+        return _Dealt(grid.own, None, tuple(folders), _packed(right, ["chrom", "block"]), grid.tasks)
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(grid.parts - 1))))
-    names = ["run", *_KEYS, "pos", "rate", "q", "n"]
     # columns of their own: both sides come from the same sites
-    return left, right.select(*[F.col(c).alias(c) for c in names])
+    right = right.select(*[F.col(c).alias(c) for c in ("run", "part", *names)])
+    return _Dealt(grid.left if whole is None else grid.left.unionByName(whole), right)
 
 
 def _groups(left: pa.Table, right: pa.Table, runs: list[int], ploidy: int):
@@ -254,15 +324,15 @@ def _nothing(schema: str) -> pa.Table:
 _SENT = "run int, chrom string, block int, part int, sample_id long, kind int, p array<double>"
 
 
-def _with_messages(left: DataFrame, right: DataFrame, runs: list[int], blocks: int, ploidy: int, error: float, core: int, shape: np.ndarray | None, mode: str) -> DataFrame:
-    """left with what neighbouring blocks tell each block: forward distributions from before it and backward ones from after it.
+def _with_messages(dealt: _Dealt, runs: list[int], blocks: int, ploidy: int, error: float, core: int, shape: np.ndarray | None, mode: str) -> _Dealt:
+    """The sides with what neighbouring blocks tell each block: forward distributions from before it and backward ones from after it.
 
     Every round scans all blocks with the messages of the round before. A message is exact once it has come from the chromosome's end, so
     blocks - 1 rounds are enough; they end sooner where what lies far away no longer matters, which is after two or three
-    unless reads are few and sites close. What is held and written is one distribution for each sample and border.
+    unless reads are few and sites close. What is held, shuffled and written is one distribution for each sample and border.
     """
     if blocks == 1:
-        return left
+        return dealt
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         sent = []
@@ -279,8 +349,8 @@ def _with_messages(left: DataFrame, right: DataFrame, runs: list[int], blocks: i
 
     messages = None
     for k in range(blocks - 1):
-        given = left if messages is None else left.unionByName(messages, allowMissingColumns=True)
-        after = written(given.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, _SENT))
+        given = dealt if messages is None else dealt._replace(left=dealt.left.unionByName(messages, allowMissingColumns=True))
+        after = written(given.mapped(scan, _SENT))
         if messages is not None:
             names = ["run", "chrom", "block", "part", "sample_id", "kind"]
             gap = F.aggregate(F.zip_with("p", "was", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y))
@@ -289,7 +359,7 @@ def _with_messages(left: DataFrame, right: DataFrame, runs: list[int], blocks: i
         messages = after
         if k and change <= SETTLED:
             break
-    return left.unionByName(messages, allowMissingColumns=True)
+    return dealt._replace(left=dealt.left.unionByName(messages, allowMissingColumns=True))
 
 
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -300,8 +370,8 @@ def _scanned(make, schema: str, evidence, positions, samples, panel, ploidy=2, e
     if mode not in ("replace", "augment"):
         raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
     grid = grid or laid_out(evidence, positions, samples, panel, ploidy, core, counts)
-    left, right = _sides(grid, samples, panel, None if fragments is None else fragment_arrays(fragments, panel))
-    left, runs = _with_messages(left, right, grid.runs, grid.blocks, ploidy, error, core, shape, mode), grid.runs
+    dealt = _sides(grid, samples, panel, None if fragments is None else fragment_arrays(fragments, panel))
+    dealt, runs = _with_messages(dealt, grid.runs, grid.blocks, ploidy, error, core, shape, mode), grid.runs
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
@@ -310,7 +380,7 @@ def _scanned(make, schema: str, evidence, positions, samples, panel, ploidy=2, e
             made.append(make(g, *kernels.posteriors(g.w[1], g.w[0], g.w[2], g.q, g.switch, ploidy, error, shape, g.keys["block"] == 0, g.ahead, g.behind, whole)))
         return pa.concat_tables(made) if made else _nothing(schema)
 
-    return left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, schema)
+    return dealt.mapped(scan, schema)
 
 
 def posteriors(
@@ -412,8 +482,7 @@ def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples:
     Sums over a part's samples leave a task, so what is shuffled does not grow with the samples of a part.
     """
     grid = laid_out(evidence, positions, samples, panel, 1, core)
-    left, right = _sides(grid, samples, panel, None)
-    left, runs = _with_messages(left, right, grid.runs, grid.blocks, 1, error, core, None, "replace"), grid.runs
+    dealt, runs = _with_messages(_sides(grid, samples, panel, None), grid.runs, grid.blocks, 1, error, core, None, "replace"), grid.runs
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
@@ -428,7 +497,7 @@ def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples:
             made.append(pa.table(columns, names=["chrom", "pos", "i", "j", "n"]))
         return pa.concat_tables(made) if made else _nothing("chrom string, pos long, i int, j int, n double")
 
-    out = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInArrow(scan, "chrom string, pos long, i int, j int, n double")
+    out = dealt.mapped(scan, "chrom string, pos long, i int, j int, n double")
     return out.groupBy("chrom", "pos", "i", "j").agg(F.sum("n").alias("n"))
 
 
