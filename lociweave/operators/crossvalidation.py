@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociweave.operators import founders, hmm
 from lociweave.operators.posterior import argmax, clipped
+from lociweave.sources.scratch import written
 
 
 def pseudo_truth(rows: DataFrame) -> DataFrame:
@@ -55,7 +56,9 @@ def harness(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel
     out = None
     for scale in scales:
         some = samples.withColumn("generation", F.col("generation") * scale)
-        part = fold_scores(held_out_predictions(evidence, positions, some, panel, folds, n_folds), evidence, truth)
+        # both scores read it
+        predictions = written(held_out_predictions(evidence, positions, some, panel, folds, n_folds))
+        part = fold_scores(predictions, evidence, truth)
         part = part.select(F.lit(float(scale)).alias("generation_scale"), *part.columns)
         out = part if out is None else out.unionByName(part)
     return out
