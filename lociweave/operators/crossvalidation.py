@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociweave.operators import founders, hmm
 from lociweave.operators.posterior import argmax, clipped
-from lociweave.sources.scratch import written
+from lociweave.sources.scratch import never_broadcast, written
 
 
 def pseudo_truth(rows: DataFrame) -> DataFrame:
@@ -31,19 +31,21 @@ def pseudo_truth(rows: DataFrame) -> DataFrame:
 def held_out_predictions(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, folds: DataFrame, n_folds: int, ploidy: int = 2) -> DataFrame:
     """(fold, sample_id, chrom, pos, gp, dosage): every site as imputed without the reads at all sites of its own fold.
 
-    folds: pos, fold from 0. A fold's masked reads are one run of the scan, so evidence is repeated n_folds - 1 times and nothing else.
+    folds: pos, fold from 0. A fold's masked reads are one run of the scan, so evidence is repeated n_folds - 1 times and nothing else; a
+    run's sites of other folds stay in the tasks.
     """
-    own = folds.select("pos", F.col("fold").cast("int").alias("fold"))
+    own = never_broadcast(folds.select("pos", F.col("fold").cast("int").alias("fold")))
     runs = F.array(*[F.lit(k) for k in range(n_folds)])
     masked = evidence.join(own, "pos").withColumn("run", F.explode(F.filter(runs, lambda r: r != F.col("fold")))).drop("fold")
     # every run occurs among the panel's runs, whatever reads are left
     every = panel.withColumn("run", F.explode(runs))
-    out = hmm.posteriors(masked, positions, samples, every, ploidy).join(own, "pos").where("run = fold")
-    return out.select("fold", "sample_id", "chrom", "pos", "gp", "dosage")
+    out = hmm.posteriors(masked, positions.join(own.withColumnRenamed("fold", "only_run"), "pos", "left"), samples, every, ploidy, wanted=("gp", "dosage"))
+    return out.select(F.col("run").alias("fold"), "sample_id", "chrom", "pos", "gp", "dosage")
 
 
 def fold_scores(predictions: DataFrame, evidence: DataFrame, truth: DataFrame) -> DataFrame:
     """Per fold: cells with truth, accuracy, mean squared error of dosages, and the log-likelihood of the held-out reads per sample and site with reads."""
+    predictions = never_broadcast(predictions)
     rows = predictions.join(truth, ["sample_id", "pos"])
     hit = (argmax(F.col("gp")) == F.col("genotype_truth")).cast("double")
     right = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n_truth"), F.avg(hit).alias("accuracy"), F.avg(F.pow(F.col("dosage") - F.col("dosage_truth"), 2)).alias("dosage_mse"))

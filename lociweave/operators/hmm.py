@@ -17,7 +17,7 @@ from lociweave.operators.evidence import centres
 from lociweave.operators.posterior import clipped
 from lociweave.operators.sites import recombination
 from lociweave.sources import byteranges
-from lociweave.sources.scratch import forget, shared_folder, written
+from lociweave.sources.scratch import forget, never_broadcast, shared_folder, written
 
 ERROR, FLOOR = 0.001, 1e-5
 
@@ -48,6 +48,10 @@ def _run(df: DataFrame) -> list[str]:
     return ["run"] if "run" in df.columns else []
 
 
+def _only(df: DataFrame) -> list[str]:
+    return ["only_run"] if "only_run" in df.columns else []
+
+
 def fragment_likelihoods(observations: DataFrame, panel: DataFrame, max_difference: float = 1000.0) -> DataFrame:
     """(sample_id, fragment, founder, log_likelihood, scaled): base-quality errors multiplied along a fragment, the best founder 1, floored.
 
@@ -126,9 +130,9 @@ class _Dealt(NamedTuple):
     tasks: int = 1
 
     def mapped(self, scan, schema: str) -> DataFrame:
-        """scan(left, right) of every group."""
+        """scan(left, right) of every group. What a task makes is many times what Spark sees it read, so no join may broadcast it."""
         if self.sites is None:
-            return self.left.groupBy(*_KEYS).cogroup(self.right.groupBy(*_KEYS)).applyInArrow(scan, schema)
+            return never_broadcast(self.left.groupBy(*_KEYS).cogroup(self.right.groupBy(*_KEYS)).applyInArrow(scan, schema))
         folders, sites = self.folders, self.sites
 
         def read(left: pa.Table) -> pa.Table:
@@ -139,7 +143,7 @@ class _Dealt(NamedTuple):
             return scan(left, right.append_column("part", _column(part, len(right), pa.int32())))
 
         # a number that adaptive execution keeps: groups are few bytes and much work
-        return self.left.repartition(self.tasks, *_KEYS).groupBy(*_KEYS).applyInArrow(read, schema)
+        return never_broadcast(self.left.repartition(self.tasks, *_KEYS).groupBy(*_KEYS).applyInArrow(read, schema))
 
 
 def _number(*key) -> int:
@@ -189,7 +193,8 @@ def laid_out(evidence: DataFrame, positions: DataFrame, samples: DataFrame, pane
 
     A chromosome is cut into blocks of `core` sites and samples into parts, so a group's size does not depend on the corpus. evidence
     and panel may each have a column run: then all runs are scanned in one job, and what they have in common is laid out once. `counts` takes in the
-    numbers of reads beside their weights. Later scans may use the same grid with panels of the same runs, sites and founders.
+    numbers of reads beside their weights. Later scans may use the same grid with panels of the same runs, sites and founders. positions may
+    have a column only_run, see `posteriors`.
     """
     runs = sorted({r[0] for df in (evidence, panel) if "run" in df.columns for r in df.select("run").distinct().collect()}) or [0]  # a handful
     founders = panel.select("founder").distinct().count()
@@ -202,7 +207,8 @@ def laid_out(evidence: DataFrame, positions: DataFrame, samples: DataFrame, pane
         named = named.select("pos").distinct()  # all runs have the same sites
     chrom = Window.partitionBy(*_run(named), "chrom")
     at = F.floor((F.row_number().over(chrom.orderBy("pos")) - 1) / core).cast("int")
-    sites = recombination(positions).join(named, "pos").select(*_run(named), "chrom", "pos", "rate", at.alias("block"), F.count(F.lit(1)).over(chrom).alias("n"))
+    rates = recombination(positions).join(never_broadcast(named), "pos")
+    sites = rates.select(*_run(named), "chrom", "pos", "rate", at.alias("block"), F.count(F.lit(1)).over(chrom).alias("n"), *_only(positions))
     if blocks > 1:
         sites = written(sites)  # every round of messages reads it
     groups = sites.select("chrom", "block").distinct()
@@ -223,7 +229,7 @@ def _on(df: DataFrame, sites: DataFrame) -> list[str]:
 
 
 def _places(df: DataFrame, sites: DataFrame) -> DataFrame:
-    return sites.select(*_run(sites), "chrom", "block", "pos")
+    return never_broadcast(sites.select(*_run(sites), "chrom", "block", "pos"))
 
 
 def _sides(grid: Grid, samples: DataFrame, panel: DataFrame, fragments: DataFrame | None) -> _Dealt:
@@ -235,10 +241,10 @@ def _sides(grid: Grid, samples: DataFrame, panel: DataFrame, fragments: DataFram
     by_site = panel.groupBy(*_run(panel), "pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("founder", "alt_prob"))), lambda x: x["alt_prob"]).alias("q")
     )
-    right = grid.sites.join(by_site, _on(by_site, grid.sites))
+    right = never_broadcast(grid.sites).join(by_site, _on(by_site, grid.sites))
     if "run" not in right.columns:
         right = right.withColumn("run", F.lit(None).cast("int"))
-    names = ["chrom", "block", "pos", "rate", "q", "n", *[c for c in ("fold",) if c in grid.sites.columns]]
+    names = ["chrom", "block", "pos", "rate", "q", "n", *_only(grid.sites)]
     if grid.blocks > 1:
         right = right.select(F.col("run").cast("int").alias("run"), *names)
         folders = [grid.files] + ([] if whole is None else [_packed(whole.select("run", *_KEYS, "sample_id", "kind", "pos", "p"), _KEYS)])
@@ -266,6 +272,7 @@ class _Group:
         right = right.take(pa.array(np.argsort(right["pos"].to_numpy(), kind="stable")))
         self.keys = {"run": run} | {name: right[name][0].as_py() for name in _KEYS}
         self.pos, self.n = right["pos"].to_numpy(), right["n"][0].as_py()
+        self.only = right["only_run"].to_numpy(zero_copy_only=False) if "only_run" in right.column_names else None
         self.q = np.asarray(right["q"].combine_chunks().flatten(), float).reshape(len(self.pos), -1)
         kind, all_ids = left["kind"].to_numpy(), left["sample_id"].to_numpy()
         self.ids, pick = np.unique(all_ids[kind == _SAMPLE], return_index=True)
@@ -403,14 +410,18 @@ def posteriors(
     neighbours what they know until nothing changes, so the result does not depend on `core`. Sites without reads take part with even
     emissions. `shape` is a founder transition shape, of founders squared numbers. `fragments` (sample_id, fragment, pos, code, qual, one
     observation for each position) count as a whole at their centres: instead of the cells they touch (`replace`) or with them (`augment`).
-    Only the `wanted` of the last three columns leave the tasks.
+    Only the `wanted` of the last three columns leave the tasks, and where positions have a column only_run, a site's rows of that run only.
     """
     kinds = {"hap": "array<double>", "gp": "array<double>", "dosage": "double"}
 
     def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
-        n = len(g.pos) * len(g.ids)
+        pos = g.pos
+        if g.only is not None:
+            own = g.only == g.keys["run"]
+            pos, hap, gp = pos[own], hap[own], gp[own]
+        n = len(pos) * len(g.ids)
         values = {"hap": lambda: _lists(hap), "gp": lambda: _lists(gp), "dosage": lambda: pa.array((gp @ np.arange(ploidy + 1)).reshape(-1))}
-        columns = [_column(g.keys["run"], n, pa.int32()), pa.array(np.tile(g.ids, len(g.pos))), _column(g.keys["chrom"], n, pa.string()), pa.array(np.repeat(g.pos, len(g.ids)))]
+        columns = [_column(g.keys["run"], n, pa.int32()), pa.array(np.tile(g.ids, len(pos))), _column(g.keys["chrom"], n, pa.string()), pa.array(np.repeat(pos, len(g.ids)))]
         return pa.table([*columns, *[values[w]() for w in wanted]], names=["run", "sample_id", "chrom", "pos", *wanted])
 
     schema = ", ".join(["run int, sample_id long, chrom string, pos long", *[f"{w} {kinds[w]}" for w in wanted]])
@@ -476,6 +487,30 @@ def scanned_pair_counts(evidence: DataFrame, positions: DataFrame, samples: Data
     return inner.unionByName(across).groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
+def scanned_switches(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, ploidy: int = 2, edge: float = 1e-6, **how) -> DataFrame:
+    """What `ratetraining.interval_switches` makes of posteriors (without runs): all but the medians where a block is scanned; a join has the shares at blocks' ends."""
+    schema = "chrom string, block int, pos long, sample_id long, is_end int, p array<double>"
+
+    def make(g: _Group, hap: np.ndarray, gp: np.ndarray) -> pa.Table:
+        inner = np.clip(1 - (hap[1:] * hap[:-1]).sum(2), edge, 1 - edge)
+        rows = [(g.pos[1:], np.full(len(inner), -1), -1, inner)] + [(np.full(len(g.ids), g.pos[at]), g.ids, k, hap[at]) for k, at in ((0, 0), (1, -1))]
+        return pa.concat_tables(
+            pa.table([_column(g.keys["chrom"], len(p), pa.string()), _column(g.keys["block"], len(p), pa.int32()), pa.array(pos), pa.array(i), _column(at, len(p), pa.int32()), _lists(p)], names=[x.split()[0] for x in schema.split(", ")])
+            for pos, i, at, p in rows
+        )
+
+    out = written(_scanned(make, schema, evidence, positions, samples, panel, ploidy, **how))
+    inner = out.where("is_end = -1").select("chrom", "pos", "p")
+    before = never_broadcast(out.where("is_end = 1").select("chrom", (F.col("block") + 1).alias("block"), "sample_id", F.col("p").alias("before")))
+    same = F.aggregate(F.zip_with("p", "before", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    across = out.where("is_end = 0").join(before, ["chrom", "block", "sample_id"]).select("chrom", "pos", F.array(clipped(1 - same, edge, 1 - edge)).alias("p"))
+    # a number for each sample
+    each = inner.unionByName(across).groupBy("chrom", "pos").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    n = F.size("p")
+    middle = (F.get("p", F.floor((n - 1) / 2).cast("int")) + F.get("p", F.floor(n / 2).cast("int"))) / 2
+    return each.select("chrom", "pos", middle.alias("switch"))
+
+
 def haploid_pair_posteriors(evidence: DataFrame, positions: DataFrame, samples: DataFrame, panel: DataFrame, error: float = ERROR, core: int = CORE) -> DataFrame:
     """(chrom, pos, i, j, n): summed posteriors that a haploid sample has founder i at the site before pos and j at pos.
 
@@ -532,7 +567,7 @@ def updated_founders(panel: DataFrame, statistics: DataFrame, damping: float = 0
 
     `damping` is the part of the old value that stays.
     """
-    rows = panel.join(statistics, [*_run(panel), "pos", "founder"], "left")
+    rows = panel.join(never_broadcast(statistics), [*_run(panel), "pos", "founder"], "left")
     new = F.when(F.col("denominator") > 1e-8, F.col("numerator") / F.col("denominator")).otherwise(F.col("alt_prob"))
     moved = clipped(damping * F.col("alt_prob") + (1 - damping) * new, 1e-4, 1 - 1e-4)
     return rows.select(*_run(panel), "pos", "founder", F.when(F.col("immutable") == 1, F.col("alt_prob")).otherwise(moved).alias("alt_prob"), "immutable")
@@ -545,7 +580,7 @@ def hardened(proposed: DataFrame, current: DataFrame) -> DataFrame:
     than two mutable founders stays as proposed.
     """
     keys = [*_run(proposed), "pos", "founder"]
-    rows = proposed.join(current.select(*keys, F.col("alt_prob").alias("before")), keys)
+    rows = proposed.join(never_broadcast(current.select(*keys, F.col("alt_prob").alias("before"))), keys)
     mutable = F.col("immutable") == 0
     site = Window.partitionBy(*_run(proposed), "pos", "immutable")
     n, mean = F.count(F.lit(1)).over(site), clipped(F.avg("alt_prob").over(site), 0.0, 1.0)

@@ -11,13 +11,15 @@ from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
 from lociweave.plans.evidence_queries import TRUTH
 from lociweave.plans.hmm_queries import _FB2, _GRID2, _evidence
+from lociweave.sources.scratch import written
 
 FOLDS = 2
 
 
 def q_cv_harness(spark, folder):
     """Each fold's sites as imputed without their reads, against the labels that these reads give."""
-    evidence, positions = _evidence(spark, folder), domain.positions(spark, folder)
+    # the folds, the truth and the scores read it
+    evidence, positions = written(_evidence(spark, folder)), domain.positions(spark, folder)
     folds = models.folds(positions, FOLDS, F.col("pos") * 7919 % 1009).select("pos", "fold")
     truth = crossvalidation.pseudo_truth(ev.truth_labels(evidence).where("truth >= 0").select("sample_id", "pos", F.col("truth").alias("genotype")))
     out = crossvalidation.harness(evidence, positions, domain.samples(spark, folder), domain.founders(spark, folder), folds, FOLDS, truth)

@@ -43,6 +43,11 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join by exchanges at all sizes: Spark broadcasts by the size of compressed files, or of what a Python step reads, and rows may be a hundred times that."""
+    return df.hint("merge")
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes what `written` made, once nothing reads it any more."""
     path = getattr(df, "written_path", None)
