@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lociweave.operators import hmm
 from lociweave.operators.posterior import clipped
 from lociweave.operators.sites import RATE_HIGH, RATE_LOW, recombination
-from lociweave.sources.scratch import forget, written
+from lociweave.sources.scratch import forget, never_broadcast, written
 
 #: The range of scales and multipliers, the range of switch proxies' distance from 0 and 1, intervals that count as much as no change.
 LEAST, MOST, EDGE, PRIOR = 0.25, 4.0, 1e-6, 20.0
@@ -34,12 +34,17 @@ def trained_rates(haps: DataFrame, positions: DataFrame, samples: DataFrame, ove
     says. Rates stay in [1e-10, 0.25]; a chromosome's first site has 1e-10, and sites without posteriors keep scale and no multiplier.
     What meets in one group are the intervals of a chromosome, one number each, not the cells.
     """
+    return rates_of_switches(interval_switches(haps), positions, samples, overall, window)
+
+
+def rates_of_switches(switches: DataFrame, positions: DataFrame, samples: DataFrame, overall: bool = True, window: int = 0) -> DataFrame:
+    """`trained_rates` of what `interval_switches` or `hmm.scanned_switches` returns."""
     first = F.min("pos").over(Window.partitionBy("chrom"))
     base = recombination(positions).select("chrom", "pos", F.col("rate").alias("rate_before"), F.col("bp").isNull().alias("is_first"), (F.col("pos") - first).alias("offset"))
     base = base.withColumn("window", F.floor(F.col("offset") / max(window, 1)).cast("long"))
     age = samples.where("generation > 0 and not isnan(generation) and generation < double('infinity')").agg(F.coalesce(F.median("generation"), F.lit(1.0)).alias("age"))
     # one row
-    seen = base.where(~F.col("is_first")).join(interval_switches(haps), ["chrom", "pos"]).join(F.broadcast(age))
+    seen = base.where(~F.col("is_first")).join(never_broadcast(switches), ["chrom", "pos"]).join(F.broadcast(age))
     ratio = -F.log1p(-F.col("switch")) / F.greatest("age", F.lit(1e-6)) / F.greatest("rate_before", F.lit(RATE_LOW))
     seen = written(seen.select("chrom", "pos", "window", ratio.alias("ratio")).where("ratio > 0"))
     scales = seen.groupBy("chrom").agg(clipped(F.median("ratio"), LEAST, MOST).alias("middle"))
@@ -48,7 +53,7 @@ def trained_rates(haps: DataFrame, positions: DataFrame, samples: DataFrame, ove
     if window > 0:
         local = seen.groupBy("chrom", "window").agg(clipped(F.median("ratio"), LEAST, MOST).alias("local"), F.count(F.lit(1)).alias("n")).where("n >= 2")
         valid = seen.select("chrom", "pos", F.lit(True).alias("valid"))
-        out = out.join(local, ["chrom", "window"], "left").join(valid, ["chrom", "pos"], "left")
+        out = out.join(never_broadcast(local), ["chrom", "window"], "left").join(never_broadcast(valid), ["chrom", "pos"], "left")
         shrunk = 1 + F.col("n") / (F.col("n") + PRIOR) * (F.col("local") / F.col("scale") - 1)
         multiplier = F.when(F.col("valid") & F.col("n").isNotNull(), clipped(shrunk, LEAST, MOST)).otherwise(1.0)
     else:
@@ -81,9 +86,8 @@ def trained_positions(evidence: DataFrame, positions: DataFrame, samples: DataFr
         return positions
     held = None
     for _ in range(rounds):
-        haps = written(hmm.posteriors(evidence, positions, samples, panel, ploidy).select("sample_id", "chrom", "pos", "hap"))
-        after = written(remapped(positions, trained_rates(haps, positions, samples, overall, window)))
-        forget(haps)
+        switches = hmm.scanned_switches(evidence, positions, samples, panel, ploidy, EDGE)
+        after = written(remapped(positions, rates_of_switches(switches, positions, samples, overall, window)))
         forget(held)
         positions = held = after
     return positions

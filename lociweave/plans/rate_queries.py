@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociweave.operators import ratetraining
+from lociweave.operators import hmm, ratetraining
 from lociweave.plans import domain
 from lociweave.plans.domain import with_tables
-from lociweave.plans.hmm_queries import _FB, _GRID, _posteriors
+from lociweave.plans.hmm_queries import _FB, _GRID, _given
 
 WINDOW = 200
 
 
 def _rates(spark, folder):
-    haps = _posteriors(spark, folder, 1)
-    return ratetraining.trained_rates(haps, domain.positions(spark, folder), domain.samples(spark, folder), True, WINDOW)
+    switches = hmm.scanned_switches(*_given(spark, folder), 1, ratetraining.EDGE)
+    return ratetraining.rates_of_switches(switches, domain.positions(spark, folder), domain.samples(spark, folder), True, WINDOW)
 
 
 def q_recombination_training(spark, folder):
