@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lociweave.operators import hmm
 from lociweave.operators.evidence import site_alt_fraction
 from lociweave.operators.posterior import clipped
-from lociweave.sources.scratch import forget, written
+from lociweave.sources.scratch import forget, never_broadcast, written
 
 #: What a drawn allele starts at, and the range of founder probabilities.
 LOW, HIGH, LEAST, MOST = 0.02, 0.98, 1e-4, 1 - 1e-4
@@ -36,7 +36,7 @@ def initial_founders(panel: DataFrame, fractions: DataFrame, seed: int = 0, jitt
     noise of `jitter`, and all are held in [LEAST, MOST]. fractions: pos, alt_fraction; a site without one has 0.5.
     """
     site = Window.partitionBy("pos", "immutable")
-    rows = panel.join(fractions.select("pos", "alt_fraction"), "pos", "left")
+    rows = panel.join(never_broadcast(fractions.select("pos", "alt_fraction")), "pos", "left")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(site)).withColumn("spread", F.stddev_pop("alt_prob").over(site))
     chance = clipped(F.coalesce("alt_fraction", F.lit(0.5)), 1e-3, 1 - 1e-3)
     drawn = F.when(F.col("n") < 2, chance).when(uniform(seed, "allele", F.col("pos"), F.col("founder")) < chance, HIGH).otherwise(LOW)
@@ -56,7 +56,7 @@ def read_log_likelihoods(posteriors: DataFrame, evidence: DataFrame, error: floa
     ploidy = F.greatest(F.size("gp") - 1, F.lit(1))
     dosage = F.aggregate(F.transform("gp", lambda x, i: x * i), F.lit(0.0), lambda x, y: x + y)
     alt = clipped(dosage / ploidy, floor, 1 - floor)
-    rows = posteriors.join(evidence.select("sample_id", "pos", "ref_count", "alt_count", "other_count"), ["sample_id", "pos"]).withColumn("alt", alt)
+    rows = never_broadcast(posteriors).join(evidence.select("sample_id", "pos", "ref_count", "alt_count", "other_count"), ["sample_id", "pos"]).withColumn("alt", alt)
     p_ref = clipped((1 - F.col("alt")) * (1 - error) + F.col("alt") * (error / 3), floor, 1.0)
     p_alt = clipped(F.col("alt") * (1 - error) + (1 - F.col("alt")) * (error / 3), floor, 1.0)
     each = F.col("ref_count") * F.log(p_ref) + F.col("alt_count") * F.log(p_alt) + F.col("other_count") * F.log(F.lit(max(error / 3, floor)))
@@ -99,13 +99,13 @@ def learn(
         statistics = hmm.scanned_founder_statistics(evidence, positions, samples, given, ploidy, fragments=fragments, mode=mode, grid=grid._replace(runs=list(active)))
         if harden:
             aim = hmm.hardened(hmm.updated_founders(given, statistics, 0.0), given)
-            both = aim.join(given.select("run", "pos", "founder", F.col("alt_prob").alias("before")), ["run", "pos", "founder"])
+            both = aim.join(never_broadcast(given.select("run", "pos", "founder", F.col("alt_prob").alias("before"))), ["run", "pos", "founder"])
             moved = clipped(damping * F.col("before") + (1 - damping) * F.col("alt_prob"), LEAST, MOST)
             new = both.select("run", "pos", "founder", F.when(F.col("immutable") == 1, F.col("before")).otherwise(moved).alias("alt_prob"), "immutable")
         else:
             new = hmm.updated_founders(given, statistics, damping)
         new = written(new)
-        both = new.join(given.select("run", "pos", "founder", F.col("alt_prob").alias("before")), ["run", "pos", "founder"])
+        both = new.join(never_broadcast(given.select("run", "pos", "founder", F.col("alt_prob").alias("before"))), ["run", "pos", "founder"])
         change = both.groupBy("run").agg(F.max(F.when(F.col("immutable") == 0, F.abs(F.col("alt_prob") - F.col("before"))).otherwise(0.0)).alias("change"))
         old = list({id(df): df for df in [*now.values(), *(df for _, df in best.values())]}.values())
         for run, delta in sorted((r["run"], r["change"]) for r in change.collect()):  # one row for each run
