@@ -32,7 +32,8 @@ def recombination_smoothed(values: DataFrame, generations: DataFrame | None = No
     Rows with a null value or place go; rows at the same place are taken in the order of their values. Fails where
     generation * length * rate of a chromosome is beyond 700.
     """
-    rows = values.where("value is not null and pos is not null")
+    # a filter on the value would be pushed down into all that made it, where its expression is repeated for each use: rows without one are not made
+    rows = values.where("pos is not null").withColumn("value", F.explode(F.when(F.col("value").isNotNull(), F.array("value"))))
     if generations is None:
         rows = rows.withColumn("_rate", F.lit(10.0 * rate))
     else:
