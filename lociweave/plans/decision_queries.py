@@ -9,7 +9,7 @@ from lociweave.operators import decisions
 from lociweave.operators import posterior as gp
 from lociweave.plans import posterior_queries as pq
 from lociweave.plans.posterior_queries import _ARG, _MAX, _sql, entropy_sql
-from lociweave.sources.scratch import written
+from lociweave.sources.scratch import never_broadcast, written
 
 #: Bins of a site's MAF, mean entropy and Hardy-Weinberg deviation, thresholds of log confidence and of callability.
 CLASS_BINS = {"maf": (0.0, 0.3, 0.4, 0.5), "mean_entropy": (0.0, 0.6, 0.75, 0.85, 1.01), "hwe_deviation": (0.0, 0.02, 0.05, 0.1, float("inf"))}
@@ -25,7 +25,7 @@ def _cells(spark, folder):
 
 def _classes(c):
     spread = c.groupBy("pos").agg(F.round(F.avg(gp.entropy(F.col("gp"))), 6).alias("mean_entropy"))
-    sites = gp.site_statistics(c).select("pos", F.round("maf", 6).alias("maf"), F.round("hwe_deviation", 6).alias("hwe_deviation")).join(spread, "pos")
+    sites = gp.site_statistics(c).select("pos", F.round("maf", 6).alias("maf"), F.round("hwe_deviation", 6).alias("hwe_deviation")).join(never_broadcast(spread), "pos")
     return cal.strata(sites, CLASS_BINS).select("pos", F.col("stratum").alias("class_id"))
 
 
