@@ -78,8 +78,8 @@ def compressed(fragments: DataFrame) -> DataFrame:
 
 def centres(fragments: DataFrame) -> DataFrame:
     """Per fragment its size and centre: the position nearest the mean position, the first on ties."""
-    mean = fragments.groupBy("sample_id", "fragment").agg(F.avg("pos").alias("mean_pos"), F.count(F.lit(1)).alias("n_obs"))
-    near = fragments.join(mean, ["sample_id", "fragment"])
+    own = Window.partitionBy("sample_id", "fragment")
+    near = fragments.select("sample_id", "fragment", "pos", F.avg("pos").over(own).alias("mean_pos"), F.count(F.lit(1)).over(own).alias("n_obs"))
     return near.groupBy("sample_id", "fragment", "n_obs").agg(
         F.min(F.struct(F.abs(F.col("pos") - F.col("mean_pos")).alias("d"), F.col("pos"))).getField("pos").alias("center")
     )

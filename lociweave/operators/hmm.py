@@ -55,15 +55,18 @@ def _only(df: DataFrame) -> list[str]:
 def fragment_likelihoods(observations: DataFrame, panel: DataFrame, max_difference: float = 1000.0) -> DataFrame:
     """(sample_id, fragment, founder, log_likelihood, scaled): base-quality errors multiplied along a fragment, the best founder 1, floored.
 
-    A panel with a column run gives that first.
+    A panel with a column run gives that first. An observation is dealt out once, with all founders of its site.
     """
+    sites = never_broadcast(panel.groupBy("pos").agg(F.collect_list(F.struct(*_run(panel), "founder", "alt_prob")).alias("p")))
+    met = observations.select("sample_id", "fragment", "pos", "code", "qual").join(sites, "pos").repartition("sample_id", "fragment")
+    rows = met.select("sample_id", "fragment", "code", "qual", F.inline("p"))
     err = F.pow(F.lit(10.0), -F.col("qual") / 10.0)
     q = F.col("alt_prob")
     p_alt = clipped(q * (1 - err) + (1 - q) * err / 3, FLOOR, 1.0)
     p_ref = clipped((1 - q) * (1 - err) + q * err / 3, FLOOR, 1.0)
     p = F.when(F.col("code") == 1, p_alt).when(F.col("code") == 0, p_ref).otherwise(clipped(err / 3, FLOOR, 1.0))
     name = [*_run(panel), "sample_id", "fragment"]
-    out = observations.join(panel, "pos").groupBy(*name, "founder").agg(F.sum(F.log(p)).alias("log_likelihood"))
+    out = rows.groupBy(*name, "founder").agg(F.sum(F.log(p)).alias("log_likelihood"))
     top = F.max("log_likelihood").over(Window.partitionBy(*name))
     scaled = F.exp(F.greatest(F.col("log_likelihood") - top, F.lit(-float(np.log(max_difference)))))
     return out.withColumn("scaled", scaled)
@@ -76,13 +79,42 @@ def coupled(emissions: DataFrame, likelihoods: DataFrame, centres: DataFrame, mo
     """
     if mode not in ("replace", "augment"):
         raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
-    at = likelihoods.join(centres.select("sample_id", "fragment", "center"), ["sample_id", "fragment"])
-    whole = at.groupBy("sample_id", F.col("center").alias("pos"), "founder").agg(F.sum(F.log("scaled")).alias("fragment_log"))
-    rows = emissions.join(whole, ["sample_id", "pos", "founder"], "left")
-    value = F.coalesce("fragment_log", "log_emission") if mode == "replace" else F.col("log_emission") + F.coalesce("fragment_log", F.lit(0.0))
-    rows = rows.withColumn("value", value)
-    top = F.max("value").over(Window.partitionBy("sample_id", "pos"))
-    return rows.select("sample_id", "pos", "founder", F.greatest(F.col("value") - top, F.lit(-float(np.log(max_emission_difference)))).alias("log_emission"))
+    whole = _at_centres(likelihoods, centres)
+    cells = emissions.groupBy("sample_id", "pos").agg(F.collect_list(F.struct("founder", "log_emission")).alias("l"))
+    return _touched(cells.join(whole, ["sample_id", "pos"], "left"), F.col("l"), mode, max_emission_difference)
+
+
+def coupled_evidence(evidence: DataFrame, panel: DataFrame, likelihoods: DataFrame, centres: DataFrame, mode: str, error: float = ERROR, max_emission_difference: float = 1e10) -> DataFrame:
+    """`coupled` of `haploid_emissions`: a cell is dealt out as one row, with the founders of its site, and meets its fragments there."""
+    if mode not in ("replace", "augment"):
+        raise ValueError(f"unknown coupling mode {mode!r}: replace or augment")
+    sites = never_broadcast(panel.groupBy("pos").agg(F.collect_list(F.struct("founder", "alt_prob")).alias("p")))
+    cells = evidence.select("sample_id", "pos", "ref_weight", "alt_weight", "other_weight").join(sites, "pos")
+    rows = cells.join(_at_centres(likelihoods, centres), ["sample_id", "pos"], "left")
+    weights = F.col("ref_weight"), F.col("alt_weight"), F.col("other_weight")
+    own = F.transform("p", lambda x: F.struct(x["founder"].alias("founder"), _log_emission(x["alt_prob"], *weights, error).alias("log_emission")))
+    return _touched(rows, own, mode, max_emission_difference)
+
+
+def _at_centres(likelihoods: DataFrame, centres: DataFrame) -> DataFrame:
+    """(sample_id, pos, w): the summed logarithms of the fragments at their centres, by founder. Fragments are dealt out as one row each."""
+    each = likelihoods.groupBy("sample_id", "fragment").agg(F.collect_list(F.struct("founder", F.log("scaled").alias("x"))).alias("s"))
+    at = each.join(never_broadcast(centres.select("sample_id", "fragment", "center")), ["sample_id", "fragment"])
+    at = at.select("sample_id", F.col("center").alias("pos"), "s").repartition("sample_id", "pos").select("sample_id", "pos", F.inline("s"))
+    sums = at.groupBy("sample_id", "pos", "founder").agg(F.sum("x").alias("x"))
+    return never_broadcast(sums.groupBy("sample_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("founder", "x"))).alias("w")))
+
+
+def _touched(rows: DataFrame, own: Column, mode: str, most: float) -> DataFrame:
+    """(sample_id, pos, founder, log_emission) of cells with w, what fragments say by founder, or null; own: an array of founder, log_emission."""
+    def value(x: Column) -> Column:
+        told = F.try_element_at("w", x["founder"])
+        return F.coalesce(told, x["log_emission"]) if mode == "replace" else x["log_emission"] + F.coalesce(told, F.lit(0.0))
+
+    values = F.transform(own, lambda x: F.struct(x["founder"].alias("founder"), value(x).alias("v")))
+    rows = rows.select("sample_id", "pos", values.alias("values"))
+    rows = rows.select("sample_id", "pos", F.array_max(F.col("values.v")).alias("top"), F.inline("values"))
+    return rows.select("sample_id", "pos", "founder", F.greatest(F.col("v") - F.col("top"), F.lit(-float(np.log(most)))).alias("log_emission"))
 
 
 #: Sites of a block, and bytes of one array of state distributions in a task: so many samples are scanned together.

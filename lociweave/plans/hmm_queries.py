@@ -40,8 +40,7 @@ def q_fragment_likelihood(spark, folder):
 def _coupled(spark, folder, mode):
     f = _fragments(spark, folder)
     panel = domain.founders(spark, folder)
-    e = hmm.haploid_emissions(_evidence(spark, folder), panel)
-    return _r(hmm.coupled(e, hmm.fragment_likelihoods(f, panel), ev.centres(f), mode), 6, "log_emission")
+    return _r(hmm.coupled_evidence(_evidence(spark, folder), panel, hmm.fragment_likelihoods(f, panel), ev.centres(f), mode), 6, "log_emission")
 
 
 def q_coupling_replace(spark, folder):
