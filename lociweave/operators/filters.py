@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociweave.sources.scratch import forget, never_broadcast, written
+
 #: Bits of a read that is unmapped, secondary, a duplicate or supplementary.
 SKIPPED_FLAGS = 0x4 | 0x100 | 0x400 | 0x800
 #: The quality that stands for none, what replaces it, and the quality of a base without any.
@@ -41,25 +43,36 @@ def subsampled(reads: DataFrame, probability: Column, *key: str, seed: int = 0)
 def depth_capped(reads: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     """Fragments of a sample in a fixed random order; one goes when all of its sites have `cap` fragments already.
 
-    reads: sample_id, fragment, pos and more columns. The rule looks at what was kept before, so a sample is one group; only
-    its distinct (fragment, pos) pairs meet there, as two numbers each.
+    reads: sample_id, fragment, pos and more columns. The rule looks at what was kept before, but only at shared sites: a fragment stays
+    for certain once one of its sites has fewer than `cap` before it that are kept or open, and goes once all have `cap` kept ones.
+    Rounds decide what can be told and write the sites that still have open fragments; the first open one of a sample is told in every
+    round, and nearly all in the first few. No sample meets in one group.
     """
+    if cap <= 0:
+        return reads.limit(0)
+    reads = reads.where("sample_id is not null and fragment is not null")
     pairs = reads.select("sample_id", "fragment", "pos").distinct().withColumn("turn", F.xxhash64("sample_id", "fragment", F.lit(seed)))
-
-    def keep(rows: pa.Table) -> pa.Table:
-        fragment, pos = rows["fragment"].to_numpy(), rows["pos"].to_numpy()
-        order = np.lexsort((fragment, rows["turn"].to_numpy()))
-        fragment, site = fragment[order], np.unique(pos[order], return_inverse=True)[1]
-        bounds = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1], True])
-        depth, kept = np.zeros(site.max(initial=-1) + 1, np.int64), []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if (depth[site[a:b]] < cap).any():
-                depth[site[a:b]] += 1
-                kept.append(fragment[a])
-        return pa.table({"sample_id": pa.array([rows["sample_id"][0].as_py()] * len(kept), pa.int64()), "fragment": pa.array(kept, pa.int64())})
-
-    kept = pairs.groupBy("sample_id").applyInArrow(keep, "sample_id long, fragment long")
-    return reads.join(kept, ["sample_id", "fragment"], "left_semi")
+    name = ["sample_id", "fragment"]
+    state, gone = written(pairs.withColumn("kept", F.lit(0))), []
+    before = Window.partitionBy("sample_id", "pos").orderBy("turn", "fragment").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        sure, open_ = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in (F.col("kept"), 1 - F.col("kept")))
+        told = state.select(*name, "kept", sure.alias("sure"), (sure + open_).alias("most")).where("kept = 0")
+        stays, goes = F.min("most") < cap, F.min("sure") >= cap
+        told = written(told.groupBy(*name).agg(stays.alias("stays"), goes.alias("goes")))
+        gone.append(told.where("goes").select(*name))
+        if told.where("not stays and not goes").isEmpty():
+            break
+        rows = state.join(never_broadcast(told), name, "left").where("goes is null or not goes")
+        rows = rows.select(*name, "pos", "turn", F.when(F.coalesce("stays", F.lit(False)), 1).otherwise(F.col("kept")).alias("kept"))
+        site = Window.partitionBy("sample_id", "pos")
+        after = written(rows.withColumn("least", F.min("kept").over(site)).where("least = 0").drop("least"))
+        forget(state)
+        state = after
+    dropped = gone[0]
+    for part in gone[1:]:
+        dropped = dropped.unionByName(part)
+    return reads.join(never_broadcast(dropped), name, "left_anti")
 
 
 def truth_source(cells: DataFrame, mode: str) -> DataFrame:
