@@ -48,6 +48,9 @@ class Moves:
             self.parts = np.hstack(list(stay_counts(k, ploidy))), np.hstack([p.T for p in stay_counts(k, ploidy)])
         if self.even:
             self.spread = np.ascontiguousarray(self.sums.T)
+            self.counts = np.ones((len(self.spread.T), 1))
+        else:
+            self.counts = np.ones((k * k if ploidy == 2 else len(multisets(k, ploidy)), 1))
 
     def weights(self, switch: np.ndarray) -> list:
         """What `along` asks for at each site, from switches by sites and samples."""
@@ -84,6 +87,31 @@ class Moves:
         return self.along(x, w, True)
 
 
+class Pairs(Moves):
+    """Diploids that move evenly, by unordered pairs of founders: emissions and moves treat both orders alike, so one of them stands for both.
+
+    `counts` tells how many ordered pairs a state stands for; a distribution's entries are those of one of them.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.ploidy, self.even = k, 2, True
+        states = multisets(k, 2)
+        self.counts = np.array([[float(orderings(s))] for s in states])
+        self.holds = np.array([[float(f in s) for f in range(k)] for s in states])
+        self.sums = np.hstack([self.holds, self.counts])
+        self.spread = np.vstack([np.array([[float(s.count(f)) for s in states] for f in range(k)]), np.ones((1, len(states)))])
+
+    def weights(self, switch: np.ndarray) -> list:
+        off = (switch / max(self.k - 1, 1))[..., None]
+        stay = 1 - switch[..., None] - off
+        return list(zip(stay * stay, np.concatenate([np.repeat(stay * off, self.k, 2), off * off], 2), strict=True))
+
+
+def moves_of(k: int, ploidy: int, shape: np.ndarray | None = None) -> Moves:
+    """How samples move: by unordered pairs where that is the same."""
+    return Pairs(k) if ploidy == 2 and shape is None else Moves(k, ploidy, shape)
+
+
 def multisets(k: int, ploidy: int) -> list[tuple[int, ...]]:
     """The unordered founder combinations of a ploidy."""
     return list(combinations_with_replacement(range(k), ploidy))
@@ -122,12 +150,12 @@ def _unit(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
     if z.min() > 0:
         x /= z
         return x
-    return np.where(z > 0, x / np.where(z > 0, z, 1), 1.0 / x.shape[1])
+    return np.where(z > 0, x / np.where(z > 0, z, 1), 1.0 / ones.sum())
 
 
 def _forward(e: np.ndarray, w: list, moves: Moves, ahead: np.ndarray | None, out: np.ndarray | None = None) -> np.ndarray:
     """The forward distribution of the last site; `out` takes all. e: sites, samples, flat states; w: weights."""
-    along, ones = moves.along, np.ones((e.shape[2], 1))
+    along, ones = moves.along, moves.counts
     now = _unit(e[0].copy() if ahead is None else along(ahead, w[0]) * e[0], ones)
     if out is not None:
         out[0] = now
@@ -142,8 +170,8 @@ def _forward(e: np.ndarray, w: list, moves: Moves, ahead: np.ndarray | None, out
 
 def _backward(e: np.ndarray, w: list, moves: Moves, behind: np.ndarray | None, out: np.ndarray | None = None) -> np.ndarray:
     """What the backward recursion hands to the site before the first; `out` takes what each site is handed."""
-    against, ones = moves.against, np.ones((e.shape[2], 1))
-    now = np.full(e.shape[1:], 1.0 / e.shape[2]) if behind is None else behind
+    against, ones = moves.against, moves.counts
+    now = np.full(e.shape[1:], 1.0 / ones.sum()) if behind is None else behind
     for t in range(len(e) - 1, -1, -1):
         if out is not None:
             out[t] = now
@@ -206,7 +234,7 @@ def state_posteriors(emission: np.ndarray, switch: np.ndarray, moves: Moves, ahe
     gamma = alpha
     gamma *= beta
     flat = gamma.reshape(*gamma.shape[:2], -1)
-    flat /= np.maximum(flat @ np.ones((flat.shape[2], 1)), 1e-300)
+    flat /= np.maximum(flat @ moves.counts, 1e-300)
     return gamma
 
 
@@ -258,7 +286,7 @@ def with_fragments(log: np.ndarray, site: np.ndarray, sample: np.ndarray, p: np.
     k = p.shape[1]
     if ploidy == 1:
         state = p
-    elif ploidy == 2:
+    elif ploidy == 2 and log.ndim == 4:
         state = (p[:, :, None] + p[:, None, :]) / 2
     else:
         state = p @ np.array([[s.count(f) / ploidy for s in multisets(k, ploidy)] for f in range(k)])
@@ -273,7 +301,7 @@ def with_fragments(log: np.ndarray, site: np.ndarray, sample: np.ndarray, p: np.
 
 
 def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndarray:
-    """Sites by samples by ploidy + 1 genotype probabilities from state posteriors (haploid, diploid square, or multisets)."""
+    """Sites by samples by ploidy + 1 genotype probabilities from state posteriors (haploid, diploid square or by `Pairs`, or multisets)."""
     k = q.shape[1]
     if ploidy == 1:
         alt = (gamma * q[:, None]).sum(2)
@@ -282,6 +310,10 @@ def genotype_posterior(gamma: np.ndarray, q: np.ndarray, ploidy: int) -> np.ndar
         a, b = q[:, :, None], q[:, None, :]
         each = np.stack([(1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b], 3)
         return gamma.reshape(*gamma.shape[:2], -1) @ each.reshape(len(q), -1, 3)
+    if ploidy == 2:
+        i, j = np.array(multisets(k, 2)).T
+        a, b, n = q[:, i], q[:, j], 1.0 + (i != j)
+        return gamma @ (np.stack([(1 - a) * (1 - b), a * (1 - b) + (1 - a) * b, a * b], 2) * n[:, None])
     out = np.zeros(gamma.shape[:2] + (ploidy + 1,))
     for s, state in enumerate(multisets(k, ploidy)):
         dist = np.ones((len(q), 1))
@@ -296,10 +328,13 @@ def state_shape(k: int, ploidy: int) -> tuple[int, ...]:
     return (k,) if ploidy == 1 else (k, k) if ploidy == 2 else (len(multisets(k, ploidy)),)
 
 
-def state_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, ploidy: int, error: float, begins: bool = True, whole=None) -> np.ndarray:
-    """Scaled emissions of the states of a ploidy. q: sites by K. Where a chromosome `begins`, a multiset counts as often as it has orderings."""
+def state_emissions(alt: np.ndarray, ref: np.ndarray, other: np.ndarray, q: np.ndarray, ploidy: int, error: float, begins: bool = True, whole=None, pairs: bool = False) -> np.ndarray:
+    """Scaled emissions of the states of a ploidy, of a diploid's `Pairs` if asked for. q: sites by K. Where a chromosome `begins`, a multiset counts as often as it has orderings."""
     if ploidy == 1:
         return site_emissions(alt, ref, other, q, error, whole=whole)
+    if pairs:
+        i, j = np.array(multisets(q.shape[1], 2)).T
+        return site_emissions(alt, ref, other, (q[:, i] + q[:, j]) / 2, error, whole=whole)
     if ploidy == 2:
         return site_emissions(alt, ref, other, (q[:, :, None] + q[:, None, :]) / 2, error, whole=whole)
     states = multisets(q.shape[1], ploidy)
@@ -313,6 +348,8 @@ def founder_shares(gamma: np.ndarray, k: int, ploidy: int) -> np.ndarray:
     """Sites by samples by K founder shares from state posteriors."""
     if ploidy == 1:
         return gamma
+    if ploidy == 2 and gamma.ndim == 3:
+        return gamma @ Pairs(k).holds
     if ploidy == 2:
         one = np.eye(k)
         return gamma.reshape(*gamma.shape[:2], -1) @ (0.5 * (np.kron(one, np.ones((k, 1))) + np.kron(np.ones((k, 1)), one)))
@@ -328,8 +365,9 @@ def posteriors(
     alt, ref, other and switch are sites by samples, q sites by K; begins: see `state_emissions`; ahead and behind: see `boundary`; whole: see `site_emissions`.
     """
     k = q.shape[1]
-    emission = state_emissions(alt, ref, other, q, ploidy, error, begins, whole)
-    gamma = state_posteriors(emission, switch, Moves(k, ploidy, shape), ahead, behind)
+    moves = moves_of(k, ploidy, shape)
+    emission = state_emissions(alt, ref, other, q, ploidy, error, begins, whole, isinstance(moves, Pairs))
+    gamma = state_posteriors(emission, switch, moves, ahead, behind)
     return founder_shares(gamma, k, ploidy), genotype_posterior(gamma, q, ploidy)
 
 

@@ -316,7 +316,6 @@ class _Group:
         self.covered = where = self._site(left, reads), np.searchsorted(self.ids, all_ids[reads])
         for i, name in enumerate(("ref_weight", "alt_weight", "other_weight")):
             self.w[i][where] = left[name].to_numpy(zero_copy_only=False)[reads]
-        self.shape = kernels.state_shape(self.q.shape[1], ploidy)
         self.ahead, self.behind = self._message(_AHEAD), self._message(_BEHIND)
 
     def counts(self) -> list[np.ndarray]:
@@ -334,7 +333,7 @@ class _Group:
         which, p = self._arrays(kind)
         if not len(which):
             return None
-        return p[np.argsort(self._ids[which])].reshape(len(self.ids), *self.shape)
+        return p[np.argsort(self._ids[which])].reshape(len(self.ids), -1)
 
     def whole(self, ploidy: int, mode: str):
         """What `site_emissions` asks for to take in fragments, or None."""
@@ -377,8 +376,9 @@ def _with_messages(dealt: _Dealt, runs: list[int], blocks: int, ploidy: int, err
         sent = []
         for g in _groups(left, right, runs, ploidy):
             block, last = g.keys["block"], (g.n - 1) // core
-            emission = kernels.state_emissions(g.w[1], g.w[0], g.w[2], g.q, ploidy, error, block == 0, g.whole(ploidy, mode))
-            onward, backward = kernels.boundary(emission, g.switch, kernels.Moves(g.q.shape[1], ploidy, shape), g.ahead, g.behind)
+            moves = kernels.moves_of(g.q.shape[1], ploidy, shape)
+            emission = kernels.state_emissions(g.w[1], g.w[0], g.w[2], g.q, ploidy, error, block == 0, g.whole(ploidy, mode), isinstance(moves, kernels.Pairs))
+            onward, backward = kernels.boundary(emission, g.switch, moves, g.ahead, g.behind)
             n = len(g.ids)
             for kind, to, message in ((_AHEAD, block + 1, onward), (_BEHIND, block - 1, backward)):
                 if 0 <= to <= last:
